@@ -17,6 +17,35 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS sh
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared_n
+  FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * shared_n >= 85 * (nx.n + ny.n - shared_n)),
+r AS (
+  SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritext.llm.packing import pack
 
@@ -85,6 +114,7 @@ FROM r
 def queries() -> dict:
     return {
         "op5_token_files": op5_token_files,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
@@ -92,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op6_minhash_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
