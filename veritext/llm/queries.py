@@ -10,6 +10,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / norm) AS e FROM g WHERE norm > 0 AND isfinite(norm)),
+e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS reach FROM v UNION SELECT r.vec_id, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1),
+n AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritext.llm.token_files import read_token_files, write_token_files
 
@@ -113,6 +135,7 @@ FROM r
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op5_token_files": op5_token_files,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_packing": op7_packing,
@@ -122,4 +145,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}

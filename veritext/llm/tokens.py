@@ -1,7 +1,8 @@
 """Token ids of whole texts with the public ``tokenizers`` library.
 
-A text is cut at single spaces that stand between two characters other than white space. A
-byte-level BPE never joins what such a space parts, so each stretch can be encoded by itself,
+A text is cut before single spaces and around single line ends that stand between two characters
+other than white space, and before marks that follow a word. The tokenizer's own first cut always
+falls there too, so each stretch can be encoded by itself,
 and stretches that repeat are encoded once for each worker (a cache of bounded size). Texts in
 which another cut could matter go through the library whole. Tests hold both ways equal.
 """
@@ -14,6 +15,8 @@ from itertools import repeat
 import numpy as np
 
 END_ID = 0
+#: Marks that, after a letter or digit, begin a new unit of the tokenizer's own first cut.
+_TAIL = ".,;:!?&*#%$|"
 
 
 def default_tokenizer() -> str:
@@ -25,7 +28,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes lists of texts to flat int32 ids and their offsets; keep one for each worker."""
 
-    def __init__(self, path: str, cache_words: int = 900_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,8 +56,8 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new stretches, given in marked form, in one go, parted by tabs; those that hold a tab one by one."""
-        plain = [w for w in words if "\t" not in w] if self.tab is not None else []
-        odd = [w for w in words if "\t" in w] if self.tab is not None else words
+        alone = lambda w: self.tab is None or w == "\n\n" or "\t" in w
+        plain, odd = [w for w in words if not alone(w)], [w for w in words if alone(w)]
         spoken = lambda marked: [w[1:] if w[0] == "\n" else " " + w for w in marked]
         parts, lens = [], []
         if plain:
@@ -75,20 +78,35 @@ class Encoder:
         self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
 
     def _cuts(self, text: str) -> list[str] | None:
-        """Stretches of ``text``, or None where it must be encoded whole."""
+        """Marked stretches of ``text``, or None where it must be encoded whole.
+
+        Marks: a line end before what doesn't follow a space, two of them for a line end itself.
+        """
         if any(s in text for s in self.special):
             return None
-        parts = text.split(" ")
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
+        out: list[str] = []
+        add = out.append
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:  # other white space, or more than one
                 return None
-        return parts
+            if out:
+                add("\n\n")
+            words[0] = "\n" + words[0]
+            for w in words:
+                core = w.rstrip(_TAIL)
+                if core is w or not core[-1:].isalnum():
+                    add(w)
+                else:
+                    add(core)
+                    add("\n" + w[len(core) :])
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and for each text where its ids begin (one more entry than texts)."""
         if len(self.slot) > self.cache_words:
             self._trim()
-        todo: list[str] = []  # a text's first stretch is marked by a line end, the others follow a space
+        todo: list[str] = []
         counts, whole = [], {}
         for i, t in enumerate(texts):
             parts = self._cuts(t)
@@ -96,7 +114,6 @@ class Encoder:
                 whole[i] = None
                 counts.append(0)
             else:
-                parts[0] = "\n" + parts[0]
                 todo += parts
                 counts.append(len(parts))
         at = np.fromiter(map(self.slot.get, todo, repeat(-1)), dtype=np.int64, count=len(todo))
