@@ -32,6 +32,23 @@ FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
 
+def _not_held(remainder: int, of: int):
+    """Rows that may teach: crc32 of the id as text, modulo ``of``, isn't ``remainder``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of != remainder
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"), _not_held(2, 4))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _not_held(1, 3))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritext.llm.token_files import read_token_files, write_token_files
 
@@ -136,11 +153,13 @@ FROM r
 def queries() -> dict:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_language_id": op2_language_id,
         "op5_token_files": op5_token_files,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
