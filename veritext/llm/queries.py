@@ -43,6 +43,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), _not_held(2, 4))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), key="corpus-key-1")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritext.llm.toxicity import toxicity
 
@@ -154,6 +160,7 @@ def queries() -> dict:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_language_id": op2_language_id,
+        "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op5_token_files": op5_token_files,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_packing": op7_packing,
