@@ -11,12 +11,16 @@ of 3e-7, at 0.8 of 1e-5. Every link is then confirmed on the two full sets.
 The output needs classes, not pairs, so pairs are never expanded within a bucket:
 
 1. keys are range-partitioned by (key, representative), so a key that a third of all documents
-   share is spread over many tasks, and every member is tied to its bucket's first one (a star);
-2. each representative is checked against the hub that it shares most keys with, and what is
-   confirmed makes components;
-3. only buckets that still hold several components are compared pair by pair, across components,
-   in tiles of bounded size and by signature distance; what is left is confirmed on full sets.
-   So no link between different texts is lost, and a group of n copies costs n, not n * n.
+   share is spread over many tasks, and every member is tied to its bucket's first one, the hub;
+2. each representative joins the group of the hub that it shares most keys with, and whole texts
+   are compared inside groups, through an inverted index of their shingles: what isn't yet in the
+   group's largest component is compared with every member. Once more with groups made of the
+   components found and of what stands nearest to them;
+3. only buckets that still hold several components and groups are compared pair by pair across
+   them, in tiles of bounded size and by signature distance, and what is left is confirmed too.
+
+Groups beyond a tile are dealt to tiles that meet in pairs. A group gives at most as many links as
+it has members. No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -133,15 +137,6 @@ def _sign(words: int):
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_buffer(), words).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    return run
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, K)
 
@@ -198,17 +193,60 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held_k, held_r, True)
 
 
-def _confirm(percent: int):
+def _link_run(rid: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among these documents; all links across components are looked at."""
+    size = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(token, kind="stable")
+    posting, first = doc[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
+    start = np.concatenate([[0], np.cumsum(size)])
+    _, label = np.unique(comp, return_inverse=True)
+    label = label.copy()
+    largest = int(np.bincount(label).argmax())
+    links = []
+    for x in range(len(sets)):
+        if label[x] == largest:
+            continue
+        own = token[start[x] : start[x + 1]]
+        lo, n = first[own], first[own + 1] - first[own]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) + np.repeat(lo - (ends - n), n)
+        both = np.bincount(posting[at], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (size + size[x] - both)) & (label != label[x]))
+        met, one = np.unique(label[near], return_index=True)
+        if len(met):
+            links += [(int(rid[x]), int(rid[near[k]])) for k in one]
+            # all of them are one component now; the largest one keeps its label
+            new = largest if largest in met else label[x]
+            label[np.isin(label, np.append(met, label[x]))] = new
+    return links
+
+
+def _link(words: int, percent: int):
+    """Rows sorted by (g, i, j) with texts to the links inside each group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = np.zeros(b.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"))):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-                    continue
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(u) + len(v) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], names=["a", "b"])
+        held: list | None = None
+        for b in _then_none(batches):
+            if b is not None and not b.num_rows:
+                continue
+            if b is not None:
+                cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j", "rid", "comp")]
+                sets = [shingle_set(t.as_buffer(), words) for t in b.column("text")]
+                held = [*cols, sets] if held is None else [np.concatenate([x, y]) for x, y in zip(held[:5], cols)] + [held[5] + sets]
+            if held is None:
+                continue
+            g, i, j, rid, comp, sets = held
+            cut = (np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+            at, links = 0, []
+            for end in cut + ([len(g)] if b is None else []):
+                if end - at > 1 and (comp[at:end] != comp[at]).any():
+                    links += _link_run(rid[at:end], comp[at:end], sets[at:end], percent)
+                at = end
+            held = [x[at:] for x in held]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
     return run
 
@@ -216,15 +254,16 @@ def _confirm(percent: int):
 def _across(limit: int):
     """Rows sorted by (key, i, j, side) with sig and component to pairs of close signatures in two components."""
 
-    def pairs(side: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray, key: int):
+    def pairs(side: np.ndarray, rid: np.ndarray, comp: np.ndarray, fam: np.ndarray, sig: np.ndarray, key: int):
         one, two = (side < 2, side > 0) if (side != 1).any() else (side == 1, side == 1)
         ra, rb, ca, cb, sa, sb = rid[one], rid[two], comp[one], comp[two], sig[one], sig[two]
+        fa, fb = fam[one], fam[two]
         same_tile = not (side != 1).any()
         for i in range(0, len(ra), 256):
             d = np.zeros((len(ra[i : i + 256]), len(rb)), dtype=np.uint8)
             for s in range(K):
                 d += sa[i : i + 256, s, None] != sb[None, :, s]
-            ok = (d <= limit) & (ca[i : i + 256, None] != cb[None, :])
+            ok = (d <= limit) & (ca[i : i + 256, None] != cb[None, :]) & (fa[i : i + 256, None] != fb[None, :])
             if same_tile:
                 ok &= ra[i : i + 256, None] < rb[None, :]
             x, y = np.nonzero(ok)
@@ -243,7 +282,7 @@ def _across(limit: int):
             if b is not None and not b.num_rows:
                 continue
             if b is not None:
-                cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "rid", "comp")] + [_matrix(b.column("sig"))]
+                cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "rid", "comp", "fam")] + [_matrix(b.column("sig"))]
                 held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols)]
             if held is None:
                 continue
@@ -255,7 +294,7 @@ def _across(limit: int):
                 if end - at > 1:
                     comp = held[5][at:end]
                     if (comp != comp[0]).any():
-                        for x, y in pairs(held[3][at:end], held[4][at:end], comp, held[6][at:end], int(k[at])):
+                        for x, y in pairs(held[3][at:end], held[4][at:end], comp, held[6][at:end], held[7][at:end], int(k[at])):
                             a_out.append(x)
                             b_out.append(y)
                 at = end
@@ -283,13 +322,21 @@ def _key_at(sig: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return _mix(v + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Of distinct pairs (a, b), those that are similar enough by their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(texts.join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"), f"{name}-sets")
-    a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
+def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, tile: int, name: str) -> DataFrame:
+    """Links (a, b) inside groups (g, rid, comp) that hold several components."""
+    mixed = groups.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    mixed = mixed.select("g", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+    # tiles meet in pairs; inside a pair all members are compared, so a lone tile is a pair with itself
+    meet = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != F.col("t")),
+            lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")),
+        )
+    )
+    spread = groups.join(mixed, "g").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    spread = spread.join(texts.withColumnRenamed("id", "rid"), "rid").withColumn("m", F.explode(meet))
+    spread = spread.select("g", "m.i", "m.j", "rid", "comp", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return materialise(spread.mapInArrow(_link(words, percent), "a long, b long").distinct(), name)
 
 
 def near_duplicates(
@@ -298,7 +345,7 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    tile: int = 1024,
+    tile: int = 512,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -325,18 +372,40 @@ def near_duplicates(
     # 2. each representative with the hub that it shares most keys with; hubs of a key cut by a border with its first hub
     shared = stars.filter("hub <> rid").groupBy("rid", "hub").count()
     best = shared.groupBy("rid").agg(F.max(F.struct("count", -F.col("hub"))).alias("m"))
-    best = best.select((-F.col("m.col2")).alias("a"), F.col("rid").alias("b"))
+    best = materialise(best.select((-F.col("m.col2")).alias("g"), "rid"), "op6-best")
     hubs = stars.filter("border").select("key", "hub").distinct()
     lead = hubs.groupBy("key").agg(F.min("hub").alias("lead"))
-    cross = hubs.join(lead, "key").filter("lead <> hub").select(F.col("lead").alias("a"), F.col("hub").alias("b"))
-    texts = base.filter("id is not null and text is not null")
-    links = _check(materialise(best.union(cross).distinct(), "op6-first"), texts, words, percent, "op6-first")
-    comp = materialise(connected_components(links, "op6-cc"), "op6-comp")
-
-    # 3. what still meets in a bucket across components
-    member = stars.select("key", "rid").join(comp.withColumnRenamed("id", "rid"), "rid", "left")
-    member = member.select("key", "rid", F.coalesce("component", "rid").alias("comp"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    cross = hubs.join(lead, "key").filter("lead <> hub").select(F.col("lead").alias("g"), F.col("hub").alias("rid"))
+    groups = best.union(cross)
+    groups = materialise(groups.union(groups.select("g", F.col("g").alias("rid"))).distinct(), "op6-groups")
+    members = materialise(groups.select(F.col("rid").alias("id")).distinct(), "op6-members")
+    # a list of ids goes to every executor only up to 2 million of them (16 MB)
+    few = members.count() <= 2_000_000
+    texts = base.filter("id is not null and text is not null").join(F.broadcast(members) if few else members, "id", "left_semi")
+    texts = materialise(texts, "op6-texts")
+    links = _group_links(groups.withColumn("comp", F.col("rid")), texts, words, percent, tile, "op6-links")
+
+    def components(links: DataFrame) -> DataFrame:
+        return materialise(connected_components(links, "op6-cc"), "op6-comp").withColumnRenamed("id", "rid")
+
+    comp = components(links)
+    own = members.select(F.col("id").alias("rid")).join(best, "rid", "left").join(comp, "rid", "left")
+    own = own.join(comp.select(F.col("rid").alias("g"), F.col("component").alias("near")), "g", "left")
+    fam = materialise(
+        own.select("rid", F.coalesce("component", "near", "g", "rid").alias("g"), F.coalesce("component", "rid").alias("comp")), "op6-families"
+    )
+    links = links.union(_group_links(fam, texts, words, percent, tile, "op6-links"))
+    comp = components(links)
+
+    # 3. what still meets in a bucket across components and groups
+    place = fam.select("rid", F.col("g").alias("fam")).join(comp, "rid", "left")
+    place = materialise(place.select("rid", "fam", F.coalesce("component", "rid").alias("comp")), "op6-place")
+    member = stars.select("key", "rid").join(place, "rid")
+    mixed = member.groupBy("key").agg(
+        F.count("*").alias("size"),
+        *[f(c).alias(f"{n}_{c}") for c in ("comp", "fam") for n, f in (("lo", F.min), ("hi", F.max))],
+    )
+    mixed = mixed.filter("lo_comp <> hi_comp and lo_fam <> hi_fam")
     mixed = mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
     open_ = member.join(mixed, "key").join(reps, "rid")
     t = F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")
@@ -347,13 +416,14 @@ def near_duplicates(
             F.when(o == F.col("t"), 1).when(F.col("t") < o, 0).otherwise(2).alias("side"),
         ),
     )
-    spread = open_.withColumn("t", t).withColumn("m", F.explode(meet)).select("key", "m.i", "m.j", "m.side", "rid", "comp", "sig")
+    spread = open_.withColumn("t", t).withColumn("m", F.explode(meet)).select("key", "m.i", "m.j", "m.side", "rid", "comp", "fam", "sig")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     late = materialise(spread.mapInArrow(_across(distance_limit(percent / 100)), "a long, b long").distinct(), "op6-late")
-    more = _check(late, texts, words, percent, "op6-late")
-    comp = materialise(connected_components(links.union(more), "op6-cc"), "op6-comp")
+    stars_ = late.select(F.col("a").alias("g"), F.col("b").alias("rid"))
+    stars_ = stars_.union(stars_.select("g", F.col("g").alias("rid"))).distinct().join(place.select("rid", "comp"), "rid")
+    comp = components(links.union(_group_links(stars_, texts, words, percent, tile, "op6-links")))
 
-    of_class = classes.join(comp.withColumnRenamed("id", "rid"), "rid", "left").select(
+    of_class = classes.join(comp, "rid", "left").select(
         "h1", "h2", F.coalesce("component", "rid").alias("component_id")
     )
     own = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("h1")).alias("h1"), "h2")
