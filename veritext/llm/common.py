@@ -99,3 +99,15 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id", most: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``) among ``ids``'s only column; null is an id.
+
+    The ids go to every executor only after a count showed that they are at most ``most`` (16 MB);
+    more of them are joined by a shuffle.
+    """
+    name = ids.columns[0]
+    ids = materialise(ids.select(F.col(name).alias("_id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")), how)

@@ -49,6 +49,12 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"), key="corpus-key-1")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.html_blocks import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritext.llm.toxicity import toxicity
 
@@ -161,6 +167,7 @@ def queries() -> dict:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_language_id": op2_language_id,
         "op3_pii_pseudonyms": op3_pii_pseudonyms,
+        "op4_html_text": op4_html_text,
         "op5_token_files": op5_token_files,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_packing": op7_packing,
