@@ -51,15 +51,15 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
-PATHS, WORDS, FIGURES = 512, 256, 6
+PATHS, WORDS, FIGURES = 4096, 256, 6
 D_PATH, D_WORD, HIDDEN_SIZE = 16, 8, 16
 
 
 class Block:
-    __slots__ = ("text", "path", "tags", "linked")
+    __slots__ = ("text", "path", "tags", "linked", "words")
 
-    def __init__(self, text: str, path: tuple[int, ...], tags: tuple[str, ...], linked: int):
-        self.text, self.path, self.tags, self.linked = text, path, tags, linked
+    def __init__(self, text: str, path: tuple[int, ...], tags: tuple[str, ...], linked: int, words: frozenset[str]):
+        self.text, self.path, self.tags, self.linked, self.words = text, path, tags, linked, words
 
 
 _BUCKETS: dict[str, int] = {}
@@ -76,10 +76,10 @@ def _bucket(name: str) -> int:
 def blocks(page: str) -> list[Block]:
     """The leaf sequence of a page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...], tuple[str, ...]]] = [("", (), ())]
+    stack: list[tuple[str, tuple[int, ...], tuple[str, ...], frozenset[str]]] = [("", (), (), frozenset())]
     text: list[str] = []
     linked = hidden = anchors = 0
-    where: tuple[str, tuple[int, ...], tuple[str, ...]] | None = None
+    where: tuple[str, tuple[int, ...], tuple[str, ...], frozenset[str]] | None = None
 
     def flush() -> None:
         nonlocal linked, where
@@ -87,7 +87,7 @@ def blocks(page: str) -> list[Block]:
             joined = " ".join(_html.unescape("".join(text)).split())
             if joined:
                 leaf = where[2][-1] if where[2] else "text"
-                out.append(Block(joined, (*where[1], _bucket("leaf:" + leaf)), where[2], linked))
+                out.append(Block(joined, (*where[1], _bucket("leaf:" + leaf)), where[2], linked, where[3]))
         text.clear()
         linked, where = 0, None
 
@@ -156,12 +156,14 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         parent = stack[-1]
-        own = [] if name in ("html", "body") else ["tag:" + name]
+        own, said = [] if name in ("html", "body") else ["tag:" + name], parent[3]
         if attrs and "=" in attrs:
             for a in ATTR.finditer(attrs):
-                own += ["word:" + w for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()) if w]
+                found = [w for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()) if w]
+                own += ["word:" + w for w in found]
+                said = said | set(found)
         tags = parent[2] if name in ("html", "body") else (*parent[2], name)
-        stack.append((name, (*parent[1], *map(_bucket, own)), tags))
+        stack.append((name, (*parent[1], *map(_bucket, own)), tags, said))
         hidden += name in HIDDEN
         anchors += name == "a"
     flush()
@@ -407,7 +409,7 @@ def sample_page(r: np.random.Generator) -> str:
 #: Tags and class words that mark what isn't main text inside an article or main element.
 _OTHER_TAGS = frozenset("nav aside footer form button header".split())
 _OTHER_WORDS = frozenset(
-    _bucket("word:" + w) for w in "ad ads advert advertisement banner cookie notice comment comments comments reply sidebar menu nav newsletter promo related share social sponsored widget".split()
+    "ad ads advert advertisement banner cookie notice comment comments comments reply sidebar menu nav newsletter promo related share social sponsored widget".split()
 )
 
 
@@ -416,7 +418,7 @@ def own_labels(page: list[Block]) -> np.ndarray | None:
     if not any("article" in b.tags or "main" in b.tags for b in page):
         return None
     return np.array(
-        [("article" in b.tags or "main" in b.tags) and not _OTHER_TAGS & set(b.tags) and not _OTHER_WORDS & set(b.path) for b in page], dtype=np.float32
+        [("article" in b.tags or "main" in b.tags) and not _OTHER_TAGS & set(b.tags) and not _OTHER_WORDS & b.words for b in page], dtype=np.float32
     )
 
 
