@@ -14,12 +14,13 @@ The output needs classes, not pairs, so pairs are never expanded within a bucket
    share is spread over many tasks, and every member is tied to its bucket's first one, the hub;
 2. each representative joins the group of the hub that it shares most keys with, and whole texts
    are compared inside groups, through an inverted index of their shingles: what isn't yet in the
-   group's largest component is compared with every member. Once more with groups made of the
-   components found and of what stands nearest to them;
-3. only buckets that still hold several components and groups are compared pair by pair across
+   group's largest component is compared with every member. Then the same in families, the trees
+   that the ties to hubs make, where members of the largest component needn't meet each other;
+3. only buckets that still hold several components and families are compared pair by pair across
    them, in tiles of bounded size and by signature distance, and what is left is confirmed too.
 
-Groups beyond a tile are dealt to tiles that meet in pairs. A group gives at most as many links as
+Groups beyond a tile are dealt to tiles: those of its largest component meet those of the rest, and
+the latter meet each other. A group gives at most as many links as
 it has members. No link between different texts is lost.
 """
 
@@ -324,16 +325,26 @@ def _key_at(sig: np.ndarray, nth: np.ndarray) -> np.ndarray:
 
 def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, tile: int, name: str) -> DataFrame:
     """Links (a, b) inside groups (g, rid, comp) that hold several components."""
-    mixed = groups.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    mixed = mixed.select("g", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
-    # tiles meet in pairs; inside a pair all members are compared, so a lone tile is a pair with itself
-    meet = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != F.col("t")),
-            lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")),
-        )
+    parts = groups.groupBy("g", "comp").count().groupBy("g")
+    parts = parts.agg(F.sum("count").alias("size"), F.count("*").alias("comps"), F.max(F.struct("count", "comp")).alias("top"))
+    over = lambda n: F.ceil(n / tile).cast("int")
+    whole = F.when(F.col("top.count") > 1, F.col("top.count")).otherwise(0)
+    mixed = parts.filter("comps > 1").select(
+        "g", F.col("top.comp").alias("top"), over(whole).alias("tops"), over(F.col("size") - whole).alias("rests")
+    )
+    spread = groups.join(mixed, "g").withColumn("is_top", (F.col("comp") == F.col("top")) & (F.col("tops") > 0))
+    spread = spread.withColumn("t", F.pmod(F.xxhash64("rid"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    # all members of a meeting are compared, so only a lone tile of the rest has to meet itself
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+    with_rest = F.transform(
+        F.filter(rests, lambda o: o != F.col("t")), lambda o: pair(F.least(o, F.col("t")), F.greatest(o, F.col("t")))
+    )
+    with_top = F.transform(F.filter(F.sequence(F.lit(0), F.col("tops")), lambda o: o < F.col("tops")), lambda o: pair(F.col("t"), F.col("rests") + o))
+    alone = F.when((F.col("rests") == 1) & (F.col("tops") == 0), F.array(pair(F.lit(0), F.lit(0))))
+    meet = F.when(F.col("is_top"), F.transform(rests, lambda o: pair(o, F.col("rests") + F.col("t")))).otherwise(
+        F.coalesce(alone, F.concat(with_rest, with_top))
     )
-    spread = groups.join(mixed, "g").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     spread = spread.join(texts.withColumnRenamed("id", "rid"), "rid").withColumn("m", F.explode(meet))
     spread = spread.select("g", "m.i", "m.j", "rid", "comp", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     return materialise(spread.mapInArrow(_link(words, percent), "a long, b long").distinct(), name)
@@ -389,11 +400,9 @@ def near_duplicates(
         return materialise(connected_components(links, "op6-cc"), "op6-comp").withColumnRenamed("id", "rid")
 
     comp = components(links)
-    own = members.select(F.col("id").alias("rid")).join(best, "rid", "left").join(comp, "rid", "left")
-    own = own.join(comp.select(F.col("rid").alias("g"), F.col("component").alias("near")), "g", "left")
-    fam = materialise(
-        own.select("rid", F.coalesce("component", "near", "g", "rid").alias("g"), F.coalesce("component", "rid").alias("comp")), "op6-families"
-    )
+    tree = components(best.union(cross).select(F.col("g").alias("a"), F.col("rid").alias("b")))
+    fam = members.select(F.col("id").alias("rid")).join(tree.withColumnRenamed("component", "g"), "rid").join(comp, "rid", "left")
+    fam = materialise(fam.select("rid", "g", F.coalesce("component", "rid").alias("comp")), "op6-families")
     links = links.union(_group_links(fam, texts, words, percent, tile, "op6-links"))
     comp = components(links)
 
