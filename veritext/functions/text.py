@@ -37,16 +37,16 @@ def sentences(text: Column) -> Column:
     """Sentences with their end marks; a text without an end mark is cut at its full stops instead."""
     flat = normalise(text)
     found = F.regexp_extract_all(flat, F.lit(SENTENCE), F.lit(0))
-    rough = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+|\.\s*"), F.trim), lambda s: s != "")
+    rough = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+|\.\s*"), lambda s: F.trim(s)), lambda s: s != "")
     rough = F.transform(rough, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
-    return F.when(F.size(found) > 0, F.transform(found, F.trim)).otherwise(rough)
+    return F.when(F.size(found) > 0, F.transform(found, lambda s: F.trim(s))).otherwise(rough)
 
 
 def premises_and_conclusion(text: Column, marker: str = "Therefore,") -> Column:
     """struct(premises, conclusion), parted at the first marker; without one no premises and no conclusion."""
     at = F.instr(text, marker)
-    before = F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), at - 1), rf"^{SPACE}|{SPACE}$", ""), "", "")
-    parts = F.filter(F.transform(F.split(before, r"\.\s+"), F.trim), lambda p: p != "")
+    before = F.regexp_replace(F.substring(text, F.lit(1), at - 1), rf"^{SPACE}|{SPACE}$", "")
+    parts = F.filter(F.transform(F.split(before, r"\.\s+"), lambda p: F.trim(p)), lambda p: p != "")
     parts = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\.$", ""))), lambda p: p != "")
     rest = F.regexp_replace(F.substring(text, at + len(marker), F.length(text)), rf"^{SPACE}|{SPACE}$", "")
     return F.struct(
