@@ -74,14 +74,16 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         return t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = mark(e)
+    # few edges need few tasks, whatever the number of shuffle partitions
+    few = lambda t: t.coalesce(max(1, -(-seen[0] // 100_000)))
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = few(large.filter("u <> v").distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -89,7 +91,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             .filter("u <> v")
             .distinct()
         )
-        e = materialise(small, name)
+        e = materialise(few(small), name)
         now = mark(e)
         if now == seen:
             break

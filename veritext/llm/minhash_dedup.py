@@ -350,6 +350,18 @@ def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int,
     return materialise(spread.mapInArrow(_link(words, percent), "a long, b long").distinct(), name)
 
 
+def _roots(ties: DataFrame) -> DataFrame:
+    """(rid, root) for a forest (rid, g) in which g is always smaller: each round doubles the way that a tie goes."""
+    at = ties.select("rid", F.col("g").alias("root"))
+    for _ in range(64):
+        up = at.select(F.col("rid").alias("root"), F.col("root").alias("higher"))
+        new = materialise(at.join(up, "root", "left").select("rid", F.coalesce("higher", "root").alias("root"), "higher"), "op6-roots")
+        at = new.select("rid", "root")
+        if new.filter("higher is not null").isEmpty():
+            break
+    return at
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -400,11 +412,14 @@ def near_duplicates(
         return materialise(connected_components(links, "op6-cc"), "op6-comp").withColumnRenamed("id", "rid")
 
     comp = components(links)
-    tree = components(best.union(cross).select(F.col("g").alias("a"), F.col("rid").alias("b")))
-    fam = members.select(F.col("id").alias("rid")).join(tree.withColumnRenamed("component", "g"), "rid").join(comp, "rid", "left")
-    fam = materialise(fam.select("rid", "g", F.coalesce("component", "rid").alias("comp")), "op6-families")
-    links = links.union(_group_links(fam, texts, words, percent, tile, "op6-links"))
-    comp = components(links)
+    fam = members.select(F.col("id").alias("rid")).join(_roots(best), "rid", "left").join(comp, "rid", "left")
+    fam = materialise(
+        fam.select("rid", F.coalesce("root", "rid").alias("g"), F.coalesce("component", "rid").alias("comp")), "op6-families"
+    )
+    more = _group_links(fam, texts, words, percent, tile, "op6-links")
+    if not more.isEmpty():
+        links = links.union(more)
+        comp = components(links)
 
     # 3. what still meets in a bucket across components and groups
     place = fam.select("rid", F.col("g").alias("fam")).join(comp, "rid", "left")
@@ -430,7 +445,9 @@ def near_duplicates(
     late = materialise(spread.mapInArrow(_across(distance_limit(percent / 100)), "a long, b long").distinct(), "op6-late")
     stars_ = late.select(F.col("a").alias("g"), F.col("b").alias("rid"))
     stars_ = stars_.union(stars_.select("g", F.col("g").alias("rid"))).distinct().join(place.select("rid", "comp"), "rid")
-    comp = components(links.union(_group_links(stars_, texts, words, percent, tile, "op6-links")))
+    more = _group_links(stars_, texts, words, percent, tile, "op6-links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
 
     of_class = classes.join(comp, "rid", "left").select(
         "h1", "h2", F.coalesce("component", "rid").alias("component_id")
