@@ -152,6 +152,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and for each text where its ids begin (one more entry than texts)."""
+        if not texts:
+            return self.ids[:0], np.zeros(1, dtype=np.int64)
         if self.table.n > self.cache:
             self._trim()
         raws = [t.encode() for t in texts]
