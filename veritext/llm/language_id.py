@@ -7,7 +7,7 @@ lower-cased text, hashed), trained with FTRL-proximal under an elastic net (McMa
 * Document frequencies are counted over every learnable document (a map-side vector for each
   task, then a grouped sum of at most ``features`` rows).
 * The weights are fitted on a bounded sample of labelled rows, ``sample`` rows for each language
-  (default 1,500), chosen by a hash of the id; this is the documented bound of the fit.
+  (default 800), chosen by a hash of the id; this is the documented bound of the fit.
 * tf is the share that an n-gram has in its document, so a score is a mean of weights over the
   positions of the whole text, taken by table lookup; long texts are read in full.
 """
@@ -68,6 +68,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts to their features and the share that each has."""
+    for b in batches:
+        got = [_counts(t) for t in b.column("text").to_pylist()]
+        at = [a.astype("<i4").tobytes() for a, _, _ in got]
+        share = [(n / max(total, 1)).astype("<f4").tobytes() for _, n, total in got]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("lang"), b.column("r"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "r", "at", "share"]
+        )
+
+
 def fit_ftrl(
     rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, features: int,
     epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01,
@@ -136,7 +147,7 @@ class Model:
 SCALE = 100.0
 
 
-def train(learn: DataFrame, sample: int = 1_500, seed: str = "lang-1") -> Model | None:
+def train(learn: DataFrame, sample: int = 800, seed: str = "lang-1") -> Model | None:
     """A model from rows (id, text, lang), none of them null. Without rows: None."""
     text = learn.filter("text <> ''").select("text")
     df = np.zeros(FEATURES, dtype=np.int64)
@@ -151,19 +162,18 @@ def train(learn: DataFrame, sample: int = 1_500, seed: str = "lang-1") -> Model
     if not counts or not docs:
         return None
     langs = sorted(counts)
-    # about twice the sample by a hash threshold, so that no language is ranked in one task; then the exact bound
-    share = F.create_map(*[x for la in langs for x in (F.lit(la), F.lit(min(1.0, 2.0 * sample / counts[la])))])
-    near = learn.filter((F.pmod(rank, F.lit(1 << 20)) / float(1 << 20)) < F.element_at(share, F.col("lang"))).withColumn("r", rank)
-    got: dict[str, list[str]] = {la: [] for la in langs}
-    for row in near.select("lang", "r", F.substring("text", 1, 20_000).alias("text")).orderBy("r").toLocalIterator():
-        if len(got[row.lang]) < sample:
-            got[row.lang].append(row.text)
+    # a little more than the sample by a hash threshold, so that no language is ranked in one task; then the exact bound
+    share = F.create_map(*[x for la in langs for x in (F.lit(la), F.lit(min(1.0, 1.3 * sample / counts[la])))])
+    near = learn.withColumn("r", rank).filter(F.pmod("r", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
+    got = near.select("lang", "r", "text").mapInArrow(_features, "lang string, r long, at binary, share binary").collect()
+    got.sort(key=lambda x: (x.r, x.at))
     idf = np.log((1 + docs) / (1 + df)) + 1
     rows, labels, held, held_labels = [], [], [], []
     for k, la in enumerate(langs):
-        for i, t in enumerate(got[la]):
-            at, n, total = _counts(t)
-            (held if i % 5 == 4 else rows).append((at, n / max(total, 1) * idf[at] * SCALE))
+        for i, x in enumerate([x for x in got if x.lang == la][:sample]):
+            at = np.frombuffer(x.at, dtype="<i4").astype(np.int64)
+            values = np.frombuffer(x.share, dtype="<f4") * idf[at] * SCALE
+            (held if i % 5 == 4 else rows).append((at, values))
             (held_labels if i % 5 == 4 else labels).append(k)
     w, bias = fit_ftrl(rows, np.array(labels), len(langs), FEATURES)
     scores = np.array([x @ w[at] + bias for at, x in held]).reshape(len(held), len(langs))
@@ -193,7 +203,7 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample: int = 1_500,
+    sample: int = 800,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, held_out, lang_pred, score.
 

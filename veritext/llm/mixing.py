@@ -98,9 +98,9 @@ def mix(
         F.col("src").alias("c_src"), F.col("bin").alias("cut"), "before"
     )
     # a rounding of the last digit may leave the need above all words: then every document is taken
-    none = plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left")
-    plan2 = none.select(*plan.columns, "cut", "before")
-    j = ranked(d, plan2)
+    with_cut = plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").select(*plan.columns, "cut", "before")
+    # written, so that its size is known when the join with the documents is planned: small ones are broadcast
+    j = ranked(d, materialise(with_cut, "op9-cut"))
     inside = Window.partitionBy("src").orderBy("q", "id", "size")
     at_cut = j.filter("f > 0 and bin = cut").withColumn(
         "middle", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
