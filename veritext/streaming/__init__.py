@@ -1 +1 @@
-
+"""Part of veritext."""
