@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.functions.text import signature
@@ -29,9 +29,15 @@ def duplicate_report(df: DataFrame, key: Column, file: str = "file", pos: str =
 
 
 def flag_repeats(df: DataFrame, key: Column, order: list[Column], name: str = "is_repeat") -> DataFrame:
-    """``df`` with a flag on all but the first row of each key by ``order``. Shuffles a hash, not the text."""
-    w = Window.partitionBy(F.sha2(key, 256)).orderBy(*order)
-    return df.withColumn(name, F.coalesce((F.row_number().over(w) > 1) & key.isNotNull(), F.lit(False)))
+    """``df`` with a flag on all but the first row of each key by ``order`` (unique). Null keys aren't flagged.
+
+    First rows are a grouped minimum over key hashes, and only keys that occur more than once are
+    joined back, so a key that a third of all rows share is combined early and its join is split.
+    """
+    rows = df.withColumn("_key", F.sha2(key, 256)).withColumn("_at", F.struct(*order))
+    first = rows.filter("_key is not null").groupBy("_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    out = rows.join(first.select("_key", "_first"), "_key", "left")
+    return out.withColumn(name, F.coalesce(F.col("_at") > F.col("_first"), F.lit(False))).drop("_key", "_at", "_first")
 
 
 def drop_all_copies(df: DataFrame, key: Column) -> DataFrame:
@@ -88,8 +94,10 @@ def similar_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text",
     near = probe.join(index.withColumnRenamed("m", "im"), (F.col("m") == F.col("im")) & (probe["j"] == index["j"]) & (probe["h"] == index["h"]))
     near = near.filter((F.col("n") > F.col("m")) | (F.col("s2") > F.col("s"))).select("s", "s2").distinct()
     short = reps.filter(n <= k).select("s")
-    with_short = F.broadcast(short).join(reps.select(F.col("s").alias("s2"), F.col("n").alias("n2")), F.length("s") >= F.col("n2") - k)
-    with_short = with_short.filter((F.col("n2") > F.length("s")) | ((F.col("n2") == F.length("s")) & (F.col("s2") > F.col("s")))).select("s", "s2")
+    # short texts meet distinct texts of at most 2k characters only, by length
+    short = short.withColumn("n2", F.explode(F.sequence(F.length("s"), F.length("s") + k)))
+    with_short = short.join(reps.filter(n <= 2 * k).select(F.col("s").alias("s2"), F.col("n").alias("n2")), "n2")
+    with_short = with_short.filter((F.col("n2") > F.length("s")) | (F.col("s2") > F.col("s"))).select("s", "s2")
     pairs = near.union(with_short).withColumn("distance", F.levenshtein("s", "s2", k)).filter("distance >= 0")
     a = same.select(F.col("s").alias("s"), F.col("ids").alias("x"))
     b = same.select(F.col("s").alias("s2"), F.col("ids").alias("y"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
+from veritext.operators.dedup import flag_repeats
 from veritext.operators.forms import figures_in, label_forms
 
 
@@ -41,8 +42,7 @@ def stress_violations(df: DataFrame, row: Column, premise_counts: Iterable[int]
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in need]), lambda c: c.isNotNull())
     rows = rows.withColumn("missing", missing)
     full = F.size("missing") == 0
-    w = Window.partitionBy(F.sha2("syllogism", 256), full).orderBy("row")
-    rows = rows.withColumn("again", full & (F.row_number().over(w) > 1))
+    rows = flag_repeats(rows, F.when(full, F.col("syllogism")), [F.col("row")], "again")
     rows = rows.withColumn("n", F.size(T.premises_and_conclusion(F.col("syllogism"), marker)["premises"]))
     rel, n = F.col("relevant_premises"), F.col("n")
     rules = [
@@ -68,11 +68,11 @@ def example_violations(df: DataFrame, row: Column, semantics: str = "aristotelia
         "validity", "plausibility", F.col("relevant_premises").alias("rel"), m.isNull().alias("no_meta"), m["source"].alias("source"),
         m["core_signature"].alias("core"), m["premise_count"].alias("premises"), m["mood"].alias("mood"), m["figure"].alias("figure"),
     )
-    nth = lambda key: F.row_number().over(Window.partitionBy(F.sha2(key, 256), key.isNull()).orderBy("row"))
     has_text = F.col("text").isNotNull()
-    x = x.withColumn("again_text", has_text & (nth(T.signature(F.col("text"))) > 1))
-    x = x.withColumn("again_id", has_text & F.col("id").isNotNull() & (nth(F.col("id")) > 1))
-    x = x.withColumn("again_core", F.col("core").isNotNull() & (F.col("source") == "synthetic") & (nth(F.col("core")) > 1))
+    x = flag_repeats(x, T.signature(F.col("text")), [F.col("row")], "again_text")
+    x = flag_repeats(x, F.when(has_text, F.col("id")), [F.col("row")], "again_id")
+    x = flag_repeats(x, F.col("core"), [F.col("row")], "again_core")
+    x = x.withColumn("again_core", F.col("again_core") & (F.col("source") == "synthetic"))
     x = label_forms(x, semantics).withColumn("found", F.size(T.sentences(F.col("text"))))
     meta = has_text & ~F.col("no_meta")
     counted = meta & F.col("premises").isNotNull()
