@@ -40,7 +40,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialise(exact_dedup(docs, keep="max").select("doc_id", "kept"), "stage-exact")
-    out = rows_with_ids(docs, found.filter("kept").select("doc_id"), "left_semi")
+    dropped = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).filter("not stays").select("doc_id")
+    out = rows_with_ids(docs, dropped, "left_anti")
     again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return out

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Runs of anything but these six characters are words (space, tab, newline, vertical tab, form feed, return).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: So many ids may be broadcast; as a hash table they take about 100 bytes each.
+BROADCAST_IDS = 250_000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -103,11 +106,11 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     )
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id", most: int = 2_000_000) -> DataFrame:
+def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``) among ``ids``'s only column; null is an id.
 
-    The ids go to every executor only after a count showed that they are at most ``most`` (16 MB);
-    more of them are joined by a shuffle.
+    The ids go to every executor only after a count showed that they are at most ``most`` (about
+    25 MB); more of them are joined by a shuffle.
     """
     name = ids.columns[0]
     ids = materialise(ids.select(F.col(name).alias("_id")).distinct(), "ids")

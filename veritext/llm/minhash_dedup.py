@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.common import connected_components, materialise, small_batches
+from veritext.llm.common import BROADCAST_IDS, connected_components, materialise, small_batches
 
 CHUNKS, WIDTH, ERRORS = 5, 6, 2
 K = CHUNKS * WIDTH
@@ -402,8 +402,7 @@ def near_duplicates(
     groups = best.union(cross)
     groups = materialise(groups.union(groups.select("g", F.col("g").alias("rid"))).distinct(), "op6-groups")
     members = materialise(groups.select(F.col("rid").alias("id")).distinct(), "op6-members")
-    # a list of ids goes to every executor only up to 2 million of them (16 MB)
-    few = members.count() <= 2_000_000
+    few = members.count() <= BROADCAST_IDS
     texts = base.filter("id is not null and text is not null").join(F.broadcast(members) if few else members, "id", "left_semi")
     texts = materialise(texts, "op6-texts")
     links = _group_links(groups.withColumn("comp", F.col("rid")), texts, words, percent, tile, "op6-links")
