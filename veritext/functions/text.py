@@ -39,7 +39,9 @@ def sentences(text: Column) -> Column:
     found = F.regexp_extract_all(flat, F.lit(SENTENCE), F.lit(0))
     rough = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+|\.\s*"), lambda s: F.trim(s)), lambda s: s != "")
     rough = F.transform(rough, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
-    return F.when(F.size(found) > 0, F.transform(found, lambda s: F.trim(s))).otherwise(rough)
+    # the matches are named once, as an element, so that they aren't looked for twice
+    either = lambda f: F.when(F.size(f) > 0, F.transform(f, lambda s: F.trim(s))).otherwise(rough)
+    return F.get(F.transform(F.array(found), either), F.lit(0))
 
 
 def premises_and_conclusion(text: Column, marker: str = "Therefore,") -> Column:
