@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -157,6 +157,33 @@ def test_near_duplicate_vectors_equal_brute_force(spark, tile):
     assert got == {i: (n[i], want[i], want[i] == i) for i in want}
 
 
+def test_near_duplicate_vectors_bound_rows_from_behind(spark, monkeypatch):
+    tile, rng = 32, np.random.default_rng(5)
+    x = (np.array([1, 1, 1, 1]) / 2 + rng.standard_normal((1500, 4)) * 0.12).astype("<f4")
+    real = embedding_dedup._compare
+
+    def bounded(blocks, threshold):
+        def run(batches):
+            batches = list(batches)
+            n = Counter(g for b in batches for g in b.column("group").to_pylist())
+            if n and max(n.values()) > 4 * tile:  # two tiles, unevenly filled
+                raise ValueError(f"a group of {max(n.values())} vectors")
+            yield from real(blocks, threshold)(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(embedding_dedup, "_compare", bounded)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {y.vec_id: (y.n_links, y.component_id) for y in embedding_dedup.near_duplicate_vectors(df, blocks=2, tile=tile).collect()}
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    near = u @ u.T >= 0.98
+    component = np.arange(len(x))
+    while (least := np.where(near, component[None, :], len(x)).min(1)).tolist() != component.tolist():
+        component = least
+    assert got == {i: (int(near[i].sum()) - 1, int(component[i])) for i in range(len(x))}
+
+
 def test_near_duplicate_vectors_odd_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, "x", 1), (1, [1.0, 0.0], 1, "x", 1), (2, [1.0, 0.0], None, "x", 1)], VEC)
     assert sorted((y.vec_id or 0, y.n_links, y.kept) for y in embedding_dedup.near_duplicate_vectors(df).collect()) == [(0, 0, True), (1, 0, True), (2, 0, True)]

@@ -11,8 +11,9 @@ checked on the whole vectors in double precision.
 
 A pair that is near in several blocks is counted in the first of them only, so no pair has to be
 shuffled or made distinct: a cell gives each vector's number of links there and, for the
-components, a spanning forest of its links. Equal vectors are one class with a weight, and cells
-of more than ``tile`` vectors are compared in tiles, each pair of tiles in a place of its own.
+components, a spanning forest of its links. Equal vectors are one class with a weight. A cell's
+own vectors and those from behind it are dealt to tiles of about ``tile`` vectors, and each pair
+of tiles meets in a place of its own, so no task holds more than two tiles at a time.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def _share(total: float, lo: int, hi: int, dim: int, slack: float = _SLACK) -> f
     return total * (hi - lo) / dim + slack
 
 
+def _ahead(lo: int, hi: int) -> list[tuple[int, int]]:
+    """Steps to the cells ahead."""
+    return [(1, -1), (1, 0), (1, 1), (0, 1)] if hi - lo > 1 else [(1, 0)]
+
+
 def _spread(blocks: int, threshold: float, own_only: bool = False):
     """(rep, label, w, vec) to a row for each block and cell: own cell (side 0) and the four cells ahead (side 1).
 
@@ -74,8 +80,7 @@ def _spread(blocks: int, threshold: float, own_only: bool = False):
                     width = math.sqrt(_share(total, lo, hi, dim, 3 * _SLACK))
                     two = np.floor(x[:, lo : min(lo + 2, hi)] / width).astype(np.int64)
                     two = np.pad(two, ((0, 0), (0, 2 - two.shape[1])))
-                    ahead = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)] if hi - lo > 1 else [(0, 0), (1, 0)]
-                    for p, q in ahead[:1] if own_only else ahead:
+                    for p, q in [(0, 0)] if own_only else [(0, 0), *_ahead(lo, hi)]:
                         n = len(at)
                         cols = [
                             own.column("rep"), own.column("label"), own.column("w"), pa.nulls(n, pa.binary()) if own_only else own.column("vec"),
@@ -89,6 +94,23 @@ def _spread(blocks: int, threshold: float, own_only: bool = False):
 
 
 _CELL = ["rep", "label", "w", "vec", "dim", "block", "x", "y", "side"]
+_SIZE = ["label", "dim", "block", "x", "y", "own", "behind"]
+
+
+def _seen_ahead(blocks: int):
+    """Rows of _SIZE with own counts to these and, for each cell ahead, the same count as behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for label, dim, block, x, y, n in zip(*(b.column(c).to_pylist() for c in _SIZE[:6])):
+                out.append((label, dim, block, x, y, n, 0))
+                out += [(label, dim, block, x + p, y + q, 0, n) for p, q in _ahead(*_edges(dim, blocks)[block])]
+            if out:
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_SIZE)
+
+    return run
 
 
 def _compare(blocks: int, threshold: float):
@@ -106,33 +128,35 @@ def _compare(blocks: int, threshold: float):
         links = np.zeros(len(rep), dtype=np.int64)
         for p in range(0, len(mine), 512):
             row = mine[p : p + 512]
-            against = np.concatenate([mine[p:], other]) if same else other
-            a, b = turned[row, lo:hi], turned[against, lo:hi]
-            d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-            near = d <= _share(total, lo, hi, dim, 2 * _SLACK)
-            if same:  # inside the tile each pair once
-                near &= np.arange(len(against))[None, :] > np.arange(len(row))[:, None]
-            i, j = np.nonzero(near)
-            for q in range(0, len(i), 200_000):
-                r, s = row[i[q : q + 200_000]], against[j[q : q + 200_000]]
-                ok = np.einsum("ij,ij->i", x[r], x[s]) >= threshold
-                r, s = r[ok], s[ok]
-                if not len(r):
-                    continue
-                gap = (turned[r] - turned[s]) ** 2
-                first = gap[:, lo:hi].sum(1) <= _share(total, lo, hi, dim)
-                for lo2, hi2 in spans[:block]:
-                    first &= gap[:, lo2:hi2].sum(1) > _share(total, lo2, hi2, dim)
-                r, s = r[first], s[first]
-                links += np.bincount(r, w[s], len(rep)).astype(np.int64) + np.bincount(s, w[r], len(rep)).astype(np.int64)
-                turn = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
-                for u, v in zip(turn, [*turn[1:], len(r)]):
-                    met, at = np.unique(tree[s[u:v]], return_index=True)
-                    new = met != tree[r[u]]
-                    if new.any():
-                        out[2].append(np.full(int(new.sum()), rep[r[u]]))
-                        out[3].append(rep[s[u:v][at[new]]])
-                        tree[np.isin(tree, met[new])] = tree[r[u]]
+            facing = np.concatenate([mine[p:], other]) if same else other
+            for c in range(0, len(facing), 2048):
+                against = facing[c : c + 2048]
+                a, b = turned[row, lo:hi], turned[against, lo:hi]
+                d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+                near = d <= _share(total, lo, hi, dim, 2 * _SLACK)
+                if same:  # inside the tile each pair once
+                    near &= c + np.arange(len(against))[None, :] > np.arange(len(row))[:, None]
+                i, j = np.nonzero(near)
+                for q in range(0, len(i), 200_000):
+                    r, s = row[i[q : q + 200_000]], against[j[q : q + 200_000]]
+                    ok = np.einsum("ij,ij->i", x[r], x[s]) >= threshold
+                    r, s = r[ok], s[ok]
+                    if not len(r):
+                        continue
+                    gap = (turned[r] - turned[s]) ** 2
+                    first = gap[:, lo:hi].sum(1) <= _share(total, lo, hi, dim)
+                    for lo2, hi2 in spans[:block]:
+                        first &= gap[:, lo2:hi2].sum(1) > _share(total, lo2, hi2, dim)
+                    r, s = r[first], s[first]
+                    links += np.bincount(r, w[s], len(rep)).astype(np.int64) + np.bincount(s, w[r], len(rep)).astype(np.int64)
+                    turn = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
+                    for u, v in zip(turn, [*turn[1:], len(r)]):
+                        met, at = np.unique(tree[s[u:v]], return_index=True)
+                        new = met != tree[r[u]]
+                        if new.any():
+                            out[2].append(np.full(int(new.sum()), rep[r[u]]))
+                            out[3].append(rep[s[u:v][at[new]]])
+                            tree[np.isin(tree, met[new])] = tree[r[u]]
         got = np.flatnonzero(links)
         out[0].append(rep[got])
         out[1].append(links[got])
@@ -229,22 +253,29 @@ def near_duplicate_vectors(
         _spread(blocks, threshold), "rep long, label string, w long, vec binary, dim int, block int, x long, y long, side int"
     )
     where = ["label", "dim", "block", "x", "y"]
-    # cells of more than a tile: own rows are dealt to tiles, tiles meet in pairs, rows from behind go to every tile
+    # own rows and rows from behind are dealt to tiles of their own, and tiles meet in pairs; a single tile from behind joins each own tile's group
     sizes = classes.select("rep", "label", "w", "vec").mapInArrow(_spread(blocks, threshold, own_only=True), cells.schema)
-    big = sizes.groupBy(*where).count().filter(F.col("count") > tile)
-    big = materialise(big.withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count"), "op1-big")
-    cells = cells.join(big, where, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    t = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    sizes = sizes.groupBy(*where).agg(F.count("*").alias("own")).mapInArrow(_seen_ahead(blocks), "label string, dim int, block int, x long, y long, own long, behind long")
+    big = sizes.groupBy(*where).agg(F.sum("own").alias("own"), F.sum("behind").alias("behind")).filter(F.greatest("own", "behind") > tile)
+    of = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    big = materialise(big.select(*where, of("own").alias("tiles"), F.greatest(F.lit(1), of("behind")).alias("back")), "op1-big")
+    cells = cells.join(big, where, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("tiles", "back")})
+    cells = cells.filter("tiles > 0")  # rows from behind meet nothing in a cell without rows
+    t = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 1, F.col("back")).otherwise(F.col("tiles"))).cast("int")
+    every, back = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("tiles", "back"))
     pair = lambda i, j, s: F.struct(i.alias("i"), j.alias("j"), s.cast("int").alias("s"))
-    behind = F.transform(every, lambda o: pair(o, o, F.lit(1)))
+    apart = lambda u: -1 - u  # tiles from behind, beside the own ones
+    behind = F.when(F.col("back") == 1, F.transform(every, lambda o: pair(o, o, F.lit(1)))).otherwise(
+        F.transform(every, lambda o: pair(o, apart(F.col("t")), F.lit(2)))
+    )
+    facing = F.when(F.col("back") > 1, F.transform(back, lambda u: pair(F.col("t"), apart(u), F.lit(3)))).otherwise(F.array())
     own = F.transform(
         every,
         lambda o: F.when(o == F.col("t"), pair(o, o, F.lit(0)))
         .when(F.col("t") < o, pair(F.col("t"), o, F.lit(3)))
         .otherwise(pair(o, F.col("t"), F.lit(2))),
     )
-    placed = cells.withColumn("t", t).withColumn("m", F.explode(F.when(F.col("side") == 1, behind).otherwise(own)))
+    placed = cells.withColumn("t", t).withColumn("m", F.explode(F.when(F.col("side") == 1, behind).otherwise(F.concat(own, facing))))
     placed = placed.select(
         F.xxhash64(*where, "m.i", "m.j").alias("group"), *where[1:3], F.col("m.s").alias("side"), "rep", "w", "vec"
     )
