@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -168,6 +169,23 @@ def test_injection(spark):
     assert generate.inject(base.filter("base_index = 1")).count() == 0
 
 
+def test_injection_draws_again_for_rows_that_hold_much_of_the_lexicon(spark):
+    lex = generate.default_lexicon()
+    triples = [t for ts in lex.domains.values() for t in ts]
+    words = lambda ts: " ".join(w for t in ts for w in t)
+    text = f"All cats purr with {words(triples[1:])}. All purring things sleep. Therefore, all cats sleep."
+    base = spark.createDataFrame([(0, "x", text, True, True)], "base_index long, id string, syllogism string, validity boolean, plausibility boolean")
+    got = generate.inject(base, count=6).collect()
+    assert sorted(r.slot for r in got) == list(range(6))
+    for r in got:
+        added = [p for p in re.findall(r"[^.]+\.", r.syllogism) if p.strip() not in text]
+        assert len({a.lower() for a in added}) == r.num_injected_distractors == r.premise_count - 2
+        assert all(re.search("plants|shrubs|roses", a) for a in added)
+    full = base.withColumn("syllogism", F.replace("syllogism", F.lit("cats purr"), F.lit("cats purr with " + words(triples[:1]))))
+    with pytest.raises(RuntimeError):
+        generate.inject(full, rounds=2)
+
+
 def test_strata_and_positions():
     assert generate.strata(10, (5, 6, 7)) == [(5, 0, 4), (6, 4, 3), (7, 7, 3)]
     assert generate.positions(3) == [(1, 2), (0, 2), (0, 1)]

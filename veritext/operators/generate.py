@@ -320,37 +320,57 @@ def inject(
     seed: str = "42",
     style: str = "mixed",
     lexicon: Lexicon | None = None,
+    rounds: int = 30,
 ) -> DataFrame:
     """Examples of base rows (base_index, id, syllogism, validity, plausibility) with distractors put between their premises.
 
     Only rows of exactly three sentences with a validity are used; others are left out before the
     ranking. Base rows come in the order of a seeded hash and are repeated until ``count`` is met
-    (default: each once). Labels stay. Distractors share no content word with their row.
+    (default: each once). Labels stay. Distractors share no content word with their row. A row that
+    is short of distractors keeps those it has and draws more; if some are missing after ``rounds``
+    rounds (about 3,000 candidates), the lexicon is too small for that row, which is an error.
     """
     w = _Words(lexicon or default_lexicon(), style)
     b = base.withColumn("parts", T.sentences(F.col("syllogism"))).filter("size(parts) = 3 and validity is not null")
     b = written(numbered(b, F.concat_ws(":", F.lit(seed), F.col("base_index").cast("string")), "rank"), "base")
     n = b.count()
     if not n:
-        return _injected(b.withColumn("slot", F.col("rank")), w, seed, premise_counts)
+        return _injected(b.withColumn("slot", F.col("rank")), w, seed, premise_counts, rounds)
     slots = b.sparkSession.range(n if count is None else count).select(F.col("id").alias("slot"), (F.col("id") % n).alias("rank"))
-    return _injected(slots.join(b, "rank"), w, seed, premise_counts)
+    return _injected(slots.join(b, "rank"), w, seed, premise_counts, rounds)
 
 
-def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int]) -> DataFrame:
+def _with_distractors(x: DataFrame, w: _Words, seed: str, most: int, rounds: int) -> DataFrame:
+    """``x`` with spare, premise_count - 2 distractors for each row; rows that are short draw again, wider, and only they."""
+    plausible = F.coalesce("plausibility", F.lit(True))
+    need = F.col("premise_count") - 2
+    used = F.transform(F.concat(F.slice("parts", 1, 2), F.col("spare")), T.signature)
+    kept: DataFrame | None = None
+    x = x.withColumn("spare", F.array().cast("array<string>"))
+    for attempt in range(rounds):
+        at = (seed, F.col("slot"), f"inject:{attempt}" if attempt else "inject")
+        drawn = w.distractors(need - F.size("spare"), most + (33 if attempt else 0), plausible, used, T.content_words(F.col("syllogism")), *at)
+        x = written(x.withColumn("spare", F.concat("spare", drawn)), "injected")
+        whole = x.filter(F.size("spare") == need)
+        kept = whole if kept is None else kept.unionByName(whole)
+        x = x.filter(F.size("spare") < need)
+        if x.isEmpty():
+            return kept
+    raise RuntimeError(f"rows without enough distractors after {rounds} rounds: the lexicon is too small for them")
+
+
+def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int], rounds: int) -> DataFrame:
     k = len(premise_counts)
     x = x.withColumn("premise_count", F.get(F.array(*map(F.lit, premise_counts)), (F.col("slot") % k).cast("int")))
     turn = F.floor(F.col("slot") / k)
     for c, which in (("i", 0), ("j", 1)):
         x = x.withColumn(c, _chain([(F.col("premise_count") == n, F.get(F.array(*[F.lit(p[which]) for p in positions(n)]), (turn % len(positions(n))).cast("int"))) for n in set(premise_counts)]))
     at = (seed, F.col("slot"), F.lit("inject"))
-    plausible = F.coalesce("plausibility", F.lit(True))
     parts = F.col("parts")
-    used = F.transform(F.slice(parts, 1, 2), T.signature)
-    x = x.withColumn("spare", w.distractors(F.col("premise_count") - 2, max(premise_counts) - 2, plausible, used, T.content_words(F.col("syllogism")), *at))
+    x = _with_distractors(x, w, seed, max(premise_counts) - 2, rounds)
     x = x.withColumn("_swap", T.draw(2, *at, "swap") == 1).withColumn("base_syllogism", F.col("syllogism"))
     x = x.withColumn("first", F.when(F.col("_swap"), parts[1]).otherwise(parts[0])).withColumn("second", F.when(F.col("_swap"), parts[0]).otherwise(parts[1]))
-    x = _assemble(x.withColumn("conclusion", parts[2])).filter(F.size("spare") == F.col("premise_count") - 2)
+    x = _assemble(x.withColumn("conclusion", parts[2]))
     return x.select(
         "slot", T.content_id(F.col("syllogism")).alias("new_id"), "syllogism", "validity", "plausibility", "relevant_premises",
         F.coalesce("id", T.content_id(F.col("base_syllogism"))).alias("base_id"), "base_index", T.signature(F.col("base_syllogism")).alias("core_signature"),
