@@ -208,3 +208,13 @@ def test_lstm_gradients():
             ends.append(loss())
         model.p[name][at] = old
         assert abs((ends[0] - ends[1]) / 2e-3 - g[name][at]) < 2e-3 + 0.05 * abs(g[name][at]), name
+
+
+def test_toxicity_decides_on_a_whole_fifth_of_few_clean_rows(spark, monkeypatch):
+    seen = []
+    real = toxicity.decision_point
+    monkeypatch.setattr(toxicity, "decision_point", lambda scores, labels: seen.append(int((labels == 0).sum())) or real(scores, labels))
+    ids = spark.range(6100).withColumn("toxic", (F.col("id") >= 6000).cast("int"))
+    texts = ids.select("id", F.when(F.col("toxic") == 1, "vile rotten words").otherwise("mild kind words").alias("text"))
+    toxicity.train(texts, ids)
+    assert 1080 < seen[0] < 1320  # of 6,000 clean rows a fifth is set apart, which is less than 3,000

@@ -202,7 +202,7 @@ def train(
     prior = size[1] / (size[1] + size[0])
     others = sum(size.values()) - size[1]
     hashed = lambda s: F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share, clean, part = min(0.8, unlabelled / others), min(1.0, 3_000 / size[0]), min(1.0, positives / size[1])
+    share, clean, part = min(0.8, unlabelled / others), min(1.0, 3_000 / (0.2 * size[0])), min(1.0, positives / size[1])
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     # 1 positives to learn from; 0 unlabelled rows, labelled clean ones among them; apart from them, positives (3) and
     # clean rows (2) for the decision point
