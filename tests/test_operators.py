@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from veritext.jobs import queries
 from veritext.operators import audit, dedup, formats, forms, generate, rules, score
 
 
@@ -218,3 +219,10 @@ def test_ratio(spark):
     a, b = spark.range(10).withColumn("k", F.lit("a")), spark.range(10).withColumn("k", F.lit("b"))
     got = {r.k: r["count"] for r in generate.mix_by_ratio(a, b, 5, 0.5, F.col("id"), F.col("id")).groupBy("k").count().collect()}
     assert got == {"a": 2, "b": 3}
+
+
+def test_style_flags_read_whole_texts(spark, tmp_path):
+    texts = ["The cat is here. " * 8 + "Done now.", "The end is near.", ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    [r] = queries.queries()["style_flags_whole"](spark, str(tmp_path)).collect()
+    assert (r.premises, r.plain, r.closes, r.of_the) == (8, 8, 1, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
@@ -312,9 +312,31 @@ FROM c
 """
 )
 def style_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The style counters with patterns that these texts hold (they have no syllogisms)."""
+    """The style counters with patterns that these texts hold (they have no syllogisms).
+
+    Its SQL takes the first five sentences of each document as premises; ``style_flags_whole`` takes all but the last.
+    """
+    return _style_flags(spark, sf_dir, F.lit(5))
+
+
+@query(
+    f"""
+WITH d AS (SELECT {_sentences_sql('text')} AS p, lower({_norm('text')}) AS low FROM documents),
+h AS (SELECT p, low, CASE WHEN len(p) > 1 THEN list_slice(p, 1, len(p) - 1) ELSE [] END AS h FROM d),
+c AS (SELECT *, len(list_filter(h, lambda s: regexp_matches(s, '^(Is|The|On) .+ [a-z]+\\.$'))) AS k FROM h)
+SELECT sum(len(h))::BIGINT AS premises, sum(k)::BIGINT AS plain, count(*) FILTER (len(p) > 0 AND starts_with(p[-1], 'The ')) AS closes,
+  count(*) FILTER (contains(low, ' of the ')) AS of_the
+FROM c
+"""
+)
+def style_flags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style counters over all sentences; each document's own premise count is what stands before its last sentence."""
+    return _style_flags(spark, sf_dir, F.greatest(F.size("p") - 1, F.lit(0)))
+
+
+def _style_flags(spark: SparkSession, sf_dir: str, premise_count: Column) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(T.sentences(F.col("text")).alias("p"), T.signature(F.col("text")).alias("low"))
-    d = d.withColumn("h", F.slice("p", 1, 5))
+    d = d.withColumn("h", F.slice("p", F.lit(1), premise_count))
     return d.agg(
         F.sum(F.size("h")).alias("premises"),
         F.sum(F.size(F.filter("h", lambda s: s.rlike(r"^(Is|The|On) .+ [a-z]+\.$")))).alias("plain"),
