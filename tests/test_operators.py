@@ -226,3 +226,11 @@ def test_style_flags_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     [r] = queries.queries()["style_flags_whole"](spark, str(tmp_path)).collect()
     assert (r.premises, r.plain, r.closes, r.of_the) == (8, 8, 1, 0)
+
+
+def test_similar_classes_hold_all_copies(spark):
+    rows = spark.range(20000).selectExpr("id", "'All dogs bark.' AS text").union(spark.createDataFrame([(20000, "All dogs barks.")], ["id", "text"]))
+    got = dedup.similar_classes(rows).groupBy("class_id").count().collect()
+    assert sorted((r.class_id, r["count"]) for r in got) == [(0, 20000), (20000, 1)]
+    assert [tuple(r) for r in dedup.similar_class_pairs(rows).collect()] == [(0, 20000, 1)]
+    assert "collect_list" not in dedup.similar_pairs(rows)._jdf.queryExecution().toString()

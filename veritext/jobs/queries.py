@@ -180,6 +180,44 @@ def similar_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(s, "id", "id", k=3)
 
 
+@query("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name) AS class_id FROM part")
+def similar_part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.similar_classes(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+@query(
+    """
+WITH p AS (SELECT p_name AS n, min(p_partkey) AS id FROM part GROUP BY 1)
+SELECT least(a.id, b.id) AS class_a, greatest(a.id, b.id) AS class_b, levenshtein(a.n, b.n)::INTEGER AS distance
+FROM p a JOIN p b ON a.n < b.n AND levenshtein(a.n, b.n) <= 3
+"""
+)
+def similar_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.similar_class_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", k=3)
+
+
+def _placed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    return d.select(F.struct("doc_id", "pos").alias("id"), "s")
+
+
+@query()
+def similar_sentence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each sentence of each document, by the place (doc_id, position) of its first occurrence."""
+    c = dedup.similar_classes(_placed_sentences(spark, sf_dir), "id", "s")
+    return c.select("id.doc_id", "id.pos", F.col("class_id.doc_id").alias("class_doc_id"), F.col("class_id.pos").alias("class_pos"))
+
+
+@query()
+def similar_sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the classes of ``similar_sentence_classes`` within three edits."""
+    c = dedup.similar_class_pairs(_placed_sentences(spark, sf_dir), "id", "s", k=3)
+    a, b = F.col("class_a"), F.col("class_b")
+    return c.select(
+        a["doc_id"].alias("doc_id_a"), a["pos"].alias("pos_a"), b["doc_id"].alias("doc_id_b"), b["pos"].alias("pos_b"), "distance"
+    )
+
+
 @query(
     """
 WITH u AS (SELECT doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT item_id::VARCHAR, text FROM benchmark),

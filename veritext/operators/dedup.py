@@ -65,14 +65,49 @@ def similar_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text",
     """
     if k < 0:
         raise ValueError("k must be 0 or more")
-    t = texts.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).filter("s is not null")
-    same = t.groupBy("s").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    inside = same.filter("size(ids) > 1").select(F.explode(F.transform("ids", lambda a, i: F.struct(a.alias("a"), i.alias("i")))).alias("x"), "ids")
-    inside = inside.select(F.col("x.a").alias("id_a"), F.explode(F.slice("ids", F.col("x.i") + 2, F.size("ids"))).alias("id_b"))
-    inside = inside.withColumn("distance", F.lit(0))
+    t = _signed(texts, id_col, text_col)
+    first = _classes(t)
+    more = t.join(first.filter("copies > 1"), "s").select("s", "id")
+    inside = more.withColumnRenamed("id", "id_a").join(more.withColumnRenamed("id", "id_b"), "s").filter("id_a < id_b")
+    inside = inside.select("id_a", "id_b", F.lit(0).alias("distance"))
     if not k:
         return inside
-    reps = same.select("s", F.length("s").alias("n"))
+    pairs = _near(first, k)
+    out = pairs.join(t.withColumnRenamed("id", "p"), "s").join(t.select(F.col("s").alias("s2"), F.col("id").alias("q")), "s2")
+    out = out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
+    return inside.union(out)
+
+
+def similar_classes(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, class_id) for each row with a text; a class holds the rows of one signature and is named by its least id.
+
+    A text that n rows share costs n rows, where its pairs would be n * (n - 1) / 2.
+    """
+    t = _signed(texts, id_col, text_col)
+    return t.join(_classes(t), "s").select("id", "class_id")
+
+
+def similar_class_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """(class_a, class_b, distance) for all pairs a < b of classes of ``similar_classes`` within ``k`` edits."""
+    if k < 0:
+        raise ValueError("k must be 0 or more")
+    first = _classes(_signed(texts, id_col, text_col)).select("s", "class_id")
+    pairs = _near(first, k).join(first.withColumnRenamed("class_id", "p"), "s")
+    pairs = pairs.join(first.select(F.col("s").alias("s2"), F.col("class_id").alias("q")), "s2")
+    return pairs.select(F.least("p", "q").alias("class_a"), F.greatest("p", "q").alias("class_b"), "distance")
+
+
+def _signed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).filter("s is not null")
+
+
+def _classes(t: DataFrame) -> DataFrame:
+    return t.groupBy("s").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+
+
+def _near(classes: DataFrame, k: int) -> DataFrame:
+    """(s, s2, distance) for each pair of distinct texts within ``k`` edits, once."""
+    reps = classes.select("s", F.length("s").alias("n"))
     n, parts = F.col("n"), F.lit(k + 1)
     # segment j of a text of length n begins at floor(j * n / parts)
     seg_start = lambda j, length: F.floor(j * length / parts).cast("int")
@@ -98,12 +133,7 @@ def similar_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text",
     short = short.withColumn("n2", F.explode(F.sequence(F.length("s"), F.length("s") + k)))
     with_short = short.join(reps.filter(n <= 2 * k).select(F.col("s").alias("s2"), F.col("n").alias("n2")), "n2")
     with_short = with_short.filter((F.col("n2") > F.length("s")) | (F.col("s2") > F.col("s"))).select("s", "s2")
-    pairs = near.union(with_short).withColumn("distance", F.levenshtein("s", "s2", k)).filter("distance >= 0")
-    a = same.select(F.col("s").alias("s"), F.col("ids").alias("x"))
-    b = same.select(F.col("s").alias("s2"), F.col("ids").alias("y"))
-    out = pairs.join(a, "s").join(b, "s2").withColumn("p", F.explode("x")).withColumn("q", F.explode("y"))
-    out = out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
-    return inside.union(out)
+    return near.union(with_short).withColumn("distance", F.levenshtein("s", "s2", k)).filter("distance >= 0")
 
 
 def merge(parts: list[DataFrame], unique: tuple[str, ...] = ("id", "syllogism"), check: bool = True) -> DataFrame:
