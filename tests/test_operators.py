@@ -234,3 +234,10 @@ def test_similar_classes_hold_all_copies(spark):
     assert sorted((r.class_id, r["count"]) for r in got) == [(0, 20000), (20000, 1)]
     assert [tuple(r) for r in dedup.similar_class_pairs(rows).collect()] == [(0, 20000, 1)]
     assert "collect_list" not in dedup.similar_pairs(rows)._jdf.queryExecution().toString()
+
+
+def test_every_assistant_turn_is_rewarded(spark, tmp_path):
+    rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
+    spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.answers_and_rewards_all(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.reward) for r in got) == [(1, 1, 1.0), (1, 3, 1.0), (2, 0, 0.0)]

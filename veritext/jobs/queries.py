@@ -113,14 +113,33 @@ FROM p
 """
 )
 def answers_and_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and rewards of each conversation's last assistant turn, as its SQL has it; ``answers_and_rewards_all`` takes every one."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return _rewarded(c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")), "conv_id")
+
+
+@query(
+    f"""
+WITH a AS (SELECT conv_id, turn, text || {_ANSWER} AS answer FROM conversations WHERE role = 'assistant'),
+p AS (SELECT *, list_last(string_split(trim(answer, E' \\n\\t'), '.')) AS part, list_last(string_split(trim(lower(answer), E' \\n\\t'), '.')) AS low FROM a)
+SELECT conv_id, turn, contains(answer, 'TRUE') AS said_true, regexp_matches(part, '\\bvalid\\b') AS said_valid,
+  CASE WHEN regexp_matches(low, '\\bnot\\b|n''t\\b') OR NOT (regexp_matches(low, '\\bvalid\\b') OR regexp_matches(low, '\\binvalid\\b')) THEN 0.0
+       WHEN CASE WHEN conv_id % 2 = 0 THEN regexp_matches(low, '\\bvalid\\b') ELSE regexp_matches(low, '\\binvalid\\b') END THEN 1.0 ELSE -1.0 END::DOUBLE AS reward
+FROM p
+"""
+)
+def answers_and_rewards_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and rewards of every assistant turn."""
+    return _rewarded(table(spark, sf_dir, "conversations").filter("role = 'assistant'"), "conv_id", "turn")
+
+
+def _rewarded(turns: DataFrame, *keys: str) -> DataFrame:
     k = F.col("conv_id") % 5
     verdict = F.when(k == 0, " It is valid").when(k == 1, " It is invalid").when(k == 2, " So this isn't valid").when(k == 3, " valid or invalid").otherwise(" TRUE")
-    a = last.select("conv_id", F.concat("text", verdict).alias("answer"))
+    a = turns.select(*keys, F.concat("text", verdict).alias("answer"))
     answer = F.col("answer")
     return a.select(
-        "conv_id", score.parse_word(answer).alias("said_true"), score.parse_reasoned(answer).alias("said_valid"),
+        *keys, score.parse_word(answer).alias("said_true"), score.parse_reasoned(answer).alias("said_valid"),
         score.reward(answer, F.col("conv_id") % 2 == 0).alias("reward"),
     )
 
