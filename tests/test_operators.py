@@ -241,3 +241,9 @@ def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.answers_and_rewards_all(spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.turn, r.reward) for r in got) == [(1, 1, 1.0), (1, 3, 1.0), (2, 0, 0.0)]
+
+
+def test_prompt_grid_takes_a_table_of_topics(spark):
+    topics = spark.range(1000).selectExpr("CAST(id AS STRING) AS name")
+    assert formats.prompt_grid(spark, topics, {"a": "{topic}", "b_invalid": "{topic}"}).count() == 4000
+    assert formats.prompt_grid(spark, topics, {"a": "{topic}"}, 16).select("topic").distinct().count() == 3

@@ -547,11 +547,28 @@ FROM n, f, p WHERE r <= 13
 """
 )
 def prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid over 13 of the nations, as its SQL has it; ``prompt_grid_parts`` takes all distinct part names."""
     names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(100).collect()]  # 25 nations
     shapes = {"valid_short": "A {plausibility} case on {topic}.", "invalid_short": "A broken {plausibility} case on {topic}."}
     return formats.prompt_grid(spark, names, shapes, 100)
 
 
+@query(
+    """
+WITH t AS (SELECT DISTINCT p_name AS topic FROM part),
+f AS (SELECT * FROM (VALUES ('valid_short', 'A {plausibility} case on {topic}.'), ('invalid_short', 'A broken {plausibility} case on {topic}.')) t(format, template)),
+p AS (SELECT * FROM (VALUES ('plausible'), ('implausible')) t(plausibility))
+SELECT topic, format, plausibility, replace(replace(template, '{topic}', topic), '{plausibility}', plausibility) AS prompt,
+  NOT contains(format, 'invalid') AS validity
+FROM t, f, p
+"""
+)
+def prompt_grid_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid over the distinct names of all parts."""
+    shapes = {"valid_short": "A {plausibility} case on {topic}.", "invalid_short": "A broken {plausibility} case on {topic}."}
+    return formats.prompt_grid(spark, table(spark, sf_dir, "part").select("p_name").distinct(), shapes)
+
+
 # --- generation ----------------------------------------------------------------------------------------------------
 
 

@@ -49,12 +49,17 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -
     return by.select(conv, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-def prompt_grid(spark: SparkSession, topics: list[str], formats: dict[str, str], n: int) -> DataFrame:
+def prompt_grid(spark: SparkSession, topics: list[str] | DataFrame, formats: dict[str, str], n: int | None = None) -> DataFrame:
     """(topic, format, plausibility, prompt, validity): topics, as many as ``n`` asks for, by formats by both labels.
 
-    {topic} and {plausibility} are filled in; a format is valid unless its name says invalid.
+    {topic} and {plausibility} are filled in; a format is valid unless its name says invalid. A table of topics
+    has one string column and isn't collected; with ``n`` its first topics in order are taken, without it all.
     """
-    t = spark.createDataFrame([(x,) for x in topics[: min(len(topics), n // 8 + 1)]], "topic string")
+    if isinstance(topics, DataFrame):
+        t = topics.toDF("topic")
+        t = t if n is None else t.orderBy("topic").limit(n // 8 + 1)
+    else:
+        t = spark.createDataFrame([(x,) for x in (topics if n is None else topics[: n // 8 + 1])], "topic string")
     f = spark.createDataFrame(list(formats.items()), "format string, template string")
     p = spark.createDataFrame([("plausible",), ("implausible",)], "plausibility string")
     g = t.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(p))
