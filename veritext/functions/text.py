@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, the information separators and next-line included.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
-SENTENCE = r"[^.!?]+[.!?]"
 #: Words that don't count as content.
-STOP_WORDS = (
-    "a an and are as at be by can from in is it its no not of on or some that the there this to with all any every single thing things "
-    "item items member members among included classified considered known therefore consequently thus follows conclusion conclude must "
-    "case true fact"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "from", "in", "is", "it", "its", "no", "not", "of", "on", "or", "some", "that",
+    "the", "there", "this", "to", "with", "all", "any", "every", "single", "thing", "things", "item", "items", "member", "members", "among",
+    "included", "classified", "considered", "known", "therefore", "consequently", "thus", "follows", "conclusion", "conclude", "must",
+    "case", "true", "fact",
+]
 
 
 def normalise(text: Column) -> Column:
@@ -34,14 +34,18 @@ def signature(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with their end marks; a text without an end mark is cut at its full stops instead."""
+    """Sentences with their end marks; a text without an end mark is cut at its full stops instead.
+
+    The text is cut behind each end mark, which reads it once: a mark without text before it is no
+    sentence, and what follows the last mark goes.
+    """
     flat = normalise(text)
-    found = F.regexp_extract_all(flat, F.lit(SENTENCE), F.lit(0))
+    ended = F.filter(F.split(flat, r"(?<=[.!?])"), lambda s: (F.length(s) > 1) & F.right(s, F.lit(1)).isin(".", "!", "?"))
     rough = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+|\.\s*"), lambda s: F.trim(s)), lambda s: s != "")
     rough = F.transform(rough, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
-    # the matches are named once, as an element, so that they aren't looked for twice
+    # the parts are named once, as an element, so that they aren't cut twice
     either = lambda f: F.when(F.size(f) > 0, F.transform(f, lambda s: F.trim(s))).otherwise(rough)
-    return F.get(F.transform(F.array(found), either), F.lit(0))
+    return F.get(F.transform(F.array(ended), either), F.lit(0))
 
 
 def premises_and_conclusion(text: Column, marker: str = "Therefore,") -> Column:

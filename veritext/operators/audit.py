@@ -78,7 +78,8 @@ def sentence_counts(df: DataFrame, text: Column, first: Column | None = None) ->
     """(sentence, n) over the first ``first`` sentences of each text (default: all), by signature."""
     parts = T.sentences(text)
     parts = F.slice(parts, F.lit(1), first) if first is not None else parts
-    return df.select(F.explode(parts).alias("p")).groupBy(T.signature(F.col("p")).alias("sentence")).agg(F.count("*").alias("n"))
+    # sentences come normalised, so their signature is their lower case
+    return df.select(F.explode(parts).alias("p")).groupBy(F.lower("p").alias("sentence")).agg(F.count("*").alias("n"))
 
 
 def top_sentences(df: DataFrame, text: Column, limit: int = 20, first: Column | None = None) -> DataFrame:

@@ -8,13 +8,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The roles of (major subject, major predicate, minor subject, minor predicate) in each figure.
-FIGURES = {1: "MPSM", 2: "PMSM", 3: "MPMS", 4: "PMMS"}
-#: Traditional names by figure and mood; _ei marks those that presuppose existence.
+FIGURES = {
+    1: ("M", "P", "S", "M"),
+    2: ("P", "M", "S", "M"),
+    3: ("M", "P", "M", "S"),
+    4: ("P", "M", "M", "S"),
+}
+#: Traditional names by mood and figure; _ei marks those that presuppose existence.
 NAMES = {
-    1: "AAA barbara EAE celarent AII darii EIO ferio AAI barbari_ei EAO celaront_ei",
-    2: "EAE cesare AEE camestres EIO festino AOO baroco EAO cesaro_ei AEO camestrop_ei",
-    3: "AAI darapti_ei IAI disamis AII datisi EAO felapton_ei OAO bocardo EIO ferison",
-    4: "AAI bramantip_ei AEE camenes IAI dimaris EAO fesapo_ei EIO fresison",
+    ("AAA", 1): "barbara",
+    ("EAE", 1): "celarent",
+    ("AII", 1): "darii",
+    ("EIO", 1): "ferio",
+    ("AAI", 1): "barbari_ei",
+    ("EAO", 1): "celaront_ei",
+    ("EAE", 2): "cesare",
+    ("AEE", 2): "camestres",
+    ("EIO", 2): "festino",
+    ("AOO", 2): "baroco",
+    ("EAO", 2): "cesaro_ei",
+    ("AEO", 2): "camestrop_ei",
+    ("AAI", 3): "darapti_ei",
+    ("IAI", 3): "disamis",
+    ("AII", 3): "datisi",
+    ("EAO", 3): "felapton_ei",
+    ("OAO", 3): "bocardo",
+    ("EIO", 3): "ferison",
+    ("AAI", 4): "bramantip_ei",
+    ("AEE", 4): "camenes",
+    ("IAI", 4): "dimaris",
+    ("EAO", 4): "fesapo_ei",
+    ("EIO", 4): "fresison",
 }
 #: Bits of the eight regions of a three-set diagram; a model is a set of regions that aren't empty.
 _BIT = {"S": 4, "P": 2, "M": 1}
@@ -49,11 +73,8 @@ def _moods(spark: SparkSession, figures: list[int]) -> DataFrame:
         letter(F.floor(n / 16)).alias("a"), letter(F.floor(n / 4)).alias("b"), letter(n).alias("c"),
         F.get(F.array(*map(F.lit, figures)), F.floor(n / 64).cast("int")).alias("figure"),
     )
-    roles = F.when(F.lit(False), "")
-    for f in figures:
-        roles = roles.when(F.col("figure") == f, FIGURES[f])
-    rows = rows.withColumn("r", roles).withColumn("mood", F.concat("a", "b", "c"))
-    return rows.select("*", *[F.substring("r", k + 1, 1).alias(c) for k, c in enumerate(("ms", "mp", "ns", "np"))]).drop("r")
+    role = lambda k: F.coalesce(*[F.when(F.col("figure") == f, FIGURES[f][k]) for f in figures])
+    return rows.select("*", F.concat("a", "b", "c").alias("mood"), *[role(k).alias(c) for k, c in enumerate(("ms", "mp", "ns", "np"))])
 
 
 def _fallacy(semantics: str) -> Column:
@@ -100,8 +121,7 @@ def form_catalog(spark: SparkSession, semantics: str = "aristotelian", figures:
     )
     key = ["figure", "mood", "a", "b", "c", "ms", "mp", "ns", "np"]
     checked = m.groupBy(*key).agg((~F.bool_or(counter)).alias("valid"))
-    words = [(f, *p) for f, text in NAMES.items() for p in zip(text.split()[::2], text.split()[1::2])]
-    names = spark.createDataFrame(words, "figure int, mood string, named string")
+    names = spark.createDataFrame([(mood, figure, name) for (mood, figure), name in NAMES.items()], "mood string, figure int, named string")
     out = checked.join(F.broadcast(names), ["figure", "mood"], "left").select(
         "figure", "mood", "valid", F.coalesce("named", F.concat_ws("_", "mood", F.col("figure").cast("string"))).alias("name"),
         F.when(~F.col("valid"), _fallacy(semantics)).alias("fallacy"),
