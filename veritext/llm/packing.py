@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veritext.llm.common import materialise, small_batches
 from veritext.llm.tokens import END_ID, default_tokenizer, encoder, text_groups
 
-_PIECE = "id long, piece int, start long, length int, ids_crc32 long"
+_PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(path: str, capacity: int):
@@ -43,7 +43,7 @@ def _pieces(path: str, capacity: int):
                     n = len(ids)
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     rows += [(names[lo + i], k, s, e - s, zlib.crc32(ids[s:e])) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "piece", "start", "length", "ids_crc32"]
                 )
