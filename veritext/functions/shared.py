@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; under a temporary folder only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``; under a temporary folder only where that is unset in a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("veritext.shared.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veritext-")
         spark.conf.set("veritext.shared.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
