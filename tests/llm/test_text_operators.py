@@ -140,6 +140,29 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity(df, lab.limit(0), F.lit(True)).collect()} == {0}
 
 
+def test_nnpu_risk_and_slopes_equal_the_formula():
+    r = np.random.default_rng(8)
+    zp, zu, prior = r.standard_normal(7), r.standard_normal(9), 0.3
+    loss = lambda z, y: float(np.log1p(np.exp(-y * z)))
+    positive = prior * sum(loss(z, 1) for z in zp) / 7
+    negative = sum(loss(z, -1) for z in zu) / 9 - prior * sum(loss(z, -1) for z in zp) / 7
+    assert np.allclose(toxicity.nnpu_risk(zp, zu, prior), (positive, negative))
+    for shift in (0.0, -6.0):  # the second part above zero, and below it
+        zu2, zp2 = zu + shift, zp - shift
+        parts = lambda a, b: toxicity.nnpu_risk(a, b, prior)
+        below = parts(zp2, zu2)[1] < 0
+        assert below == (shift < 0)
+        goal = (lambda a, b: -parts(a, b)[1]) if below else (lambda a, b: sum(parts(a, b)))
+        dp, du = toxicity.nnpu_slopes(zp2, zu2, prior)
+        for k, (vec, slope) in enumerate(((zp2, dp), (zu2, du))):
+            for i in range(len(vec)):
+                up, down = vec.copy(), vec.copy()
+                up[i] += 1e-5
+                down[i] -= 1e-5
+                ends = [goal(v, zu2) if k == 0 else goal(zp2, v) for v in (up, down)]
+                assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-6
+
+
 def test_features_of_slices_equal_whole(monkeypatch):
     text = "Some words, été and more words; " * 3000
     whole = toxicity.features(text)

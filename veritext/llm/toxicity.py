@@ -13,9 +13,12 @@ of any length. Features are 64-bit hashes and are compared whole, so long texts
 collisions. Whole texts are read everywhere.
 
 The fit is bounded: about ``positives`` confirmed rows (default 3,000) and ``unlabelled``
-others (default 15,000), both chosen by a hash of the id, and features that occur in at least 4 of
-the positives. A fifth of the positives and labelled clean rows set the decision point, which is
-mapped to a score of ``cut``. All rows are scored.
+others (default 15,000), both chosen by a hash of the id; of the features that occur in at least 4 of
+the positives the ``candidates`` most frequent ones (default 200,000) are compared with the
+unlabelled rows, and the ``kept`` most significant ones (default 4,000) enter the model. So the driver
+receives at most 3 MB of candidates and, for each row of the fit, at most 16 KB. A fifth of the
+positives and about ``clean`` labelled clean rows (default 3,000) set the decision point, which is mapped
+to a score of ``cut``. All rows are scored.
 """
 
 from __future__ import annotations
@@ -147,23 +150,29 @@ class _Rows:
         return np.bincount(self.at, g[self.row], self.width)
 
 
+def nnpu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk under the logistic loss, from the decision values of positives and unlabelled rows:
+    prior * R+(positives), and R-(unlabelled) - prior * R-(positives), which may not be negative."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def nnpu_slopes(zp: np.ndarray, zu: np.ndarray, prior: float, beta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes in the decision values: of the whole risk, or, where its second part is below -beta, of that part turned round."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    un_u, un_p = sig(zu) / len(zu), -prior * sig(zp) / len(zp)
+    if nnpu_risk(zp, zu, prior)[1] < -beta:
+        return -un_p, -un_u
+    return -prior * sig(-zp) / len(zp) + un_p, un_u
+
+
 def fit_nnpu(pos: _Rows, unl: _Rows, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, beta: float = 0.0):
     """Weights and bias that minimise the non-negative risk under the logistic loss (Adam, full batches)."""
     width = pos.width
     w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        gp, gu = pos.dot(w[:-1]) + w[-1], unl.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # slopes of the three risks in the decision values
-        up = -prior * sig(-gp) / pos.n
-        un_u, un_p = sig(gu) / unl.n, -prior * sig(gp) / pos.n
-        if negative < -beta:
-            dp, du = -un_p, -un_u
-        else:
-            dp, du = up + un_p, un_u
+        dp, du = nnpu_slopes(pos.dot(w[:-1]) + w[-1], unl.dot(w[:-1]) + w[-1], prior, beta)
         g = np.append(pos.back(dp) + unl.back(du) + l2 * w[:-1], dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -188,9 +197,11 @@ class Model:
 
 
 def train(
-    texts: DataFrame, known: DataFrame, positives: int = 3_000, unlabelled: int = 15_000, seed: str = "tox-1", min_docs: int = 4, significance: float = 4.0
+    texts: DataFrame, known: DataFrame, positives: int = 3_000, unlabelled: int = 15_000, clean: int = 3_000, candidates: int = 200_000,
+    kept: int = 4_000, seed: str = "tox-1", min_docs: int = 4, significance: float = 4.0,
 ) -> Model | None:
-    """A model from learnable rows (id, text) and labels (id, toxic). Without both kinds of label: None.
+    """A model from learnable rows (id, text) and labels (id, toxic). Without both kinds of label, or without any row to set against
+    the positives: None.
 
     The rows of the fit are chosen among ids alone; texts meet the chosen ids only, a list whose
     size the parameters bound, and never move.
@@ -202,14 +213,14 @@ def train(
     prior = size[1] / (size[1] + size[0])
     others = sum(size.values()) - size[1]
     hashed = lambda s: F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share, clean, part = min(0.8, unlabelled / others), min(1.0, 3_000 / (0.2 * size[0])), min(1.0, positives / size[1])
+    share, apart, part = min(0.8, unlabelled / others), min(1.0, clean / (0.2 * size[0])), min(1.0, positives / size[1])
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     # 1 positives to learn from; 0 unlabelled rows, labelled clean ones among them; apart from them, positives (3) and
     # clean rows (2) for the decision point
     kind = (
         F.when(toxic, F.when(F.col("r") <= part / 5, 3).when(F.col("r") <= part, 1))
         .when(F.col("u") < share, 0)
-        .when((F.col("toxic") == 0) & (F.col("u") >= 0.8) & (F.col("r") <= clean), 2)
+        .when((F.col("toxic") == 0) & (F.col("u") >= 0.8) & (F.col("r") <= apart), 2)
     )
     chosen = ids.withColumn("r", hashed(seed)).withColumn("u", hashed(seed + "-u")).withColumn("kind", kind).filter("kind is not null")
     chosen = materialise(chosen.select("id", "kind", "r"), "op10-chosen")
@@ -219,10 +230,10 @@ def train(
         return None
     # candidates: features of several positives; counted in Spark, the frequent ones only come to the driver
     seen = rows.filter("kind = 1").select("text").mapInArrow(_hashes, "f long").groupBy("f").agg(F.count("*").alias("n"))
-    seen = seen.filter(F.col("n") >= min(min_docs, max(1, n_teach // 10))).collect()
-    table = np.array([x.f for x in seen], dtype=np.int64).view(np.uint64)
+    seen = seen.filter(F.col("n") >= min(min_docs, max(1, n_teach // 10))).orderBy(F.desc("n"), "f").limit(candidates).toArrow()
+    table, in_pos = seen.column("f").to_numpy().view(np.uint64), seen.column("n").to_numpy().astype(np.float64)
     order = np.argsort(table)
-    table, in_pos = table[order], np.array([x.n for x in seen], dtype=np.float64)[order]
+    table, in_pos = table[order], in_pos[order]
     in_other, n_other = np.zeros(len(table)), 0
     other = rows.filter("kind = 0").select("text").mapInArrow(_table_counts(table), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     for x in other.collect():  # as many rows as there are candidates, at most
@@ -233,11 +244,14 @@ def train(
     # of the candidates, what is significantly more frequent among positives than in other text
     share_u = (in_other + 0.5) / (n_other + 1)
     excess = (in_pos - n_teach * share_u) / np.sqrt(n_teach * share_u * (1 - share_u) + 1)
-    table = table[(excess > significance) & (in_pos / n_teach > 2 * share_u)]
+    telling = np.flatnonzero((excess > significance) & (in_pos / n_teach > 2 * share_u))
+    table = table[np.sort(telling[np.argsort(-excess[telling], kind="stable")[:kept]])]
     got = rows.select("kind", "r", "text").mapInArrow(_emit(table), "kind int, r double, f binary").collect()
     got.sort(key=lambda x: (x.r, x.f))
     of_kind = lambda k: [np.frombuffer(x.f, dtype="<i4").astype(np.int64) for x in got if x.kind == k]
     plain, teach = of_kind(0), of_kind(1)
+    if not plain or not teach:
+        return None
     pos = _Rows(teach, len(table))
     # the mixture must hold its share of positives: labelled ones were taken out above, so they are put back in proportion
     known_share = size[1] / sum(size.values())
@@ -282,8 +296,8 @@ def toxicity(
 
     Defined cases: a null or empty text has the score of a text without words. Several labels of
     one id: toxic if any is. Without labels of both kinds every score is near 0. Null ids have no
-    label. Rows that repeat are judged alike. An empty table gives an empty result. Other columns
-    are ignored, whatever their names.
+    label. Rows that repeat are judged alike. Very long texts are read whole, a slice at a time. An
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
