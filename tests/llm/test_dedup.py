@@ -4,11 +4,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as S
 
 from veritext.llm import embedding_dedup, exact_dedup, minhash_dedup
-from veritext.llm.common import connected_components
+from veritext.llm.common import connected_components, more_components
 
 DOCS = S.StructType([S.StructField("doc_id", S.LongType()), S.StructField("text", S.StringType()), S.StructField("id", S.StringType()), S.StructField("kept", S.IntegerType())])
 
@@ -101,6 +102,25 @@ def near_rows(r, n=220):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, "one"), (n + 4, "ONE"), (n + 5, "one two"), (n + 6, "long " * 30_000)]
 
 
+def test_components_of_a_hot_vertex(spark):
+    r = random.Random(3)
+    links = [(5000, i) for i in range(3000)] + [(r.randrange(6000, 9000), r.randrange(6000, 9000)) for _ in range(1500)] + [(1, 1), (7, 5000)]
+    got = {x.id: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = components(range(9000), links)
+    assert got == {i: want[i] for i in got} and {i for a, b in links for i in (a, b) if a != b} == set(got)
+
+
+def test_components_of_further_links(spark):
+    r = random.Random(4)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(200)]
+    more = [(r.randrange(500), r.randrange(500)) for _ in range(60)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = more_components(connected_components(frame(links)), frame(more)).collect()
+    want = components(range(500), links + more)
+    assert len({x.id for x in got}) == len(got) and {x.id: x.component for x in got} == {x.id: want[x.id] for x in got}
+    assert {i for a, b in links + more for i in (a, b) if want[a] != a or want[b] != b} <= {x.id for x in got}
+
+
 @pytest.mark.parametrize("words,percent,tile", [(3, 85, 512), (5, 80, 512), (3, 85, 16)])
 def test_near_duplicates_equal_brute_force(spark, words, percent, tile):
     rows = near_rows(random.Random(words + tile))
@@ -125,8 +145,28 @@ def test_signature_distance_follows_similarity():
     for _ in range(60):
         x = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
         y = np.concatenate([x[:919], r.integers(0, 1 << 63, 81, dtype=np.uint64)])  # Jaccard 0.85
-        far.append((minhash_dedup.signature(np.unique(x)) != minhash_dedup.signature(np.unique(y))).sum())
-    assert 3.3 < np.mean(far) < 5.7 and max(far) <= minhash_dedup.distance_limit(0.85)
+        far.append((minhash_dedup.signature(np.unique(x), 5) != minhash_dedup.signature(np.unique(y), 5)).sum())
+    assert 3.3 < np.mean(far) < 5.7 and max(far) <= minhash_dedup.distance_limit(0.85, 30)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.95])
+def test_keys_bring_all_pairs_within_the_limit_together(similarity):
+    r, chunks = np.random.default_rng(5), minhash_dedup.chunks_for(similarity)
+    symbols = chunks * minhash_dedup.WIDTH
+    limit = minhash_dedup.distance_limit(similarity, symbols)
+    assert limit <= chunks * (minhash_dedup.ERRORS + 1) - 1
+    rows = []
+    for _ in range(200):
+        a = r.integers(0, 1 << 16, symbols).astype("<u2")
+        b = a.copy()
+        b[r.choice(symbols, limit, replace=False)] ^= 1
+        rows += [a.tobytes(), b.tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.binary())], names=["rid", "sig"])
+    keys = {}
+    for out in minhash_dedup._keys([batch]):
+        for k, i in zip(out.column("key").to_pylist(), out.column("rid").to_pylist()):
+            keys.setdefault(i, set()).add(k)
+    assert all(keys[i] & keys[i + 1] for i in range(0, len(rows), 2))
 
 
 VEC = "vec_id long, embedding array<float>, label int, id string, kept int"

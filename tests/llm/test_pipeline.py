@@ -76,6 +76,19 @@ def test_repeated_and_null_ids(spark, folder):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs.filter("doc_id = 1"), folder).collect()) == [1]
 
 
+def test_clashing_names_and_empty_tables(spark, folder):
+    names = ["_id", "_ID_", "_nth", "_copies", "_k", "id", "kept", "copies", "src", "piece"]
+    rows = [(1, "a b c", "en", "s", 0), (1, "a b c", "en", "s", 0), (2, "a b c", "en", "t", 0), (3, None, None, None, None), (None, "x y", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], S.StructType([*DOCS.fields, *[S.StructField(n, S.IntegerType()) for n in names]]))
+    for start in (docs, docs.limit(0)):
+        d = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = corpus_pipeline.materialise(stage(spark, d, folder), "t")
+            assert d.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, d, folder)
+        assert (packed.count() > 0) == (start is docs)
+
+
 def test_registered_names():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()

@@ -20,13 +20,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder is made
-    and kept in the session's own settings.
+    Only where that is unset in a local session (as in tests) a temporary folder is made and kept in
+    the session's own settings; on a cluster executors don't see it, so there it is an error.
     """
     for key in ("spark.checkpoint.dir", "veritext.shared.dir"):
         found = spark.conf.get(key, None)
         if found:
             return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="veritext-")
     spark.conf.set("veritext.shared.dir", made)
     return made
@@ -56,18 +58,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch holds; long texts make the default of 10,000 rows too large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, mb: int = 32) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes; long texts make the default of 10,000 rows too large.
+
+    Tables are evaluated after the operator returns, so the setting stays with the session; a
+    smaller one that is there already is left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it, be it in another case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for each vertex of ``edges`` (columns a, b, both long and not null).
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). A round is a
-    grouped minimum, combined on the map side, and a join back on the vertex, which the
-    adaptive engine splits where a vertex is hot; no vertex's neighbours meet in one task.
-    Each round is a written table. Returns (id, component); ids without edges don't occur.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014). A round is a grouped
+    minimum, combined on the map side, and a join back on the vertex. Hot vertices, those with more
+    than a thousandth of all edges, are 2,000 at most by counting; their minima are broadcast, so that
+    their edges are neither shuffled by the vertex nor meet in one task. Each round is a written
+    table. Returns (id, component); ids without edges don't occur.
     """
     e = materialise(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
@@ -79,15 +97,23 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     seen = mark(e)
     # few edges need few tasks, whatever the number of shuffle partitions
     few = lambda t: t.coalesce(max(1, -(-seen[0] // 100_000)))
+
+    def with_least(t: DataFrame, least: DataFrame) -> DataFrame:
+        """(u, v, m) for the rows of t, m from least (u, m, n), n the number of edges at u."""
+        hot = least.filter(F.col("n") > max(500, seen[0] // 1000)).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+        marked = t.join(F.broadcast(hot), F.col("u") == F.col("h"), "left")
+        cold = marked.filter("h is null").select("u", "v").join(least.select("u", "m"), "u")
+        return marked.filter("h is not null").select("u", "v", F.col("hm").alias("m")).union(cold.select("u", "v", "m"))
+
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = few(large.filter("u <> v").distinct())
-        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(least, "u")
+        least = few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        joined = with_least(large, least)
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
@@ -106,13 +132,24 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     )
 
 
+def more_components(comp: DataFrame, links: DataFrame, name: str = "cc") -> DataFrame:
+    """``comp`` (id, component) after more ``links`` (a, b): only links between components go through the rounds again."""
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias("c" + c))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = materialise(connected_components(between, name), name + "-joined").toDF("root", "least")
+    old = comp.join(joined, F.col("component") == F.col("root"), "left").select("id", F.coalesce("least", "component").alias("component"))
+    new = joined.join(comp, F.col("root") == F.col("id"), "left_anti").select(F.col("root").alias("id"), F.col("least").alias("component"))
+    return old.union(new)
+
+
 def rows_with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``) among ``ids``'s only column; null is an id.
 
     The ids go to every executor only after a count showed that they are at most ``most`` (about
-    25 MB); more of them are joined by a shuffle.
+    25 MB); more of them are joined by a shuffle. ``docs`` may have columns of any names.
     """
-    name = ids.columns[0]
-    ids = materialise(ids.select(F.col(name).alias("_id")).distinct(), "ids")
+    name = free_name(docs, "_id")
+    ids = materialise(ids.toDF(name).distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= most else ids
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")), how)
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col(name)), how)

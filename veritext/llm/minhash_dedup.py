@@ -1,27 +1,29 @@
 """MinHash near-duplicates by a multi-index Hamming join (operator 6).
 
 A document is the set of its distinct word shingles. Sets that are equal are one class, and only
-class representatives go on. A signature has 30 MinHash symbols of 16 bits. It is cut into 5
-chunks of 6; by the pigeonhole principle two signatures that differ in at most 14 symbols have a
-chunk with at most 2 errors. The errors are enumerated: for each chunk and each choice of 2
-symbols to leave out (15 of them), the remaining 4 symbols are an index key, so such a pair
-surely meets under one of the 75 keys. A pair at Jaccard 0.85 misses all of them with a chance
-of 3e-7, at 0.8 of 1e-5. Every link is then confirmed on the two full sets.
+class representatives go on. A signature has MinHash symbols of 16 bits, cut into chunks of 6. By
+the pigeonhole principle two signatures that differ in at most 3 * chunks - 1 symbols have a chunk
+with at most 2 errors. The errors are enumerated: for each chunk and each choice of 2 symbols to
+leave out (15 of them), the remaining 4 symbols are an index key, so such a pair surely meets under
+one of the keys. There are as many chunks as this bound needs to reach the distance limit, which a
+linked pair exceeds with a chance below 1e-6: 9 (54 symbols, limit 26) for a similarity of 0.8, 7 (42
+symbols, limit 19) for 0.85. Every link is then confirmed on the two full sets.
 
 The output needs classes, not pairs, so pairs are never expanded within a bucket:
 
 1. keys are range-partitioned by (key, representative), so a key that a third of all documents
    share is spread over many tasks, and every member is tied to its bucket's first one, the hub;
-2. each representative joins the group of the hub that it shares most keys with, and whole texts
-   are compared inside groups, through an inverted index of their shingles: what isn't yet in the
-   group's largest component is compared with every member. Then the same in families, the trees
-   that the ties to hubs make, where members of the largest component needn't meet each other;
+2. each representative joins the group of the hub that it shares most keys with, and a group is
+   dealt to tiles, each of which compares its whole texts with each other and with the hub, so a group
+   of n linked texts costs n. Then, in families, the trees that the ties to hubs make, what isn't yet in
+   the family's largest component is compared with every member, through an inverted index of
+   shingles; members of the largest component needn't meet each other;
 3. only buckets that still hold several components and families are compared pair by pair across
    them, in tiles of bounded size and by signature distance, and what is left is confirmed too.
 
-Groups beyond a tile are dealt to tiles: those of its largest component meet those of the rest, and
-the latter meet each other. A group gives at most as many links as
-it has members. No link between different texts is lost.
+Families beyond a tile are dealt to tiles: those of its largest component meet those of the rest,
+and the latter meet each other. A tile holds about 512 texts or a million shingles, whichever is
+less. A group gives at most as many links as it has members. No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -36,16 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritext.llm.common import BROADCAST_IDS, connected_components, materialise, small_batches
+from veritext.llm.common import BROADCAST_IDS, connected_components, materialise, more_components, small_batches
 
-CHUNKS, WIDTH, ERRORS = 5, 6, 2
-K = CHUNKS * WIDTH
+WIDTH, ERRORS = 6, 2
+MOST_CHUNKS = 64
+TILE_SHINGLES = 1_000_000
 _KEPT = [tuple(sorted(set(range(WIDTH)) - set(out))) for out in combinations(range(WIDTH), ERRORS)]
 _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_A = (_rng.integers(1, 1 << 31, size=(K, 1), dtype=np.uint64) * 2 + 1).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, size=(K, 1), dtype=np.uint64).astype(np.uint32)
+_A = (_rng.integers(1, 1 << 31, size=(MOST_CHUNKS * WIDTH, 1), dtype=np.uint64) * 2 + 1).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, size=(MOST_CHUNKS * WIDTH, 1), dtype=np.uint64).astype(np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -100,33 +103,42 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """K MinHash symbols of 16 bits."""
+def signature(shingles: np.ndarray, chunks: int) -> np.ndarray:
+    """chunks * WIDTH MinHash symbols of 16 bits."""
+    k = chunks * WIDTH
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(K, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(x), 50_000):
-        np.minimum(least, (_A * x[None, i : i + 50_000] + _B).min(axis=1), out=least)
+    least = np.full(k, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(x), 20_000):
+        np.minimum(least, (_A[:k] * x[None, i : i + 20_000] + _B[:k]).min(axis=1), out=least)
     return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2")
 
 
-def distance_limit(similarity: float) -> int:
+def distance_limit(similarity: float, symbols: int) -> int:
     """Signature distance that a pair of this similarity exceeds with a chance below 1e-6."""
     p, tail = 1 - similarity, 1.0
-    for d in range(K + 1):
-        tail -= math.comb(K, d) * p**d * (1 - p) ** (K - d)
+    for d in range(symbols + 1):
+        tail -= math.comb(symbols, d) * p**d * (1 - p) ** (symbols - d)
         if tail < 1e-6:
             return d
-    return K
+    return symbols
 
 
-def _sign(words: int):
+def chunks_for(similarity: float) -> int:
+    """The fewest chunks whose keys surely bring every pair within the distance limit together."""
+    for chunks in range(1, MOST_CHUNKS + 1):
+        if distance_limit(similarity, chunks * WIDTH) <= chunks * (ERRORS + 1) - 1:
+            return chunks
+    raise ValueError(f"no pigeonhole scheme of {MOST_CHUNKS} chunks reaches a similarity of {similarity}")
+
+
+def _sign(words: int, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sig, h1, h2 = [], [], [], []
             for t in b.column("text"):
                 s = shingle_set(t.as_buffer() if t.is_valid and len(t.as_py()) else b"", words)
                 n.append(len(s))
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s, chunks).tobytes() if len(s) else None)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 h1.append(int.from_bytes(d[:8], "little", signed=True))
                 h2.append(int.from_bytes(d[8:], "little", signed=True))
@@ -139,22 +151,25 @@ def _sign(words: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, K)
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype="<u2").reshape(len(rows), -1)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, sig) to 75 rows (key, rid)."""
+    """(rid, sig) to a row (key, rid) for each chunk and each choice of the symbols kept."""
     for b in batches:
         if not b.num_rows:
             continue
-        s = _matrix(b.column("sig")).astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
-        keys = np.empty((len(s), CHUNKS, len(_KEPT)), dtype=np.uint64)
+        s = _matrix(b.column("sig")).astype(np.uint64)
+        s = s.reshape(len(s), -1, WIDTH)
+        chunks = s.shape[1]
+        keys = np.empty((len(s), chunks, len(_KEPT)), dtype=np.uint64)
         for m, kept in enumerate(_KEPT):
             v = s[:, :, kept[0]] << np.uint64(48) | s[:, :, kept[1]] << np.uint64(32) | s[:, :, kept[2]] << np.uint64(16) | s[:, :, kept[3]]
-            place = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(len(_KEPT)) + np.uint64(m)) * np.uint64(0xD6E8FEB86659FD93)
+            place = (np.arange(chunks, dtype=np.uint64) * np.uint64(len(_KEPT)) + np.uint64(m)) * np.uint64(0xD6E8FEB86659FD93)
             keys[:, :, m] = _mix(v + place[None, :])
         flat = keys.reshape(-1).view(np.int64)
-        rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), CHUNKS * len(_KEPT))
+        rid = np.repeat(b.column("rid").to_numpy(zero_copy_only=False), chunks * len(_KEPT))
         for i in range(0, len(flat), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 50_000]), pa.array(rid[i : i + 50_000])], names=["key", "rid"])
 
@@ -262,7 +277,7 @@ def _across(limit: int):
         same_tile = not (side != 1).any()
         for i in range(0, len(ra), 256):
             d = np.zeros((len(ra[i : i + 256]), len(rb)), dtype=np.uint8)
-            for s in range(K):
+            for s in range(sig.shape[1]):
                 d += sa[i : i + 256, s, None] != sb[None, :, s]
             ok = (d <= limit) & (ca[i : i + 256, None] != cb[None, :]) & (fa[i : i + 256, None] != fb[None, :])
             if same_tile:
@@ -271,7 +286,7 @@ def _across(limit: int):
             x += i
             if len(x):
                 # a pair belongs to the first key that it shares; other buckets leave it out
-                eq = (sa[x] == sb[y]).reshape(-1, CHUNKS, WIDTH)
+                eq = (sa[x] == sb[y]).reshape(len(x), -1, WIDTH)
                 share = np.stack([eq[:, :, list(kept)].all(axis=2) for kept in _KEPT], axis=2).reshape(len(x), -1)
                 nth = share.argmax(axis=1)
                 own = _key_at(sa[x], nth) == key
@@ -312,8 +327,8 @@ def _then_none(batches):
 
 
 def _key_at(sig: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """The nth of the 75 keys of each signature, as _keys makes it."""
-    s = sig.astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
+    """The nth of the keys of each signature, as _keys makes it."""
+    s = sig.astype(np.uint64).reshape(len(sig), -1, WIDTH)
     chunk, m = nth // len(_KEPT), nth % len(_KEPT)
     kept = np.array(_KEPT)[m]
     row = np.arange(len(s))
@@ -323,14 +338,39 @@ def _key_at(sig: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return _mix(v + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, tile: int, name: str) -> DataFrame:
-    """Links (a, b) inside groups (g, rid, comp) that hold several components."""
-    parts = groups.groupBy("g", "comp").count().groupBy("g")
-    parts = parts.agg(F.sum("count").alias("size"), F.count("*").alias("comps"), F.max(F.struct("count", "comp")).alias("top"))
-    over = lambda n: F.ceil(n / tile).cast("int")
-    whole = F.when(F.col("top.count") > 1, F.col("top.count")).otherwise(0)
+def _tiles(count, shingles, tile: int):
+    """How many tiles so many texts with so many shingles need."""
+    return F.ceil(F.greatest(count / tile, shingles / TILE_SHINGLES)).cast("int")
+
+
+def _compared(spread: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Links (a, b) inside each meeting (g, i, j) of the rows of ``spread`` (g, i, j, rid, comp)."""
+    met = spread.join(texts.withColumnRenamed("id", "rid"), "rid").select("g", "i", "j", "rid", "comp", "text")
+    met = met.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return materialise(met.mapInArrow(_link(words, percent), "a long, b long").distinct(), name)
+
+
+def _hub_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
+    """Links inside tiles of each group (g, rid, n) and to its hub g, which is shown to every tile."""
+    sizes = groups.groupBy("g").agg(_tiles(F.count("*"), F.sum("n"), tile).alias("tiles"))
+    rows = groups.join(sizes, "g").withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("tiles") - 1)
+    i = F.explode(F.when(F.col("rid") == F.col("g"), everywhere).otherwise(F.array("t")))
+    spread = rows.select("g", i.alias("i"), F.lit(0).alias("j"), "rid", F.col("rid").alias("comp"))
+    return _compared(spread, texts, words, percent, "op6-links")
+
+
+def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) inside groups (g, rid, comp, n) that hold several components; all links across components are looked at."""
+    parts = groups.groupBy("g", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("words")).groupBy("g")
+    parts = parts.agg(
+        F.sum("count").alias("size"), F.sum("words").alias("words"), F.count("*").alias("comps"), F.max(F.struct("count", "comp", "words")).alias("top")
+    )
+    top = F.col("top.count") > 1
+    whole, whole_words = F.when(top, F.col("top.count")).otherwise(0), F.when(top, F.col("top.words")).otherwise(0)
     mixed = parts.filter("comps > 1").select(
-        "g", F.col("top.comp").alias("top"), over(whole).alias("tops"), over(F.col("size") - whole).alias("rests")
+        "g", F.col("top.comp").alias("top"), _tiles(whole, whole_words, tile).alias("tops"),
+        _tiles(F.col("size") - whole, F.col("words") - whole_words, tile).alias("rests"),
     )
     spread = groups.join(mixed, "g").withColumn("is_top", (F.col("comp") == F.col("top")) & (F.col("tops") > 0))
     spread = spread.withColumn("t", F.pmod(F.xxhash64("rid"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
@@ -345,9 +385,8 @@ def _group_links(groups: DataFrame, texts: DataFrame, words: int, percent: int,
     meet = F.when(F.col("is_top"), F.transform(rests, lambda o: pair(o, F.col("rests") + F.col("t")))).otherwise(
         F.coalesce(alone, F.concat(with_rest, with_top))
     )
-    spread = spread.join(texts.withColumnRenamed("id", "rid"), "rid").withColumn("m", F.explode(meet))
-    spread = spread.select("g", "m.i", "m.j", "rid", "comp", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return materialise(spread.mapInArrow(_link(words, percent), "a long, b long").distinct(), name)
+    spread = spread.withColumn("m", F.explode(meet)).select("g", "m.i", "m.j", "rid", "comp")
+    return _compared(spread, texts, words, percent, "op6-links")
 
 
 def _roots(ties: DataFrame) -> DataFrame:
@@ -383,11 +422,13 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     small_batches(spark)
+    chunks = chunks_for(percent / 100)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(base.mapInArrow(_sign(words), "id long, n long, sig binary, h1 long, h2 long"), "op6")
-    classes = signed.filter("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rid"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "op6-classes")
+    signed = materialise(base.mapInArrow(_sign(words, chunks), "id long, n long, sig binary, h1 long, h2 long"), "op6")
+    classes = signed.filter("n > 0 and id is not null").groupBy("h1", "h2")
+    classes = materialise(classes.agg(F.min("id").alias("rid"), F.first("sig").alias("sig"), F.first("n").alias("n")), "op6-classes")
     reps = classes.groupBy("rid").agg(F.first("sig").alias("sig"))  # one for each id
+    sizes = classes.groupBy("rid").agg(F.max("n").alias("n"))
     keys = classes.select("rid", "sig").mapInArrow(_keys, "key long, rid long")
     dealt = keys.repartitionByRange("key", "rid").sortWithinPartitions("key", "rid")
     stars = materialise(dealt.mapInArrow(_stars, "key long, hub long, rid long, border boolean"), "op6-stars")
@@ -400,29 +441,30 @@ def near_duplicates(
     lead = hubs.groupBy("key").agg(F.min("hub").alias("lead"))
     cross = hubs.join(lead, "key").filter("lead <> hub").select(F.col("lead").alias("g"), F.col("hub").alias("rid"))
     groups = best.union(cross)
-    groups = materialise(groups.union(groups.select("g", F.col("g").alias("rid"))).distinct(), "op6-groups")
-    members = materialise(groups.select(F.col("rid").alias("id")).distinct(), "op6-members")
+    groups = groups.union(groups.select("g", F.col("g").alias("rid"))).distinct().join(sizes, "rid")
+    groups = materialise(groups.select("g", "rid", "n"), "op6-groups")
+    members = materialise(groups.select(F.col("rid").alias("id"), "n").distinct(), "op6-members")
     few = members.count() <= BROADCAST_IDS
-    texts = base.filter("id is not null and text is not null").join(F.broadcast(members) if few else members, "id", "left_semi")
+    ids = members.select("id")
+    texts = base.filter("id is not null and text is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     texts = materialise(texts, "op6-texts")
-    links = _group_links(groups.withColumn("comp", F.col("rid")), texts, words, percent, tile, "op6-links")
+    links = _hub_links(groups, texts, words, percent, tile)
+    comp = materialise(connected_components(links, "op6-cc"), "op6-comp")
 
-    def components(links: DataFrame) -> DataFrame:
-        return materialise(connected_components(links, "op6-cc"), "op6-comp").withColumnRenamed("id", "rid")
+    def with_more(comp: DataFrame, more: DataFrame) -> DataFrame:
+        return comp if more.isEmpty() else materialise(more_components(comp, more, "op6-cc"), "op6-comp")
 
-    comp = components(links)
-    fam = members.select(F.col("id").alias("rid")).join(_roots(best), "rid", "left").join(comp, "rid", "left")
-    fam = materialise(
-        fam.select("rid", F.coalesce("root", "rid").alias("g"), F.coalesce("component", "rid").alias("comp")), "op6-families"
-    )
-    more = _group_links(fam, texts, words, percent, tile, "op6-links")
-    if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links)
+    def placed(comp: DataFrame, t: DataFrame) -> DataFrame:
+        """t (rid, ...) with its component."""
+        known = t.join(comp.withColumnRenamed("id", "rid"), "rid", "left")
+        return known.withColumn("comp", F.coalesce("component", "rid")).drop("component")
+
+    fam = members.withColumnRenamed("id", "rid").join(_roots(best), "rid", "left").withColumn("g", F.coalesce("root", "rid"))
+    fam = materialise(placed(comp, fam.select("rid", "g", "n")), "op6-families")
+    comp = with_more(comp, _group_links(fam, texts, words, percent, tile))
 
     # 3. what still meets in a bucket across components and groups
-    place = fam.select("rid", F.col("g").alias("fam")).join(comp, "rid", "left")
-    place = materialise(place.select("rid", "fam", F.coalesce("component", "rid").alias("comp")), "op6-place")
+    place = materialise(placed(comp, fam.select("rid", "n", F.col("g").alias("fam"))), "op6-place")
     member = stars.select("key", "rid").join(place, "rid")
     mixed = member.groupBy("key").agg(
         F.count("*").alias("size"),
@@ -441,12 +483,11 @@ def near_duplicates(
     )
     spread = open_.withColumn("t", t).withColumn("m", F.explode(meet)).select("key", "m.i", "m.j", "m.side", "rid", "comp", "fam", "sig")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    late = materialise(spread.mapInArrow(_across(distance_limit(percent / 100)), "a long, b long").distinct(), "op6-late")
+    limit = distance_limit(percent / 100, chunks * WIDTH)
+    late = materialise(spread.mapInArrow(_across(limit), "a long, b long").distinct(), "op6-late")
     stars_ = late.select(F.col("a").alias("g"), F.col("b").alias("rid"))
-    stars_ = stars_.union(stars_.select("g", F.col("g").alias("rid"))).distinct().join(place.select("rid", "comp"), "rid")
-    more = _group_links(stars_, texts, words, percent, tile, "op6-links")
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    stars_ = stars_.union(stars_.select("g", F.col("g").alias("rid"))).distinct().join(place.select("rid", "comp", "n"), "rid")
+    comp = with_more(comp, _group_links(stars_, texts, words, percent, tile)).withColumnRenamed("id", "rid")
 
     of_class = classes.join(comp, "rid", "left").select(
         "h1", "h2", F.coalesce("component", "rid").alias("component_id")
