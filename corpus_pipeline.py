@@ -13,7 +13,9 @@ return the columns of documents.
 
 A doc_id stands for one document: rows that repeat it share its fate, and where id and text are
 both equal one row is left after exact_dedup. A null doc_id is an id like any other, and rows with
-it are linked with nothing.
+it are linked with nothing. A null text counts as an empty one. Texts are read whole, however long. An
+empty table gives an empty table at every stage. Further columns of documents are carried through all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritext.llm.common import materialise, rows_with_ids
+from veritext.llm.common import free_name, materialise, rows_with_ids
 from veritext.llm.exact_dedup import exact_dedup
 from veritext.llm.minhash_dedup import near_duplicates
 from veritext.llm.mixing import mix
@@ -46,10 +48,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return out
     # rows that repeat an id: the first of those that are equal
-    single = rows_with_ids(out, again, "left_anti")
+    single, nth = rows_with_ids(out, again, "left_anti"), free_name(docs, "_nth")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"])
-    repeated = rows_with_ids(out, again, "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
-    return single.unionByName(repeated)
+    repeated = rows_with_ids(out, again, "left_semi").withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1)
+    return single.unionByName(repeated.drop(nth))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +60,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    ident, times = free_name(docs, "_id"), free_name(docs, "_copies")
+    copies = mix(docs).groupBy(F.col("doc_id").alias(ident)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(ident)))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(ident)).drop(ident)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
