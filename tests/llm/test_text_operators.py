@@ -1,3 +1,5 @@
+import datetime
+import hashlib
 import random
 import re
 
@@ -69,6 +71,73 @@ def test_mail_and_secrets(spark):
     assert y == x.upper() and (got.n_email, got.n_secret) == (3, 2)
 
 
+def plain_feistel(key, kind, a, b, size_a, size_b, tweak=()):
+    for i in range(pii.ROUNDS):
+        drawn = lambda v: int(hashlib.sha256(":".join(map(str, (key, kind, i, v, *tweak))).encode()).hexdigest()[:15], 16)
+        if i % 2 == 0:
+            a = (a + drawn(b)) % size_a
+        else:
+            b = (b + drawn(a)) % size_b
+    return a, b
+
+
+def plain_digits(key, kind, d):
+    left = len(d) // 2
+    a, b = plain_feistel(key, kind + "-", int(d[:left]), int(d[left:]), 10**left, 10 ** (len(d) - left))
+    return f"{a:0{left}}{b:0{len(d) - left}}"
+
+
+def plain_iban(plain):
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    k = hashlib.sha256(b"k").hexdigest()[:32]
+    iban, card = "DE89370400440532013000", "4111111111111111"
+    got = pseudonyms(spark, [card, "10.20.30.40", "2021-03-04", "+442079460958", iban, "123-45-6789", "2001:db8::ff00:42:8329"])
+    new = plain_digits(k, "card", card[:-1])
+    assert got[0].text[:-1] == new and luhn(got[0].text)
+    a, b = plain_feistel(k, "ip", 10 * 256 + 20, 30 * 256 + 40, 1 << 16, 1 << 16)
+    assert got[1].text == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    day = (datetime.date(2021, 3, 4) - datetime.date(1801, 1, 1)).days
+    a, b = plain_feistel(k, "date", day // 773, day % 773, 189, 773)
+    assert got[2].text == str(datetime.date(1801, 1, 1) + datetime.timedelta(a * 773 + b))
+    assert got[3].text == "+44" + plain_digits(k, "phone", "2079460958")
+    assert got[4].text[:2] == "DE" and got[4].text[4:] == plain_digits(k, "iban", iban[4:]) and plain_iban(got[4].text) == 1
+    a, b = plain_feistel(k, "social", (123 - 1) * 99 + 44, 6788, 898 * 99, 9999)
+    assert got[5].text == f"{a // 99 + (2 if a // 99 >= 665 else 1):03}-{a % 99 + 1:02}-{b + 1:04}"
+    w = [0x2001, 0xDB8, 0, 0, 0, 0xFF00, 0x42, 0x8329]
+    n = [w[i] << 16 | w[i + 1] for i in (0, 2, 4, 6)]
+    out = [*plain_feistel(k, "ip6", n[0], n[1], 1 << 32, 1 << 32), *plain_feistel(k, "ip6-", n[2], n[3], 1 << 32, 1 << 32, [f"{n[0]}:{n[1]}"])]
+    assert got[6].text == ":".join(f"{x:x}" for v in out for x in (v >> 16, v & 0xFFFF))
+    assert [got[0].n_card, got[1].n_ip, got[2].n_date, got[3].n_phone, got[4].n_iban, got[5].n_social, got[6].n_ip] == [1] * 7
+
+
+def test_equal_values_link_over_spellings(spark):
+    phones = ["+44 20 7946 0958", "+442079460958", "+44.20.7946.0958", "+44 (20) 7946 0958"]
+    ibans = ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"]
+    six = ["2001:db8:0:0:0:ff00:42:8329", "2001:0DB8::FF00:0042:8329"]
+    got = pseudonyms(spark, phones + ibans + six + ["(415) 555-0199", "+1 415-555-0199"])
+    digits = [re.sub("[^0-9]", "", got[i].text) for i in range(4)]
+    assert len(set(digits)) == 1 and digits[0] != "442079460958" and all(len(got[i].text) == len(p) for i, p in enumerate(phones))
+    assert got[4].text == got[5].text.replace(" ", "") != ibans[0] and "WEST" in got[4].text and got[5].text[4] == " "
+    assert got[6].text == got[7].text
+    assert re.sub("[^0-9]", "", got[9].text)[1:] == re.sub("[^0-9]", "", got[8].text)
+
+
+def test_texts_with_the_mark_and_odd_rows(spark):
+    odd = "a\x01b 10.20.30.40 \x01 +442079460958\x01"
+    plain = pseudonyms(spark, [odd.replace("\x01", " "), odd, "10.20.30.40,10.20.30.40"])
+    assert plain[1].text.replace("\x01", " ") == plain[0].text and (plain[1].n_ip, plain[1].n_phone) == (1, 1)
+    assert len(set(plain[2].text.split(","))) == 1 and plain[2].n_ip == 2
+    same = spark.createDataFrame([(None, "10.20.30.40"), (1, "10.20.30.40"), (1, "10.20.30.40")], "doc_id long, text string")
+    got = pii.pseudonymise(same, "k").collect()
+    assert len(got) == 3 and len({r.text for r in got}) == 1 and sorted(r.doc_id or 0 for r in got) == [0, 1, 1]
+    wrong = ["DE89370400440532013001", "000-12-3456", "666-12-3456 123-00-4567", "1:2:3", "10:20:30:40", "12:30:45", "a::b::c"]
+    got = pseudonyms(spark, wrong)
+    assert [got[i].text for i in range(len(wrong))] == wrong
+
+
 LANGS = {"aa": "ba be bi bo bu da de di", "bb": "ška žlu řet ňov čar ůst", "cc": "xen qor wix yap zzu vok"}
 
 
