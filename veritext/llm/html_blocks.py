@@ -10,7 +10,14 @@ of the document. Blocks that win are the text, in page order.
 The labeller is trained at the start of a job, by back-propagation through time, on pages drawn
 from a grammar of page layouts (menus, headers, sidebars, adverts, notices, forms, comments,
 footers around articles of many shapes), and on a bounded sample of the job's own pages, at most
-``sample`` (default 300) that mark their article or main element, labelled by that mark.
+``sample`` (default 300) that mark their article or main element, labelled by that mark. Marks mustn't
+decide alone, as many pages have none: most pages are learnt from a second time in a disguise, in which
+article and main, all elements that speak of their content, paragraphs, or all class, id and role words
+are lost, while the labels stay; and the paths, words or figures of some blocks are left out.
+
+The fit reads own pages of at most ``most_chars`` characters and ``most_blocks`` blocks (60,000 and 400
+by default). All pages are labelled whole; pages are read together up to ``GROUP_BLOCKS`` blocks, so
+the memory of a task is bounded by these or by its longest page.
 """
 
 from __future__ import annotations
@@ -51,6 +58,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+GROUP_BLOCKS = 20_000
 PATHS, WORDS, FIGURES = 4096, 256, 6
 D_PATH, D_WORD, HIDDEN_SIZE = 16, 8, 16
 
@@ -290,15 +298,17 @@ class Labeller:
 
     def main_blocks(self, pages: list[list[Block]]) -> list[list[bool]]:
         """For each page which of its blocks are main text; pages of like length are read together."""
-        told = [describe(p) if p else None for p in pages]
         out: list[list[bool]] = [[] for _ in pages]
-        order = sorted((k for k, d in enumerate(told) if d), key=lambda k: len(told[k][0]))
+        order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
-            longest, end = len(told[order[at]][0]), at
-            while end < len(order) and end - at < 256 and len(told[order[end]][0]) <= longest * 1.3 + 4:
+            longest, end, held = len(pages[order[at]]), at, 0
+            while end < len(order) and end - at < 256 and len(pages[order[end]]) <= longest * 1.3 + 4:
+                held = (end - at + 1) * len(pages[order[end]])
+                if end > at and held > GROUP_BLOCKS:
+                    break
                 end += 1
-            z, _ = self.logits([told[k] for k in order[at:end]])
+            z, _ = self.logits([describe(pages[k]) for k in order[at:end]])
             for i, k in enumerate(order[at:end]):
                 out[k] = (z[i, : len(pages[k])] > 0).tolist()
             at = end
@@ -335,22 +345,35 @@ _SAID = {
 }
 
 
-def _prose(r: np.random.Generator, words: int, say: list[str] | None = None) -> str:
+def _invented(n: int = 6_000) -> list[str]:
+    """Words of one to four syllables."""
     syl = ["an", "be", "chi", "do", "er", "fa", "gu", "ha", "in", "jo", "ka", "lu", "mé", "no", "ö", "pra", "qu", "re", "st", "tion", "ü", "ve", "wa", "y", "zu", "ñ"]
-    w = ["".join(r.choice(syl, size=int(r.integers(1, 5)))) for _ in range(words)]
-    noise = r.random()
-    if noise < 0.06:
-        w = [x + str(r.choice(["%%%", "***", "&amp;&amp;&amp;", "###", "$$$"])) for x in w]
-    elif noise < 0.10:
-        w = w[:2] * (len(w) // 2 + 1)
-    elif noise < 0.13:
-        w = [x.upper() + "!!" for x in w]
-    for k in range(len(w)):
-        if say and r.random() < 0.25:
-            w[k] = str(r.choice(say))
-        if r.random() < 0.12:
-            w[k] += str(r.choice([",", ".", ".", "!", "%%%", "***"]))
-    return (" ".join(w)).capitalize() + ("." if r.random() < 0.8 else "")
+    r = np.random.default_rng(17)
+    return ["".join(syl[k] for k in row[:size]) for row, size in zip(r.integers(0, len(syl), (n, 4)).tolist(), r.integers(1, 5, n).tolist())]
+
+
+_WORDS = _invented()
+
+
+def _prose(r: np.random.Generator, words: int, say: list[str] | None = None) -> str:
+    w = [_WORDS[k] for k in r.integers(0, len(_WORDS), words).tolist()]
+    manner = r.random()
+    if manner < 0.05:  # signs between or behind the words, as in tables of figures and in junk
+        signs = r.choice(list("%*#$/|=+~^"), size=int(r.integers(1, 4)))
+        w = [x + "".join(r.choice(signs, size=int(r.integers(1, 4)))) for x in w]
+    elif manner < 0.09:
+        w = (w[: int(r.integers(1, 4))] * len(w))[: len(w)]
+    elif manner < 0.12:
+        w = [x.upper() for x in w]
+    elif manner < 0.16:
+        w = [str(int(r.integers(0, 10_000))) if r.random() < 0.5 else x for x in w]
+    marks = (0.0, 0.12, 0.25)[int(r.integers(3))]
+    drawn = r.random((len(w), 2))
+    for k in np.flatnonzero(drawn[:, 0] < 0.25) if say else ():
+        w[k] = say[int(r.integers(len(say)))]
+    for k in np.flatnonzero(drawn[:, 1] < marks):
+        w[k] += ",.;!?"[int(r.integers(5))]
+    return (" ".join(w)).capitalize() + ("." if r.random() < 0.75 else "")
 
 
 def sample_page(r: np.random.Generator) -> str:
@@ -365,18 +388,25 @@ def sample_page(r: np.random.Generator) -> str:
     for k in range(n(1, 3) if r.random() < 0.3 else n(1, 16)):
         t = _MARK + _prose(r, n(1, 12) if r.random() < 0.25 else n(12, 90))
         shape = r.random()
-        if shape < 0.70:
-            body.append(f"<p>{t}</p>")
+        if shape < 0.60:
+            body.append(f"<p>{t}</p>" if r.random() < 0.9 else f"<p>{t}")
+        elif shape < 0.66:
+            body.append(f"<p><{(b := pick(('b', 'i', 'em', 'strong', 'span')))}>{t}</{b}></p>")
+        elif shape < 0.72:
+            body.append(f"<h{n(2, 4)}>{_MARK}{_prose(r, n(1, 8))}</h2>")
+        elif shape < 0.77:
+            body.append(pick(("<ul>{}</ul>", "<ol>{}</ol>")).format("".join(f"<li>{_MARK}{_prose(r, n(2, 20))}</li>" for _ in range(n(2, 7)))))
         elif shape < 0.80:
-            body.append(f"<p><b>{t}<br>")
+            body.append(f"<blockquote><p>{t}</p></blockquote>" if r.random() < 0.5 else f"<blockquote>{t}</blockquote>")
         elif shape < 0.85:
-            body.append(f"<h{n(2, 3)}>{_MARK}{_prose(r, n(1, 8))}</h2>")
+            body.append(f'<p>{t} <a href="/x">{_prose(r, n(1, 4))}</a> {_prose(r, n(2, 20))}</p>')
         elif shape < 0.89:
-            body.append("<ul>" + "".join(f"<li>{_MARK}{_prose(r, n(2, 20))}</li>" for _ in range(n(2, 5))) + "</ul>")
+            cells = lambda tag: "".join(f"<{tag}>{_MARK}{_prose(r, n(1, 4))}</{tag}>" for _ in range(n(2, 4)))
+            body.append("<table>" + f"<tr>{cells('th')}</tr>" * (r.random() < 0.6) + "".join(f"<tr>{cells('td')}</tr>" for _ in range(n(1, 5))) + "</table>")
         elif shape < 0.92:
-            body.append(f"<blockquote><p>{t}</p></blockquote>")
+            body.append(f"<pre>{t}</pre>" if r.random() < 0.6 else f"<pre><code>{t}</code></pre>")
         elif shape < 0.95:
-            body.append(f'<p>{t} <a href="/x">{_prose(r, n(1, 4))}</a> {_prose(r, n(2, 20))}</p>')
+            body.append(f"<figure><img src='x'><figcaption>{_MARK}{_prose(r, n(2, 14))}</figcaption></figure>")
         else:
             body.append(f"<div>{t}</div>")
         if r.random() < 0.04:
@@ -422,25 +452,59 @@ def own_labels(page: list[Block]) -> np.ndarray | None:
     )
 
 
-def train(own_pages: list[str], drawn: int = 500, seed: int = 3) -> Labeller:
+_MAIN_TAG = re.compile(r"<(/?)(?:article|main)(?=[\s>])", re.I)
+_SPEAKING_TAG = re.compile(r"<(/?)(?:article|main|nav|aside|header|footer|section)(?=[\s>])", re.I)
+_SAID_WORDS = re.compile(r"\s(?:class|id|role|itemprop)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_PARAGRAPH = re.compile(r"<(/?)p(?=[\s>])", re.I)
+_NAMES = ("", "", "", ' class="c1"', ' class="col"', ' id="b"', ' class="box wide"', ' class="x7 y2"')
+
+
+def disguised(page: str, r: np.random.Generator) -> str:
+    """A page with the same blocks that says less of what they are."""
+    div = lambda m: f"<{m[1]}div" + ("" if m[1] else _NAMES[int(r.integers(len(_NAMES)))])
+    if r.random() < 0.35:
+        page = _PARAGRAPH.sub(div, page)
+    way = r.random()
+    if way < 0.45:
+        return _MAIN_TAG.sub(div, page)
+    if way < 0.60:
+        return _SPEAKING_TAG.sub(div, page)
+    if way < 0.80:
+        return _SAID_WORDS.sub("", page)
+    return _SAID_WORDS.sub("", _SPEAKING_TAG.sub(div, page))
+
+
+def train(own_pages: list[str], drawn: int = 500, seed: int = 3, most_blocks: int = 400) -> Labeller:
     r = np.random.default_rng(seed)
     x, y = [], []
+
+    def learn(page: list[Block], labels: np.ndarray, html: str) -> None:
+        x.append(describe(page))
+        y.append(labels)
+        if r.random() < 0.8:
+            other = blocks(disguised(html, r).replace(_MARK, ""))
+            if [b.text for b in other] == [b.text for b in page]:
+                x.append(describe(other))
+                y.append(labels)
+
     for _ in range(drawn):
-        page = blocks(sample_page(r))
-        if page:
-            y.append(np.array([_MARK in b.text for b in page], dtype=np.float32))
-            for b in page:
-                b.text = b.text.replace(_MARK, "") or "-"
-            x.append(describe(page))
+        html = sample_page(r)
+        page = blocks(html)
+        labels = np.array([_MARK in b.text for b in page], dtype=np.float32)
+        for b in page:
+            b.text = b.text.replace(_MARK, "")
+        if page and all(b.text for b in page):
+            learn(page, labels, html)
     for h in own_pages:
         page = blocks(h)
-        labels = own_labels(page) if 0 < len(page) <= 400 else None
+        labels = own_labels(page) if 0 < len(page) <= most_blocks else None
         if labels is not None:
-            x.append(describe(page))
-            y.append(labels)
-    for _, words, figures in x:  # some blocks without words or figures: layout and context must do
+            learn(page, labels, h)
+    for k, (paths, words, figures) in enumerate(x):  # some blocks without words, figures or path: the rest and the context must do
         words[r.random(len(words)) < 0.3] = 0
         figures[r.random(len(figures)) < 0.15] = 0
+        lost = r.random(len(paths)) < 0.1
+        x[k] = ([p[-1:] if gone else p for p, gone in zip(paths, lost)], words, figures)
     model = Labeller()
     model.fit(x, y)
     return model
@@ -459,13 +523,19 @@ def _extract(weights: dict[str, np.ndarray]):
     return run
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 300) -> DataFrame:
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 300, most_chars: int = 60_000,
+    most_blocks: int = 400,
+) -> DataFrame:
     """One row for each row of ``pages``: id, url, text, n_chars.
 
+    ``sample``, ``most_chars`` and ``most_blocks`` bound which own pages the labeller learns from; the
+    text is extracted from every page, whole.
+
     Defined cases: null or empty HTML gives empty text; so does a page without main text. Broken
-    markup is read as it stands (unclosed tags end with their parents). Null ids and urls and
-    repeated rows are carried on. An empty table gives an empty result. Other columns are ignored,
-    whatever their names.
+    markup is read as it stands (unclosed tags end with their parents). A very long page is read
+    whole. Null ids and urls, repeated ids and repeated rows are carried on. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     small_batches(spark, 300)
@@ -476,9 +546,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     n = base.count()
     share = min(1.0, 4 * sample / max(n, 1))
-    marked = base.filter(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < 60_000))
+    marked = base.filter(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= most_chars))
     at = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
     own = [r.html for r in marked.filter(at <= share).orderBy(at, "html").limit(sample).select("html").collect()]
-    weights = train(own).p
+    weights = train(own, most_blocks=most_blocks).p
     out = base.mapInArrow(_extract(weights), "id long, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
