@@ -1,14 +1,18 @@
 import datetime
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from veritext.llm import html_blocks, language_id, pii, toxicity
 
+SF = "/root/testdata/sf0.01"
 DOCS = S.StructType([S.StructField(n, t) for n, t in (("doc_id", S.LongType()), ("text", S.StringType()), ("lang", S.StringType()), ("score", S.StringType()), ("id", S.StringType()))])
 
 
@@ -169,6 +173,59 @@ def test_temperature_calibrates():
     assert 2.6 < language_id.fit_temperature(true * 3, y) < 3.4
 
 
+def plain_grams(text):
+    c = [ord(x) for x in text.lower()]
+    mask, (a, b, d) = 2**32 - 1, (int(x) for x in language_id._MANY)
+    one = [(h := x * a & mask) ^ h >> 15 for x in c]
+    two = [(h := one[i] * b + one[i + 1] & mask) ^ h >> 13 for i in range(len(c) - 1)]
+    three = [(h := two[i] * d + one[i + 2] & mask) ^ h >> 16 for i in range(len(c) - 2)]
+    return [(x * a & mask) >> 32 - language_id.BITS for x in one + two + three]
+
+
+def test_ngrams_are_of_characters():
+    for text in ("", "é", "Ab", "día Ñandú 文字 x", "aaaa"):
+        assert sorted(np.concatenate([*language_id.grams(text), np.zeros(0, np.int64)]).tolist()) == sorted(plain_grams(text))
+    assert len(set(plain_grams("éèêëēúùûüabcdefg"))) == 16 + 15 + 14
+
+
+def test_tf_idf_and_ftrl_equal_plain_python(spark):
+    texts = ["ba be ba", "žu řet žu", "xen qor", "ba žu"]
+    df = np.zeros(language_id.FEATURES)
+    for t in texts:
+        for g in set(plain_grams(t)):
+            df[g] += 1
+    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 4), pa.array(range(4)), pa.array(texts)], names=["lang", "r", "text"])
+    out = next(language_id._features(idf, 10**6)([batch]))
+    rows = [(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for p, x in zip(out.column("at").to_pylist(), out.column("x").to_pylist())]
+    for t, (at, x) in zip(texts, rows):
+        g = plain_grams(t)
+        assert dict(zip(at.tolist(), x)) == pytest.approx({f: g.count(f) / len(g) * idf[f] for f in set(g)}, rel=1e-6)
+    labels, alpha, beta, l1, l2 = [0, 1, 1, 0], 0.5, 1.0, 0.002, 0.01
+    w, bias = language_id.fit_ftrl(rows, np.array(labels), 2, language_id.FEATURES, epochs=2)
+    z, n = {}, {}
+
+    def weight(f, k):
+        v = z.get((f, k), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + n.get((f, k), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(4):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1])), language_id.FEATURES: 1.0}
+            s = [sum(v * weight(f, c) for f, v in x.items()) for c in (0, 1)]
+            p = np.exp(s) / np.exp(s).sum()
+            old = {(f, c): weight(f, c) for f in x for c in (0, 1)}
+            for (f, c), was in old.items():
+                g = x[f] * (p[c] - (labels[k] == c))
+                m = n.get((f, c), 0.0)
+                z[f, c] = z.get((f, c), 0.0) + g - ((m + g * g) ** 0.5 - m**0.5) / alpha * was
+                n[f, c] = m + g * g
+    for f in {f for f, _ in z}:
+        got = bias if f == language_id.FEATURES else w[f]
+        assert np.allclose(got, [weight(f, 0), weight(f, 1)])
+
+
 def test_ngrams_of_slices_equal_whole(monkeypatch):
     text = "Ab cé" * 50
     whole = np.sort(np.concatenate(list(language_id.grams(text))))
@@ -277,6 +334,41 @@ def test_labeller_on_drawn_pages():
     assert right >= 0.97 * total
 
 
+LOREM = "The committee met on Tuesday to discuss the new rules for boats in the harbour, and several owners spoke against them. "
+COLUMNS = f"""<html><body><div><div><div><a href="/">Home</a></div><div><a href="/w">World</a></div><div><a href="/s">Sport</a></div></div><div><div>Harbour rules debated</div><div>By A. Writer, 3 May 2021</div><div>{LOREM}
+{LOREM}</div><div>{LOREM * 3}</div><table><tr><td>Maria</td><td>120</td></tr></table><pre>one two
+three</pre><div>{LOREM * 2}</div></div><div><div><a href="/1">Storm closes port</a></div><div><a href="/2">Ferry sold</a></div></div>
+<div>Copyright 2021. All rights reserved. <a href="/p">Privacy</a></div></div></body></html>"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_labeller_without_marks(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()]
+    model = html_blocks.train(pages[:150])
+    main, speaking, said = html_blocks._MAIN_TAG, html_blocks._SPEAKING_TAG, html_blocks._SAID_WORDS
+    ways = [lambda h: h, lambda h: main.sub(r"<\1div", h), lambda h: speaking.sub(r"<\1div", h), lambda h: said.sub("", h), lambda h: said.sub("", speaking.sub(r"<\1div", h))]
+    for way in ways:
+        kept = right = mains = n = 0
+        for h in pages[150:]:
+            want = html_blocks.own_labels(html_blocks.blocks(h))
+            got = np.array(model.main_blocks([html_blocks.blocks(way(h))])[0])
+            kept, right = kept + int((got & (want > 0)).sum()), right + int((got == want).sum())
+            mains, n = mains + int(want.sum()), n + len(want)
+        assert kept >= 0.95 * mains and right >= 0.95 * n
+    page = html_blocks.blocks(COLUMNS)
+    got = [b.text for b, k in zip(page, model.main_blocks([page])[0]) if k]
+    assert len(got) >= 5 and "one two three" in got and not {"Home", "World", "Sport", "Storm closes port", "Ferry sold"} & set(got)
+
+
+def test_long_pages_and_repeated_rows(spark):
+    model = html_blocks.train([], drawn=40)
+    long = "<article>" + "<p>one two three four five.</p>" * 30_000 + "</article>"
+    assert len(model.main_blocks([html_blocks.blocks(long), [], html_blocks.blocks(PAGE)])[0]) == 30_000
+    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE)], "page_id long, url string, html string")
+    got = html_blocks.extract_text(df).collect()
+    assert len(got) == 2 and got[0] == got[1]
+
+
 def test_lstm_gradients():
     model = html_blocks.Labeller()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}

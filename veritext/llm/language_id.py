@@ -1,13 +1,19 @@
 """Language identification (operator 2).
 
-A sparse multinomial logistic regression on TF-IDF character n-grams (1 to 3 bytes of the
-lower-cased text, hashed), trained with FTRL-proximal under an elastic net (McMahan et al.,
-2013), then calibrated by a temperature on rows that the training didn't see.
+A sparse multinomial logistic regression on TF-IDF character n-grams (1 to 3 code points of the
+lower-cased text), trained with FTRL-proximal under an elastic net (McMahan et al., 2013), then
+calibrated by a temperature on rows that the training didn't see.
+
+* N-grams are hashed to ``FEATURES`` numbers (65,536). Two n-grams that share a number share its counts
+  and weight. The texts of a few languages hold some ten thousand different n-grams, so most numbers
+  that a text uses are its own; with scripts of many characters rare n-grams share more of them.
 
 * Document frequencies are counted over every learnable document (a map-side vector for each
   task, then a grouped sum of at most ``features`` rows).
 * The weights are fitted on a bounded sample of labelled rows, ``sample`` rows for each language
-  (default 800), chosen by a hash of the id; this is the documented bound of the fit.
+  (default 800) and ``total`` in all (default 20,000), chosen by a hash of the id; of each the
+  ``row_features`` n-grams that weigh most (default 4,096) are learnt from. These are the documented
+  bounds of the fit; the driver receives 32 KB a row at most.
 * tf is the share that an n-gram has in its document, so a score is a mean of weights over the
   positions of the whole text, taken by table lookup; long texts are read in full.
 """
@@ -26,21 +32,25 @@ from veritext.llm.common import small_batches
 BITS = 16
 FEATURES = 1 << BITS
 SLICE = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_MANY = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Feature numbers of all n-grams of a text, a slice at a time (a slice keeps two bytes of the one before)."""
-    raw = np.frombuffer(text.lower().encode(), dtype=np.uint8)
-    for i in range(0, len(raw), SLICE):
-        b = raw[max(0, i - 2) : i + SLICE].astype(np.uint32)
+    """Feature numbers of all n-grams of a text, a slice at a time (a slice keeps two characters of the one before)."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
+    shift = np.uint32(32 - BITS)
+    for i in range(0, len(points), SLICE):
+        c = points[max(0, i - 2) : i + SLICE]
         new = min(i, 2)
-        three = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-        two = b[max(new - 1, 0) :]
-        two = two[:-1] << 8 | two[1:] | 1 << 24
-        one = b[new:] | 2 << 24
-        yield (np.concatenate([one, two, three]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        h = c * _MANY[0]
+        one = h ^ (h >> np.uint32(15))
+        two = one[:-1] * _MANY[1] + one[1:]
+        two ^= two >> np.uint32(13)
+        three = two[:-1] * _MANY[2] + one[2:]
+        three ^= three >> np.uint32(16)
+        for part in (one[new:], two[max(new - 1, 0) :], three):
+            part *= _MANY[0]
+        yield np.concatenate([one[new:], two[max(new - 1, 0) :], three]) >> shift
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -68,15 +78,25 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole texts to their features and the share that each has."""
-    for b in batches:
-        got = [_counts(t) for t in b.column("text").to_pylist()]
-        at = [a.astype("<i4").tobytes() for a, _, _ in got]
-        share = [(n / max(total, 1)).astype("<f4").tobytes() for _, n, total in got]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("lang"), b.column("r"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "r", "at", "share"]
-        )
+def _features(idf: np.ndarray, most: int):
+    """Whole texts to their features and TF-IDF values; of more than ``most`` features those of the greatest values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, values = [], []
+            for t in b.column("text").to_pylist():
+                at, n, total = _counts(t)
+                x = n / max(total, 1) * idf[at]
+                if len(at) > most:
+                    top = np.sort(np.argsort(-x, kind="stable")[:most])
+                    at, x = at[top], x[top]
+                places.append(at.astype("<i4").tobytes())
+                values.append(x.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("lang"), b.column("r"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "r", "at", "x"]
+            )
+
+    return run
 
 
 def fit_ftrl(
@@ -147,7 +167,7 @@ class Model:
 SCALE = 100.0
 
 
-def train(learn: DataFrame, sample: int = 800, seed: str = "lang-1") -> Model | None:
+def train(learn: DataFrame, sample: int = 800, total: int = 20_000, row_features: int = 4_096, seed: str = "lang-1") -> Model | None:
     """A model from rows (id, text, lang), none of them null. Without rows: None."""
     text = learn.filter("text <> ''").select("text")
     df = np.zeros(FEATURES, dtype=np.int64)
@@ -162,17 +182,18 @@ def train(learn: DataFrame, sample: int = 800, seed: str = "lang-1") -> Model |
     if not counts or not docs:
         return None
     langs = sorted(counts)
+    sample = max(1, min(sample, total // len(langs)))
     # a little more than the sample by a hash threshold, so that no language is ranked in one task; then the exact bound
     share = F.create_map(*[x for la in langs for x in (F.lit(la), F.lit(min(1.0, 1.3 * sample / counts[la])))])
     near = learn.withColumn("r", rank).filter(F.pmod("r", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
-    got = near.select("lang", "r", "text").mapInArrow(_features, "lang string, r long, at binary, share binary").collect()
-    got.sort(key=lambda x: (x.r, x.at))
     idf = np.log((1 + docs) / (1 + df)) + 1
+    got = near.select("lang", "r", "text").mapInArrow(_features(idf, row_features), "lang string, r long, at binary, x binary").collect()
+    got.sort(key=lambda x: (x.r, x.at))
     rows, labels, held, held_labels = [], [], [], []
     for k, la in enumerate(langs):
         for i, x in enumerate([x for x in got if x.lang == la][:sample]):
             at = np.frombuffer(x.at, dtype="<i4").astype(np.int64)
-            values = np.frombuffer(x.share, dtype="<f4") * idf[at] * SCALE
+            values = np.frombuffer(x.x, dtype="<f4").astype(np.float64) * SCALE
             (held if i % 5 == 4 else rows).append((at, values))
             (held_labels if i % 5 == 4 else labels).append(k)
     w, bias = fit_ftrl(rows, np.array(labels), len(langs), FEATURES)
@@ -213,7 +234,7 @@ def identify(
     Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
     where nothing can be learnt. One language only: it is predicted with score 1. Null ids are
     carried on and never taught from where ``learnable`` is null. Rows that repeat are judged
-    alike. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    alike. Very long texts are read whole, a slice at a time. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
