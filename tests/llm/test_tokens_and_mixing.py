@@ -164,6 +164,25 @@ def test_mixing_contract(spark):
         assert abs(taken[s] - target[s]) <= 40
 
 
+def test_mixing_draws_with_unequal_probabilities(spark):
+    rows = [(i, "w " * (3 if i % 2 else 200), "a" if i < 9000 else "b", "x", "y") for i in range(9400)]
+    classes = {3: 2, 200: 7}  # binary digits of size + 1, less one
+    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    taken, n, target = Counter(), Counter(), {}
+    for x in got:
+        if x.source_size > 100_000:  # source a
+            taken[x.size] += x.copies
+            n[x.size] += 1
+            target = x.target
+    level = target / sum(n[s] * s * (4 + k) for s, k in classes.items())
+    for s, k in classes.items():
+        want = level * (4 + k)
+        share = want % 1
+        assert abs(taken[s] / n[s] - want) < 5 * (share * (1 - share) / n[s]) ** 0.5 + 1 / n[s]
+        assert {x.copies for x in got if x.size == s and x.source_size > 100_000} <= {int(want), int(want) + 1}
+    assert taken[200] / n[200] > 1.5 * taken[3] / n[3]
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, None, "x", "y"), (2, "", "a", "x", "y")], DOCS)).collect()

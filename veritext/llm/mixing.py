@@ -1,26 +1,58 @@
 """Mixing sources to target weights by Pareto order sampling (operator 9), DataFrame functions only.
 
 Each source's target is its weight's share of all words, capped at ``max_copies`` times the
-source's own words, the excess shared out again by weight (water filling, in closed form). The
-ratio target / words gives each document ``floor(ratio)`` certain copies; the rest is drawn once
-more with inclusion probability f = ratio - floor(ratio): documents are ranked by random odds
-over inclusion odds, Q = (u / (1 - u)) / (f / (1 - f)) (Rosen, 1997), and taken in this order
-until their words come nearest to what is missing. u comes from a hash of seed and id, so a
-rerun, or a run on another number of partitions, takes the same documents.
-
-No source is ranked in one task: Q is cut into ``bins`` ranges, words are added up for each
-source and range, and only the documents of the one range that holds the cut are ranked.
+source's own words, the excess shared out again by weight (water filling, in closed form). Inside a
+source longer documents are wanted more: a document's expected number of copies is in proportion to
+4 + class, where class is the number of binary digits of size + 1, less one, so that a text of a
+thousand words counts for 13 and one of ten words for 7; no document expects more than ``max_copies``,
+the excess going to the others of its source by the same water filling.
+
+The whole part of an expectation are certain copies. The rest, f, is an inclusion probability,
+unequal over documents: they are ranked by random odds over inclusion odds,
+Q = (u / (1 - u)) / (f / (1 - f)) (Rosen, 1997), and taken in this order until their words come nearest
+to what is missing. u comes from a hash of seed and id, so a rerun, or a run on another number of
+partitions, takes the same documents.
+
+No source is ranked in one task: Q is cut into ranges of about 20,000 documents, words are added up
+for each source and range, and only the documents of the one range that holds the cut are ranked.
+What passes through one task is a row for each source (and, within a source, for each size class and
+range): ten million sources are about a gigabyte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.llm.common import WORD, materialise
 
+#: What the shortest documents count for; each doubling of the size adds one.
+_LEAST = 4
+_RANGE = 20_000
+
+
+def _level(rows: DataFrame, part: list[str], total: Column, cap: str, weight: str, order: list[Column]) -> DataFrame:
+    """``rows`` with level: within each ``part`` the sum of least(cap, level * weight) is ``total``; null where all are full.
+
+    Rows fill up in the order of cap / weight, which ``order`` gives; the level is where the
+    remaining total meets the remaining weights.
+    """
+    fill, everything = Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*part)
+    upto = fill.rowsBetween(Window.unboundedPreceding, -1)
+    s = rows.select(
+        "*",
+        F.row_number().over(fill).alias("nth"),
+        F.coalesce(F.sum(cap).over(upto), F.lit(0)).alias("cap_before"),
+        F.coalesce(F.sum(weight).over(upto), F.lit(0)).alias("w_before"),
+        F.sum(weight).over(everything).alias("w_total"),
+        total.alias("all"),
+    )
+    s = s.withColumn("level", (F.col("all") - F.col("cap_before")) / (F.col("w_total") - F.col("w_before")))
+    free = F.col("level") * F.col(weight) <= F.col(cap)
+    return s.withColumn("level", F.min(F.when(free, F.struct("nth", "level"))).over(everything)["level"]).select(*rows.columns, "level")
+
 
 def _targets(sizes: DataFrame, weights: Sequence[int], max_copies: int) -> DataFrame:
     """Per source (src, source_size): its target. One row for each source throughout."""
@@ -28,25 +60,27 @@ def _targets(sizes: DataFrame, weights: Sequence[int], max_copies: int) -> DataF
     k = len(weights)
     w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(k)) + 1).cast("int"))
     s = sizes.withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * max_copies)
-    # sources fill up in the order of cap / weight; the level is where the remaining words meet the remaining weights
-    fill = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("src").asc_nulls_last())
-    upto = fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = s.select(
-        "*",
-        F.row_number().over(fill).alias("nth"),
-        F.coalesce(F.sum("cap").over(upto), F.lit(0)).alias("cap_before"),
-        F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("w_before"),
-        F.sum("source_size").over(everything).alias("total"),
-        F.sum("w").over(everything).alias("w_total"),
-    )
-    level = (F.col("total") - F.col("cap_before")) / (F.col("w_total") - F.col("w_before"))
-    s = s.withColumn("level", level).withColumn("free", F.col("level") * F.col("w") <= F.col("cap"))
-    s = s.withColumn("level", F.min(F.when(F.col("free"), F.struct("nth", "level"))).over(everything)["level"])
+    total = F.sum("source_size").over(Window.partitionBy())
+    s = _level(s, [], total, "cap", "w", [(F.col("cap") / F.col("w")).asc(), F.col("src").asc_nulls_last()])
     target = F.when(F.col("level") * F.col("w") < F.col("cap"), F.col("level") * F.col("w")).otherwise(F.col("cap").cast("double"))
     return s.select("src", "source_size", target.alias("target"))
 
 
+def _expectations(classes: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """(src, k, source_size, target, base, f, missing) from (src, k, words): what a document of each size class gets."""
+    wanted = F.lit(_LEAST) + F.col("k")
+    named = targets.withColumnRenamed("src", "t_src")
+    c = classes.join(named, F.col("src").eqNullSafe(F.col("t_src"))).drop("t_src")
+    c = c.withColumn("cap", F.col("words") * max_copies).withColumn("w", wanted * F.col("words"))
+    filled = _level(c.filter("words > 0"), ["src"], F.col("target"), "cap", "w", [F.col("k").desc()])
+    level = filled.groupBy("src").agg(F.first("level").alias("level")).withColumnRenamed("src", "l_src")
+    c = c.join(level, F.col("src").eqNullSafe(F.col("l_src")), "left")
+    copies = F.when(F.col("source_size") == 0, 0.0).when(F.col("level") * wanted < max_copies, F.col("level") * wanted).otherwise(float(max_copies))
+    c = c.withColumn("copies", copies).withColumn("base", F.floor("copies").cast("long")).withColumn("f", F.col("copies") - F.col("base"))
+    certain = F.sum(F.col("base") * F.col("words")).over(Window.partitionBy("src"))
+    return c.withColumn("missing", F.col("target") - certain).select("src", "k", "source_size", "target", "base", "f", "missing")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -55,7 +89,7 @@ def mix(
     weights: Sequence[int] = (1, 2, 3),
     max_copies: int = 3,
     seed: str = "mix-1",
-    bins: int = 4096,
+    bins: int | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken.
 
@@ -64,7 +98,7 @@ def mix(
 
     Defined cases: a null text has size 0; a null source is a source of its own; documents of
     size 0 get copies like any other and add no words; a source without words has target 0 and
-    no copies. Rows repeated with one id share their random number and are ranked next to each
+    no copies. Very long texts are counted whole. Rows repeated with one id share their random number and are ranked next to each
     other. A null id is a value like any other. An empty table gives an empty result. Other
     columns are ignored, whatever their names.
     """
@@ -76,16 +110,15 @@ def mix(
         docs.select(ident.alias("id"), F.col(source_col).cast("string").alias("src"), words.cast("long").alias("size"), u.alias("u")),
         "op9",
     )
-    sizes = d.groupBy("src").agg(F.sum("size").alias("source_size"))
-    ratio = F.col("target") / F.col("source_size")
-    plan = _targets(sizes, weights, max_copies)
-    plan = plan.withColumn("base", F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(0).cast("long"))
-    plan = plan.withColumn("f", F.when(F.col("source_size") > 0, ratio - F.col("base")).otherwise(0.0))
-    plan = plan.withColumn("missing", F.col("target") - F.col("base") * F.col("source_size"))
-    plan = materialise(plan, "op9-plan")
+    bins = bins or max(4096, d.count() // _RANGE)
+    d = d.withColumn("k", F.length(F.bin(F.col("size") + 1)) - 1)
+    classes = materialise(d.groupBy("src", "k").agg(F.sum("size").alias("words")), "op9-classes")
+    sizes = classes.groupBy("src").agg(F.sum("words").alias("source_size"))
+    plan = materialise(_expectations(classes, _targets(sizes, weights, max_copies), max_copies), "op9-plan")
 
     def ranked(d: DataFrame, plan: DataFrame) -> DataFrame:
-        j = d.join(plan.withColumnRenamed("src", "p_src"), F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")
+        p = plan.withColumnsRenamed({"src": "p_src", "k": "p_k"})
+        j = d.join(p, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("k") == F.col("p_k"))).drop("p_src", "p_k")
         odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
         j = j.withColumn("q", F.when(F.col("f") > 0, odds))
         return j.withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * bins), F.lit(bins - 1)).cast("int"))

@@ -124,11 +124,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 AS u
   FROM documents),
+d AS (SELECT *, length(bin(size + 1)) - 1 AS k FROM d0),
 s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w
@@ -145,18 +146,30 @@ s3 AS (
   SELECT *, (SELECT level0 FROM s2 WHERE level0 * w <= cap ORDER BY nth LIMIT 1) AS level FROM s2),
 s4 AS (
   SELECT source, source_size, CASE WHEN level * w < cap THEN level * w ELSE cap::DOUBLE END AS target FROM s3),
-s5 AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS base,
-         CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS f
-  FROM s4),
+c0 AS (SELECT source, k, sum(size)::BIGINT AS words FROM d GROUP BY source, k),
+c1 AS (
+  SELECT c0.source, k, words, source_size, target, 3 * words AS cap, (4 + k) * words AS w
+  FROM c0 JOIN s4 ON c0.source IS NOT DISTINCT FROM s4.source),
+c2 AS (
+  SELECT *, row_number() OVER fill AS nth,
+         (target - coalesce(sum(cap) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / (sum(w) OVER (PARTITION BY source) - coalesce(sum(w) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level0
+  FROM c1 WHERE words > 0 WINDOW fill AS (PARTITION BY source ORDER BY k DESC)),
+c3 AS (SELECT source, arg_min(level0, nth) FILTER (level0 * w <= cap) AS level FROM c2 GROUP BY source),
+c4 AS (
+  SELECT c1.*, CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN level * (4 + k) < 3 THEN level * (4 + k) ELSE 3.0::DOUBLE END AS copies
+  FROM c1 LEFT JOIN c3 ON c1.source IS NOT DISTINCT FROM c3.source),
+c5 AS (
+  SELECT *, floor(copies)::BIGINT AS base, copies - floor(copies) AS f,
+         target - (sum(floor(copies)::BIGINT * words) OVER (PARTITION BY source))::DOUBLE AS missing
+  FROM c4),
 j AS (
-  SELECT d.doc_id, d.size, s5.source, s5.source_size, s5.target, s5.base, s5.f,
-         s5.target - s5.base * s5.source_size AS missing,
-         CASE WHEN s5.f > 0 THEN (d.u / (1 - d.u)) / (s5.f / (1 - s5.f)) END AS q
-  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+  SELECT d.doc_id, d.size, c5.source, c5.source_size, c5.target, c5.base, c5.f, c5.missing,
+         CASE WHEN c5.f > 0 THEN (d.u / (1 - d.u)) / (c5.f / (1 - c5.f)) END AS q
+  FROM d JOIN c5 ON d.source IS NOT DISTINCT FROM c5.source AND d.k = c5.k),
 r AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM j)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
+  SELECT *, sum(CASE WHEN f > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM j)
+SELECT doc_id, size, source_size, target,
        (size * (base + CASE WHEN f > 0 AND upto - size / 2 <= missing THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
