@@ -224,8 +224,8 @@ def test_ratio(spark):
 def test_style_flags_read_whole_texts(spark, tmp_path):
     texts = ["The cat is here. " * 8 + "Done now.", "The end is near.", ""]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    [r] = queries.queries()["style_flags_whole"](spark, str(tmp_path)).collect()
-    assert (r.premises, r.plain, r.closes, r.of_the) == (8, 8, 1, 0)
+    [r] = queries.queries()["style_flags"](spark, str(tmp_path)).collect()
+    assert (r.canonical, r.other, r.therefore, r.other_conclusion, r.loose_pronoun) == (8, 0, 1, 1, 0)
 
 
 def test_similar_classes_hold_all_copies(spark):
@@ -239,7 +239,7 @@ def test_similar_classes_hold_all_copies(spark):
 def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")
-    got = queries.answers_and_rewards_all(spark, str(tmp_path)).collect()
+    got = queries.answers_and_rewards(spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.turn, r.reward) for r in got) == [(1, 1, 1.0), (1, 3, 1.0), (2, 0, 0.0)]
 
 
@@ -247,3 +247,43 @@ def test_prompt_grid_takes_a_table_of_topics(spark):
     topics = spark.range(1000).selectExpr("CAST(id AS STRING) AS name")
     assert formats.prompt_grid(spark, topics, {"a": "{topic}", "b_invalid": "{topic}"}).count() == 4000
     assert formats.prompt_grid(spark, topics, {"a": "{topic}"}, 16).select("topic").distinct().count() == 3
+
+
+def test_generation_job(spark):
+    text = "All cats {0} purr. All purring things sleep. Therefore, all cats {0} sleep."
+    rows = [(i, str(i), text.format("of kind " + chr(97 + i)), True, None) for i in range(4)] + [(9, "y", "One. Two.", True, True)]
+    base = spark.createDataFrame(rows, "base_index long, id string, syllogism string, validity boolean, plausibility boolean")
+    out = generate.generate_dataset(spark, 21, mode="mixed", base=base, ratio=0.5, premise_counts=(3, 4))
+    got = out.collect()
+    assert len(got) == 21 and len({r.syllogism for r in got}) == 21 and sorted(r.slot for r in got) == list(range(21))
+    assert sum(r.metadata.source == "base" for r in got) == 10  # round(10.5), halves to even
+    assert set(generate.public(out, metadata=True, ids=False).columns) == {"syllogism", "validity", "plausibility", "relevant_premises", "metadata"}
+    assert generate.generate_dataset(spark, 6, mode="base", base=base).count() == 6 and generate.generate_dataset(spark, 0).count() == 0
+    for wrong in ({"mode": "other"}, {"ratio": 2.0}, {"mode": "base"}, {"premise_counts": (1,)}, {"style": "odd"}):
+        with pytest.raises(ValueError):
+            generate.generate_dataset(spark, 5, **wrong)
+    with pytest.raises(ValueError):
+        generate.generate_dataset(spark, 5, mode="base", base=base.filter("base_index = 9"))
+
+
+def test_texts_that_repeat_draw_again(spark):
+    base = spark.createDataFrame([(0, "x", "A b. C d. E f.", True, True)], "base_index long, id string, syllogism string, validity boolean, plausibility boolean")
+    lex = generate.Lexicon(["t"], {"d": [("plants", "shrubs", "roses")]}, [("a", "b", "c")], ["old", "new"], ["odd", "even"])
+    got = generate.inject(base, count=30, premise_counts=(3,), lexicon=lex, style="canonical").collect()
+    assert len(got) == 30 and len({r.syllogism.lower() for r in got}) == 30
+    slots = spark.range(0, 40).withColumnRenamed("id", "slot")
+    first = generate.generate(slots, 40)
+    again = generate.generate(slots, 40, taken=first).collect()
+    assert not {r.syllogism for r in first.collect()} & {r.syllogism for r in again} and len(again) == 40
+
+
+def test_prediction_files(spark, tmp_path):
+    gold = spark.createDataFrame([("1", True, True), ("2", False, False)], "id string, validity boolean, plausibility boolean")
+    texts = {"good": '[{"id": "1", "validity": true}, {"id": "2", "validity": "no"}]', "broken": "[{", "object": "{}", "numbers": "[1]", "empty": "[]", "void": ""}
+    for n, t in texts.items():
+        (tmp_path / f"{n}.json").write_text(t)
+    got = {r.system: r for r in score.score_files(spark, gold, {n: str(tmp_path / f"{n}.json") for n in (*texts, "absent")}).collect()}
+    assert {n: r.status for n, r in got.items()} == {
+        "good": "ok", "broken": "unreadable", "object": "unreadable", "numbers": "unreadable", "empty": "incomplete", "void": "unreadable", "absent": "unreadable",
+    }
+    assert (got["good"].total, got["good"].accuracy, got["broken"].content_effect, got["broken"].combined) == (1, 100.0, 100.0, 0.0)

@@ -57,6 +57,26 @@ def test_base_rows(spark, tmp_path):
         R.base_rows(R.read_container(spark, put(tmp_path / "b.json", rows[1:])))
 
 
+def test_arrays_are_dealt_to_files(spark, tmp_path):
+    df = spark.range(25).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('é "'), F.col("id").cast("string"))).alias("t"))
+    R.write_arrays(df, str(tmp_path / "a"), F.col("id"), rows_per_file=5)
+    files = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("*.txt")]
+    assert len(files) > 2 and sorted(x["id"] for f in files for x in f) == list(range(25)) and all(set(x) == {"id", "t"} for f in files for x in f)
+    back = R.read_training(spark, [str(tmp_path / "a")], "id long, t string")
+    assert back.exceptAll(df).count() == 0 and back.count() == 25
+
+
+def test_lines_and_items_must_be_objects(spark, tmp_path):
+    for name, text in (("a.jsonl", '{"i": 1}\n17\n'), ("b.jsonl", '{"i": \n'), ("c.json", '[{"i": 1}, 2]'), ("d.json", '{"data": [1]}')):
+        with pytest.raises(R.InputError):
+            R.read_container(spark, put(tmp_path / name, text))
+
+
+def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, "", " a "), (2, None, '"'), (3, "x,\ny", None), (4, "\\N", "NULL")], "i int, t string, u string")
+    assert sorted(map(str, R.csv_round_trip(df, str(tmp_path / "c")).collect())) == sorted(map(str, df.collect()))
+
+
 def test_round_trips(spark, tmp_path):
     schema = "id string, text string, ok boolean"
     a = put(tmp_path / "a.json", [{"id": "1", "text": 'é "q"\n, x', "ok": True}, {"id": "2", "text": "", "ok": None}])

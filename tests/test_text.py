@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +69,17 @@ def test_content_words_and_bytes(spark):
     df = spark.createDataFrame([(bytearray(b"ab\xffc\xc3\xa9"),)], "b binary")
     assert df.select(T.valid_text(F.col("b"))).first()[0] == "abcé"
     assert _one(spark, ["\n\na\nb\n"], T.one_line(F.col("t")))[0][0] == "a b"
+
+
+def test_sentences_of_long_and_odd_texts(spark):
+    odd = [". a.", "a..b!", "?!", "a. b", ".a", "x" * 50, " . ", "é!ü?", "a.\u00a0b.", "..", "a .b ."]
+    got = [r[0] for r in _one(spark, odd, T.sentences(F.col("t")))]
+    for t, g in zip(odd, got):
+        flat = " ".join(t.split())
+        found = [x.strip() for x in re.findall(r"[^.!?]+[.!?]", flat)]
+        rough = [x.strip() for x in re.split(r"(?<=[.!?])\s+|\.\s*", flat) if x.strip()]
+        assert g == (found or [x if x[-1] in ".!?" else x + "." for x in rough]), t
+    began = time.time()
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("no mark "), 131_072), F.lit("end")).alias("t"))
+    assert long.select(F.size(T.sentences(F.col("t")))).first()[0] == 1
+    assert time.time() - began < 10  # a megabyte without end marks; rescanning each tail takes hours

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, the information separators and next-line included.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: Fixed value: the plain form of a statement.
+CATEGORICAL = r"^(All|No|Some) .+ are( not)? .+\.$"
 #: Words that don't count as content.
 STOP_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "can", "from", "in", "is", "it", "its", "no", "not", "of", "on", "or", "some", "that",
@@ -101,17 +103,17 @@ def is_spread(indexes: Column) -> Column:
     return (F.size(s) >= 2) & F.exists(gaps, lambda g: g > 1)
 
 
-def is_categorical(sentence: Column) -> Column:
+def is_categorical(sentence: Column, plain: str = CATEGORICAL) -> Column:
     """Of the plain form all / no / some ... are (not) ..."""
-    return sentence.rlike(r"^(All|No|Some) .+ are( not)? .+\.$")
+    return sentence.rlike(plain)
 
 
 def ends_with_conclusion(parts: Column, marker: str = "Therefore,") -> Column:
     return F.when(F.size(parts) > 0, F.startswith(F.element_at(parts, -1), F.lit(marker))).otherwise(False)
 
 
-def has_loose_pronoun(text: Column) -> Column:
-    return F.contains(signature(text), F.lit(" of them "))
+def has_loose_pronoun(text: Column, pronoun: str = " of them ") -> Column:
+    return F.contains(signature(text), F.lit(pronoun))
 
 
 def capitalise(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
-from veritext.operators import audit, dedup, formats, forms, generate, rules, score
+from veritext.operators import audit, dedup, formats, rules, score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _norm(c: str) -> str:
+def norm_sql(c: str) -> str:
     return _NORM.format(c)
 
 
-def _sentences_sql(c: str) -> str:
-    flat = _norm(c)
+def sentences_sql(c: str) -> str:
+    flat = norm_sql(c)
     rough = f"list_filter(list_transform(string_split_regex({flat}, '\\.\\s*'), lambda s: trim(s, ' ')), lambda s: s <> '')"
     rough = f"list_transform({rough}, lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END)"
     return f"CASE WHEN len({_PARTS.format(flat)}) > 0 THEN {_PARTS.format(flat)} ELSE {rough} END"
@@ -57,7 +57,14 @@ def _predictions(labels: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, rows)
 
 
-_SCORE_SQL = """
+def gold_and_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, sf_dir, "labels")
+    gold = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("validity"), (F.col("toxic") == 0).alias("plausibility"))
+    return gold, _predictions(labels)
+
+
+SCORE_COLUMNS = ("accuracy", "intra", "inter", "content_effect", "combined")
+SCORE_SQL = """
 WITH gold AS (SELECT doc_id AS id, quality = 1 AS v, toxic = 0 AS p FROM labels),
 pred AS (
   SELECT 'third' AS system, doc_id AS id, doc_id % 3 <> 0 AS said FROM labels
@@ -89,35 +96,14 @@ FROM e
 """
 
 
-@query(_SCORE_SQL)
+@query(SCORE_SQL)
 def score_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    gold = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("validity"), (F.col("toxic") == 0).alias("plausibility"))
-    out = score.score(gold, _predictions(labels))
-    shown = ("accuracy", "intra", "inter", "content_effect", "combined")
-    return out.withColumns({c: F.round(c, 9) for c in shown})
+    return score.score(*gold_and_predictions(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in SCORE_COLUMNS})
 
 
 _ANSWER = "CASE conv_id % 5 WHEN 0 THEN ' It is valid' WHEN 1 THEN ' It is invalid' WHEN 2 THEN ' So this isn''t valid' WHEN 3 THEN ' valid or invalid' ELSE ' TRUE' END"
 
 
-@query(
-    f"""
-WITH l AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1),
-a AS (SELECT conv_id, text || {_ANSWER} AS answer FROM conversations JOIN l USING (conv_id, turn) WHERE role = 'assistant'),
-p AS (SELECT *, list_last(string_split(trim(answer, E' \\n\\t'), '.')) AS part, list_last(string_split(trim(lower(answer), E' \\n\\t'), '.')) AS low FROM a)
-SELECT conv_id, contains(answer, 'TRUE') AS said_true, regexp_matches(part, '\\bvalid\\b') AS said_valid,
-  CASE WHEN regexp_matches(low, '\\bnot\\b|n''t\\b') OR NOT (regexp_matches(low, '\\bvalid\\b') OR regexp_matches(low, '\\binvalid\\b')) THEN 0.0
-       WHEN CASE WHEN conv_id % 2 = 0 THEN regexp_matches(low, '\\bvalid\\b') ELSE regexp_matches(low, '\\binvalid\\b') END THEN 1.0 ELSE -1.0 END::DOUBLE AS reward
-FROM p
-"""
-)
-def answers_and_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers and rewards of each conversation's last assistant turn, as its SQL has it; ``answers_and_rewards_all`` takes every one."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return _rewarded(c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")), "conv_id")
-
-
 @query(
     f"""
 WITH a AS (SELECT conv_id, turn, text || {_ANSWER} AS answer FROM conversations WHERE role = 'assistant'),
@@ -128,7 +114,7 @@ SELECT conv_id, turn, contains(answer, 'TRUE') AS said_true, regexp_matches(part
 FROM p
 """
 )
-def answers_and_rewards_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers_and_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers and rewards of every assistant turn."""
     return _rewarded(table(spark, sf_dir, "conversations").filter("role = 'assistant'"), "conv_id", "turn")
 
@@ -147,7 +133,7 @@ def _rewarded(turns: DataFrame, *keys: str) -> DataFrame:
 # --- ids and duplicates --------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, sha256({_norm('text')}) AS id, sha256(lower({_norm('text')})) AS key FROM documents")
+@query(f"SELECT doc_id, sha256({norm_sql('text')}) AS id, sha256(lower({norm_sql('text')})) AS key FROM documents")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.content_id(F.col("text")).alias("id"), F.sha2(T.signature(F.col("text")), 256).alias("key"))
@@ -174,7 +160,7 @@ def without_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_all_copies(table(spark, sf_dir, "documents"), F.col("text")).select("doc_id", "source")
 
 
-@query(f"SELECT count(*) - count(DISTINCT lower({_norm('text')})) AS repeats FROM documents")
+@query(f"SELECT count(*) - count(DISTINCT lower({norm_sql('text')})) AS repeats FROM documents")
 def repeat_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeat_count(table(spark, sf_dir, "documents"), T.signature(F.col("text")))
 
@@ -220,7 +206,14 @@ def _placed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.struct("doc_id", "pos").alias("id"), "s")
 
 
-@query()
+@query(
+    f"""
+WITH d AS (SELECT doc_id, {sentences_sql('text')} AS p FROM documents),
+s AS (SELECT doc_id, unnest(range(len(p)))::INTEGER AS pos, lower(unnest(p)) AS s FROM d),
+f AS (SELECT s, min((doc_id, pos)) AS m FROM s GROUP BY s)
+SELECT doc_id, pos, struct_extract(m, 1) AS class_doc_id, struct_extract(m, 2) AS class_pos FROM s JOIN f USING (s)
+"""
+)
 def similar_sentence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each sentence of each document, by the place (doc_id, position) of its first occurrence."""
     c = dedup.similar_classes(_placed_sentences(spark, sf_dir), "id", "s")
@@ -257,8 +250,8 @@ def merge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH p AS (SELECT unnest({_sentences_sql('text')}) AS s FROM documents)
-SELECT lower({_norm('s')}) AS sentence, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, sentence LIMIT 20
+WITH p AS (SELECT unnest({sentences_sql('text')}) AS s FROM documents)
+SELECT lower({norm_sql('s')}) AS sentence, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, sentence LIMIT 20
 """
 )
 def top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +270,7 @@ def label_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH d AS (SELECT lang, source, quality, toxic, len({_sentences_sql('text')}) AS k FROM documents LEFT JOIN labels USING (doc_id)),
+WITH d AS (SELECT lang, source, quality, toxic, len({sentences_sql('text')}) AS k FROM documents LEFT JOIN labels USING (doc_id)),
 m AS (
   SELECT 'lang' AS metric, lang AS key FROM d UNION ALL SELECT 'source', source FROM d
   UNION ALL SELECT 'quality', CASE quality WHEN 1 THEN 'true' WHEN 0 THEN 'false' END FROM d
@@ -358,48 +351,35 @@ def artifact_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.artifact_warnings(o, F.col("x"), F.col("o_orderstatus"), most=0.05)
 
 
-@query(
-    f"""
-WITH d AS (SELECT {_sentences_sql('text')} AS p, lower({_norm('text')}) AS low FROM documents),
-h AS (SELECT p, low, list_slice(p, 1, 5) AS h FROM d),
-c AS (SELECT *, len(list_filter(h, lambda s: regexp_matches(s, '^(Is|The|On) .+ [a-z]+\\.$'))) AS k FROM h)
-SELECT sum(len(h))::BIGINT AS premises, sum(k)::BIGINT AS plain, count(*) FILTER (len(p) > 0 AND starts_with(p[-1], 'The ')) AS closes,
-  count(*) FILTER (contains(low, ' of the ')) AS of_the
+def _style_sql(plain: str, marker: str, pronoun: str) -> str:
+    return f"""
+WITH d AS (SELECT {sentences_sql('text')} AS p, lower({norm_sql('text')}) AS low FROM documents),
+h AS (SELECT p, low, CASE WHEN len(p) > 1 THEN list_slice(p, 1, len(p) - 1) ELSE [] END AS h FROM d),
+c AS (SELECT *, len(list_filter(h, lambda s: regexp_matches(s, '{plain}'))) AS k, len(p) > 0 AND starts_with(p[-1], '{marker}') AS closes FROM h)
+SELECT sum(k)::BIGINT AS canonical, sum(len(h) - k)::BIGINT AS other, count(*) FILTER (closes) AS therefore,
+  count(*) FILTER (NOT closes AND len(p) > 0) AS other_conclusion, count(*) FILTER (contains(low, '{pronoun}')) AS loose_pronoun
 FROM c
 """
-)
-def style_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The style counters with patterns that these texts hold (they have no syllogisms).
 
-    Its SQL takes the first five sentences of each document as premises; ``style_flags_whole`` takes all but the last.
-    """
-    return _style_flags(spark, sf_dir, F.lit(5))
 
+_PLAIN = r"^(Is|The|On) .+ [a-z]+\.$"
 
-@query(
-    f"""
-WITH d AS (SELECT {_sentences_sql('text')} AS p, lower({_norm('text')}) AS low FROM documents),
-h AS (SELECT p, low, CASE WHEN len(p) > 1 THEN list_slice(p, 1, len(p) - 1) ELSE [] END AS h FROM d),
-c AS (SELECT *, len(list_filter(h, lambda s: regexp_matches(s, '^(Is|The|On) .+ [a-z]+\\.$'))) AS k FROM h)
-SELECT sum(len(h))::BIGINT AS premises, sum(k)::BIGINT AS plain, count(*) FILTER (len(p) > 0 AND starts_with(p[-1], 'The ')) AS closes,
-  count(*) FILTER (contains(low, ' of the ')) AS of_the
-FROM c
-"""
-)
+
+def _premises() -> Column:
+    """All sentences but the last are premises."""
+    return F.greatest(F.size("parts") - 1, F.lit(0))
+
+
+@query(_style_sql(_PLAIN, "The ", " of the "))
+def style_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style counters with patterns that these texts hold (they have no syllogisms)."""
+    return audit.style_counts(table(spark, sf_dir, "documents"), F.col("text"), _premises(), _PLAIN, "The ", " of the ")
+
+
+@query(_style_sql(T.CATEGORICAL, "Therefore,", " of them "))
 def style_flags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The style counters over all sentences; each document's own premise count is what stands before its last sentence."""
-    return _style_flags(spark, sf_dir, F.greatest(F.size("p") - 1, F.lit(0)))
-
-
-def _style_flags(spark: SparkSession, sf_dir: str, premise_count: Column) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(T.sentences(F.col("text")).alias("p"), T.signature(F.col("text")).alias("low"))
-    d = d.withColumn("h", F.slice("p", F.lit(1), premise_count))
-    return d.agg(
-        F.sum(F.size("h")).alias("premises"),
-        F.sum(F.size(F.filter("h", lambda s: s.rlike(r"^(Is|The|On) .+ [a-z]+\.$")))).alias("plain"),
-        F.count_if(T.ends_with_conclusion(F.col("p"), "The ")).alias("closes"),
-        F.count_if(F.contains("low", F.lit(" of the "))).alias("of_the"),
-    )
+    """The style counters with their own patterns."""
+    return audit.style_counts(table(spark, sf_dir, "documents"), F.col("text"), _premises())
 
 
 @query(
@@ -428,7 +408,7 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (
   SELECT doc_id AS r, text, CASE WHEN doc_id % 17 <> 0 THEN quality = 1 END AS v, CASE WHEN doc_id % 13 <> 0 THEN toxic = 0 END AS p,
     CASE WHEN doc_id % 3 = 0 THEN [doc_id % 7, doc_id % 5 - 1] ELSE [] END AS rel
-  FROM documents JOIN labels USING (doc_id)),
+  FROM documents LEFT JOIN labels USING (doc_id)),
 e AS (
   SELECT *, v IS NOT NULL AND p IS NOT NULL AS ok, concat_ws(',', CASE WHEN v IS NULL THEN 'validity' END, CASE WHEN p IS NULL THEN 'plausibility' END) AS missing,
     instr(text, ' the ') AS found_at,
@@ -448,7 +428,7 @@ SELECT row, rule, detail FROM x
 """
 )
 def stress_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     rel = F.when(i % 3 == 0, F.array((i % 7).cast("int"), (i % 5 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     x = d.select(
@@ -461,37 +441,6 @@ def stress_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- forms ---------------------------------------------------------------------------------------------------------
 
 
-@query(
-    """
-WITH f AS (SELECT * FROM (VALUES (1, 'M', 'P', 'S', 'M'), (2, 'P', 'M', 'S', 'M'), (3, 'M', 'P', 'M', 'S'), (4, 'P', 'M', 'M', 'S')) t(figure, ms, mp, ns, np)),
-r AS (SELECT * FROM (VALUES ('S', 240), ('P', 204), ('M', 170)) t(role, mask)),
-c AS (
-  SELECT figure, a.f || b.f || c.f AS mood, a.f AS fa, b.f AS fb, c.f AS fc, x.mask AS ms, y.mask AS mp, z.mask AS ns, u.mask AS np
-  FROM f, (VALUES ('A'), ('E'), ('I'), ('O')) a(f), (VALUES ('A'), ('E'), ('I'), ('O')) b(f), (VALUES ('A'), ('E'), ('I'), ('O')) c(f),
-    r x, r y, r z, r u WHERE x.role = f.ms AND y.role = f.mp AND z.role = f.ns AND u.role = f.np),
-m AS (SELECT range AS m FROM range(256) WHERE m & 240 <> 0 AND m & 204 <> 0 AND m & 170 <> 0),
-v AS (
-  SELECT figure, mood, NOT bool_or(
-    CASE fa WHEN 'A' THEN ms & ~mp & m = 0 WHEN 'E' THEN ms & mp & m = 0 WHEN 'I' THEN ms & mp & m <> 0 ELSE ms & ~mp & m <> 0 END AND
-    CASE fb WHEN 'A' THEN ns & ~np & m = 0 WHEN 'E' THEN ns & np & m = 0 WHEN 'I' THEN ns & np & m <> 0 ELSE ns & ~np & m <> 0 END AND NOT
-    CASE fc WHEN 'A' THEN 240 & ~204 & m = 0 WHEN 'E' THEN 240 & 204 & m = 0 WHEN 'I' THEN 240 & 204 & m <> 0 ELSE 240 & ~204 & m <> 0 END) AS valid
-  FROM c, m GROUP BY ALL),
-o AS (
-  SELECT substr('AEIO', (o_orderkey % 4 + 1)::INT, 1) || substr('AEIO', (o_orderkey // 4 % 4 + 1)::INT, 1) || substr('AEIO', (o_orderkey // 16 % 4 + 1)::INT, 1) AS mood,
-    (o_orderkey // 64 % 5)::INTEGER AS figure FROM orders)
-SELECT valid AS form_valid, count(*) AS n, count(DISTINCT (o.mood, o.figure)) AS forms FROM o LEFT JOIN v ON o.mood = v.mood AND o.figure = v.figure GROUP BY 1
-"""
-)
-def form_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moods and figures read off the order keys (figure 0 doesn't exist), labelled by the catalogue."""
-    k = F.col("o_orderkey")
-    letter = lambda e: F.substring(F.lit("AEIO"), (e % 4 + 1).cast("int"), F.lit(1))
-    o = table(spark, sf_dir, "orders").select(
-        F.concat(letter(k), letter(F.floor(k / 4)), letter(F.floor(k / 16))).alias("mood"), (F.floor(k / 64) % 5).cast("int").alias("figure")
-    )
-    return forms.label_forms(o).groupBy("form_valid").agg(F.count("*").alias("n"), F.countDistinct("mood", "figure").alias("forms"))
-
-
 # --- splits and formats --------------------------------------------------------------------------------------------
 
 
@@ -547,10 +496,9 @@ FROM n, f, p WHERE r <= 13
 """
 )
 def prompt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid over 13 of the nations, as its SQL has it; ``prompt_grid_parts`` takes all distinct part names."""
-    names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(100).collect()]  # 25 nations
+    """A grid over the first 13 nations by name, as n = 100 asks for; ``prompt_grid_parts`` takes all distinct part names."""
     shapes = {"valid_short": "A {plausibility} case on {topic}.", "invalid_short": "A broken {plausibility} case on {topic}."}
-    return formats.prompt_grid(spark, names, shapes, 100)
+    return formats.prompt_grid(spark, table(spark, sf_dir, "nation").select("n_name"), shapes, 100)
 
 
 @query(
@@ -569,37 +517,7 @@ def prompt_grid_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.prompt_grid(spark, table(spark, sf_dir, "part").select("p_name").distinct(), shapes)
 
 
-# --- generation ----------------------------------------------------------------------------------------------------
-
-
-@query()
-def generated_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One example for each order, the order's rank being its slot."""
-    return generate.generate_like(table(spark, sf_dir, "orders"), "o_orderkey")
-
-
-@query()
-def generated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.example_audit(generated_examples(spark, sf_dir))
-
-
-@query()
-def generated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many generated rows there are and how many break a rule (none)."""
-    x = generated_examples(spark, sf_dir)
-    bad = rules.example_violations(x, F.col("slot"))
-    return x.agg(F.count("*").alias("rows")).crossJoin(bad.agg(F.count("*").alias("violations")))
-
-
-@query()
-def injected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distractors put into the documents that have exactly three sentences."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    base = d.select(
-        F.col("doc_id").alias("base_index"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("syllogism"),
-        (F.col("quality") == 1).alias("validity"), (F.col("toxic") == 0).alias("plausibility"),
-    )
-    return generate.inject(base)
+from veritext.jobs import dataset_queries as _more  # noqa: E402, F401  (registers its queries)
 
 
 def queries() -> dict:

@@ -87,19 +87,24 @@ def top_sentences(df: DataFrame, text: Column, limit: int = 20, first: Column |
     return sentence_counts(df, text, first).orderBy(F.desc("n"), "sentence").limit(limit)
 
 
-def style_counts(df: DataFrame, text: Column, premises: Column) -> DataFrame:
-    """One row: canonical and other premises, Therefore and other conclusions, rows with a loose pronoun."""
+def style_counts(
+    df: DataFrame, text: Column, premises: Column, plain: str = T.CATEGORICAL, marker: str = "Therefore,", pronoun: str = " of them "
+) -> DataFrame:
+    """One row: canonical and other premises, marked and other conclusions, rows with a loose pronoun.
+
+    ``premises`` says how many of a row's sentences are premises; it may use the column parts, its sentences.
+    """
     parts = T.sentences(text)
-    body = df.select(parts.alias("parts"), text.alias("t"), premises.alias("k"))
+    body = df.withColumns({"parts": parts, "t": text}).select("parts", "t", premises.alias("k"))
     head = F.slice("parts", F.lit(1), F.col("k"))
-    canonical = F.size(F.filter(head, T.is_categorical))
-    closes = T.ends_with_conclusion(F.col("parts"))
+    canonical = F.size(F.filter(head, lambda s: T.is_categorical(s, plain)))
+    closes = T.ends_with_conclusion(F.col("parts"), marker)
     return body.agg(
         F.sum(canonical).alias("canonical"),
         F.sum(F.size(head) - canonical).alias("other"),
         F.count_if(closes).alias("therefore"),
         F.count_if(~closes & (F.size("parts") > 0)).alias("other_conclusion"),
-        F.count_if(T.has_loose_pronoun(F.col("t"))).alias("loose_pronoun"),
+        F.count_if(T.has_loose_pronoun(F.col("t"), pronoun)).alias("loose_pronoun"),
     )
 
 

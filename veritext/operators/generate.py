@@ -276,9 +276,12 @@ def generate(
     style: str = "mixed",
     lexicon: Lexicon | None = None,
     rounds: int = 30,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
     """Examples (slot, id, syllogism, validity, plausibility, relevant_premises, metadata), no two with one core or one text.
 
+    ``taken`` has further texts in a column syllogism, which no example may repeat.
+
     ``slots`` holds the numbers 0 to total - 1 in a column slot. Of slots that collide the lowest
     keeps its draw and the others draw again with the next attempt; only they are made anew, while
     the keys of all others are compared. More than ``rounds`` rounds means that the lexicon is too
@@ -292,16 +295,19 @@ def generate(
     w = _Words(lexicon or default_lexicon(), style)
     pending, rows = slots.select(F.col("slot").cast("long").alias("slot"), F.lit(0).alias("attempt")), total
     kept: DataFrame | None = None
+    others = None
+    if taken is not None:
+        text = F.sha2(T.signature(F.col("syllogism")), 256)
+        others = taken.select(F.lit(-1).cast("long").alias("slot"), F.lit(True).alias("whole"), F.lit(0).alias("new"), F.lit(None).cast("string").alias("c"), text.alias("t"))
     for _ in range(rounds):
         # slots are a few bytes each but cost much to fill, so they are dealt by number, not by size
         pending = plan_slots(pending.repartition(1 + rows // 5_000), total, premise_counts)
         new = written(_draw_examples(pending, catalog, sizes, w, seed, max(premise_counts) - 2, semantics), "drawn")
-        keys = new.select("slot", "whole", F.lit(1).alias("new"), F.sha2("metadata.core_signature", 256).alias("c"), F.sha2(F.lower("syllogism"), 256).alias("t"))
-        if kept is not None:
-            old = kept.select("slot", F.lit(True).alias("whole"), F.lit(0).alias("new"), F.sha2("metadata.core_signature", 256).alias("c"), F.sha2(F.lower("syllogism"), 256).alias("t"))
-            keys = old.unionByName(keys)
+        keys = _keys(new, F.col("whole"), 1)
+        for old in (kept, others):
+            keys = keys if old is None else keys.unionByName(old if old is others else _keys(old, F.lit(True), 0))
         first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("new", F.desc("whole"), "slot"))
-        keys = keys.withColumn("fc", first("c")).withColumn("ft", first("t"))
+        keys = keys.withColumn("fc", first("c")).withColumn("ft", first("t")).withColumn("fc", F.when(F.col("new") == 1, F.col("fc")))
         won = written(keys.filter("new = 1 and whole and fc = 1 and ft = 1").select("slot"), "won")
         good = new.join(won, "slot", "left_semi")
         kept = good if kept is None else kept.unionByName(good)
@@ -313,6 +319,12 @@ def generate(
     raise RuntimeError(f"no {total} different examples after {rounds} rounds: the lexicon is too small")
 
 
+def _keys(x: DataFrame, whole: Column, new: int) -> DataFrame:
+    """What must differ between examples, as hashes."""
+    core, text = F.sha2("metadata.core_signature", 256), F.sha2(F.lower("syllogism"), 256)
+    return x.select("slot", whole.alias("whole"), F.lit(new).alias("new"), core.alias("c"), text.alias("t"))
+
+
 def generate_like(df: DataFrame, key: str, **options) -> DataFrame:
     """As many examples as ``df`` has rows; a row's slot is its number by a hash of ``key``."""
     slots = written(numbered(df.select(key), F.col(key)).select("slot"), "slots")
@@ -371,20 +383,101 @@ def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int],
     turn = F.floor(F.col("slot") / k)
     for c, which in (("i", 0), ("j", 1)):
         x = x.withColumn(c, _chain([(F.col("premise_count") == n, F.get(F.array(*[F.lit(p[which]) for p in positions(n)]), (turn % len(positions(n))).cast("int"))) for n in set(premise_counts)]))
-    at = (seed, F.col("slot"), F.lit("inject"))
     parts = F.col("parts")
-    x = _with_distractors(x, w, seed, max(premise_counts) - 2, rounds)
-    x = x.withColumn("_swap", T.draw(2, *at, "swap") == 1).withColumn("base_syllogism", F.col("syllogism"))
-    x = x.withColumn("first", F.when(F.col("_swap"), parts[1]).otherwise(parts[0])).withColumn("second", F.when(F.col("_swap"), parts[0]).otherwise(parts[1]))
-    x = _assemble(x.withColumn("conclusion", parts[2]))
-    return x.select(
+    kept: DataFrame | None = None
+    pending = x
+    for attempt in range(rounds):
+        again = f"{seed}+{attempt}" if attempt else seed
+        new = _with_distractors(pending, w, again, max(premise_counts) - 2, rounds)
+        new = new.withColumn("_swap", T.draw(2, again, F.col("slot"), F.lit("inject"), "swap") == 1).withColumn("base_syllogism", F.col("syllogism"))
+        new = new.withColumn("first", F.when(F.col("_swap"), parts[1]).otherwise(parts[0])).withColumn("second", F.when(F.col("_swap"), parts[0]).otherwise(parts[1]))
+        new = written(_assemble(new.withColumn("conclusion", parts[2])), "joined")
+        # of equal texts the one kept already, or the lowest slot, stays; the others draw again
+        keys = new.select("slot", F.lit(1).alias("new"), F.sha2(F.lower("syllogism"), 256).alias("t"))
+        if kept is not None:
+            keys = kept.select("slot", F.lit(0).alias("new"), F.sha2(F.lower("syllogism"), 256).alias("t")).union(keys)
+        lost = keys.withColumn("nth", F.row_number().over(Window.partitionBy("t").orderBy("new", "slot"))).filter("nth > 1")
+        lost = written(lost.select("slot"), "again")
+        good = new.join(lost, "slot", "left_anti")
+        kept = good if kept is None else kept.unionByName(good)
+        if lost.isEmpty():
+            break
+        pending = pending.join(lost, "slot", "left_semi")
+    else:
+        raise RuntimeError(f"texts still repeat after {rounds} rounds: the lexicon is too small")
+    return kept.select(
         "slot", T.content_id(F.col("syllogism")).alias("new_id"), "syllogism", "validity", "plausibility", "relevant_premises",
-        F.coalesce("id", T.content_id(F.col("base_syllogism"))).alias("base_id"), "base_index", T.signature(F.col("base_syllogism")).alias("core_signature"),
+        F.coalesce("id", T.content_id(F.col("base_syllogism"))).alias("base_id"), "base_index", "base_syllogism",
+        T.signature(F.col("base_syllogism")).alias("core_signature"), F.array("first", "second").alias("core_premises"), "conclusion", "i", "j",
         "premise_count", (F.col("premise_count") - 2).alias("num_injected_distractors"),
         F.when(F.col("_swap"), "minor_major").otherwise("major_minor").alias("core_order"),
     )
 
 
+def injected_examples(injected: DataFrame, style: str = "mixed") -> DataFrame:
+    """Rows of ``inject`` in the layout of ``generate``; plausibility that is null counts as true."""
+    none = lambda kind: F.lit(None).cast(kind)
+    meta = F.struct(
+        F.lit("base").alias("source"), none("string").alias("semantics"), F.lit(style).alias("style"), none("string").alias("schema_name"),
+        none("int").alias("figure"), none("string").alias("mood"), none("string").alias("fallacy"), F.array("i", "j").alias("candidate_premises"),
+        "core_signature", "core_premises", F.col("core_order").alias("core_premise_order_in_output"), F.col("conclusion").alias("core_conclusion"),
+        none("string").alias("topic"), "premise_count", "base_id", F.col("num_injected_distractors").cast("int").alias("num_injected_distractors"),
+    )
+    return injected.select(
+        "slot", F.col("new_id").alias("id"), "syllogism", "validity", F.coalesce("plausibility", F.lit(True)).alias("plausibility"), "relevant_premises",
+        meta.alias("metadata"),
+    )
+
+
+def generate_dataset(
+    spark: SparkSession,
+    count: int,
+    premise_counts: Sequence[int] = (5, 6, 7),
+    seed: str = "42",
+    semantics: str = "aristotelian",
+    figures: Iterable[int] = (1, 2, 3),
+    style: str = "mixed",
+    mode: str = "synthetic",
+    base: DataFrame | None = None,
+    ratio: float = 0.5,
+    lexicon: Lexicon | None = None,
+) -> DataFrame:
+    """A whole dataset in the layout of ``generate``: drawn, made unique, and checked before it is returned.
+
+    ``mode`` is ``synthetic``, ``base`` (distractors put into the rows of ``base``, see ``inject``) or
+    ``mixed``: round(count * ratio) rows from base, halves to even, and the rest synthetic. No text
+    occurs twice over both parts. Rows that break a rule are an error, as are arguments out of range.
+    ``public`` gives the published columns, ``shuffled`` an order.
+    """
+    from veritext.operators import rules
+
+    if mode not in ("synthetic", "base", "mixed"):
+        raise ValueError("mode is synthetic, base or mixed")
+    if not 0 <= ratio <= 1:
+        raise ValueError("ratio must lie between 0 and 1")
+    if mode != "synthetic" and base is None:
+        raise ValueError(f"mode {mode} needs base rows")
+    if any(n < 2 for n in premise_counts):
+        raise ValueError("an example has two premises at least")
+    from_base = {"synthetic": 0, "base": count, "mixed": round(count * ratio)}[mode]
+    parts = []
+    if from_base:
+        old = injected_examples(inject(base, from_base, premise_counts, seed, style, lexicon), style)
+        parts.append(written(old, "from-base"))
+        if parts[0].count() < from_base:
+            raise ValueError("no base row has exactly three sentences and a validity")
+    if count > from_base:
+        total = count - from_base
+        slots = spark.range(total).withColumnRenamed("id", "slot")
+        new = generate(slots, total, premise_counts, seed, semantics, figures, style, lexicon, taken=parts[0] if parts else None)
+        parts.append(written(new.withColumn("slot", F.col("slot") + from_base), "synthetic"))
+    if not parts:
+        return generate(spark.range(0).withColumnRenamed("id", "slot"), 0, premise_counts, seed, semantics, figures, style, lexicon)
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rules.fail_on(rules.example_violations(out, F.col("slot"), semantics, figures))
+    return out
+
+
 def mix_by_ratio(base: DataFrame, synthetic: DataFrame, count: int, ratio: float, order_base: Column, order_synthetic: Column) -> DataFrame:
     """The first round(count * ratio) base rows (halves to even) and as many synthetic ones as are missing."""
     if not 0 <= ratio <= 1:

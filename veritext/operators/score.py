@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.sources.readers import field
+
 
 def parse_word(answer: Column, word: str = "TRUE") -> Column:
     """True where the answer contains the word, anywhere and in this case."""
@@ -87,3 +90,34 @@ def score(gold: DataFrame, predictions: DataFrame, order: Column | None = None,
 def combined(accuracy: Column, effect: Column) -> Column:
     """Accuracy damped by the logarithm of the content effect; a negative effect gives 0."""
     return F.when(effect < 0, 0.0).otherwise(accuracy / (1 + F.log1p(effect)))
+
+
+def score_files(spark: SparkSession, gold: DataFrame, systems: dict[str, str], order: Column | None = None) -> DataFrame:
+    """``score`` for prediction files: ``systems`` maps names to JSON-array files of (id, validity), or to folders of them.
+
+    A system whose file isn't there, or isn't an array of objects with a text as id, scores 0 with
+    content effect 100 and has status ``unreadable``; it doesn't stop the others. A validity that isn't
+    a boolean counts as none.
+    """
+    raw = spark.createDataFrame([(s, None) for s in systems], "system string, value string")
+    for name, path in systems.items():
+        try:
+            raw = raw.union(spark.read.text(path, wholetext=True).select(F.lit(name), "value"))
+        except AnalysisException:  # no such path: the system has no file
+            continue
+    files = raw.filter("value is not null").select("system", F.try_parse_json("value").alias("doc"))
+    is_array = F.coalesce(F.schema_of_variant("doc").startswith("ARRAY"), F.lit(False))
+    files = files.withColumn("items", F.when(is_array, F.try_variant_get("doc", "$", "array<variant>")))
+    files = files.withColumn("good", F.coalesce(F.forall("items", lambda v: field(v, "id", "string").isNotNull()), F.lit(False)))
+    by = raw.select("system").distinct().join(files.groupBy("system").agg(F.bool_and("good").alias("good")), "system", "left")
+    bad = by.filter(~F.coalesce("good", F.lit(False))).select("system")
+    one = files.join(bad, "system", "left_anti").select("system", F.explode("items").alias("v"))
+    said = one.select("system", field(F.col("v"), "id", "string").alias("id"), field(F.col("v"), "validity", "boolean").alias("validity"))
+    out = score(gold, said, order)
+    # files without items have no row of predictions
+    empty = by.select("system").join(bad, "system", "left_anti").join(out.select("system"), "system", "left_anti")
+    zero = lambda t, effect, status: t.select(
+        "system", *[F.lit(0).cast("long").alias(c) for c in ("total", "correct")], *[F.lit(0.0).alias(c) for c in ("accuracy", "intra", "inter")],
+        F.lit(effect).alias("content_effect"), F.lit(0.0).alias("combined"), F.lit(status).alias("status"),
+    )
+    return out.union(zero(bad, 100.0, "unreadable")).union(zero(empty, 0.0, "incomplete"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from veritext.functions import text as T
 
@@ -27,19 +27,19 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def read_arrays(spark: SparkSession, paths: str | list[str], check: bool = True) -> DataFrame:
+def read_arrays(spark: SparkSession, paths: str | list[str], check: bool = True, name: str = "*.json") -> DataFrame:
     """(file, pos, v): the items of JSON-array files, found in directories as well; v is a VARIANT.
 
     A file that isn't an array, or an item that isn't an object, is an error with ``check``;
     finding no file always is.
     """
     try:
-        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
+        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(paths, wholetext=True)
     except AnalysisException as e:
         raise InputError(f"no such path: {paths}") from e
     files = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
     if not raw.inputFiles():
-        raise InputError(f"no *.json file in {paths}")
+        raise InputError(f"no {name} file in {paths}")
     if check:
         bad = files.filter(~F.coalesce(_kind(F.col("doc")).startswith("ARRAY"), F.lit(False))).select("file").limit(1).collect()
         if bad:
@@ -56,9 +56,9 @@ def read_arrays(spark: SparkSession, paths: str | list[str], check: bool = True)
 def read_container(spark: SparkSession, path: str) -> DataFrame:
     """(pos, v) from a flexible file: lines of objects (.jsonl), an array, an object that holds an array under a known key,
     or one object. An empty file has no rows; anything else is an error."""
-    if path.endswith(".jsonl"):
+    if path.rstrip("/").endswith(".jsonl"):
         lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("pos", F.monotonically_increasing_id())
-        return lines.select("pos", F.parse_json("value").alias("v"))
+        return _objects(lines.select("pos", F.try_parse_json("value").alias("v")), path)
     doc = spark.read.text(path, wholetext=True).filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     doc = doc.select(F.try_parse_json("value").alias("doc"))
     if not doc.filter(~F.coalesce(_kind(F.col("doc")).rlike("^(ARRAY|OBJECT)"), F.lit(False))).isEmpty():
@@ -68,7 +68,15 @@ def read_container(spark: SparkSession, path: str) -> DataFrame:
     doc.withColumn("found", found).createOrReplaceTempView("_veritext_container")
     many = spark.sql("SELECT cast(e.pos AS bigint) AS pos, e.value AS v FROM _veritext_container c, LATERAL variant_explode(c.found) AS e")
     one = spark.sql("SELECT 0L AS pos, doc AS v FROM _veritext_container WHERE found IS NULL")
-    return many.union(one)
+    return _objects(many.union(one), path)
+
+
+def _objects(items: DataFrame, path: str) -> DataFrame:
+    """``items`` (pos, v), all of which must be objects."""
+    bad = items.filter(~F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))).select("pos").limit(1).collect()
+    if bad:
+        raise InputError(f"item {bad[0].pos} of {path} isn't an object")
+    return items
 
 
 def field(v: Column, name: str, kind: str) -> Column:
@@ -123,12 +131,39 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_arrays(df: DataFrame, path: str, key: Column, rows_per_file: int = 10_000) -> None:
+    """JSON-array files of about ``rows_per_file`` rows each, UTF-8, dealt and ordered by a hash of ``key``.
+
+    A file is one string in one task, so its rows are bounded; ``write_lines`` has no such bound.
+    """
+    files = max(1, -(-df.count() // rows_per_file))
+    rows = df.select(F.xxhash64(key).alias("h"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    by = rows.groupBy(F.pmod("h", F.lit(files)).alias("f")).agg(F.array_sort(F.collect_list(F.struct("h", "j"))).alias("a"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ",\n"), F.lit("]"))
+    by.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def to_lines(spark: SparkSession, array_path: str, path: str, schema: StructType | str) -> None:
-    """A JSON-array file as JSON lines."""
+    """A JSON-array file, or a folder of them, as JSON lines."""
     write_lines(read_training(spark, [array_path], schema), path)
 
 
+#: Stands for a quoted empty text while a CSV file is read, where null is an empty text without quotes.
+_EMPTY = "\u0000empty\u0000"
+_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as CSV with a header and read back with its schema; texts may hold quotes and line ends."""
-    df.write.option("header", "true").option("escape", '"').csv(path)
-    return df.sparkSession.read.schema(df.schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    """``df`` written as CSV with a header and read back with its schema.
+
+    Texts may hold quotes, line ends and outer white space; an empty text stays empty and null stays null.
+    """
+    df.write.options(**_CSV, emptyValue='""').csv(path)
+    back = df.sparkSession.read.schema(df.schema).options(**_CSV, multiLine="true", emptyValue=_EMPTY).csv(path)
+    texts = [f.name for f in df.schema.fields if f.dataType == StringType()]
+    return back.withColumns({c: F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)) for c in texts})
+
+
+def csv_to_lines(df: DataFrame, csv_path: str, path: str) -> None:
+    """``df`` through CSV to JSON records, one a line."""
+    write_lines(csv_round_trip(df, csv_path), path)
