@@ -202,13 +202,13 @@ def test_near_duplicate_vectors_bound_rows_from_behind(spark, monkeypatch):
     x = (np.array([1, 1, 1, 1]) / 2 + rng.standard_normal((1500, 4)) * 0.12).astype("<f4")
     real = embedding_dedup._compare
 
-    def bounded(blocks, threshold):
+    def bounded(blocks, threshold, kind):
         def run(batches):
             batches = list(batches)
             n = Counter(g for b in batches for g in b.column("group").to_pylist())
             if n and max(n.values()) > 4 * tile:  # two tiles, unevenly filled
                 raise ValueError(f"a group of {max(n.values())} vectors")
-            yield from real(blocks, threshold)(iter(batches))
+            yield from real(blocks, threshold, kind)(iter(batches))
 
         return run
 
@@ -224,6 +224,19 @@ def test_near_duplicate_vectors_bound_rows_from_behind(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()) - 1, int(component[i])) for i in range(len(x))}
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e200])
+def test_double_vectors_and_repeated_ids(spark, scale):
+    r = np.random.default_rng(6)
+    x = np.repeat(r.standard_normal((20, 16)), 3, axis=0) + r.standard_normal((60, 16)) * 0.1
+    rows = [(i, (v * scale).tolist(), 1) for i, v in enumerate(x)] + [(0, (x[0] * scale).tolist(), 1)]
+    u = np.vstack([x, x[:1]])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & ~np.eye(61, dtype=bool)
+    want = components(range(60), [(int(a) % 60, int(b) % 60) for a, b in zip(*np.nonzero(near))])
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((y.vec_id, y.n_links, y.component_id) for y in got) == sorted((i % 60, int(near[i].sum()), want[i % 60]) for i in range(61))
+
+
 def test_near_duplicate_vectors_odd_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, "x", 1), (1, [1.0, 0.0], 1, "x", 1), (2, [1.0, 0.0], None, "x", 1)], VEC)
     assert sorted((y.vec_id or 0, y.n_links, y.kept) for y in embedding_dedup.near_duplicate_vectors(df).collect()) == [(0, 0, True), (1, 0, True), (2, 0, True)]

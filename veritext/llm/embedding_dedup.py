@@ -4,10 +4,12 @@ Vectors are scaled to length one and turned by a fixed random rotation, which sp
 energy evenly over the axes. Two of them at cosine c are at squared distance 2 - 2c. Cut into
 ``blocks`` blocks, some block of such a pair holds at most its proportional share of it (the
 pigeonhole principle). So each block is range-joined by itself under the share: vectors are put
-into the cells of a grid over the block's first two axes, a cell as wide as the range, and every
-vector is shown to its own cell and to the four cells ahead of it, so that each pair of
-neighbouring cells meets once. Inside a cell, block distances sieve the pairs, and survivors are
-checked on the whole vectors in double precision.
+into the cells of a grid over the block's first two axes, and a vector is shown to its own cell and to
+those of the four cells ahead of it whose border is within the range, so that each pair that may be
+near meets once. Cells are ``span`` ranges wide: one range where a label has many vectors, more where
+a cell of that width would still fit a tile, as wide cells show fewer vectors twice. Inside a task rows
+meet in cells of one range again; block distances sieve the pairs, and survivors are checked on the
+whole vectors in double precision.
 
 A pair that is near in several blocks is counted in the first of them only, so no pair has to be
 shuffled or made distinct: a cell gives each vector's number of links there and, for the
@@ -42,8 +44,9 @@ def _edges(dim: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:]))
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f4").reshape(len(raw), -1).astype(np.float64)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]  # squares of large components stay finite
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -57,12 +60,16 @@ def _ahead(lo: int, hi: int) -> list[tuple[int, int]]:
     return [(1, -1), (1, 0), (1, 1), (0, 1)] if hi - lo > 1 else [(1, 0)]
 
 
-def _spread(blocks: int, threshold: float, own_only: bool = False):
-    """(rep, label, w, vec) to a row for each block and cell: own cell (side 0) and the four cells ahead (side 1).
+def _range(threshold: float, lo: int, hi: int, dim: int) -> float:
+    """How far apart a near pair may be on an axis of a block."""
+    return math.sqrt(_share(2 - 2 * threshold, lo, hi, dim, 3 * _SLACK))
 
-    own_only: just the own cells, without the vectors.
+
+def _spread(blocks: int, threshold: float, kind: str, bare: bool = False):
+    """(rep, label, w, span, vec) to a row for each block and cell: own cell (side 0) and cells ahead within range (side 1).
+
+    bare: without the vectors.
     """
-    total = 2 - 2 * threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,20 +79,30 @@ def _spread(blocks: int, threshold: float, own_only: bool = False):
             sizes = np.array([len(v) for v in vecs])
             for size in np.unique(sizes).tolist():  # vectors of other sizes are other groups
                 at = np.flatnonzero(sizes == size)
-                x = _unit([vecs[i] for i in at])
+                x = _unit([vecs[i] for i in at], kind)
                 dim = x.shape[1]
                 x = x @ rotation(dim)
-                own = b.take(pa.array(at))
+                span = b.column("span").to_numpy(zero_copy_only=False)[at].astype(np.float64)[:, None]
                 for k, (lo, hi) in enumerate(_edges(dim, blocks)):
-                    width = math.sqrt(_share(total, lo, hi, dim, 3 * _SLACK))
-                    two = np.floor(x[:, lo : min(lo + 2, hi)] / width).astype(np.int64)
-                    two = np.pad(two, ((0, 0), (0, 2 - two.shape[1])))
-                    for p, q in [(0, 0)] if own_only else [(0, 0), *_ahead(lo, hi)]:
-                        n = len(at)
+                    reach = _range(threshold, lo, hi, dim)
+                    y = x[:, lo : min(lo + 2, hi)] / (reach * span)
+                    y = np.pad(y, ((0, 0), (0, 2 - y.shape[1])))
+                    own = np.floor(y)
+                    up = own + 1 - y <= (1 + 1e-6) / span  # within range of the cell above, on each axis
+                    down = y - own <= (1 + 1e-6) / span
+                    for p, q in [(0, 0), *_ahead(lo, hi)]:
+                        near = np.ones(len(at), dtype=bool)
+                        for axis, step in enumerate((p, q)):
+                            near &= up[:, axis] if step > 0 else down[:, axis] if step < 0 else True
+                        to = np.flatnonzero(near)
+                        n = len(to)
+                        if not n:
+                            continue
+                        rows = b.take(pa.array(at[to]))
                         cols = [
-                            own.column("rep"), own.column("label"), own.column("w"), pa.nulls(n, pa.binary()) if own_only else own.column("vec"),
+                            rows.column("rep"), rows.column("label"), rows.column("w"), pa.nulls(n, pa.binary()) if bare else rows.column("vec"),
                             pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, k), pa.int32()),
-                            pa.array(two[:, 0] + p, pa.int64()), pa.array(two[:, 1] + q, pa.int64()),
+                            pa.array(own[to, 0].astype(np.int64) + p, pa.int64()), pa.array(own[to, 1].astype(np.int64) + q, pa.int64()),
                             pa.array(np.full(n, int(bool(p or q))), pa.int32()),
                         ]
                         yield pa.RecordBatch.from_arrays(cols, names=_CELL)
@@ -94,26 +111,32 @@ def _spread(blocks: int, threshold: float, own_only: bool = False):
 
 
 _CELL = ["rep", "label", "w", "vec", "dim", "block", "x", "y", "side"]
-_SIZE = ["label", "dim", "block", "x", "y", "own", "behind"]
 
 
-def _seen_ahead(blocks: int):
-    """Rows of _SIZE with own counts to these and, for each cell ahead, the same count as behind."""
+def _meetings(mine: np.ndarray, other: np.ndarray, cells: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of ``mine`` with the rows that they may be near to by their cells of one range: (rows, against, rows are against).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for label, dim, block, x, y, n in zip(*(b.column(c).to_pylist() for c in _SIZE[:6])):
-                out.append((label, dim, block, x, y, n, 0))
-                out += [(label, dim, block, x + p, y + q, 0, n) for p, q in _ahead(*_edges(dim, blocks)[block])]
-            if out:
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_SIZE)
+    ``same``: pairs inside mine count too, each once.
+    """
 
-    return run
+    def by_cell(rows: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        order = rows[np.lexsort((cells[rows, 1], cells[rows, 0]))]
+        c = cells[order]
+        turn = np.flatnonzero((c[1:] != c[:-1]).any(axis=1)) + 1
+        return {tuple(cells[part[0]].tolist()): part for part in np.split(order, turn) if len(part)}
 
+    own, rest = by_cell(mine), by_cell(other)
+    around = [(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1)]
+    for (x, y), rows in own.items():
+        if same and len(rows) > 1:
+            yield rows, rows, True
+        near = [own[x + p, y + q] for p, q in ((1, -1), (1, 0), (1, 1), (0, 1)) if (x + p, y + q) in own] if same else []
+        near += [rest[x + p, y + q] for p, q in around if (x + p, y + q) in rest]
+        if near:
+            yield rows, np.concatenate(near), False
 
-def _compare(blocks: int, threshold: float):
+
+def _compare(blocks: int, threshold: float, kind: str):
     """Rows sorted by group to (kind 0: rep, links) and (kind 1: rep, other rep)."""
     total = 2 - 2 * threshold
 
@@ -124,39 +147,43 @@ def _compare(blocks: int, threshold: float):
         turned = x @ rotation(dim)
         same = bool((side < 2).all())
         mine, other = np.flatnonzero(side == (0 if same else 3)), np.flatnonzero(side == (1 if same else 2))
+        places = np.floor(turned[:, lo : min(lo + 2, hi)] / _range(threshold, lo, hi, dim)).astype(np.int64)
+        places = np.pad(places, ((0, 0), (0, 2 - places.shape[1])))
+        part = turned[:, lo:hi]
+        square = (part * part).sum(1)
         tree = np.arange(len(rep))  # vectors with equal entries are connected by what was found so far
         links = np.zeros(len(rep), dtype=np.int64)
-        for p in range(0, len(mine), 512):
-            row = mine[p : p + 512]
-            facing = np.concatenate([mine[p:], other]) if same else other
-            for c in range(0, len(facing), 2048):
-                against = facing[c : c + 2048]
-                a, b = turned[row, lo:hi], turned[against, lo:hi]
-                d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                near = d <= _share(total, lo, hi, dim, 2 * _SLACK)
-                if same:  # inside the tile each pair once
-                    near &= c + np.arange(len(against))[None, :] > np.arange(len(row))[:, None]
-                i, j = np.nonzero(near)
-                for q in range(0, len(i), 200_000):
-                    r, s = row[i[q : q + 200_000]], against[j[q : q + 200_000]]
-                    ok = np.einsum("ij,ij->i", x[r], x[s]) >= threshold
-                    r, s = r[ok], s[ok]
-                    if not len(r):
-                        continue
-                    gap = (turned[r] - turned[s]) ** 2
-                    first = gap[:, lo:hi].sum(1) <= _share(total, lo, hi, dim)
-                    for lo2, hi2 in spans[:block]:
-                        first &= gap[:, lo2:hi2].sum(1) > _share(total, lo2, hi2, dim)
-                    r, s = r[first], s[first]
-                    links += np.bincount(r, w[s], len(rep)).astype(np.int64) + np.bincount(s, w[r], len(rep)).astype(np.int64)
-                    turn = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
-                    for u, v in zip(turn, [*turn[1:], len(r)]):
-                        met, at = np.unique(tree[s[u:v]], return_index=True)
-                        new = met != tree[r[u]]
-                        if new.any():
-                            out[2].append(np.full(int(new.sum()), rep[r[u]]))
-                            out[3].append(rep[s[u:v][at[new]]])
-                            tree[np.isin(tree, met[new])] = tree[r[u]]
+        for rows, facing, alone in _meetings(mine, other, places, same):
+            for p in range(0, len(rows), 512):
+                row = rows[p : p + 512]
+                ahead = facing[p:] if alone else facing
+                for c in range(0, len(ahead), 2048):
+                    against = ahead[c : c + 2048]
+                    d = square[row][:, None] + square[against][None, :] - 2 * part[row] @ part[against].T
+                    near = d <= _share(total, lo, hi, dim, 2 * _SLACK)
+                    if alone:  # inside the cell each pair once
+                        near &= c + np.arange(len(against))[None, :] > np.arange(len(row))[:, None]
+                    i, j = np.nonzero(near)
+                    for q in range(0, len(i), 200_000):
+                        r, s = row[i[q : q + 200_000]], against[j[q : q + 200_000]]
+                        ok = np.einsum("ij,ij->i", x[r], x[s]) >= threshold
+                        r, s = r[ok], s[ok]
+                        if not len(r):
+                            continue
+                        gap = (turned[r] - turned[s]) ** 2
+                        first = gap[:, lo:hi].sum(1) <= _share(total, lo, hi, dim)
+                        for lo2, hi2 in spans[:block]:
+                            first &= gap[:, lo2:hi2].sum(1) > _share(total, lo2, hi2, dim)
+                        r, s = r[first], s[first]
+                        links += np.bincount(r, w[s], len(rep)).astype(np.int64) + np.bincount(s, w[r], len(rep)).astype(np.int64)
+                        turn = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
+                        for u, v in zip(turn, [*turn[1:], len(r)]):
+                            met, at = np.unique(tree[s[u:v]], return_index=True)
+                            new = met != tree[r[u]]
+                            if new.any():
+                                out[2].append(np.full(int(new.sum()), rep[r[u]]))
+                                out[3].append(rep[s[u:v][at[new]]])
+                                tree[np.isin(tree, met[new])] = tree[r[u]]
         got = np.flatnonzero(links)
         out[0].append(rep[got])
         out[1].append(links[got])
@@ -181,7 +208,7 @@ def _compare(blocks: int, threshold: float):
             for end in cut:
                 side = held[3][at:end]
                 if end - at > 1 and ((side == 0) | (side == 3)).any():
-                    cell(int(held[1][at]), int(held[2][at]), side, held[4][at:end], held[5][at:end], _unit(held[6][at:end]), out)
+                    cell(int(held[1][at]), int(held[2][at]), side, held[4][at:end], held[5][at:end], _unit(held[6][at:end], kind), out)
                 at = end
             held = [x[at:] for x in held]
             if out[0]:
@@ -204,19 +231,21 @@ def _batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of floats to bytes; null where a vector can't be compared."""
-    for b in batches:
-        col = b.column("vec")
-        out = []
-        for v in col:
-            x = None
-            if v.is_valid and len(v.values) and v.values.null_count == 0:
-                x = v.values.to_numpy(zero_copy_only=False).astype("<f4")
-                ok = np.isfinite(x).all() and float(np.dot(x.astype(np.float64), x.astype(np.float64))) > 0
-                x = (x + np.float32(0)).tobytes() if ok else None  # -0 as 0
-            out.append(x)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], names=["id", "label", "vec"])
+def _pack_vectors(kind: str):
+    """Arrays of numbers to bytes; null where a vector can't be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column("vec"):
+                x = None
+                if v.is_valid and len(v.values) and v.values.null_count == 0:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind)
+                    x = (x + x.dtype.type(0)).tobytes() if np.isfinite(x).all() and x.any() else None  # -0 as 0
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], names=["id", "label", "vec"])
+
+    return run
 
 
 def near_duplicate_vectors(
@@ -226,7 +255,7 @@ def near_duplicate_vectors(
     label_col: str | None = "label",
     threshold: float = 0.98,
     blocks: int = 8,
-    tile: int = 2048,
+    tile: int = 8192,
 ) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id, kept.
 
@@ -236,7 +265,8 @@ def near_duplicate_vectors(
 
     Defined cases: a vector that is null, empty, zero, or holds null or non-finite components
     links with nothing, nor does one with a null label; vectors of different sizes never link.
-    A row with a null id is linked with nothing and kept. Equal vectors are links of one another.
+    Columns of doubles are compared as they are, of other numbers as floats. A row with a null id is
+    linked with nothing and kept. Equal vectors are links of one another.
     Rows that repeat an id with the same vector and label count as further vectors; ids are
     otherwise expected to be unique. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
@@ -244,19 +274,22 @@ def near_duplicate_vectors(
     spark = vectors.sparkSession
     small_batches(spark, 1000)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<float>").alias("vec"))
-    packed = materialise(rows.mapInArrow(_pack_vectors, "id long, label string, vec binary"), "op1")
+    kind, number = ("<f8", "double") if vectors.schema[vector_col].dataType.simpleString() == "array<double>" else ("<f4", "float")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("vec"))
+    packed = materialise(rows.mapInArrow(_pack_vectors(kind), "id long, label string, vec binary"), "op1")
     usable = packed.filter("vec is not null and label is not null and id is not null")
     classes = materialise(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "op1-classes")
+    # a cell of one range has some (0.226 * 0.226) of a label's vectors, if these are spread evenly; wider ones while they fit a tile
+    wide = F.least(F.lit(1000), F.greatest(F.lit(1), F.floor(F.sqrt(tile / F.col("count")) / 0.226))).cast("int")
+    spans = materialise(classes.groupBy("label").count().select("label", wide.alias("span")), "op1-labels")
+    spanned = classes.join(spans, "label").select("rep", "label", "w", "span", "vec")
 
-    cells = classes.select("rep", "label", "w", "vec").mapInArrow(
-        _spread(blocks, threshold), "rep long, label string, w long, vec binary, dim int, block int, x long, y long, side int"
-    )
+    schema = "rep long, label string, w long, vec binary, dim int, block int, x long, y long, side int"
+    cells = spanned.mapInArrow(_spread(blocks, threshold, kind), schema)
     where = ["label", "dim", "block", "x", "y"]
     # own rows and rows from behind are dealt to tiles of their own, and tiles meet in pairs; a single tile from behind joins each own tile's group
-    sizes = classes.select("rep", "label", "w", "vec").mapInArrow(_spread(blocks, threshold, own_only=True), cells.schema)
-    sizes = sizes.groupBy(*where).agg(F.count("*").alias("own")).mapInArrow(_seen_ahead(blocks), "label string, dim int, block int, x long, y long, own long, behind long")
-    big = sizes.groupBy(*where).agg(F.sum("own").alias("own"), F.sum("behind").alias("behind")).filter(F.greatest("own", "behind") > tile)
+    sizes = spanned.mapInArrow(_spread(blocks, threshold, kind, bare=True), schema).groupBy(*where)
+    big = sizes.agg(F.count_if(F.col("side") == 0).alias("own"), F.count_if(F.col("side") == 1).alias("behind")).filter(F.greatest("own", "behind") > tile)
     of = lambda c: F.ceil(F.col(c) / tile).cast("int")
     big = materialise(big.select(*where, of("own").alias("tiles"), F.greatest(F.lit(1), of("behind")).alias("back")), "op1-big")
     cells = cells.join(big, where, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("tiles", "back")})
@@ -279,7 +312,7 @@ def near_duplicate_vectors(
     placed = placed.select(
         F.xxhash64(*where, "m.i", "m.j").alias("group"), *where[1:3], F.col("m.s").alias("side"), "rep", "w", "vec"
     )
-    met = placed.repartition("group").sortWithinPartitions("group").mapInArrow(_compare(blocks, threshold), "kind int, a long, b long")
+    met = placed.repartition("group").sortWithinPartitions("group").mapInArrow(_compare(blocks, threshold, kind), "kind int, a long, b long")
     met = materialise(met, "op1-met")
     counts = met.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
     comp = connected_components(met.filter("kind = 1").select("a", "b"), "op1-cc")
