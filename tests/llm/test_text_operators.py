@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +290,17 @@ def test_nnpu_risk_and_slopes_equal_the_formula():
                 assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-6
 
 
+def test_repeated_rows_are_judged_alike(spark):
+    rows, _, labels = toxic_rows(200)
+    rows = [r for r in rows for _ in range(2)] + [(1, "grumblefoo nastybar", "en", "x", "y")] * 2
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    lab = spark.createDataFrame(labels + [(labels[0][0], 1, 0)], "doc_id long, toxic int, score int")
+    found = {"tox": toxicity.toxicity(df, lab, F.col("doc_id") % 3 != 1), "lang": language_id.identify(df, F.col("doc_id") % 4 != 2)}
+    for out in found.values():
+        by = Counter(tuple(r) for r in out.collect())
+        assert sum(by.values()) == len(rows) and all(n % 2 == 0 for n in by.values())
+
+
 def test_features_of_slices_equal_whole(monkeypatch):
     text = "Some words, été and more words; " * 3000
     whole = toxicity.features(text)

@@ -131,6 +131,24 @@ def test_plan_fills_exactly_where_it_can():
     assert sum(t for _, t in packing.plan_packing(counts, 50)) == 3
 
 
+def test_repeated_ids_and_rows(spark, encoder):
+    data = [(7, "same text", "a", "x", "y")] * 3 + [(7, "another one", "a", "x", "y"), (None, "same text", "a", "x", "y"), (None, None, "a", "x", "y")]
+    df = spark.createDataFrame(data, DOCS).repartition(3)
+    want = sorted((d[0] or 0, zlib.crc32(whole_ids(encoder, d[1]).tobytes())) for d in data)
+    folder, manifest = token_files.write_token_files(df)
+    got = sorted(token_files.read_token_files(spark, folder, manifest).collect(), key=lambda x: x.start)
+    assert sorted((x.doc_id or 0, x.ids_crc32) for x in got) == want
+    assert [x.start for x in got] == [sum(y.n_tokens for y in got[:k]) for k in range(len(got))] and got[0].doc_id is None
+    packed = packing.pack(df)
+    assert dict(packed.dtypes) == {
+        "doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint",
+    }
+    got = packed.collect()
+    assert sorted((x.doc_id or 0, x.ids_crc32) for x in got) == want
+    places = sorted((x.sequence_id, x.offset, x.length) for x in got)
+    assert all(b[1] == a[1] + a[2] for a, b in zip(places, places[1:]) if a[0] == b[0])
+
+
 def test_mixing_contract(spark):
     r = random.Random(9)
     data = [(i, "w " * r.choice([0, 1, 3, 10, 40]), r.choice(["hot"] * 6 + ["b", "c", "tiny", None]) if i % 50 else "tiny", "x", "y") for i in range(1500)]
