@@ -169,6 +169,17 @@ def style_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.style_counts(_part_texts(spark, sf_dir), F.col("t"), F.lit(2))
 
 
+@query(
+    f"""
+WITH t AS ({_PART_TEXT}), p AS (SELECT unnest(regexp_extract_all(t, '[^.]+[.]')[1:2]) AS s FROM t)
+SELECT lower(trim(s, ' ')) AS sentence, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, sentence LIMIT 20
+"""
+)
+def top_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most repeated of the first two sentences of each text."""
+    return audit.top_sentences(_part_texts(spark, sf_dir), F.col("t"), first=F.lit(2))
+
+
 _WORDS_SQL = "list_filter(regexp_extract_all(lower({0}), '[A-Za-z][A-Za-z''-]*'), lambda w: length(w) > 3 AND NOT list_contains([" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "], w))"
 
 
@@ -352,17 +363,24 @@ def generated_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {_ORDERS}
 SELECT slot, premise_count::INTEGER AS premise_count, validity, plausibility, figure, mood, name, fallacy, i::INTEGER AS i, j::INTEGER AS j, topic,
-  CASE WHEN validity THEN i || ',' || j ELSE '' END AS relevant, TRUE AS named_by_text, (premise_count + 1)::INTEGER AS sentences FROM x
+  CASE WHEN validity THEN i || ',' || j ELSE '' END AS relevant, TRUE AS named_by_text, TRUE AS holds_core, TRUE AS all_differ, FALSE AS loose,
+  (premise_count + 1)::INTEGER AS sentences FROM x
 """
 )
 def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each generated example is about: labels, form, places, topic; its id, and its sentences counted."""
-    m = F.col("metadata")
-    return generated_examples(spark, sf_dir).select(
+    """What each generated example is about: labels, form, places, topic; whether its id is its text's, its core stands at
+    its places and at the end, its sentences differ and are as many as they should be."""
+    m, p = F.col("metadata"), F.col("p")
+    at = F.array(F.get(p, m["candidate_premises"][0]), F.get(p, m["candidate_premises"][1]))
+    core = (F.array_sort(at) == F.array_sort(m["core_premises"])) & (F.element_at(p, -1) == m["core_conclusion"])
+    x = generated_examples(spark, sf_dir).withColumn("p", T.sentences(F.col("syllogism")))
+    return x.select(
         "slot", m["premise_count"].alias("premise_count"), "validity", "plausibility", m["figure"].alias("figure"), m["mood"].alias("mood"),
         m["schema_name"].alias("name"), m["fallacy"].alias("fallacy"), m["candidate_premises"][0].alias("i"), m["candidate_premises"][1].alias("j"),
         m["topic"].alias("topic"), T.list_text(F.col("relevant_premises")).alias("relevant"),
-        (F.col("id") == T.content_id(F.col("syllogism"))).alias("named_by_text"), F.size(T.sentences(F.col("syllogism"))).alias("sentences"),
+        (F.col("id") == T.content_id(F.col("syllogism"))).alias("named_by_text"), core.alias("holds_core"),
+        (F.size(F.array_distinct(F.transform(p, lambda s: F.lower(s)))) == F.size(p)).alias("all_differ"),
+        T.has_loose_pronoun(F.col("syllogism")).alias("loose"), F.size(p).alias("sentences"),
     )
 
 
