@@ -134,10 +134,9 @@ def _chain(cases: list[tuple[Column, Column]]) -> Column:
 
 
 def numbers(*at: Column | str | int) -> Column:
-    """Eight numbers below 2**32, n0 to n7, that depend on ``at`` alone; one hash gives them all."""
-    named = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in at])
-    part = lambda h, k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("bigint").alias(f"n{k}")
-    return F.get(F.transform(F.array(F.sha2(named, 256)), lambda h: F.struct(*[part(h, k) for k in range(8)])), F.lit(0))
+    """Eight numbers below 2**32, n0 to n7, that depend on ``at`` alone."""
+    named = [p if isinstance(p, Column) else F.lit(p) for p in at]
+    return F.struct(*[F.shiftrightunsigned(F.xxhash64(*named, F.lit(k)), 32).alias(f"n{k}") for k in range(8)])
 
 
 def _quoted(value: str) -> str:
@@ -154,6 +153,12 @@ class _Words:
     def __init__(self, lex: Lexicon, style: str):
         if style not in ("canonical", "varied", "mixed"):
             raise ValueError("style is canonical, varied or mixed")
+        flat = lambda words: [" ".join(w.split()) for w in words]
+        triples = lambda ts: [tuple(flat(t)) for t in ts]
+        lex = Lexicon(
+            lex.topics, {d: triples(ts) for d, ts in lex.domains.items()}, triples(lex.absurd), flat(lex.modifiers), flat(lex.absurd_modifiers),
+            lex.topic_domain,
+        )
         self.lex, self.style = lex, style
         triple = lambda t: "named_struct({})".format(",".join(f"'{r}',{_quoted(w)}" for r, w in zip("PMS", t)))
         pick = lambda ts: lambda n: F.get(F.expr(f"array({','.join(map(triple, ts))})"), (n % len(ts)).cast("int"))
@@ -194,7 +199,10 @@ class _Words:
         return F.concat(_nth(LEADS, nth), self.body(form, subject, predicate, z["n0"], z["n1"]), F.lit("."))
 
     def distractors(self, need: Column, most: int, plausible: Column, used: Column, avoid: Column | None, *at) -> Column:
-        """``need`` sentences that repeat nothing; fewer where the over-draw ran short."""
+        """``need`` sentences that repeat nothing, be it in another case; fewer where the over-draw ran short.
+
+        ``used`` holds lower-case sentences. Drawn sentences are built of single spaces, so lower case is their signature.
+        """
         z = F.transform(F.sequence(F.lit(0), F.lit(2 * most + 1)), lambda t: numbers(*at, "d", t))
         terms = F.transform(
             z,
@@ -208,10 +216,11 @@ class _Words:
         def one(x: Column) -> Column:
             role = lambda ks: F.concat_ws(" ", x["p"], _chain([(x["k"].isin(*v), x["t"][r]) for r, v in ks.items()]))
             subject, predicate = role({"S": (0, 1), "P": (2, 3), "M": (4, 5)}), role({"P": (0, 4), "M": (1, 2), "S": (3, 5)})
-            return self.premise(x["f"], subject, predicate, x["plain"], x["wording"])
+            return self.body(x["f"], subject, predicate, x["plain"], x["wording"])
 
-        drawn = F.transform(terms, one)
-        ok = lambda s: ~F.array_contains(used, T.signature(s)) & ~T.has_loose_pronoun(s)
+        # bodies are elements of their own, so that capitalising doesn't make each of them several times
+        drawn = F.transform(F.transform(terms, one), lambda b: F.concat(T.capitalise(b), F.lit(".")))
+        ok = lambda s: ~F.array_contains(used, F.lower(s)) & ~F.contains(F.lower(s), F.lit(" of them "))
         if avoid is not None:
             drawn = F.filter(drawn, lambda s: ~F.arrays_overlap(T.content_words(s), avoid))
         return F.slice(F.array_distinct(F.filter(drawn, ok)), F.lit(1), need)
@@ -250,7 +259,7 @@ def _draw_examples(slots: DataFrame, catalog: DataFrame, sizes: dict[bool, int],
     x = x.withColumn("_y", numbers(*at, "conclusion"))
     x = x.withColumn("conclusion", w.conclusion(form(3), F.col("_ss"), F.col("_pp"), F.col("_y")))
     x = x.withColumn("core_signature", T.signature(F.concat_ws(" ", "major", "minor", "conclusion")))
-    used = F.array(T.signature(F.col("major")), T.signature(F.col("minor")))
+    used = F.array(F.lower("major"), F.lower("minor"))
     x = x.withColumn("spare", w.distractors(F.col("premise_count") - 2, most, plausible, used, None, *at))
     x = x.withColumn("_swap", F.col("_y")["n4"] % 2 == 1).withColumn("first", F.when(F.col("_swap"), F.col("minor")).otherwise(F.col("major")))
     x = _assemble(x.withColumn("second", F.when(F.col("_swap"), F.col("major")).otherwise(F.col("minor"))))
@@ -362,7 +371,7 @@ def _with_distractors(x: DataFrame, w: _Words, seed: str, most: int, rounds: int
     """``x`` with spare, premise_count - 2 distractors for each row; rows that are short draw again, wider, and only they."""
     plausible = F.coalesce("plausibility", F.lit(True))
     need = F.col("premise_count") - 2
-    used = F.transform(F.concat(F.slice("parts", 1, 2), F.col("spare")), T.signature)
+    used = F.transform(F.concat(F.slice("parts", 1, 2), F.col("spare")), lambda s: F.lower(s))
     kept: DataFrame | None = None
     x = x.withColumn("spare", F.array().cast("array<string>"))
     for attempt in range(rounds):
