@@ -85,7 +85,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     minimum, combined on the map side, and a join back on the vertex. Hot vertices, those with more
     than a thousandth of all edges, are 2,000 at most by counting; their minima are broadcast, so that
     their edges are neither shuffled by the vertex nor meet in one task. Each round is a written
-    table. Returns (id, component); ids without edges don't occur.
+    table, and the vertex with most edges is looked up in it, so that rounds without a hot vertex join
+    plainly. Returns (id, component); ids without edges don't occur.
     """
     e = materialise(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
@@ -100,7 +101,9 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
 
     def with_least(t: DataFrame, least: DataFrame) -> DataFrame:
         """(u, v, m) for the rows of t, m from least (u, m, n), n the number of edges at u."""
-        hot = least.filter(F.col("n") > max(500, seen[0] // 1000)).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+        if most <= many:  # no vertex is hot, here or in what a round makes of the edges
+            return t.join(least.select("u", "m"), "u").select("u", "v", "m")
+        hot = least.filter(F.col("n") > many).select(F.col("u").alias("h"), F.col("m").alias("hm"))
         marked = t.join(F.broadcast(hot), F.col("u") == F.col("h"), "left")
         cold = marked.filter("h is null").select("u", "v").join(least.select("u", "m"), "u")
         return marked.filter("h is not null").select("u", "v", F.col("hm").alias("m")).union(cold.select("u", "v", "m"))
@@ -109,6 +112,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         if not seen[0]:
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        many = max(500, seen[0] // 1000)
+        most = both.groupBy("u").count().agg(F.max("count")).first()[0] if seen[0] > many else 0
         least = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
         large = with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = few(large.filter("u <> v").distinct())
