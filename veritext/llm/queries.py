@@ -175,6 +175,96 @@ FROM r
 """
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    from veritext.llm.license_scan import templates
+
+    known = templates()
+    places = ", ".join(f"('{g}', {t}, {i}, {k.k})" for t, k in enumerate(known) for i, g in enumerate(k.grams))
+    facts = ", ".join(f"({t}, {len(k.grams)}, {len(k.text.split(' '))}, {k.exact}, '{k.label}')" for t, k in enumerate(known))
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(range(0, len(w) - {k - 1})) AS pos, unnest(list_transform(range(1, len(w) - {k - 2}),"
+        f" lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS gram FROM d"
+        for k in sorted({t.k for t in known})
+    )
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p(gram, template, place, k) AS (VALUES {places}),
+f(template, n_grams, length, exact, label) AS (VALUES {facts}),
+g AS ({grams}),
+a AS (
+  SELECT doc_id, template, pos - place AS diagonal, list(place) AS places, min(place) AS low, max(place + k) AS high
+  FROM g JOIN p USING (gram) GROUP BY ALL),
+b AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER along > CASE WHEN exact THEN 0 ELSE 8 END, true) AS far
+  FROM a JOIN f USING (template) WINDOW along AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+c AS (SELECT *, sum(far::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS nth FROM b),
+m AS (
+  SELECT doc_id, template, label, exact, n_grams, length, min(diagonal + low) AS start, max(diagonal + high) AS stop,
+         len(list_distinct(flatten(list(places)))) AS held
+  FROM c GROUP BY doc_id, template, nth, label, exact, n_grams, length),
+v AS (
+  SELECT *, held / n_grams AS share,
+         CASE WHEN exact THEN held = n_grams ELSE held / n_grams >= 0.6 AND 2 * (stop - start) <= 3 * length END AS verified
+  FROM m)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (verified AND exact) AS n_base,
+       min(start) FILTER (verified AND exact) AS first_word, max(start) FILTER (verified AND exact) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified AND exact), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified), '') AS labels,
+       coalesce(max(share), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id, w
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.prefix_trie import prefix_trie, rebuild
+
+    return prefix_trie(rebuild(_table(spark, sf_dir, "conversations")), "base").drop("digest")
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h
+  FROM t),
+r AS (
+  SELECT i.c, 1 AS part, t.pos, t.said FROM ids i JOIN t ON t.c = i.c - i.c % 5 AND t.pos <= i.h
+  UNION ALL SELECT i.c, 2, t.pos, t.said FROM ids i JOIN t ON t.c = i.c AND t.pos > i.h),
+q AS (SELECT i.c, coalesce(list(r.said ORDER BY part, pos) FILTER (part > 0), []) AS s FROM ids i LEFT JOIN r USING (c) GROUP BY i.c),
+e AS (SELECT c, s[1:d] AS p, d AS depth, d = len(s) AS last FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM q)),
+n AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+  FROM e GROUP BY p, depth),
+m AS (
+  SELECT n.*, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(p[-1].text)) END AS saved,
+         (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.p[1:n.depth] = n.p) AS n_children
+  FROM n)
+SELECT m.conv_id, m.depth::BIGINT AS depth, (SELECT u.conv_id FROM n u WHERE u.depth = m.depth - 1 AND u.p = m.p[1:m.depth - 1]) AS parent_conv_id,
+       m.n_convs, m.n_children, sum((x.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(x.saved)::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN m x ON x.depth >= m.depth AND x.p[1:m.depth] = m.p
+GROUP BY ALL
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritext.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -187,8 +277,18 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
+        "op11_license_scan": op11_license_scan,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op6_minhash_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op1_embedding_dedup": OP1_SQL,
+        "op6_minhash_dedup": OP6_SQL,
+        "op8_exact_dedup": OP8_SQL,
+        "op9_mixing": OP9_SQL,
+        "op11_license_scan": _op11_sql(),
+        "op12_prefix_trie": OP12_SQL,
+    }
