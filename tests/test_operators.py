@@ -30,6 +30,39 @@ def test_similar_pairs_equal_brute_force(spark, k):
     assert got == want
 
 
+def test_probes_are_few(spark):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(6)) for _ in range(r.randrange(5, 11))) + "." for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, s string").selectExpr("*", "length(s) AS n", "0L AS profile")
+    index, probe = dedup._keys(rows, 3)
+    assert index.count() == 4 * len(texts) and probe.count() <= 26 * len(texts)
+    assert 16 * (index.count() + probe.count()) < 10 * sum(map(len, texts))  # a hash and a row number each
+
+
+def test_hot_segments_are_dealt_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE", 40)
+    r = random.Random(6)
+    shared = "the same long beginning of a text "
+    texts = sorted({shared + "".join(r.choice("abcdefgh") for _ in range(r.randrange(6, 9))) for _ in range(700)})
+    hot = len(texts)
+    texts += sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(300)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(x.class_a, x.class_b): x.distance for x in dedup.similar_class_pairs(df).collect()}
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if (i < hot) == (j < hot)]  # others differ by far more in length
+    want = {(i, j): d for i, j in pairs if (d := _edit(*(texts[x].removeprefix(shared) for x in (i, j)))) <= 3}
+    assert got == want
+
+
+def test_places_and_counts_of_similar_pairs(spark):
+    rows = spark.createDataFrame([("f", 0, "One cat."), ("f", 1, "one  CAT."), ("g", 0, "One cats."), ("g", 1, None), ("g", 2, "Other words.")], "file string, pos int, syllogism string")
+    assert sorted(map(tuple, dedup.similar_places(rows).collect())) == [("f", 0, "f", 1, 0), ("f", 0, "g", 0, 1), ("f", 1, "g", 0, 1)]
+    got = dedup.similar_counts(rows.selectExpr("struct(file, pos) AS id", "syllogism AS text")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (1, 2)]
+    assert dedup.similar_counts(rows.limit(0).selectExpr("pos AS id", "syllogism AS text")).count() == 0
+    with pytest.raises(ValueError):
+        dedup.similar_counts(rows, "pos", "syllogism", -1)
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("f", 0, "a", 1), ("f", 1, "b", 2), ("g", 0, "a", 3), ("g", 1, "a", 4), ("g", 2, None, 5)], "file string, pos int, id string, extra int")
     got = sorted(map(tuple, dedup.duplicate_report(df, F.col("id")).collect()))

@@ -177,9 +177,30 @@ def similar_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(names, "id", "id", k=3)
 
 
-@query()
+#: One byte for each character of the tables' sentences, as the SQL function counts edits in bytes; lower-cased texts hold no capitals.
+_BYTES = "translate(s, 'ßàâäçèéêëíîïñóôöùûüœ', 'ABCDEFGHIJKLMNOPQRSTU')"
+_COUNTS = [f"len(s) - len(replace(s, '{c}', ''))" for c in "eatinosr"]
+#: Pairs of rows of d (s, and what ``cols`` names) within three edits; counts of letters part most pairs before edits are counted.
+_SIMILAR = f"""
+u AS (SELECT *, {_BYTES} AS b, len(s) AS n, [{", ".join(_COUNTS)}] AS c FROM d),
+v AS (SELECT *, unnest(range(n - 3, n + 1)) AS m FROM u),
+w AS (
+  SELECT x.* EXCLUDE (b, n, c, m), y.* EXCLUDE (b, n, c), levenshtein(x.b, y.b)::INTEGER AS distance
+  FROM v x JOIN u y ON x.m = y.n AND (x.n > y.n OR x.s > y.s)
+  WHERE abs(x.c[1] - y.c[1]) + abs(x.c[2] - y.c[2]) + abs(x.c[3] - y.c[3]) + abs(x.c[4] - y.c[4])
+      + abs(x.c[5] - y.c[5]) + abs(x.c[6] - y.c[6]) + abs(x.c[7] - y.c[7]) + abs(x.c[8] - y.c[8]) <= 6 AND levenshtein(x.b, y.b) <= 3)
+"""
+_SENTENCES = f"SELECT doc_id, unnest(range(len(p)))::INTEGER AS pos, lower(unnest(p)) AS s FROM (SELECT doc_id, {sentences_sql('text')} AS p FROM documents)"
+
+
+@query(
+    f"""
+WITH d AS (SELECT DISTINCT s FROM ({_SENTENCES})), {_SIMILAR}
+SELECT least(s, s_1) AS id_a, greatest(s, s_1) AS id_b, distance FROM w
+"""
+)
 def similar_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct sentences within three edits; SQL would compare all pairs, so a fixture is tested instead."""
+    """Pairs of distinct sentences within three edits."""
     s = table(spark, sf_dir, "documents").select(F.explode(T.sentences(F.col("text"))).alias("s"))
     s = s.select(T.signature(F.col("s")).alias("id")).distinct()
     return dedup.similar_pairs(s, "id", "id", k=3)
@@ -201,6 +222,33 @@ def similar_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_class_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", k=3)
 
 
+@query(
+    """
+WITH w AS (
+  SELECT least((a.p_brand, a.p_partkey), (b.p_brand, b.p_partkey)) AS x, greatest((a.p_brand, a.p_partkey), (b.p_brand, b.p_partkey)) AS y,
+         levenshtein(a.p_name, b.p_name)::INTEGER AS distance
+  FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND levenshtein(a.p_name, b.p_name) <= 3)
+SELECT struct_extract(x, 1) AS file_a, struct_extract(x, 2) AS pos_a, struct_extract(y, 1) AS file_b, struct_extract(y, 2) AS pos_b, distance FROM w
+"""
+)
+def similar_part_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of parts with similar names by both places, the brand as the file."""
+    return dedup.similar_places(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name", k=3)
+
+
+@query(
+    f"""
+WITH d AS (SELECT s, count(*) AS copies FROM ({_SENTENCES}) GROUP BY s), {_SIMILAR}
+SELECT distance, sum(n)::BIGINT AS pairs FROM (
+  SELECT 0 AS distance, copies * (copies - 1) // 2 AS n FROM d WHERE copies > 1 UNION ALL SELECT distance, copies * copies_1 FROM w)
+GROUP BY distance
+"""
+)
+def similar_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of sentences, all their places counted, lie within three edits, by distance."""
+    return dedup.similar_counts(_placed_sentences(spark, sf_dir), "id", "s", k=3)
+
+
 def _placed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     return d.select(F.struct("doc_id", "pos").alias("id"), "s")
@@ -220,7 +268,13 @@ def similar_sentence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id.doc_id", "id.pos", F.col("class_id.doc_id").alias("class_doc_id"), F.col("class_id.pos").alias("class_pos"))
 
 
-@query()
+@query(
+    f"""
+WITH d AS (SELECT min((doc_id, pos)) AS place, s FROM ({_SENTENCES}) GROUP BY s), {_SIMILAR}
+SELECT struct_extract(least(place, place_1), 1) AS doc_id_a, struct_extract(least(place, place_1), 2) AS pos_a,
+       struct_extract(greatest(place, place_1), 1) AS doc_id_b, struct_extract(greatest(place, place_1), 2) AS pos_b, distance FROM w
+"""
+)
 def similar_sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the classes of ``similar_sentence_classes`` within three edits."""
     c = dedup.similar_class_pairs(_placed_sentences(spark, sf_dir), "id", "s", k=3)

@@ -7,8 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritext.functions.shared import written
 from veritext.functions.text import signature
 
+#: Rows of either side in a tile of a hot key of the edit-distance join.
+TILE = 4_096
+#: Groups of characters whose counts are compared before texts are.
+_GROUPS = ("e", "ay", "io", "nm", "st", "rlh", "cdu", "0123456789")
+
 
 class DuplicateError(ValueError):
     """A value that must be unique occurs more than once."""
@@ -56,26 +62,39 @@ def repeat_count(df: DataFrame, key: Column, name: str = "repeats") -> DataFrame
 def similar_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id_a, id_b, distance) for all pairs a < b whose signatures are within ``k`` edits.
 
-    ids must be unique. Exact: texts are cut into k + 1 segments, and two texts within k edits share
-    one of them, moved by at most k places (the partition scheme of Pass-Join), so candidates come
-    from an equi-join on (length, segment number, hash). Equal texts are one class, whose pairs
-    have distance 0. Rows without a text are left out.
-
-    Hot segments make hot keys of this join, which the adaptive engine splits.
+    ids must be unique; they may be structs. Equal texts are one class, whose pairs have distance 0. Rows
+    without a text are left out. See ``similar_class_pairs`` for the join, and for a result that doesn't grow
+    with the square of a text's copies.
     """
-    if k < 0:
-        raise ValueError("k must be 0 or more")
     t = _signed(texts, id_col, text_col)
     first = _classes(t)
-    more = t.join(first.filter("copies > 1"), "s").select("s", "id")
-    inside = more.withColumnRenamed("id", "id_a").join(more.withColumnRenamed("id", "id_b"), "s").filter("id_a < id_b")
+    of = written(t.join(first, "s").select("id", "class_id", "copies"), "similar-members")
+    more = of.filter("copies > 1").select("class_id", "id")
+    inside = more.withColumnRenamed("id", "id_a").join(more.withColumnRenamed("id", "id_b"), "class_id").filter("id_a < id_b")
     inside = inside.select("id_a", "id_b", F.lit(0).alias("distance"))
-    if not k:
+    if _least(k) == 0:
         return inside
-    pairs = _near(first, k)
-    out = pairs.join(t.withColumnRenamed("id", "p"), "s").join(t.select(F.col("s").alias("s2"), F.col("id").alias("q")), "s2")
-    out = out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance")
-    return inside.union(out)
+    out = _near(first, k).join(of.select(F.col("class_id").alias("class_a"), F.col("id").alias("p")), "class_a")
+    out = out.join(of.select(F.col("class_id").alias("class_b"), F.col("id").alias("q")), "class_b")
+    return inside.union(out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "distance"))
+
+
+def similar_places(rows: DataFrame, file: str = "file", pos: str = "pos", text: str = "syllogism", k: int = 3) -> DataFrame:
+    """``similar_pairs`` with both places: (file_a, pos_a, file_b, pos_b, distance), a before b by (file, pos)."""
+    pairs = similar_pairs(rows.select(F.struct(F.col(file).alias("file"), F.col(pos).alias("pos")).alias("id"), F.col(text).alias("text")), k=k)
+    return pairs.select(*[F.col(f"id_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("file", "pos")], "distance")
+
+
+def similar_counts(texts: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """(distance, pairs): how many pairs of rows ``similar_pairs`` would list, without listing them. Distances without a pair have no row."""
+    classes = written(_classes(_signed(texts, id_col, text_col)), "similar-classes")
+    n = F.col("copies")
+    equal = classes.filter("copies > 1").select(F.lit(0).alias("distance"), F.expr("copies * (copies - 1) div 2").alias("n"))
+    if _least(k):
+        sizes = [classes.select(F.col("class_id").alias(f"class_{x}"), n.alias(f"n_{x}")) for x in "ab"]
+        near = _near(classes, k).join(sizes[0], "class_a").join(sizes[1], "class_b")
+        equal = equal.union(near.select("distance", F.col("n_a") * F.col("n_b")))
+    return equal.groupBy("distance").agg(F.sum("n").alias("pairs"))
 
 
 def similar_classes(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -88,13 +107,25 @@ def similar_classes(texts: DataFrame, id_col: str = "id", text_col: str = "text"
 
 
 def similar_class_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(class_a, class_b, distance) for all pairs a < b of classes of ``similar_classes`` within ``k`` edits."""
+    """(class_a, class_b, distance) for all pairs a < b of classes of ``similar_classes`` within ``k`` edits.
+
+    Exact: texts are cut into k + 1 segments, and two texts within k edits share one of them. Where the
+    shared segment may lie is bounded from the text's beginning and from its end (the multi-match-aware
+    selection of Pass-Join: Li et al., 2011), which leaves 26 probes of a text for k = 3. A probe is a 64-bit hash and a
+    64-bit row number; texts move once for each candidate pair that is left. Before texts are compared,
+    counts of groups of characters are, as an edit changes two of them by one at most.
+
+    A segment that many texts share is a hot key: its rows of both sides are dealt to tiles of ``TILE``
+    rows that meet each other in tasks of their own, and a pair whose counts differ too much isn't
+    emitted there.
+    """
+    return _near(_classes(_signed(texts, id_col, text_col)), _least(k))
+
+
+def _least(k: int) -> int:
     if k < 0:
         raise ValueError("k must be 0 or more")
-    first = _classes(_signed(texts, id_col, text_col)).select("s", "class_id")
-    pairs = _near(first, k).join(first.withColumnRenamed("class_id", "p"), "s")
-    pairs = pairs.join(first.select(F.col("s").alias("s2"), F.col("class_id").alias("q")), "s2")
-    return pairs.select(F.least("p", "q").alias("class_a"), F.greatest("p", "q").alias("class_b"), "distance")
+    return k
 
 
 def _signed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,35 +136,79 @@ def _classes(t: DataFrame) -> DataFrame:
     return t.groupBy("s").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
 
 
+def _profile(s: Column) -> Column:
+    """Counts (at most 255) of the characters of each group, eight bits each."""
+    counts = [F.least(F.length(s) - F.length(F.translate(s, g, "")), F.lit(255)).cast("long") for g in _GROUPS]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, 8 * i) for i, c in enumerate(counts)])
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of two profiles; at most twice the edits between the texts."""
+    count = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+    return reduce(lambda x, y: x + y, [F.abs(count(a, i) - count(b, i)) for i in range(len(_GROUPS))])
+
+
+def _keys(reps: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(key, i, profile) of each segment of each text, and (key, p, profile) of each place where a text may hold one.
+
+    p is -1 - row where both texts are equally long, so that only one of them probes. Texts of at most k
+    characters have no segments; they meet texts of at most 2k characters by length alone.
+    """
+    s, n, parts = F.col("s"), F.col("n"), F.lit(k + 1)
+    start = lambda j, m: F.floor(j * m / parts).cast("int")
+
+    def segment(j: Column) -> Column:
+        at = start(j, n)
+        return F.xxhash64(n, j, F.substring(s, at + 1, start(j + 1, n) - at))
+
+    def of_segment(m: Column, j: Column) -> Column:
+        at, size, more = start(j, m), start(j + 1, m) - start(j, m), n - m
+        low = F.greatest(F.lit(0), at - j, at + more - (k - j))
+        high = F.least(n - size, at + j, at + more + (k - j))
+        key = lambda x: F.struct(F.xxhash64(m, j, F.substring(s, x + 1, size)).alias("key"), (m == n).alias("level"))
+        return F.when(low <= high, F.transform(F.sequence(low, high), key)).otherwise(F.array().cast("array<struct<key:bigint,level:boolean>>"))
+
+    js = F.sequence(F.lit(0), F.lit(k))
+    long_, short = reps.filter(n > k), reps.filter(n <= k)
+    index = long_.select(F.explode(F.transform(js, segment)).alias("key"), F.col("row").alias("i"), "profile")
+    index = index.union(short.select(F.explode(F.transform(F.sequence(n, n + k), lambda m: F.xxhash64(F.lit(-1), m))), "row", "profile"))
+    lengths = F.sequence(F.greatest(F.lit(k + 1), n - k), n)
+    places = F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(js, lambda j: of_segment(m, j))))))
+    probe = long_.select(F.explode(places).alias("x"), "row", "profile")
+    probe = probe.select("x.key", F.when(F.col("x.level"), -1 - F.col("row")).otherwise(F.col("row")).alias("p"), "profile")
+    return index, probe.union(reps.filter(n <= 2 * k).select(F.xxhash64(F.lit(-1), n), "row", "profile"))
+
+
 def _near(classes: DataFrame, k: int) -> DataFrame:
-    """(s, s2, distance) for each pair of distinct texts within ``k`` edits, once."""
-    reps = classes.select("s", F.length("s").alias("n"))
-    n, parts = F.col("n"), F.lit(k + 1)
-    # segment j of a text of length n begins at floor(j * n / parts)
-    seg_start = lambda j, length: F.floor(j * length / parts).cast("int")
-    segs = reps.filter(n > k).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    length_of = seg_start(F.col("j") + 1, n) - seg_start(F.col("j"), n)
-    index = segs.select(
-        "s", n.alias("m"), "j", F.xxhash64(F.substring("s", seg_start(F.col("j"), n) + 1, length_of)).alias("h")
-    )
-    probe = reps.filter(n > k).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(k + 1), n - k), n)))
-    probe = probe.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    m, j = F.col("m"), F.col("j")
-    size = seg_start(j + 1, m) - seg_start(j, m)
-    lo = F.greatest(F.lit(0), seg_start(j, m) - k)
-    hi = F.least(n - size, seg_start(j, m) + k)
-    probe = probe.withColumn("at", F.explode(F.sequence(lo, hi))).select(
-        F.col("s").alias("s2"), "n", "m", "j", F.xxhash64(F.substring("s", F.col("at") + 1, size)).alias("h")
-    ).distinct()
-    # of two texts of one length the probe is the greater; else it is the longer
-    near = probe.join(index.withColumnRenamed("m", "im"), (F.col("m") == F.col("im")) & (probe["j"] == index["j"]) & (probe["h"] == index["h"]))
-    near = near.filter((F.col("n") > F.col("m")) | (F.col("s2") > F.col("s"))).select("s", "s2").distinct()
-    short = reps.filter(n <= k).select("s")
-    # short texts meet distinct texts of at most 2k characters only, by length
-    short = short.withColumn("n2", F.explode(F.sequence(F.length("s"), F.length("s") + k)))
-    with_short = short.join(reps.filter(n <= 2 * k).select(F.col("s").alias("s2"), F.col("n").alias("n2")), "n2")
-    with_short = with_short.filter((F.col("n2") > F.length("s")) | (F.col("s2") > F.col("s"))).select("s", "s2")
-    return near.union(with_short).withColumn("distance", F.levenshtein("s", "s2", k)).filter("distance >= 0")
+    """(class_a, class_b, distance), a < b, for each pair of distinct texts within ``k`` edits, once."""
+    s = F.col("s")
+    reps = classes.select(F.monotonically_increasing_id().alias("row"), "s", F.length(s).cast("int").alias("n"), "class_id", _profile(s).alias("profile"))
+    reps = written(reps, "similar-texts")  # row numbers stay what they are
+    index, probe = _keys(reps, k)
+    many = max(TILE, reps.count() * (k + 1) // 1_000)
+    # fewer than a thousand keys hold more than a thousandth of all segments
+    hot = index.groupBy("key").agg(F.count("*").alias("n_i")).filter(F.col("n_i") > many)
+    of_probe = lambda t: t.groupBy("key").agg(F.count("*").alias("n_p"))
+    hot = written(hot, "similar-hot")
+    row = F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p"))
+    meet = (row != F.col("i")) & ((F.col("p") >= 0) | (row > F.col("i")))
+    pair = [F.least(row, "i").alias("a"), F.greatest(row, "i").alias("b")]
+    if hot.isEmpty():
+        pairs = probe.select("key", "p").join(index.select("key", "i"), "key").filter(meet).select(*pair)
+    else:
+        hot = hot.join(of_probe(probe.join(F.broadcast(hot.select("key")), "key")), "key")
+        hot = written(hot.select("key", *[F.ceil(F.col(c) / TILE).cast("int").alias(c) for c in ("n_i", "n_p")]), "similar-tiles")
+        cold = [t.select(*c).join(F.broadcast(hot.select("key")), "key", "left_anti") for t, c in ((probe, ("key", "p")), (index, ("key", "i")))]
+        pairs = cold[0].join(cold[1], "key").filter(meet).select(*pair)
+        own, all_of = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        tile_i = index.join(F.broadcast(hot), "key").select("key", "i", F.col("profile").alias("pi"), own("i", F.col("n_i")).alias("x"), all_of("n_p").alias("y"))
+        tile_p = probe.join(F.broadcast(hot), "key").select("key", "p", F.col("profile").alias("pp"), own("p", F.col("n_p")).alias("y"), all_of("n_i").alias("x"))
+        close = _apart(F.col("pi"), F.col("pp")) <= 2 * k
+        pairs = pairs.union(tile_p.join(tile_i, ["key", "x", "y"]).filter(meet & close).select(*pair))
+    side = lambda x: reps.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("s", "profile", "class_id")])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(_apart(F.col("profile_a"), F.col("profile_b")) <= 2 * k)
+    both = both.withColumn("distance", F.levenshtein("s_a", "s_b", k)).filter("distance >= 0")
+    return both.select(F.least("class_id_a", "class_id_b").alias("class_a"), F.greatest("class_id_a", "class_id_b").alias("class_b"), "distance")
 
 
 def merge(parts: list[DataFrame], unique: tuple[str, ...] = ("id", "syllogism"), check: bool = True) -> DataFrame:
