@@ -1,4 +1,4 @@
-"""License scans by diagonal voting (operator 11), DataFrame functions only.
+"""License scans by diagonal voting (operator 11).
 
 All rolling word k-grams of a text are joined by hash to the positions of the same k-grams in license
 templates. A hit votes for the diagonal (word position minus template position) on which it lies; the
@@ -12,19 +12,22 @@ broadcast only up to ``BROADCAST_GRAMS`` rows, else the join shuffles.
 
 One reading of the documents makes everything: each text also emits an opening row without a k-gram, so
 texts without hits, and their word counts, need no second reading. Only hits are shuffled, dealt by
-document. Texts are cut into pieces of 4,096 words that overlap by a k-gram, so no row grows with a text.
+document. The hashes of all k-grams of a text come from running sums over its bytes, by array
+operations; texts are taken in pieces of 65,536 words that overlap by a k-gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Runs of digits, lower-case letters and characters beyond ASCII are words.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from veritext.llm.common import small_batches
+
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
@@ -44,7 +47,13 @@ NOTICES = {
 }
 #: Longer tables of template k-grams (about 100 bytes a row) are joined by a shuffle.
 BROADCAST_GRAMS = 100_000
-PIECE = 4_096
+#: Words hashed at a time, and rows in an Arrow batch of k-grams.
+PIECE, ROWS = 1 << 16, 1 << 17
+
+#: Bytes of words (digits, letters, all of characters beyond ASCII) as they are, capitals as small letters, all others as blanks.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -71,44 +80,118 @@ def templates(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTIC
     return out
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, as functions on arrays work anew for each use."""
-    return F.transform(F.array(value), use)[0]
-
+class _Powers:
+    """Powers of the hash's base and of its inverse, as many as were asked for so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            steps = [np.full(size, x, dtype=np.uint64) for x in (_BASE, _INVERSE)]
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = (np.cumprod(x, dtype=np.uint64) for x in steps)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's words joined by blanks, as bytes, and where each word starts and stops there."""
+    b = np.frombuffer(text.encode("utf-8", "replace").translate(_BYTES), dtype=np.uint8)
+    blank = b == 32
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    b = b[keep]
+    stops = np.flatnonzero(b == 32)
+    if len(b) and b[-1] != 32:
+        stops = np.append(stops, len(b))
+    return b, np.append(0, stops[:-1] + 1)[: len(stops)], stops
+
+
+def hashes(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """64-bit hashes of all rolling k-grams of words for each size k, from sums of byte times power of its place."""
+    up, down = _POWERS.get(len(b) + 1)
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    before, scale, out = sums[starts], down[starts], []
+    for k in sizes:
+        n = max(len(starts) - k + 1, 0)
+        h = (sums[stops[len(stops) - n :]] - before[:n]) * scale[:n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_BASE)
+        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+    return out
 
-def _grams(docs: DataFrame, sizes: list[int], ident: str) -> DataFrame:
-    """(row, ident, n_words, pos, gram): all rolling k-grams of each size, and an opening row with the gram '' of each text."""
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    def pieces(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(PIECE))
-        return F.transform(starts, lambda s: F.struct(F.size(w).alias("n"), s.alias("at"), F.slice(w, s + 1, PIECE + max(sizes) - 1).alias("w")))
+def gram_hash(gram: str) -> int:
+    b, starts, stops = words(gram)
+    return int(hashes(b, starts, stops, [len(starts)])[0][0])
 
-    cut = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(ident).alias("ident"),
-        F.explode(_bound(F.regexp_extract_all(lower, F.lit(WORDS), 0), pieces)).alias("piece"),
-    )
-    at, w = F.col("piece.at"), F.col("piece.w")
 
-    def rolling(k: int):
-        last = F.least(F.size(w) - k, F.lit(PIECE - 1))
-        gram = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, k), " ").alias("gram"))
-        none = F.array().cast("array<struct<pos:int,gram:string>>")
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram)).otherwise(none)
+def _grams(docs: DataFrame, sizes: list[int], known: set[int], ident: str) -> DataFrame:
+    """(row, pos, hash, gram, ident, n_words): all rolling k-grams of each size of each text, and for each text one row whose gram is ''.
 
-    opening = F.when(at == 0, F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("gram")))).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
-    out = cut.select("row", "ident", F.col("piece.n").cast("long").alias("n_words"), at.cast("long").alias("at"), F.explode(F.concat(opening, *map(rolling, sizes))).alias("g"))
-    return out.select("row", "ident", "n_words", (F.col("at") + F.col("g.pos")).alias("pos"), F.col("g.gram").alias("gram"))
+    Only that row has ident and n_words. A k-gram's words are given where its hash is ``known``, for the
+    comparison behind the join; elsewhere gram is null.
+    """
+    small_batches(docs.sparkSession)
+    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("ident"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = text.schema["ident"].dataType.simpleString()
+    wanted = np.array(sorted(known), dtype=np.int64)
+
+    def pieces(row: int, b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple]:
+        for at in range(0, len(starts), PIECE):
+            end = min(at + PIECE + max(sizes) - 1, len(starts))
+            low = starts[at]
+            part = b[low : stops[end - 1]], starts[at:end] - low, stops[at:end] - low
+            for k, h in zip(sizes, hashes(*part, sizes)):
+                h = h[:PIECE]
+                found = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+                grams = np.full(len(h), None, dtype=object)
+                for i in found:
+                    grams[i] = part[0][part[1][i] : part[2][i + k - 1]].tobytes().decode()
+                yield np.full(len(h), row), np.arange(at, at + len(h)), h, grams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "pos", "hash", "gram", "ident", "n_words"]
+        held, size, none = [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            row, pos, h, grams = (np.concatenate(x) for x in zip(*held))
+            blank = [pa.nulls(len(h), none), pa.nulls(len(h), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos), pa.array(h), pa.array(grams, pa.string()), *blank], names=names)
+
+        for b in batches:
+            none, n_words = b.column("ident").type, []
+            for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+                at = words(t)
+                n_words.append(len(at[1]))
+                for piece in pieces(row, *at):
+                    held.append(piece)
+                    size += len(piece[0])
+                    if size >= ROWS:
+                        yield flush()
+                        held, size = [], 0
+            zero = pa.array(np.zeros(b.num_rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("row"), zero, zero, pa.array([""] * b.num_rows, pa.string()), b.column("ident"), pa.array(n_words, pa.int64())], names=names)
+        if held:
+            yield flush()
+
+    return text.mapInArrow(run, f"row long, pos long, hash long, gram string, ident {kind}, n_words long")
 
 
 def _spans(docs: DataFrame, known: list[Template], ident: str, share: float, drift: int) -> DataFrame:
     """Merged diagonals of each text, and its opening row (template -1): row, ident, n_words, template, start, stop, share, verified."""
     spark = docs.sparkSession
-    rows = [(g, t, i, k.k) for t, k in enumerate(known) for i, g in enumerate(k.grams)] + [("", -1, 0, 0)]
-    places = spark.createDataFrame(rows, "t_gram string, template int, place long, k int").withColumn("t_hash", F.xxhash64("t_gram"))
-    if len(rows) <= BROADCAST_GRAMS:
+    rows = [(g, gram_hash(g), t, i, k.k) for t, k in enumerate(known) for i, g in enumerate(k.grams)]
+    grams = _grams(docs, sorted({t.k for t in known}), {r[1] for r in rows}, ident)
+    places = spark.createDataFrame([*rows, ("", 0, -1, 0, 0)], "t_gram string, t_hash long, template int, place long, k int")
+    if len(rows) < BROADCAST_GRAMS:
         places = F.broadcast(places)
-    grams = _grams(docs, sorted({t.k for t in known}), ident).withColumn("hash", F.xxhash64("gram"))
     hits = grams.join(places, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("place")).repartition("row")
     diagonals = hits.groupBy("row", "template", "diagonal").agg(
@@ -142,8 +225,8 @@ def license_spans(docs: DataFrame, known: list[Template] | None = None, ident: s
     """
     known = templates() if known is None else known
     names = F.array(*[F.lit(t.text) for t in known])
-    out = _spans(docs, known, ident, share, drift).filter("verified and template >= 0")
-    return out.select(F.col("ident").alias(ident), "label", F.get(names, "template").alias("phrase"), "exact", "start", "stop", "share")
+    out = _spans(docs, known, ident, share, drift).withColumn("ident", F.max("ident").over(Window.partitionBy("row")))
+    return out.filter("verified and template >= 0").select(F.col("ident").alias(ident), "label", F.get(names, "template").alias("phrase"), "exact", "start", "stop", "share")
 
 
 def license_scan(docs: DataFrame, known: list[Template] | None = None, ident: str = "doc_id", share: float = 0.6, drift: int = 8) -> DataFrame:
