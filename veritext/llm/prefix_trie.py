@@ -10,7 +10,7 @@ exploding each node alone, but the rows stay fewer than the prefixes, however lo
 
 What is hot is combined before it is shuffled: members of a node and ancestors' sums by partial
 aggregates, ids that end at one node as blocks of 4,096 neighbouring ids. The digest over a node's
-ids streams over its sorted blocks. Parents with more than a thousandth of all nodes as children are
+ids streams over its sorted blocks. Parents with more than 64 children and a thousandth of all nodes are
 fewer than a thousand, and are the only table that is broadcast.
 """
 
@@ -157,7 +157,7 @@ def prefix_trie(turns: DataFrame, together: str = "conv_id") -> DataFrame:
     nodes = nodes.join(children.agg(F.count("*").alias("n_children")), _NODE, "left").fillna(0, ["n_children"])
     nodes = materialise(nodes.withColumn("leaf", (F.col("n_children") == 0).cast("long")), "trie-children")
 
-    many = max(1_000, nodes.count() // 1_000)
+    many = max(64, nodes.count() // 1_000)
 
     # a representative's nodes are a path: its sums go to all ancestors above it
     paths = nodes.groupBy("conv_id").agg(
