@@ -1,8 +1,9 @@
 """Language identification (operator 2).
 
 A sparse multinomial logistic regression on TF-IDF character n-grams (1 to 3 code points of the
-lower-cased text without its digits), trained with FTRL-proximal under an elastic net (McMahan et al., 2013), then
-calibrated by a temperature on rows that the training didn't see.
+lower-cased text, all ten digits as one character), trained with FTRL-proximal under an elastic net (McMahan et al., 2013), then
+calibrated by a temperature on rows that the training didn't see. The temperature is fitted to smoothed
+labels, so it stays finite, and isn't below 1, where no row is wrong.
 
 * N-grams are hashed to ``FEATURES`` numbers (65,536). Two n-grams that share a number share its counts
   and weight. The texts of a few languages hold some ten thousand different n-grams, so most numbers
@@ -10,10 +11,10 @@ calibrated by a temperature on rows that the training didn't see.
 
 * Document frequencies are counted over every learnable document (a map-side vector for each
   task, then a grouped sum of at most ``features`` rows).
-* The weights are fitted on a bounded sample of labelled rows, ``sample`` rows for each language
-  (default 800) and ``total`` in all (default 20,000), chosen by a hash of the id; of each the
-  ``row_features`` n-grams that weigh most (default 4,096) are learnt from. These are the documented
-  bounds of the fit; the driver receives 32 KB a row at most.
+* The weights are fitted on a bounded sample of labelled rows: ``sample`` rows for each language
+  (default 800), ``total`` in all (default 20,000) and ``mb`` megabytes of features in all (default 128),
+  each language its even share, in the order of a hash of the id. A row is learnt from with all its n-grams. The
+  ``languages`` most frequent values (default 256) are learnt. These are the documented bounds of the fit.
 * tf is the share that an n-gram has in its document, so a score is a mean of weights over the
   positions of the whole text, taken by table lookup; long texts are read in full.
 """
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritext.llm.common import small_batches
+from veritext.llm.common import materialise, small_batches
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -36,9 +37,9 @@ _MANY = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Feature numbers of all n-grams of a text, digits 0 to 9 left out, a slice at a time (with two characters of the one before)."""
+    """Feature numbers of all n-grams of a text, digits 0 to 9 as one, a slice at a time (with two characters of the one before)."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    points = points[(points < 48) | (points > 57)]  # numbers say nothing of a language
+    points = np.where((points >= 48) & (points <= 57), np.uint32(48), points)  # which number it is says nothing of a language
     shift = np.uint32(32 - BITS)
     for i in range(0, len(points), SLICE):
         c = points[max(0, i - 2) : i + SLICE]
@@ -79,8 +80,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _features(idf: np.ndarray, most: int):
-    """Whole texts to their features and TF-IDF values; of more than ``most`` features those of the greatest values."""
+def _features(idf: np.ndarray):
+    """Whole texts to their features and TF-IDF values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,9 +89,6 @@ def _features(idf: np.ndarray, most: int):
             for t in b.column("text").to_pylist():
                 at, n, total = _counts(t)
                 x = n / max(total, 1) * idf[at]
-                if len(at) > most:
-                    top = np.sort(np.argsort(-x, kind="stable")[:most])
-                    at, x = at[top], x[top]
                 places.append(at.astype("<i4").tobytes())
                 values.append(x.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -130,18 +128,26 @@ def fit_ftrl(
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss (golden section on its logarithm)."""
+    """The temperature with the least log loss (golden section on its logarithm) against smoothed labels.
+
+    Of n rows each label keeps all but 1 / (n + 2), which is shared by all classes; so even rows that are
+    all told apart have a best temperature, which isn't taken below 1.
+    """
+    n, k = scores.shape
+    rest = 1 / (n + 2)
 
     def loss(t: float) -> float:
         s = scores / np.exp(t)
         s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), labels]))
+        logp = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        return float(-np.mean((1 - rest) * logp[np.arange(n), labels] + rest * logp.mean(axis=1)))
 
     lo, hi, r = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
         a, b = hi - r * (hi - lo), lo + r * (hi - lo)
         lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
-    return float(np.exp((lo + hi) / 2))
+    found = float(np.exp((lo + hi) / 2))
+    return max(found, 1.0) if (scores.argmax(axis=1) == labels).all() else found
 
 
 class Model:
@@ -168,7 +174,9 @@ class Model:
 SCALE = 100.0
 
 
-def train(learn: DataFrame, sample: int = 800, total: int = 20_000, row_features: int = 4_096, seed: str = "lang-1") -> Model | None:
+def train(
+    learn: DataFrame, sample: int = 800, total: int = 20_000, mb: float = 128, languages: int = 256, seed: str = "lang-1"
+) -> Model | None:
     """A model from rows (id, text, lang), none of them null. Without rows: None."""
     text = learn.filter("text <> ''").select("text")
     df = np.zeros(FEATURES, dtype=np.int64)
@@ -179,24 +187,29 @@ def train(learn: DataFrame, sample: int = 800, total: int = 20_000, row_features
         else:
             df[row.feature] = row.n
     rank = F.xxhash64(F.lit(seed), "id")
-    counts = {r.lang: r["count"] for r in learn.groupBy("lang").count().collect()}  # one row for each language
+    counts = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts or not docs:
         return None
     langs = sorted(counts)
     sample = max(1, min(sample, total // len(langs)))
-    # a little more than the sample by a hash threshold, so that no language is ranked in one task; then the exact bound
+    # a little more than the sample by a hash threshold, so that no language is ranked in one task; then the exact bounds
     share = F.create_map(*[x for la in langs for x in (F.lit(la), F.lit(min(1.0, 1.3 * sample / counts[la])))])
     near = learn.withColumn("r", rank).filter(F.pmod("r", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
     idf = np.log((1 + docs) / (1 + df)) + 1
-    got = near.select("lang", "r", "text").mapInArrow(_features(idf, row_features), "lang string, r long, at binary, x binary").collect()
-    got.sort(key=lambda x: (x.r, x.at))
+    rows = materialise(near.select("lang", "r", "text").mapInArrow(_features(idf), "lang string, r long, at binary, x binary"), "op2-rows")
+    order = Window.partitionBy("lang").orderBy("r", "at")
+    before = F.coalesce(F.sum(F.octet_length("at") + F.octet_length("x")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("before", before)
+    got = rows.filter((F.col("nth") <= sample) & (F.col("before") < mb * (1 << 20) / len(langs))).drop("before").collect()
+    got.sort(key=lambda x: (x.lang, x.nth))
     rows, labels, held, held_labels = [], [], [], []
-    for k, la in enumerate(langs):
-        for i, x in enumerate([x for x in got if x.lang == la][:sample]):
-            at = np.frombuffer(x.at, dtype="<i4").astype(np.int64)
-            values = np.frombuffer(x.x, dtype="<f4").astype(np.float64) * SCALE
-            (held if i % 5 == 4 else rows).append((at, values))
-            (held_labels if i % 5 == 4 else labels).append(k)
+    number = {la: k for k, la in enumerate(langs)}
+    for x in got:
+        at = np.frombuffer(x.at, dtype="<i4").astype(np.int64)
+        values = np.frombuffer(x.x, dtype="<f4").astype(np.float64) * SCALE
+        apart = x.nth % 5 == 0
+        (held if apart else rows).append((at, values))
+        (held_labels if apart else labels).append(number[x.lang])
     w, bias = fit_ftrl(rows, np.array(labels), len(langs), FEATURES)
     scores = np.array([x @ w[at] + bias for at, x in held]).reshape(len(held), len(langs))
     temperature = fit_temperature(scores, np.array(held_labels)) if held else 1.0
@@ -233,9 +246,9 @@ def identify(
     Predictions look at the text alone.
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
-    where nothing can be learnt. One language only: it is predicted with score 1. Null ids are
-    carried on and never taught from where ``learnable`` is null. Rows that repeat are judged
-    alike. Very long texts are read whole, a slice at a time. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    where nothing can be learnt. One language only: it is predicted with score 1. Equal scores (ties): the
+    language that sorts first. Null ids are carried on and, where ``learnable`` is null, neither taught from
+    nor held out. Rows that repeat are judged alike. Very long texts are read whole, a slice at a time. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -243,10 +256,10 @@ def identify(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
-        F.coalesce(learnable, F.lit(False)).alias("learnable"),
+        learnable.alias("learnable"),
     )
     model = train(base.filter("learnable and text is not null and lang is not null").select("id", "text", "lang"), sample)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = base.select("id", (~F.col("learnable")).alias("held_out"), "text", letters.alias("letters"))
+    rows = base.select("id", F.coalesce(~F.col("learnable"), F.lit(False)).alias("held_out"), "text", letters.alias("letters"))
     out = rows.mapInArrow(_predict(model), "id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
