@@ -174,8 +174,35 @@ def test_temperature_calibrates():
     assert 2.6 < language_id.fit_temperature(true * 3, y) < 3.4
 
 
+def test_scores_of_separable_rows_are_not_all_one(spark):
+    y = np.arange(60) % 3
+    apart = np.eye(3)[y] * 8.0
+    assert 1.0 <= language_id.fit_temperature(apart, y) < 10 and 1.0 <= language_id.fit_temperature(apart / 100, y) < 10
+    wrong = apart.copy()
+    wrong[::7] = apart[1::7][: len(wrong[::7])]
+    assert language_id.fit_temperature(wrong, y) > language_id.fit_temperature(apart, y)
+    df = spark.createDataFrame(language_rows(), DOCS)
+    assert len({round(r.score, 6) for r in language_id.identify(df, F.col("doc_id") % 4 != 2).collect()}) > 50
+
+
+def test_a_null_id_is_neither_taught_from_nor_held_out(spark):
+    rows = language_rows() + [(None, "qqqq", "dd", "x", "y")]
+    df = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, i % 5 == 0 and 1 or 0) for i in range(240)], "doc_id long, toxic int")
+    [r] = [r for r in language_id.identify(df, F.col("doc_id") % 4 != 2).collect() if r.doc_id is None]
+    assert r.held_out is False and r.lang_pred != "dd"
+    [r] = [r for r in toxicity.toxicity(df, lab, F.col("doc_id") % 3 != 1).collect() if r.doc_id is None]
+    assert r.held_out is False
+
+
+def test_bounds_of_the_language_fit(spark):
+    df = spark.createDataFrame(language_rows(), DOCS).selectExpr("doc_id AS id", "text", "lang")
+    assert language_id.train(df, languages=2).langs == sorted(language_id.train(df, languages=2).langs) and len(language_id.train(df, languages=2).langs) == 2
+    assert language_id.train(df, mb=1e-6) is not None  # a row of each language at least
+
+
 def plain_grams(text):
-    c = [ord(x) for x in text.lower() if x not in "0123456789"]
+    c = [ord("0" if x in "0123456789" else x) for x in text.lower()]
     mask, (a, b, d) = 2**32 - 1, (int(x) for x in language_id._MANY)
     one = [(h := x * a & mask) ^ h >> 15 for x in c]
     two = [(h := one[i] * b + one[i + 1] & mask) ^ h >> 13 for i in range(len(c) - 1)]
@@ -197,7 +224,7 @@ def test_tf_idf_and_ftrl_equal_plain_python(spark):
             df[g] += 1
     idf = np.log((1 + len(texts)) / (1 + df)) + 1
     batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 4), pa.array(range(4)), pa.array(texts)], names=["lang", "r", "text"])
-    out = next(language_id._features(idf, 10**6)([batch]))
+    out = next(language_id._features(idf)([batch]))
     rows = [(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for p, x in zip(out.column("at").to_pylist(), out.column("x").to_pylist())]
     for t, (at, x) in zip(texts, rows):
         g = plain_grams(t)
@@ -305,7 +332,64 @@ def test_features_of_slices_equal_whole(monkeypatch):
     text = "Some words, été and more words; " * 3000
     whole = toxicity.features(text)
     monkeypatch.setattr(toxicity, "SLICE", 9000)
-    assert np.array_equal(toxicity.features(text), whole)
+    assert all(np.array_equal(a, b) for a, b in zip(toxicity.features(text), whole))
+
+
+def plain_tokens(text):
+    """Counts of words and of their beginnings, as (bytes, bytes of the beginning or 0)."""
+    out, words = Counter(), re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())
+    for w in words:
+        out[w, 0] += 1
+        for p in toxicity.PREFIXES:
+            if len(w) > p:
+                out[w[:p], p] += 1
+    return out, len(words)
+
+
+def plain_hash(token):
+    mask = 2**64 - 1
+    x = sum(int(toxicity._BYTE[c]) * pow(0xD1342543DE82EF95, j, 1 << 64) for j, c in enumerate(token[0])) + token[1] & mask
+    x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & mask
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+    return x ^ x >> 32
+
+
+def test_toxicity_features_and_scores_equal_plain_python(spark):
+    for text in ("", "Été, abcdefgh abcdefghij!", "a b A b aaaa"):
+        found, counts, n = toxicity.features(text)
+        want, words = plain_tokens(text)
+        assert dict(zip(found.tolist(), counts.tolist())) == {plain_hash(t): c for t, c in want.items()} and n == words
+    rows, _, labels = toxic_rows(400)
+    texts = spark.createDataFrame(rows, DOCS).selectExpr("doc_id AS id", "text")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, score int").selectExpr("doc_id AS id", "toxic")
+    model = toxicity.train(texts, known, seed="t")
+    # the rows of the fit again, by their own ids
+    hashed = lambda s: (F.xxhash64(F.lit(s), "id") % (1 << 30) + (1 << 30)) % (1 << 30) / float(1 << 30)
+    drawn = {x.id: x for x in texts.select("id", hashed("t").alias("r"), hashed("t-u").alias("u")).collect()}
+    toxic, text = dict((i, y) for i, y, _ in labels), {r[0]: r[1] for r in rows}
+    teach = [i for i in text if toxic.get(i) == 1 and drawn[i].r > 1 / 5]
+    other = [i for i in text if toxic.get(i) != 1 and drawn[i].u < 0.8]
+    tokens = {i: plain_tokens(t) for i, t in text.items()}
+    chosen = set()
+    for token, n in Counter(t for i in teach for t in tokens[i][0]).items():
+        share = (sum(token in tokens[i][0] for i in other) + 0.5) / (len(other) + 1)
+        excess = (n - len(teach) * share) / (len(teach) * share * (1 - share) + 1) ** 0.5
+        if n >= 4 and excess > 4 and n / len(teach) > 2 * share:
+            chosen.add(token)
+    assert sorted(plain_hash(t) for t in chosen) == model.table.tolist()
+    weight = {t: model.weights[model.table.tolist().index(plain_hash(t))] for t in chosen}
+    assert min(weight.values()) >= 0
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(rows, DOCS), known.toDF("doc_id", "toxic"), F.lit(True)).collect()}
+    again = toxicity.train(texts, known)
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([True]), pa.array([rows[0][1]])], names=["id", "held_out", "text"])
+    assert next(toxicity._score(again, 0.7)([batch])).column("score").to_pylist() == pytest.approx([got[0]])
+    for i in list(text)[:60]:
+        found, n = tokens[i]
+        z = sum(weight[t] * (c / np.log2(2 + n)) ** 0.5 for t, c in found.items() if t in weight) + model.weights[-1] * np.log2(1 + n) / 8
+        z += model.bias - model.cut + np.log(0.7 / 0.3)
+        batch = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([True]), pa.array([text[i]])], names=["id", "held_out", "text"])
+        [score] = next(toxicity._score(model, 0.7)([batch])).column("score").to_pylist()
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a

@@ -7,18 +7,20 @@ R-(positives)); where the second part turns negative its gradient is reversed, w
 classifier from fitting the unlabelled rows. The prior is the share of toxic rows among the
 learnable labels.
 
-A document is the set of its words and of their first 4, 5, 6 and 7 bytes, so that inflected
-forms share evidence; presence counts, not frequency, so a few insults weigh the same in a text
-of any length. Features are 64-bit hashes and are compared whole, so long texts meet no
-collisions. Whole texts are read everywhere.
+A document is its words and their first 4, 5, 6 and 7 bytes, so that inflected forms share evidence.
+The value of each is the square root of its count over the logarithm of the document's words: one word
+that looks like an insult weighs less in a long text than several in a short one. The logarithm of
+the number of words is a value of its own, whose weight may have either sign; no word speaks against
+toxicity. Features are 64-bit hashes and are compared whole, so long texts meet no collisions. Whole texts are read
+everywhere.
 
 The fit is bounded: about ``positives`` confirmed rows (default 3,000) and ``unlabelled``
-others (default 15,000), both chosen by a hash of the id; of the features that occur in at least 4 of
-the positives the ``candidates`` most frequent ones (default 200,000) are compared with the
-unlabelled rows, and the ``kept`` most significant ones (default 4,000) enter the model. So the driver
-receives at most 3 MB of candidates and, for each row of the fit, at most 16 KB. A fifth of the
-positives and about ``clean`` labelled clean rows (default 3,000) set the decision point, which is mapped
-to a score of ``cut``. All rows are scored.
+others (default 15,000), both chosen by a hash of the id, and ``mb`` megabytes of their features (default
+128, by kind of row, in the order of that hash); of the features that occur in at least 4 of the positives the
+``candidates`` most frequent ones (default 200,000) are compared with the unlabelled rows, and the ``kept`` most
+significant ones (default 4,000) enter the model. So the driver receives at most 3 MB of candidates and ``mb`` of
+rows. A fifth of the positives and about ``clean`` labelled clean rows (default 3,000) set the decision point,
+which is mapped to a score of ``cut``. All rows are scored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.llm.common import materialise, small_batches
@@ -66,13 +68,14 @@ def _slices(text: str) -> Iterator[np.ndarray]:
         at = end
 
 
-def features(text: str) -> np.ndarray:
-    """Distinct 64-bit hashes of words and word beginnings."""
-    parts = []
+def features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct 64-bit hashes of words and word beginnings, their counts, and the number of words."""
+    parts, words = [], 0
     for b in _slices(text):
         inside = np.concatenate([[False], _WORD[b], [False]])
         turn = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = turn[::2], turn[1::2]
+        words += len(start)
         upto = np.zeros(len(b) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[b] * _UP[: len(b)], out=upto[1:])
         down = _DOWN[start]
@@ -81,7 +84,8 @@ def features(text: str) -> np.ndarray:
             longer = end - start > p
             s = start[longer]
             parts.append(_mix((upto[s + p] - upto[s]) * down[longer] + np.uint64(p)))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+    found, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), return_counts=True)
+    return found, counts, words
 
 
 class Lookup:
@@ -92,30 +96,40 @@ class Lookup:
         self.may = np.zeros(1 << 20, dtype=bool)
         self.may[table >> np.uint64(44)] = True
 
-    def __call__(self, found: np.ndarray) -> np.ndarray:
-        near = found[self.may[found >> np.uint64(44)]]
+    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table of the hashes that are there, and which of ``found`` these are."""
+        near = np.flatnonzero(self.may[found >> np.uint64(44)])
         if not len(near) or not len(self.table):
-            return np.zeros(0, dtype=np.int64)
-        at = np.searchsorted(self.table, near)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.searchsorted(self.table, found[near])
         at[at == len(self.table)] = 0
-        return at[self.table[at] == near]
+        same = self.table[at] == found[near]
+        return at[same], near[same]
+
+    def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of a text; the place behind the table holds its length."""
+        found, counts, words = features(text)
+        at, which = self(found)
+        values = np.sqrt(counts[which] / np.log2(2 + words))
+        return np.append(at, len(self.table)), np.append(values, np.log2(1 + words) / 8)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to a row for each of their features."""
     for b in batches:
         for t in b.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(features(t).view(np.int64))], names=["f"])
+            yield pa.RecordBatch.from_arrays([pa.array(features(t)[0].view(np.int64))], names=["f"])
 
 
 def _emit(table: np.ndarray):
-    """Rows to the places of their features in a table."""
+    """Rows to the places of their features in a table, and their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(table)
         for b in batches:
-            out = [look(features(t)).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("r"), pa.array(out, pa.binary())], names=["kind", "r", "f"])
+            out = [look.row(t) for t in b.column("text").to_pylist()]
+            parts = [pa.array([x[k].astype(kind).tobytes() for x in out], pa.binary()) for k, kind in enumerate(("<i4", "<f4"))]
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("r"), *parts], names=["kind", "r", "f", "v"])
 
     return run
 
@@ -127,7 +141,7 @@ def _table_counts(table: np.ndarray):
         look, n, total = Lookup(table), np.zeros(len(table), dtype=np.int64), 0
         for b in batches:
             for t in b.column("text").to_pylist():
-                n[look(features(t))] += 1
+                n[look(features(t)[0])[0]] += 1
                 total += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(n[at], total), pa.int64())], names=["place", "n"])
@@ -136,18 +150,19 @@ def _table_counts(table: np.ndarray):
 
 
 class _Rows:
-    """Sparse 0/1 rows in compressed form."""
+    """Sparse rows (places, values) in compressed form."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.n, self.width = len(rows), width
-        self.at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        self.at = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+        self.value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
+        self.row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at], self.n)
+        return np.bincount(self.row, w[self.at] * self.value, self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, g[self.row], self.width)
+        return np.bincount(self.at, g[self.row] * self.value, self.width)
 
 
 def nnpu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
@@ -166,7 +181,7 @@ def nnpu_slopes(zp: np.ndarray, zu: np.ndarray, prior: float, beta: float = 0.0)
 
 
 def fit_nnpu(pos: _Rows, unl: _Rows, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4, beta: float = 0.0):
-    """Weights and bias that minimise the non-negative risk under the logistic loss (Adam, full batches)."""
+    """Weights and bias that minimise the non-negative risk under the logistic loss (Adam, full batches); the last weight is the length's."""
     width = pos.width
     w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -176,7 +191,7 @@ def fit_nnpu(pos: _Rows, unl: _Rows, prior: float, steps: int = 400, rate: float
         g = np.append(pos.back(dp) + unl.back(du) + l2 * w[:-1], dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w[:-1] = np.maximum(w[:-1], 0)  # words are evidence for toxicity; none speaks against it
+        w[:-2] = np.maximum(w[:-2], 0)  # words are evidence for toxicity; none speaks against it
     return w[:-1], float(w[-1])
 
 
@@ -198,7 +213,7 @@ class Model:
 
 def train(
     texts: DataFrame, known: DataFrame, positives: int = 3_000, unlabelled: int = 15_000, clean: int = 3_000, candidates: int = 200_000,
-    kept: int = 4_000, seed: str = "tox-1", min_docs: int = 4, significance: float = 4.0,
+    kept: int = 4_000, seed: str = "tox-1", min_docs: int = 4, significance: float = 4.0, mb: float = 128,
 ) -> Model | None:
     """A model from learnable rows (id, text) and labels (id, toxic). Without both kinds of label, or without any row to set against
     the positives: None.
@@ -246,22 +261,25 @@ def train(
     excess = (in_pos - n_teach * share_u) / np.sqrt(n_teach * share_u * (1 - share_u) + 1)
     telling = np.flatnonzero((excess > significance) & (in_pos / n_teach > 2 * share_u))
     table = table[np.sort(telling[np.argsort(-excess[telling], kind="stable")[:kept]])]
-    got = rows.select("kind", "r", "text").mapInArrow(_emit(table), "kind int, r double, f binary").collect()
-    got.sort(key=lambda x: (x.r, x.f))
-    of_kind = lambda k: [np.frombuffer(x.f, dtype="<i4").astype(np.int64) for x in got if x.kind == k]
+    got = materialise(rows.select("kind", "r", "text").mapInArrow(_emit(table), "kind int, r double, f binary, v binary"), "op10-rows")
+    order = Window.partitionBy("kind").orderBy("r", "f", "v").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("upto", F.sum(F.octet_length("f") + F.octet_length("v")).over(order)).filter(F.col("upto") <= mb * (1 << 18)).collect()
+    got.sort(key=lambda x: (x.r, x.f, x.v))
+    read = lambda x: (np.frombuffer(x.f, dtype="<i4").astype(np.int64), np.frombuffer(x.v, dtype="<f4").astype(float))
+    of_kind = lambda k: [read(x) for x in got if x.kind == k]
     plain, teach = of_kind(0), of_kind(1)
     if not plain or not teach:
         return None
-    pos = _Rows(teach, len(table))
+    pos = _Rows(teach, len(table) + 1)
     # the mixture must hold its share of positives: labelled ones were taken out above, so they are put back in proportion
     known_share = size[1] / sum(size.values())
     back = round(len(plain) * known_share / (1 - known_share))
-    unl = _Rows(plain + [teach[i % len(teach)] for i in range(back)], len(table))
+    unl = _Rows(plain + [teach[i % len(teach)] for i in range(back)], len(table) + 1)
     w, bias = fit_nnpu(pos, unl, prior)
     held = of_kind(3)
     at_hand = (held or teach) + of_kind(2)
     y = np.array([1] * len(held or teach) + [0] * (len(at_hand) - len(held or teach)))
-    scores = np.array([w[a].sum() + bias for a in at_hand])
+    scores = np.array([w[a] @ v + bias for a, v in at_hand])
     return Model(table, w, bias, decision_point(scores, y) if y.min() == 0 else 0.0)
 
 
@@ -273,7 +291,8 @@ def _score(model: Model | None, cut: float):
             z = np.full(b.num_rows, -40.0)
             if model:
                 for i, t in enumerate(b.column("text").to_pylist()):
-                    z[i] = model.weights[look(features(t))].sum() + model.bias - model.cut + base
+                    at, values = look.row(t)
+                    z[i] = model.weights[at] @ values + model.bias - model.cut + base
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(score)], names=["id", "held_out", "score"])
 
@@ -296,7 +315,7 @@ def toxicity(
 
     Defined cases: a null or empty text has the score of a text without words. Several labels of
     one id: toxic if any is. Without labels of both kinds every score is near 0. Null ids have no
-    label. Rows that repeat are judged alike. Very long texts are read whole, a slice at a time. An
+    label and aren't held out where ``learnable`` is null. Rows that repeat are judged alike. Very long texts are read whole, a slice at a time. An
     empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -304,11 +323,11 @@ def toxicity(
     base = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.coalesce(learnable, F.lit(False)).alias("learnable"),
+        learnable.alias("learnable"),
     )
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
     known = known.agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     model = train(base.filter("learnable and id is not null").select("id", "text"), known)
-    rows = base.select("id", (~F.col("learnable")).alias("held_out"), "text")
+    rows = base.select("id", F.coalesce(~F.col("learnable"), F.lit(False)).alias("held_out"), "text")
     out = rows.mapInArrow(_score(model, cut), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
