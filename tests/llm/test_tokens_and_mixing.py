@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from veritext.llm import mixing, packing, token_files
@@ -201,6 +202,42 @@ def test_mixing_draws_with_unequal_probabilities(spark):
     assert taken[200] / n[200] > 1.5 * taken[3] / n[3]
 
 
+def test_mixing_with_inclusion_near_zero_and_one(spark, monkeypatch):
+    # nearly whole copies of one source and nearly none of the other pile up at the ends of the ranges
+    n = {"a": 6_000, "b": 9_000}
+    probability = {"a": 0.9999, "b": 0.00005}
+    words = {"a": 5, "b": 7}
+    plan = spark.createDataFrame([(s, 2, 1, 1.0, 0, f, f * n[s] * words[s] + 0.5) for s, f in probability.items()], "src string, k int, source_size long, target double, base long, f double, missing double")
+    r = random.Random(4)
+    rows = [(i, s, words[s], r.randrange(1, 1 << 48) / (1 << 48)) for s in n for i in range(n[s])]
+    d = spark.createDataFrame(rows, "id long, src string, size long, u double").join(plan, "src")
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+    j = d.withColumn("q", q).withColumn("y", F.col("q") / (1 + F.col("q"))).cache()
+    piled = j.groupBy("src", F.floor(F.col("y") * 4096)).count().agg(F.max("count")).first()[0]
+    for ranked in (50, 10**6):
+        sure, left = mixing._at_cut(j, 4096, ranked)
+        assert left.groupBy("src").count().agg(F.max("count")).first()[0] <= min(ranked, piled)
+        order = sorted(j.collect(), key=lambda x: (x.src, x.q, x.id))
+        upto, want = Counter(), {}
+        for x in order:
+            upto[x.src] += x.size
+            want[x.src, x.id] = upto[x.src] - x.size / 2 <= x.missing
+        decided = {(x.src, x.id): x.drawn for part in sure for x in part.collect()}
+        kept = {(x.src, x.id): x.before for x in left.collect()}
+        assert not decided.keys() & kept.keys() and len(decided) + len(kept) == len(rows)
+        assert all(want[k] == v for k, v in decided.items())
+        for s in n:
+            assert {b for (src, _), b in kept.items() if src == s} <= {sum(x.size for x in order if x.src == s and decided.get((s, x.id)))}
+    assert piled > 5_000
+
+
+def test_mixing_refines_a_range_that_holds_a_whole_source(spark):
+    data = [(i, "w " * 3, "a" if i % 3 else "b", "x", "y") for i in range(900)]
+    df = spark.createDataFrame(data, DOCS)
+    plain = {x.doc_id: x.taken for x in mixing.mix(df).collect()}
+    assert {x.doc_id: x.taken for x in mixing.mix(df, bins=1, ranked=10).collect()} == plain
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, None, "x", "y"), (2, "", "a", "x", "y")], DOCS)).collect()

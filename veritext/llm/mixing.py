@@ -13,9 +13,10 @@ Q = (u / (1 - u)) / (f / (1 - f)) (Rosen, 1997), and taken in this order until t
 to what is missing. u comes from a hash of seed and id, so a rerun, or a run on another number of
 partitions, takes the same documents.
 
-No source is ranked in one task: Q is cut into ranges of about 20,000 documents, words are added up
-for each source and range, and only the documents of the one range that holds the cut are ranked.
-What passes through one task is a row for each source (and, within a source, for each size class and
+No source is ranked in one task: Q / (1 + Q) is cut into ranges, words are added up for each source and
+range, and only the documents of the one range that holds the cut go on. Where inclusion
+probabilities near 0 or 1 pile documents up in one range, it is cut again, a few thousand times finer each
+time, until 20,000 documents at most are left to a source; these are ranked. What passes through one task is a row for each source (and, within a source, for each size class and
 range): ten million sources are about a gigabyte.
 """
 
@@ -30,7 +31,7 @@ from veritext.llm.common import WORD, materialise
 
 #: What the shortest documents count for; each doubling of the size adds one.
 _LEAST = 4
-_RANGE = 20_000
+_RANGE, _FINER = 20_000, 4_096
 
 
 def _level(rows: DataFrame, part: list[str], total: Column, cap: str, weight: str, order: list[Column]) -> DataFrame:
@@ -81,6 +82,48 @@ def _expectations(classes: DataFrame, targets: DataFrame, max_copies: int) -> Da
     return c.withColumn("missing", F.col("target") - certain).select("src", "k", "source_size", "target", "base", "f", "missing")
 
 
+def _parted(j: DataFrame, cell: Column, bins: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents on either side of the range that holds their source's cut (with drawn), and those in it (with before).
+
+    ``cell`` is from 0 to 1 and rises with q; ``before`` has (b_src, base_before), the words of documents
+    that come before all of ``j``'s. One row for each source and range is added up in Spark.
+    """
+    j = j.filter("q is not null").withColumn("bin", F.greatest(F.lit(0), F.least(F.floor(cell * bins), F.lit(bins - 1))).cast("int"))
+    by_bin = j.groupBy("src", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    if before is None:
+        by_bin = by_bin.withColumn("base_before", F.lit(0).cast("long"))
+    else:
+        by_bin = by_bin.join(before, F.col("src").eqNullSafe(F.col("b_src"))).drop("b_src")
+    over = Window.partitionBy("src").orderBy("bin")
+    by_bin = by_bin.withColumn("upto", F.col("base_before") + F.sum("words").over(over)).withColumn("before", F.col("upto") - F.col("words"))
+    cut = by_bin.filter("before < missing and missing <= upto").select(F.col("src").alias("c_src"), F.col("bin").alias("cut"), "before")
+    # written, so that its size is known when the join with the documents is planned: small ones are broadcast
+    cut = materialise(cut, "op9-ranges")
+    j = j.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src")
+    # no range holds the cut where the need is below all or, by a rounding of its last digit, above all words
+    side = F.when(F.col("cut").isNull(), F.col("missing") > 0).otherwise(F.col("bin") < F.col("cut"))
+    inside = F.col("cut").isNotNull() & (F.col("bin") == F.col("cut"))
+    return j.filter(~inside).withColumn("drawn", side), j.filter(inside).drop("bin", "cut")
+
+
+def _at_cut(j: DataFrame, bins: int, ranked: int, rounds: int = 6) -> tuple[list[DataFrame], DataFrame]:
+    """Documents whose draw is decided (with drawn), and those left in the range of their source's cut (with before), ``ranked`` of a source at most."""
+    decided, left = _parted(j, F.col("y"), bins)
+    sure, left, cell, n = [decided], materialise(left, "op9-cut"), F.col("y"), bins
+    for _ in range(rounds):
+        most = left.groupBy("src").count().agg(F.max("count")).first()[0] or 0  # one row for each source
+        if most <= ranked:
+            break
+        # where in its range a document lies, from 0 to 1
+        cell = cell * n - F.greatest(F.lit(0), F.least(F.floor(cell * n), F.lit(n - 1)))
+        n = _FINER
+        before = left.groupBy(F.col("src").alias("b_src")).agg(F.first("before").alias("base_before"))
+        decided, finer = _parted(left.drop("before"), cell, n, before)
+        sure.append(decided)
+        left = materialise(finer, "op9-cut")
+    return sure, left
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -90,11 +133,13 @@ def mix(
     max_copies: int = 3,
     seed: str = "mix-1",
     bins: int | None = None,
+    ranked: int = _RANGE,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, size, source_size, target, copies, taken.
 
     ``weights`` are dealt to the sources in code-point order, null last, repeating. size is the
-    number of words, taken is copies * size.
+    number of words, taken is copies * size. At most ``ranked`` documents of a source are ranked in a
+    task, but for documents with one random number and size class (rows that repeat an id).
 
     Defined cases: a null text has size 0; a null source is a source of its own; documents of
     size 0 get copies like any other and add no words; a source without words has target 0 and
@@ -116,33 +161,18 @@ def mix(
     sizes = classes.groupBy("src").agg(F.sum("words").alias("source_size"))
     plan = materialise(_expectations(classes, _targets(sizes, weights, max_copies), max_copies), "op9-plan")
 
-    def ranked(d: DataFrame, plan: DataFrame) -> DataFrame:
-        p = plan.withColumnsRenamed({"src": "p_src", "k": "p_k"})
-        j = d.join(p, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("k") == F.col("p_k"))).drop("p_src", "p_k")
-        odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-        j = j.withColumn("q", F.when(F.col("f") > 0, odds))
-        return j.withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * bins), F.lit(bins - 1)).cast("int"))
-
-    j = ranked(d, plan)
-    by_bin = j.filter("f > 0").groupBy("src", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-    over = Window.partitionBy("src").orderBy("bin")
-    by_bin = by_bin.withColumn("upto", F.sum("words").over(over)).withColumn("before", F.col("upto") - F.col("words"))
-    cut = by_bin.filter("before < missing and missing <= upto").select(
-        F.col("src").alias("c_src"), F.col("bin").alias("cut"), "before"
-    )
-    # a rounding of the last digit may leave the need above all words: then every document is taken
-    with_cut = plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").select(*plan.columns, "cut", "before")
-    # written, so that its size is known when the join with the documents is planned: small ones are broadcast
-    j = ranked(d, materialise(with_cut, "op9-cut"))
-    inside = Window.partitionBy("src").orderBy("q", "id", "size")
-    at_cut = j.filter("f > 0 and bin = cut").withColumn(
-        "middle", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    )
-    at_cut = at_cut.withColumn("drawn", F.col("middle") <= F.col("missing"))
-    rest = j.filter("not (f > 0 and cut is not null and bin = cut)").withColumn(
-        "drawn", F.when(F.col("f") > 0, F.when(F.col("cut").isNull(), F.lit(True)).otherwise(F.col("bin") < F.col("cut"))).otherwise(False)
-    )
-    out = rest.drop("middle").unionByName(at_cut.drop("middle"))
+    p = plan.withColumnsRenamed({"src": "p_src", "k": "p_k"})
+    j = d.join(p, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("k") == F.col("p_k"))).drop("p_src", "p_k")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+    j = j.withColumn("q", F.when(F.col("f") > 0, odds)).withColumn("y", F.col("q") / (1 + F.col("q")))
+    sure, left = _at_cut(j, bins, ranked)
+    sure.append(j.filter("q is null").withColumn("drawn", F.lit(False)))
+    inside = Window.partitionBy("src").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
+    columns = ["id", "size", "source_size", "target", "base", "drawn"]
+    out = left.withColumn("drawn", middle <= F.col("missing")).select(*columns)
+    for part in sure:
+        out = out.union(part.select(*columns))
     copies = F.col("base") + F.col("drawn").cast("long")
     return out.select(
         F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
