@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritext.llm.common import free_name, materialise, rows_with_ids
+from veritext.llm.common import free_name, materialise, new_dir, remove, rows_with_ids
 from veritext.llm.exact_dedup import exact_dedup
 from veritext.llm.minhash_dedup import near_duplicates
 from veritext.llm.mixing import mix
@@ -80,7 +80,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_dir(spark, f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", path)
+        if before:  # a stage's table is read by the next one only
+            remove(spark, before)
+        before = path
     return docs

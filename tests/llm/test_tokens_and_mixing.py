@@ -244,3 +244,14 @@ def test_mixing_odd_tables(spark):
     assert sorted((x.size, x.taken, x.target) for x in got) == [(0, 0, 0.0), (0, 0, 0.0)]
     one = mixing.mix(spark.createDataFrame([(1, "a b", "s", "x", "y"), (1, "a b", "s", "x", "y"), (None, "c", "s", "x", "y")], DOCS)).collect()
     assert sum(x.taken for x in one) == 5
+
+
+def test_stretches_whose_hashes_agree_by_chance_are_told_apart(monkeypatch):
+    from veritext.llm import tokens
+
+    monkeypatch.setattr(tokens, "_mix", lambda x: (x & np.uint64(7)) + np.uint64(1))  # nearly all stretches collide
+    enc = Encoder(default_tokenizer())
+    texts = ["one two three four", "five six seven", "eight nine ten, one two", "five sit seven", "a b c d e f g h"]
+    flat, at = enc(texts)
+    for i, t in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids

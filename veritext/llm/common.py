@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.functions.shared import shared_path
+
 #: Runs of anything but these six characters are words (space, tab, newline, vertical tab, form feed, return).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,35 +16,24 @@ BROADCAST_IDS = 250_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
-
-    Only where that is unset in a local session (as in tests) a temporary folder is made and kept in
-    the session's own settings; on a cluster executors don't see it, so there it is an error.
-    """
-    for key in ("spark.checkpoint.dir", "veritext.shared.dir"):
-        found = spark.conf.get(key, None)
-        if found:
-            return found.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="veritext-")
-    spark.conf.set("veritext.shared.dir", made)
-    return made
+def new_dir(spark: SparkSession, name: str) -> str:
+    return shared_path(spark, name)
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: what follows reads files that outlive any executor. The shuffle
     files behind the write aren't needed any more and are released when it ends.
     """
     spark = df.sparkSession
-    path = new_dir(spark, name)
+    path = path or new_dir(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritext.llm.common import materialise, new_dir, small_batches
+from veritext.llm.common import BROADCAST_IDS, materialise, new_dir, small_batches
 from veritext.llm.tokens import END_ID, default_tokenizer, encoder, text_groups
 
 MAGIC = b"VTI1"
@@ -198,18 +198,22 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = np.frombuffer(table, "<u4")
         for b in batches:
-            for raw, start in zip(b.column("content"), b.column("start").to_pylist()):
+            for raw, shard in zip(b.column("content"), b.column("shard").to_pylist()):
                 ids, lens, ranks = unpack_shard(raw.as_buffer())
                 tokens = token[ranks]
                 at = np.concatenate([[0], np.cumsum(lens)])
                 crc = [zlib.crc32(tokens[at[i] : at[i + 1]]) for i in range(len(ids))]
-                cols = [pa.array(ids, pa.int64()), pa.array(start + at[:-1], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [pa.array([shard] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    names = ["shard", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    placed = files.join(manifest.select("shard", "start"), "shard").select("content", "start")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = files.mapInArrow(run, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    # where a shard starts joins its documents, so that what the files hold isn't moved
+    starts = manifest.select("shard", F.col("start").alias("first"))
+    starts = F.broadcast(starts) if manifest.count() <= BROADCAST_IDS else starts
+    out = rows.join(starts, "shard").withColumn("start", F.col("first") + F.col("at"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -123,17 +123,19 @@ class Encoder:
         self.ids = self.line  # slot 0 is the line end
         self.starts = np.array([0, len(self.line)], dtype=np.int64)
         self.hashes, self.hits = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+        self.bytes, self.places = np.zeros(0, dtype=np.uint8), np.zeros(2, dtype=np.int64)
 
     def _trim(self) -> None:
         """Keep the stretches that were met again; start afresh where those are too many as well."""
         keep = self.hits > 1
         keep[0] = True
-        lens, ids, hashes = np.diff(self.starts), self.ids, self.hashes
+        lens, ids, hashes, sizes, held = np.diff(self.starts), self.ids, self.hashes, np.diff(self.places), self.bytes
         self._reset()
         if keep.sum() <= self.cache // 2:
             self.ids = ids[np.repeat(keep, lens)]
             self.starts = np.concatenate([[0], np.cumsum(lens[keep])])
             self.hashes, self.hits = hashes[keep], np.zeros(int(keep.sum()), dtype=np.int64)
+            self.bytes, self.places = held[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
             self.table.add(self.hashes[1:], np.arange(1, len(self.hashes), dtype=np.int32))
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
@@ -148,8 +150,23 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lens)])
         self.hashes = np.concatenate([self.hashes, hashes])
         self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
+        raw = [w.encode() for w in words]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), dtype=np.uint8)])
+        self.places = np.concatenate([self.places, self.places[-1] + np.cumsum([len(r) for r in raw])])
         self.table.add(hashes, np.arange(base, base + len(words), dtype=np.int32))
 
+    def _others(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which stretches of ``b`` aren't the ones of their slots: the hashes agree by chance, length or bytes don't."""
+        size = end - start
+        wrong = size != self.places[slot + 1] - self.places[slot]
+        same = np.flatnonzero(~wrong)
+        size = size[same]
+        first = np.cumsum(size) - size
+        run = np.arange(int(size.sum()))
+        differ = b[run + np.repeat(start[same] - first, size)] != self.bytes[run + np.repeat(self.places[slot[same]] - first, size)]
+        wrong[same[np.repeat(np.arange(len(same)), size)[differ]]] = True
+        return wrong
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and for each text where its ids begin (one more entry than texts)."""
         if not texts:
@@ -213,6 +230,9 @@ class Encoder:
             parts = zip(s_at[k].tolist(), e_at[k].tolist(), lead[k].tolist())
             self._learn([(" " if x else "") + raw[s:e].decode() for s, e, x in parts], new)
             slot[missed] = self.table.find(h[missed])
+        at = np.flatnonzero(word)
+        wrong = at[self._others(b, s_at[at] - lead[at], e_at[at], slot[at])]
+        odd[np.repeat(doc, n)[wrong]] = True  # left to the library
         self.hits += np.bincount(slot, minlength=len(self.hits))
         lens = self.starts[slot + 1] - self.starts[slot]
         stop = np.cumsum(lens)
