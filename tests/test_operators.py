@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from veritext.functions import order
 from veritext.jobs import queries
 from veritext.operators import audit, dedup, formats, forms, generate, rules, score
 
@@ -254,6 +255,31 @@ def test_ratio(spark):
     assert got == {"a": 2, "b": 3}
 
 
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_kth_key(spark, n):
+    r = random.Random(n)
+    keys = [(r.choice([None, "a", "b", "b", "b", "b"]), r.randrange(40)) for _ in range(n)]
+    df = spark.createDataFrame(keys, "s string, i int").repartition(3)
+    ranked = sorted(keys, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    for k in {0, 1, 2, n // 3, n // 2, n - 1, n, n + 5}:
+        cut = order.kth_key(df, k, F.col("s"), F.col("i"), keys=20, ways=4)
+        if not n or k < 1:
+            assert cut.key is None
+            continue
+        want = ranked[min(k, n) - 1]
+        assert (cut.below, cut.equal) == (ranked.index(want), ranked.count(want))
+        assert df.filter(order.up_to(cut, F.col("s"), F.col("i"))).count() == cut.below + cut.equal
+        assert order.first_rows(df, k, F.col("s"), F.col("i"), keys=20).count() == min(k, n)
+    plan = order.first_rows(df, 5, F.col("i"))._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+
+
+def test_one_key_that_most_rows_hold(spark):
+    df = spark.range(50_000).selectExpr("CASE WHEN id % 10 < 9 THEN 5 ELSE id END AS x")
+    cut = order.kth_key(df, 25_000, F.col("x"))
+    assert cut.below == 0 and cut.equal == 45_000 and order.first_rows(df, 25_000, F.col("x")).count() == 25_000
+
+
 def test_style_flags_read_whole_texts(spark, tmp_path):
     texts = ["The cat is here. " * 8 + "Done now.", "The end is near.", ""]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))

@@ -27,12 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, key: Column, name: str = "slot", buckets: int = 1024) -> DataFrame:
-    """``df`` with a dense number from 0 in the order of a hash of ``key`` (unique): counts by bucket, then ranks inside them."""
+def numbered(df: DataFrame, key: Column, name: str = "slot", ranked: int = 20_000) -> DataFrame:
+    """``df`` with a dense number from 0 in the order of a hash of ``key`` (unique).
+
+    Rows are counted by the hash's first bits, as many as leave about ``ranked`` rows to a range, and
+    ranked inside the ranges. The number doesn't depend on the ranges.
+    """
     h = F.xxhash64(key)
-    rows = df.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    bits = max(6, min(30, (df.count() // ranked).bit_length()))
+    rows = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 64 - bits))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_b").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_b", "_o")
     inside = Window.partitionBy("_b").orderBy("_h", key)
-    out = rows.join(F.broadcast(counts), "_b").withColumn(name, F.col("_o") + F.row_number().over(inside) - 1)
+    out = rows.join(counts, "_b").withColumn(name, F.col("_o") + F.row_number().over(inside) - 1)
     return out.drop("_h", "_b", "_o")

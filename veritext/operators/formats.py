@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritext.functions.order import kth_key, up_to
+
 
 def split_exact(df: DataFrame, id_col: str, share: float = 0.15, seed: str = "split-1", name: str = "part") -> DataFrame:
     """``df`` with a column that is ``validation`` on exactly floor(share * rows) rows and ``train`` on the rest.
 
-    Rows are ordered by a hash of seed and id (ids unique). No global sort: rows are counted by the
-    first 16 bits of the hash, the bucket that holds the cut is found, and only its rows are ranked.
+    Rows are ordered by a hash of seed and id (ids unique). The hash of the last validation row is found by
+    refined counts (see ``kth_key``), so the part is a comparison: no row is sorted, ranked or moved.
     """
-    h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256)
-    rows = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 4))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))  # 65,536 rows at most
-    all_rows, w = Window.partitionBy(), Window.orderBy("_b")
-    cut = counts.select("_b", "_n", F.sum("_n").over(w).alias("_upto"), F.floor(F.sum("_n").over(all_rows) * share).alias("_need"))
-    cut = cut.select("_b", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_need") - (F.col("_upto") - F.col("_n")))).alias("_take"), "_n")
-    rows = rows.join(F.broadcast(cut), "_b")
-    sure = rows.filter("_take = 0 or _take = _n").withColumn(name, F.when(F.col("_take") > 0, "validation").otherwise("train"))
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col))
-    at_cut = rows.filter("_take > 0 and _take < _n").withColumn("_r", nth)
-    at_cut = at_cut.withColumn(name, F.when(F.col("_r") <= F.col("_take"), "validation").otherwise("train")).drop("_r")
-    return sure.unionByName(at_cut).drop("_h", "_b", "_take", "_n")
+    order = (F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256), F.col(id_col))
+    cut = kth_key(df, math.floor(df.count() * share), *order)
+    return df.withColumn(name, F.when(up_to(cut, *order), "validation").otherwise("train"))
 
 
 def instruction(df: DataFrame, text: Column, valid: Column, upper: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
+from veritext.functions.order import first_rows
 from veritext.functions.shared import numbered, written
 from veritext.operators.forms import FIGURES, form_catalog
 
@@ -56,6 +57,10 @@ LEADS = [
 ]
 
 
+#: So many keys of a round's draws may be broadcast (about 25 MB).
+BROADCAST_KEYS = 250_000
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Words to build terms from. Triples are (predicate, middle, subject), from wide to narrow where they are plausible."""
@@ -76,9 +81,9 @@ def default_lexicon() -> Lexicon:
         "harbour": [("vessels", "boats", "ferries"), ("sailors", "pilots", "helmsmen"), ("signals", "lamps", "beacons"), ("cargoes", "barrels", "kegs")],
         "library": [("texts", "books", "novels"), ("readers", "students", "novices"), ("shelves", "racks", "stands"), ("records", "lists", "ledgers")],
     }
-    words = "old new small large quiet bright local costly hollow narrow common sturdy spare painted borrowed northern early plain folded trusted".split()
-    odd = "singing invisible melting nocturnal magnetic weightless backward talking liquid frozen dreaming square whispering hungry elastic floating".split()
-    absurd = [("teapots", "senators", "clouds"), ("whales", "ladders", "poems"), ("lamps", "uncles", "rivers"), ("violins", "turnips", "planets"), ("shadows", "cheeses", "judges"), ("doors", "comets", "pickles")]
+    words = "old new small large clean bright nearby costly tidy narrow common sturdy spare varnished rented northern early plain folded trusted".split()
+    odd = "yodelling transparent melting sleepwalking triangular weightless upended gossiping knitted frozen yawning square whistling ticklish inflatable sulking".split()
+    absurd = [("kettles", "mayors", "glaciers"), ("walruses", "staircases", "sonnets"), ("lamps", "cousins", "deltas"), ("trombones", "radishes", "nebulas"), ("echoes", "custards", "referees"), ("doors", "meteors", "gherkins")]
     topics = [f"{d}-{k}" for d in domains for k in range(10)]
     return Lexicon(topics, domains, absurd, words, odd, {t: t.split("-")[0] for t in topics})
 
@@ -292,8 +297,9 @@ def generate(
     ``taken`` has further texts in a column syllogism, which no example may repeat.
 
     ``slots`` holds the numbers 0 to total - 1 in a column slot. Of slots that collide the lowest
-    keeps its draw and the others draw again with the next attempt; only they are made anew, while
-    the keys of all others are compared. More than ``rounds`` rounds means that the lexicon is too
+    keeps its draw and the others draw again with the next attempt; only they are made anew and
+    moved. The keys of examples kept so far, and of ``taken``, are a table to which each round adds
+    its own; new draws are looked for in it. More than ``rounds`` rounds means that the lexicon is too
     small for ``total`` and is an error. A slot keeps its form and its positions in every attempt.
     """
     if any(n < 2 for n in premise_counts):
@@ -304,23 +310,18 @@ def generate(
     w = _Words(lexicon or default_lexicon(), style)
     pending, rows = slots.select(F.col("slot").cast("long").alias("slot"), F.lit(0).alias("attempt")), total
     kept: DataFrame | None = None
-    others = None
+    seen = None
     if taken is not None:
-        text = F.sha2(T.signature(F.col("syllogism")), 256)
-        others = taken.select(F.lit(-1).cast("long").alias("slot"), F.lit(True).alias("whole"), F.lit(0).alias("new"), F.lit(None).cast("string").alias("c"), text.alias("t"))
+        seen = written(taken.select(F.lit(None).cast("long").alias("c"), F.xxhash64(T.signature(F.col("syllogism"))).alias("t")), "taken")
     for _ in range(rounds):
         # slots are a few bytes each but cost much to fill, so they are dealt by number, not by size
         pending = plan_slots(pending.repartition(1 + rows // 5_000), total, premise_counts)
         new = written(_draw_examples(pending, catalog, sizes, w, seed, max(premise_counts) - 2, semantics), "drawn")
-        keys = _keys(new, F.col("whole"), 1)
-        for old in (kept, others):
-            keys = keys if old is None else keys.unionByName(old if old is others else _keys(old, F.lit(True), 0))
-        first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("new", F.desc("whole"), "slot"))
-        keys = keys.withColumn("fc", first("c")).withColumn("ft", first("t")).withColumn("fc", F.when(F.col("new") == 1, F.col("fc")))
-        won = written(keys.filter("new = 1 and whole and fc = 1 and ft = 1").select("slot"), "won")
-        good = new.join(won, "slot", "left_semi")
+        won = written(_unseen(_firsts(_keys(new)), seen, rows), "won")
+        seen = won.select("c", "t") if seen is None else seen.union(won.select("c", "t"))
+        good = new.join(won.select("slot"), "slot", "left_semi")
         kept = good if kept is None else kept.unionByName(good)
-        lost = new.join(won, "slot", "left_anti").select("slot", (F.col("attempt") + 1).alias("attempt"))
+        lost = new.join(won.select("slot"), "slot", "left_anti").select("slot", (F.col("attempt") + 1).alias("attempt"))
         pending = written(lost, "lost")
         rows = pending.count()
         if not rows:
@@ -328,10 +329,35 @@ def generate(
     raise RuntimeError(f"no {total} different examples after {rounds} rounds: the lexicon is too small")
 
 
-def _keys(x: DataFrame, whole: Column, new: int) -> DataFrame:
-    """What must differ between examples, as hashes."""
-    core, text = F.sha2("metadata.core_signature", 256), F.sha2(F.lower("syllogism"), 256)
-    return x.select("slot", whole.alias("whole"), F.lit(new).alias("new"), core.alias("c"), text.alias("t"))
+def _keys(x: DataFrame) -> DataFrame:
+    """What must differ between examples, as 64-bit hashes: two that agree by chance draw again, which changes no promise."""
+    return x.select("slot", "whole", F.xxhash64("metadata.core_signature").alias("c"), F.xxhash64(F.lower("syllogism")).alias("t"))
+
+
+def _firsts(keys: DataFrame, names: str = "ct") -> DataFrame:
+    """Whole rows of one round that are the first of each key in ``names``: grouped minima, whole rows before others, low slots first."""
+    rank = F.struct((~F.col("whole")).alias("short"), "slot")
+    out = keys.filter("whole")
+    for k in names:
+        out = out.join(keys.groupBy(k).agg(F.min(rank)["slot"].alias("slot")).select("slot"), "slot", "left_semi")
+    return out
+
+
+def _unseen(keys: DataFrame, seen: DataFrame | None, most: int, names: str = "ct") -> DataFrame:
+    """``keys`` (slot and ``names``) that share no key with ``seen``, whose keys may be null.
+
+    At most ``most`` rows of a round are looked for. Up to ``BROADCAST_KEYS`` of them are sent to where the
+    keys seen so far lie, so that those aren't moved; beyond, both sides are shuffled by eight bytes.
+    """
+    keys = keys.select("slot", *names)
+    if seen is None:
+        return keys
+    keys = written(keys, "firsts")
+    for k in names:
+        asked = keys.select(k)
+        hits = seen.select(k).filter(F.col(k).isNotNull()).join(F.broadcast(asked) if most <= BROADCAST_KEYS else asked, k, "left_semi")
+        keys = keys.join(hits.distinct(), k, "left_anti")
+    return keys.select("slot", *names)
 
 
 def generate_like(df: DataFrame, key: str, **options) -> DataFrame:
@@ -394,6 +420,7 @@ def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int],
         x = x.withColumn(c, _chain([(F.col("premise_count") == n, F.get(F.array(*[F.lit(p[which]) for p in positions(n)]), (turn % len(positions(n))).cast("int"))) for n in set(premise_counts)]))
     parts = F.col("parts")
     kept: DataFrame | None = None
+    seen: DataFrame | None = None
     pending = x
     for attempt in range(rounds):
         again = f"{seed}+{attempt}" if attempt else seed
@@ -402,16 +429,14 @@ def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int],
         new = new.withColumn("first", F.when(F.col("_swap"), parts[1]).otherwise(parts[0])).withColumn("second", F.when(F.col("_swap"), parts[0]).otherwise(parts[1]))
         new = written(_assemble(new.withColumn("conclusion", parts[2])), "joined")
         # of equal texts the one kept already, or the lowest slot, stays; the others draw again
-        keys = new.select("slot", F.lit(1).alias("new"), F.sha2(F.lower("syllogism"), 256).alias("t"))
-        if kept is not None:
-            keys = kept.select("slot", F.lit(0).alias("new"), F.sha2(F.lower("syllogism"), 256).alias("t")).union(keys)
-        lost = keys.withColumn("nth", F.row_number().over(Window.partitionBy("t").orderBy("new", "slot"))).filter("nth > 1")
-        lost = written(lost.select("slot"), "again")
-        good = new.join(lost, "slot", "left_anti")
+        keys = new.select("slot", F.lit(True).alias("whole"), F.xxhash64(F.lower("syllogism")).alias("t"))
+        won = written(_unseen(_firsts(keys, "t"), seen, new.count(), "t"), "won")
+        seen = won.select("t") if seen is None else seen.union(won.select("t"))
+        good = new.join(won.select("slot"), "slot", "left_semi")
         kept = good if kept is None else kept.unionByName(good)
-        if lost.isEmpty():
+        pending = written(pending.join(won.select("slot"), "slot", "left_anti"), "again")
+        if pending.isEmpty():
             break
-        pending = pending.join(lost, "slot", "left_semi")
     else:
         raise RuntimeError(f"texts still repeat after {rounds} rounds: the lexicon is too small")
     return kept.select(
@@ -488,11 +513,14 @@ def generate_dataset(
 
 
 def mix_by_ratio(base: DataFrame, synthetic: DataFrame, count: int, ratio: float, order_base: Column, order_synthetic: Column) -> DataFrame:
-    """The first round(count * ratio) base rows (halves to even) and as many synthetic ones as are missing."""
+    """The first round(count * ratio) base rows (halves to even) and as many synthetic ones as are missing.
+
+    The orders should be unique. Both parts are filters by the key of their last row, see ``first_rows``.
+    """
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must lie between 0 and 1")
     k = round(count * ratio)
-    return base.orderBy(order_base).limit(k).unionByName(synthetic.orderBy(order_synthetic).limit(count - k), allowMissingColumns=True)
+    return first_rows(base, k, order_base).unionByName(first_rows(synthetic, count - k, order_synthetic), allowMissingColumns=True)
 
 
 def shuffled(df: DataFrame, id_col: str, seed: str) -> DataFrame:
