@@ -1,8 +1,11 @@
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from veritext.sources import arrays
 from veritext.sources import readers as R
 
 
@@ -60,7 +63,7 @@ def test_base_rows(spark, tmp_path):
 def test_arrays_are_dealt_to_files(spark, tmp_path):
     df = spark.range(25).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('é "'), F.col("id").cast("string"))).alias("t"))
     R.write_arrays(df, str(tmp_path / "a"), F.col("id"), rows_per_file=5)
-    files = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("*.txt")]
+    files = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("*.json")]
     assert len(files) > 2 and sorted(x["id"] for f in files for x in f) == list(range(25)) and all(set(x) == {"id", "t"} for f in files for x in f)
     back = R.read_training(spark, [str(tmp_path / "a")], "id long, t string")
     assert back.exceptAll(df).count() == 0 and back.count() == 25
@@ -72,6 +75,65 @@ def test_lines_and_items_must_be_objects(spark, tmp_path):
             R.read_container(spark, put(tmp_path / name, text))
 
 
+def test_arrays_in_ranges_equal_whole_files(spark, tmp_path, monkeypatch):
+    r = random.Random(1)
+    odd = ['a"b', "\\\\", '\\"', "[{,}]", "é文", "x" * 40, "", "},{", "\n\t", '\\\\"']
+    value = lambda d: r.choice([r.choice(odd), r.randrange(99), None, True, [r.choice(odd)] * 2, {"k": [{"z": r.choice(odd)}]}] if d else odd)
+    rows = [{f"k{j}": value(1) for j in range(r.randrange(4))} for _ in range(120)]
+    paths = [put(tmp_path / f"{k}.json", json.dumps(rows[: 40 * k], indent=k or None, ensure_ascii=k % 2 == 0)) for k in range(4)]
+    want = [[json.dumps(x) for x in rows[: 40 * k]] for k in range(4)]
+    for least in (1, 2, 3, 7, 50, 1 << 20):
+        for k, p in enumerate(paths):
+            size = os.path.getsize(p)
+            if least < 7 and k > 1:
+                continue
+            parts = [arrays.Range(p, size, at, min(at + least, size)) for at in range(0, size, least)]
+            state = [False, 0, 0, 0]
+            for x in parts:
+                x.inside, x.depth, x.pos, x.begun = bool(state[0]), state[1], state[2], bool(state[3])
+                c = json.loads(json.dumps(arrays.changes(x)))
+                i = int(state[0])
+                state = [i ^ c["inside"], state[1] + c["depth"][i], state[2] + c["commas"][i].get(str(1 - state[1]), 0), state[3] + c["seen"][i]]
+            got = [y for x in parts for y in arrays.items(x)]
+            assert [y[1] for y in got] == list(range(len(want[k]))) and [json.dumps(json.loads(y[2])) for y in got] == want[k]
+    got = arrays.array_items(spark, [(p, os.path.getsize(p)) for p in paths], least=500)
+    assert got.rdd.getNumPartitions() > 8
+    by = sorted((x.file, x.pos, json.dumps(json.loads(x.json))) for x in got.collect())
+    assert by == sorted((p, i, t) for p, w in zip(paths, want) for i, t in enumerate(w))
+
+
+@pytest.mark.parametrize("text", ["", " ", "17", "{}", '[{"a": 1}', '[{"a": 1}] x', '[{"a": 1}]]', '[{"a": "x]', "[1]", '[{"a": 1},]', '[{"a": 1} {"b": 2}]', '[{"a": 1]}', "[,]"])
+@pytest.mark.parametrize("least", [3, 1 << 20])
+def test_wrong_arrays_are_errors(spark, tmp_path, monkeypatch, text, least):
+    monkeypatch.setattr(arrays.array_items, "__defaults__", (least,))
+    p = put(tmp_path / "a.json", text)
+    with pytest.raises(R.InputError):
+        R.read_arrays(spark, p)
+    with pytest.raises(R.InputError):
+        R.read_training(spark, [p], "a long")
+
+
+def test_training_files_lack_no_required_key(spark, tmp_path):
+    p = put(tmp_path / "a.json", [{"a": 1, "b": None}, {"b": 2}])
+    assert R.read_training(spark, [p], "a long, b long", required=("b",)).count() == 2
+    with pytest.raises(R.InputError, match="item 1"):
+        R.read_training(spark, [p], "a long, b long", required=("a",))
+
+
+def test_long_rows_are_streamed_and_nothing_is_seen_after_a_failure(spark, tmp_path):
+    df = spark.range(60).select("id", F.repeat(F.lit("é" * 50), 3_000).alias("t"))
+    R.write_arrays(df, str(tmp_path / "a"), F.col("id"), rows_per_file=30)
+    assert sorted(p.suffix for p in (tmp_path / "a").iterdir()) == [".json", ".json"]
+    assert R.read_training(spark, [str(tmp_path / "a")], "id long, t string").agg(F.sum(F.length("t"))).first()[0] == 60 * 150_000
+    with pytest.raises(R.InputError):
+        R.write_arrays(df, str(tmp_path / "a"), F.col("id"))
+    R.write_arrays(df.limit(0), str(tmp_path / "none"), F.col("id"))
+    assert R.read_arrays(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="stop"):
+        R.write_arrays(df.select("id", F.when(F.col("id") < 50, "x").otherwise(F.raise_error(F.lit("stop"))).alias("t")), str(tmp_path / "b"), F.col("id"), 5)
+    assert not (tmp_path / "b").exists() or not list((tmp_path / "b").glob("part-*"))
+
+
 def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
     df = spark.createDataFrame([(1, "", " a "), (2, None, '"'), (3, "x,\ny", None), (4, "\\N", "NULL")], "i int, t string, u string")
     assert sorted(map(str, R.csv_round_trip(df, str(tmp_path / "c")).collect())) == sorted(map(str, df.collect()))

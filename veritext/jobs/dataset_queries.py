@@ -19,7 +19,7 @@ def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON-array files and back, by the type that each field has there."""
     path = shared_path(spark, "arrays")
     readers.write_arrays(table(spark, sf_dir, "documents"), path, F.col("doc_id"))
-    items = readers.read_arrays(spark, path, name="*.txt")
+    items = readers.read_arrays(spark, path)
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
     return items.select(*[readers.field(F.col("v"), c, k).alias(c) for c, k in kinds.items()])
 

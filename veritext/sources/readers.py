@@ -2,73 +2,103 @@
 
 A loose reader must tell an absent key from an explicit null, and a boolean from the word "yes", so
 values are kept as VARIANT until they are asked for by type. A file that is one JSON array is read
-by one task as one string; ``to_lines`` turns it into a format that splits.
+in byte ranges by several tasks (``arrays``); only in a store that pyarrow can't open, and in the
+other loose forms, is a file one string in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from veritext.functions import text as T
+from veritext.sources import arrays
+from veritext.sources.arrays import InputError
 
 #: Keys under which a container may hold its rows, in the order in which they are tried.
 CONTAINERS = ("data", "examples", "train", "validation", "items")
 
 
-class InputError(ValueError):
-    """An input has no rows, or isn't made of the objects it should be made of."""
-
-
 def _kind(v: Column) -> Column:
     """The JSON type of a variant: OBJECT<...>, ARRAY<...>, STRING, BOOLEAN, BIGINT, ..., VOID for null; SQL null where absent."""
     return F.schema_of_variant(v)
 
 
-def read_arrays(spark: SparkSession, paths: str | list[str], check: bool = True, name: str = "*.json") -> DataFrame:
+def _files(spark: SparkSession, paths: str | list[str], name: str | None) -> list[tuple[str, int]]:
+    """(path, bytes) of all files in ``paths``, in directories as well."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:  # a path that is named twice is read twice
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        try:
+            found += (listed.option("pathGlobFilter", name) if name else listed).load(path).select("path", "length").collect()
+        except AnalysisException as e:
+            raise InputError(f"no such path: {path}") from e
+    return [(r.path, r.length) for r in found]
+
+
+def _array_items(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """(file, pos, v, error): items of array files in ranges; of stores that pyarrow can't open, whole files."""
+    try:
+        for f, _ in files:
+            arrays.opened(f)
+    except (OSError, ValueError, ImportError):
+        raw = spark.read.text([f for f, _ in files], wholetext=True)
+        doc = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+        is_array = F.coalesce(_kind(F.col("doc")).startswith("ARRAY"), F.lit(False))
+        doc = doc.withColumn("a", F.when(is_array, F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array(F.lit(None).cast("variant"))))
+        out = doc.select("file", is_array.alias("fine"), F.posexplode("a").alias("pos", "v"))
+        pos = F.when(F.col("fine"), F.col("pos")).otherwise(-1).cast("long")
+        return out.select("file", pos.alias("pos"), "v", F.when(~F.col("fine"), "isn't a JSON array").alias("error"))
+    rows = arrays.array_items(spark, files)
+    return rows.select("file", "pos", F.try_parse_json("json").alias("v"), "error")
+
+
+def read_arrays(spark: SparkSession, paths: str | list[str], check: bool = True, name: str | None = "*.json") -> DataFrame:
     """(file, pos, v): the items of JSON-array files, found in directories as well; v is a VARIANT.
 
-    A file that isn't an array, or an item that isn't an object, is an error with ``check``;
-    finding no file always is.
+    A file that isn't an array, or an item that isn't an object, is an error with ``check``, and left
+    out without (such an item is null or what it is); finding no file always is an error. Large files are read
+    in ranges by several tasks; a wrong file may give those of its items that were read before the fault.
     """
-    try:
-        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(paths, wholetext=True)
-    except AnalysisException as e:
-        raise InputError(f"no such path: {paths}") from e
-    files = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
-    if not raw.inputFiles():
-        raise InputError(f"no {name} file in {paths}")
+    files = _files(spark, paths, name)
+    if not files:
+        raise InputError(f"no {name or 'file'} in {paths}")
+    rows = _array_items(spark, files)
     if check:
-        bad = files.filter(~F.coalesce(_kind(F.col("doc")).startswith("ARRAY"), F.lit(False))).select("file").limit(1).collect()
-        if bad:
-            raise InputError(f"{bad[0].file} isn't a JSON array")
-    files.createOrReplaceTempView("_veritext_files")
-    items = spark.sql("SELECT f.file, e.pos, e.value AS v FROM _veritext_files f, LATERAL variant_explode(f.doc) AS e")
-    if check:
-        bad = items.filter(~_kind(F.col("v")).startswith("OBJECT")).select("file", "pos").limit(1).collect()
-        if bad:
-            raise InputError(f"item {bad[0].pos} of {bad[0].file} isn't an object")
-    return items
+        _checked(rows)
+    return rows.filter("error is null").select("file", "pos", "v")
+
+
+def _checked(rows: DataFrame) -> None:
+    """The first wrong file, or item that isn't an object, is an error."""
+    bad = rows.filter(F.col("error").isNotNull() | ~F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))).select("file", "pos", "error")
+    for r in bad.limit(1).collect():
+        raise InputError(f"{r.file} {r.error}" if r.error else f"item {r.pos} of {r.file} isn't an object")
 
 
 def read_container(spark: SparkSession, path: str) -> DataFrame:
     """(pos, v) from a flexible file: lines of objects (.jsonl), an array, an object that holds an array under a known key,
-    or one object. An empty file has no rows; anything else is an error."""
+    or one object. An empty file has no rows; anything else is an error. Lines and arrays are read by several tasks."""
     if path.rstrip("/").endswith(".jsonl"):
         lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("pos", F.monotonically_increasing_id())
         return _objects(lines.select("pos", F.try_parse_json("value").alias("v")), path)
+    files = _files(spark, path, None)
+    rows = _array_items(spark, files)
+    if files and rows.filter("error is not null").isEmpty():
+        _checked(rows)
+        return rows.select("pos", "v")
     doc = spark.read.text(path, wholetext=True).filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     doc = doc.select(F.try_parse_json("value").alias("doc"))
     if not doc.filter(~F.coalesce(_kind(F.col("doc")).rlike("^(ARRAY|OBJECT)"), F.lit(False))).isEmpty():
         raise InputError(f"{path} is neither an array nor an object")
     inside = [F.try_variant_get("doc", f"$.{k}", "variant") for k in CONTAINERS]
     found = F.coalesce(*[F.when(_kind(x).startswith("ARRAY"), x) for x in inside], F.when(_kind(F.col("doc")).startswith("ARRAY"), F.col("doc")))
-    doc.withColumn("found", found).createOrReplaceTempView("_veritext_container")
-    many = spark.sql("SELECT cast(e.pos AS bigint) AS pos, e.value AS v FROM _veritext_container c, LATERAL variant_explode(c.found) AS e")
-    one = spark.sql("SELECT 0L AS pos, doc AS v FROM _veritext_container WHERE found IS NULL")
-    return _objects(many.union(one), path)
+    items = F.when(found.isNotNull(), F.try_variant_get(found, "$", "array<variant>")).otherwise(F.array("doc"))
+    return _objects(doc.select(F.posexplode(items).alias("pos", "v")).select(F.col("pos").cast("long").alias("pos"), "v"), path)
 
 
 def _objects(items: DataFrame, path: str) -> DataFrame:
@@ -121,9 +151,21 @@ def base_rows(items: DataFrame) -> DataFrame:
     return out
 
 
-def read_training(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
-    """Several JSON-array files as one set, with a stated schema."""
-    return spark.read.schema(schema).option("multiLine", "true").json(paths)
+def read_training(spark: SparkSession, paths: list[str], schema: StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
+    """Several JSON-array files, or folders of them, as one set with a stated schema.
+
+    A file that isn't an array, an item that isn't an object, and an object without one of the ``required`` keys
+    are errors, found in one reading before the rows are returned; a value of another type is null.
+    """
+    files = _files(spark, paths, None)
+    if not files:
+        raise InputError(f"no file in {paths}")
+    rows = arrays.array_items(spark, files).withColumn("v", F.try_parse_json("json"))
+    _checked(rows)
+    absent = reduce(lambda a, b: a | b, [F.try_variant_get("v", f"$.{c}", "variant").isNull() for c in required], F.lit(False))
+    for r in rows.filter(absent).select("file", "pos").limit(1).collect() if required else []:
+        raise InputError(f"item {r.pos} of {r.file} lacks one of {', '.join(required)}")
+    return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -134,13 +176,11 @@ def write_lines(df: DataFrame, path: str) -> None:
 def write_arrays(df: DataFrame, path: str, key: Column, rows_per_file: int = 10_000) -> None:
     """JSON-array files of about ``rows_per_file`` rows each, UTF-8, dealt and ordered by a hash of ``key``.
 
-    A file is one string in one task, so its rows are bounded; ``write_lines`` has no such bound.
+    Rows are streamed into their file, however long they are, and the files are renamed when all are
+    written. A table without rows gives one empty array.
     """
-    files = max(1, -(-df.count() // rows_per_file))
-    rows = df.select(F.xxhash64(key).alias("h"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    by = rows.groupBy(F.pmod("h", F.lit(files)).alias("f")).agg(F.array_sort(F.collect_list(F.struct("h", "j"))).alias("a"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ",\n"), F.lit("]"))
-    by.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    arrays.write_array_files(df, path, text, key, max(1, -(-df.count() // rows_per_file)))
 
 
 def to_lines(spark: SparkSession, array_path: str, path: str, schema: StructType | str) -> None:
