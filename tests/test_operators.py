@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from itertools import combinations
@@ -295,6 +296,26 @@ def test_similar_classes_hold_all_copies(spark):
     assert "collect_list" not in dedup.similar_pairs(rows)._jdf.queryExecution().toString()
 
 
+def test_nothing_is_published_through_a_failed_gate(spark, tmp_path):
+    row = (1, "a", "One b. Two c. Three d. Four e. Therefore, f.", True, True, [0, 1])
+    schema = "nth int, id string, syllogism string, validity boolean, plausibility boolean, relevant_premises array<int>"
+    good = spark.createDataFrame([row, (2, "b", row[2].replace("One", "Six"), False, True, [])], schema).repartition(2)
+    bad = good.union(spark.createDataFrame([(3, "c", row[2], True, True, [9]), (4, "d", None, True, True, [])], schema))
+    path = str(tmp_path / "out")
+    mark = lambda df: rules.mark_stress(df, F.col("nth"))
+    with pytest.raises(rules.ViolationError, match="4 violations in 2 of 4 rows, the first: 3 duplicate_text"):
+        rules.publish(mark(bad), path)
+    assert not os.listdir(tmp_path)
+    assert rules.publish(mark(bad), path, strict=False) == rules.Gate(False, 4, 2, 4, "3 duplicate_text ")
+    assert rules.publish(mark(good), path, "json") == rules.Gate(True, 2, 0, 0, None)
+    assert spark.read.json(path).count() == 2 and os.listdir(tmp_path) == ["out"]
+    with pytest.raises(FileExistsError):
+        rules.publish(mark(good), path)
+    assert rules.publish(mark(good.limit(0)), str(tmp_path / "none")).rows == 0
+    report = rules.violation_report(rules.stress_violations(bad, F.col("nth")), shown=3).collect()
+    assert [(r.row, r.rule) for r in report] == [(3, "duplicate_text"), (3, "relevant_count"), (3, "relevant_range"), (None, "more")] and report[3].detail == "1"
+
+
 def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
+from veritext.functions.shared import shared_path
 from veritext.operators import audit, dedup, formats, rules, score
 
 
@@ -482,14 +483,51 @@ SELECT row, rule, detail FROM x
 """
 )
 def stress_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.stress_violations(_stress_rows(spark, sf_dir), F.col("doc_id"), marker=" the ").select("row", "rule", "detail")
+
+
+def _stress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     rel = F.when(i % 3 == 0, F.array((i % 7).cast("int"), (i % 5 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    x = d.select(
+    return d.select(
         "doc_id", i.cast("string").alias("id"), F.col("text").alias("syllogism"), F.when(i % 17 != 0, F.col("quality") == 1).alias("validity"),
         F.when(i % 13 != 0, F.col("toxic") == 0).alias("plausibility"), rel.alias("relevant_premises"),
     )
-    return rules.stress_violations(x, F.col("doc_id"), marker=" the ").select("row", "rule", "detail")
+
+
+@query(
+    f"""
+WITH v AS ({SQL["stress_violations"]}),
+w AS (SELECT min((row, rule)) AS f FROM v)
+SELECT 'all' AS part, false AS published, (SELECT count(*) FROM documents) AS rows, count(DISTINCT row) AS broken, count(*) AS violations,
+       min(row)::VARCHAR AS first_row, 0::BIGINT AS readable FROM v
+UNION ALL SELECT 'clean', true, count(*), 0, 0, NULL, count(*) FROM documents WHERE doc_id NOT IN (SELECT row FROM v)
+"""
+)
+def gated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents published through the gate of the stress rules: all of them, which break rules, and those that don't; and what can be read afterwards."""
+    marked, rows = rules.mark_stress(_stress_rows(spark, sf_dir), F.col("doc_id"), marker=" the "), []
+    for part, some in (("all", marked), ("clean", marked.filter(F.size("violations") == 0))):
+        path = shared_path(spark, "gated")
+        g = rules.publish(some, path, strict=False)
+        readable = spark.read.parquet(path).count() if g.published else 0
+        rows.append((part, g.published, g.rows, g.broken, g.violations, g.first.split(" ")[0] if g.first else None, readable))
+    return spark.createDataFrame(rows, "part string, published boolean, rows long, broken long, violations long, first_row string, readable long")
+
+
+@query(
+    f"""
+WITH v AS ({SQL["stress_violations"]}), n AS (SELECT rule, count(*) AS n FROM v GROUP BY rule)
+SELECT 'more' AS rule, (sum(n) - 100)::VARCHAR AS detail, 1::BIGINT AS n FROM n HAVING sum(n) > 100
+UNION ALL SELECT 'shown', NULL, least(sum(n), 100)::BIGINT FROM n
+"""
+)
+def stress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first 100 violations: how many it shows, and the number of the rest that it tells."""
+    report = rules.violation_report(rules.stress_violations(_stress_rows(spark, sf_dir), F.col("doc_id"), marker=" the "))
+    by = report.groupBy(F.when(F.col("rule") == "more", "more").otherwise("shown").alias("rule"), F.when(F.col("rule") == "more", F.col("detail")).alias("detail"))
+    return by.agg(F.count("*").alias("n"))
 
 
 # --- forms ---------------------------------------------------------------------------------------------------------

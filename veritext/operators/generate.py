@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritext.functions import text as T
 from veritext.functions.order import first_rows
-from veritext.functions.shared import numbered, written
+from veritext.functions.shared import numbered, shared_path, written
 from veritext.operators.forms import FIGURES, form_catalog
 
 #: Wordings of the four kinds of statement. The first of each is a fixed value: audits look for the plain form.
@@ -476,7 +476,7 @@ def generate_dataset(
     ratio: float = 0.5,
     lexicon: Lexicon | None = None,
 ) -> DataFrame:
-    """A whole dataset in the layout of ``generate``: drawn, made unique, and checked before it is returned.
+    """A whole dataset in the layout of ``generate``: drawn, made unique, and checked while it is written (see ``publish``).
 
     ``mode`` is ``synthetic``, ``base`` (distractors put into the rows of ``base``, see ``inject``) or
     ``mixed``: round(count * ratio) rows from base, halves to even, and the rest synthetic. No text
@@ -508,8 +508,9 @@ def generate_dataset(
     if not parts:
         return generate(spark.range(0).withColumnRenamed("id", "slot"), 0, premise_counts, seed, semantics, figures, style, lexicon)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rules.fail_on(rules.example_violations(out, F.col("slot"), semantics, figures))
-    return out
+    path = shared_path(spark, "dataset")
+    rules.publish(rules.mark_examples(out, F.col("slot"), semantics, figures), path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def mix_by_ratio(base: DataFrame, synthetic: DataFrame, count: int, ratio: float, order_base: Column, order_synthetic: Column) -> DataFrame:
