@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -316,6 +317,41 @@ def test_nothing_is_published_through_a_failed_gate(spark, tmp_path):
     assert [(r.row, r.rule) for r in report] == [(3, "duplicate_text"), (3, "relevant_count"), (3, "relevant_range"), (None, "more")] and report[3].detail == "1"
 
 
+def test_predictions_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("a", str(i % 40_000), i % 3 == 0) for i in range(50_000)] + [("none", "x", True)], "system string, id string, validity boolean").write.parquet(f"{tmp_path}/said")
+    gold = spark.range(40_000).selectExpr("CAST(id AS STRING) AS id", "id % 3 = 0 AS validity", "id % 2 = 0 AS plausibility")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else plans cut the path
+    out = score.score(gold, spark.read.parquet(f"{tmp_path}/said"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("/said") == 1
+    got = {r.system: r for r in out.collect()}
+    right = sum(i % 3 == 0 if (i % 40_000) % 3 == 0 else i % 3 != 0 for i in range(50_000))
+    assert (got["a"].total, got["a"].correct, got["a"].status) == (50_000, right, "ok")
+    assert (got["none"].total, got["none"].status, got["none"].combined) == (0, "incomplete", 0.0)
+
+
+def test_examples_are_audited_in_two_readings(spark, tmp_path, monkeypatch):
+    slots = spark.range(0, 40).withColumnRenamed("id", "slot")
+    generate.generate(slots, 40).write.parquet(f"{tmp_path}/examples")
+    x = spark.read.parquet(f"{tmp_path}/examples")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else plans cut the path
+    plans, real = [], audit.written
+    monkeypatch.setattr(audit, "written", lambda df, name: plans.append(df) or real(df, name))
+    report = audit.example_audit(x)
+    readings = [df._jdf.queryExecution().executedPlan().toString().count("/examples") for df in (*plans, report)]
+    assert sum(readings) == 2
+    got = sorted(map(tuple, report.collect()), key=str)
+    both = x.union(x.limit(3))
+    again = {(r.metric, r.key): r.n for r in audit.example_audit(both).collect()}
+    first = {(m, k): n for m, k, n in got}
+    assert first["rows", None] == 40 and again["rows", None] == 43 and first["duplicate_text", None] == 0 and again["duplicate_text", None] == again["duplicate_core", None] == 3
+    texts = Counter(s.lower() for r in x.collect() for s in re.findall(r"[^.]+\.", r.syllogism)[: r.metadata.premise_count] for s in [s.strip()])
+    top = sorted(((-n, s) for s, n in texts.items()))[:20]
+    assert sorted((-n, k) for m, k, n in got if m == "top_premise") == top and first["max_premise_repetition", None] == -top[0][0]
+    style = audit.style_counts(x, F.col("syllogism"), F.col("metadata.premise_count")).first().asDict()
+    assert {k: n for m, k, n in got if m == "style_counter"} == style
+    assert {(r.metric, r.n) for r in audit.example_audit(x.limit(0)).collect()} == {("rows", 0), ("style_counter", 0), ("duplicate_core", 0), ("duplicate_text", 0), ("max_premise_repetition", 0)}
+
+
 def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
+from veritext.functions.shared import written
 
 
 def histograms(df: DataFrame, metrics: dict[str, Column], skip_null: tuple[str, ...] = ()) -> DataFrame:
@@ -108,8 +109,18 @@ def style_counts(
     )
 
 
-def example_audit(examples: DataFrame) -> DataFrame:
-    """Long report (metric, key, n) over examples with a metadata column (the generator's layout)."""
+#: Style counters of the report, in the order of ``style_counts``.
+STYLE = ("canonical", "other", "therefore", "other_conclusion", "loose_pronoun")
+
+
+def example_audit(examples: DataFrame, limit: int = 20) -> DataFrame:
+    """Long report (metric, key, n) over examples with a metadata column (the generator's layout).
+
+    The examples are read twice. The first reading counts everything in one aggregate: histograms by
+    key, style counters as sums, and texts, cores and premises as 128-bit hashes, so that no text is
+    moved. The second finds the wordings of the premises that are repeated most, whose hashes are known by
+    then; it counts only these. Ties at the ``limit``-th place are broken by the sentence.
+    """
     m = F.col("metadata")
     label = lambda c: F.initcap(F.col(c).cast("string"))
     metrics = {
@@ -122,16 +133,45 @@ def example_audit(examples: DataFrame) -> DataFrame:
         "validity": label("validity"), "plausibility": label("plausibility"),
         "validity_plausibility": F.concat(F.lit("validity="), label("validity"), F.lit(",plausibility="), label("plausibility")),
     }
-    counts = histograms(examples, metrics, skip_null=("schema", "mood_figure", "figure", "fallacy", "relevant_pair_valid_only"))
-    one = lambda name, c: F.struct(F.lit(name).alias("key"), c.cast("long").alias("n"))
-    style = style_counts(examples, F.col("syllogism"), m["premise_count"])
-    style = style.select(F.explode(F.array(*[one(c, F.col(c)) for c in style.columns])).alias("x")).select(F.lit("style_counter").alias("metric"), "x.*")
-    rep = sentence_counts(examples, F.col("syllogism"), m["premise_count"])
-    most = rep.agg(F.lit("max_premise_repetition").alias("metric"), F.lit(None).cast("string").alias("key"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    top = rep.orderBy(F.desc("n"), "sentence").limit(20).select(F.lit("top_premise").alias("metric"), F.col("sentence").alias("key"), "n")
-    dup = lambda name, key: examples.select(key.alias("k")).filter("k is not null").groupBy("k").count().agg(
-        F.lit(name).alias("metric"), F.lit(None).cast("string").alias("key"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n")
-    )
-    rows = examples.agg(F.lit("rows").alias("metric"), F.lit(None).cast("string").alias("key"), F.count("*").alias("n"))
-    out = counts.union(style).union(most).union(top).union(dup("duplicate_core", m["core_signature"]))
-    return out.union(dup("duplicate_text", T.signature(F.col("syllogism")))).union(rows)
+    skip_null = ("schema", "mood_figure", "figure", "fallacy", "relevant_pair_valid_only")
+    rows = examples.withColumn("_parts", T.sentences(F.col("syllogism"))).withColumn("_head", F.slice("_parts", F.lit(1), m["premise_count"]))
+    rows = rows.withColumn("_plain", F.size(F.filter("_head", lambda s: T.is_categorical(s, T.CATEGORICAL))))
+    closes = T.ends_with_conclusion(F.col("_parts"), "Therefore,")
+    style = (F.col("_plain"), F.size("_head") - F.col("_plain"), closes.cast("int"), (~closes & (F.size("_parts") > 0)).cast("int"), T.has_loose_pronoun(F.col("syllogism"), " of them ").cast("int"))
+
+    def entry(metric: str, key: Column | None = None, hashed: Column | None = None, n: Column = F.lit(1)) -> Column:
+        none = lambda kind: F.lit(None).cast(kind)
+        two = [none("long")] * 2 if hashed is None else [F.xxhash64(hashed), F.xxhash64(F.lit(1), hashed)]
+        return F.struct(
+            F.lit(metric).alias("metric"), (none("string") if key is None else key.cast("string")).alias("key"), two[0].alias("h"), two[1].alias("g"), n.cast("long").alias("n")
+        )
+
+    entries = [entry("rows"), *[F.when(c.isNotNull(), entry(k, c)) if k in skip_null else entry(k, c) for k, c in metrics.items()]]
+    entries += [entry("style_counter", F.lit(k), n=F.coalesce(c, F.lit(0))) for k, c in zip(STYLE, style)]
+    hashes = {"duplicate_core": m["core_signature"], "duplicate_text": T.signature(F.col("syllogism"))}
+    entries += [F.when(c.isNotNull(), entry(k, hashed=c)) for k, c in hashes.items()]
+    # sentences come normalised, so their signature is their lower case
+    each = F.transform("_head", lambda s: entry("premise", hashed=F.lower(s)))
+    pairs = F.concat(F.filter(F.array(*entries), lambda x: x.isNotNull()), F.coalesce(each, F.array().cast(_ENTRIES)))
+    counts = rows.select(F.explode(pairs).alias("x")).select("x.*").groupBy("metric", "key", "h", "g").agg(F.sum("n").alias("n"))
+    counts = written(counts, "audit-counts")
+
+    spark = examples.sparkSession
+    plain = counts.filter(~F.col("metric").isin("premise", *hashes, "rows", "style_counter")).select("metric", "key", "n")
+    always = [("rows", None), *[("style_counter", k) for k in STYLE], *[(k, None) for k in hashes]]
+    surplus = F.when(F.col("metric").isin(*hashes), F.col("n") - 1).otherwise(F.col("n"))
+    some = counts.filter(F.col("metric").isin("rows", "style_counter", *hashes)).select("metric", "key", surplus.alias("n"))
+    zeros = spark.createDataFrame([(k, v, 0) for k, v in always], "metric string, key string, n long")
+    once = some.union(zeros).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+
+    premises = counts.filter("metric = 'premise'").select("h", "g", "n")
+    least = premises.orderBy(F.desc("n")).limit(limit).agg(F.min("n").alias("least"))
+    asked = written(premises.join(F.broadcast(least), F.col("n") >= F.col("least")).select("h", "g"), "audit-premises")
+    said = rows.select(F.explode("_head").alias("s")).select(F.lower("s").alias("s"))
+    said = said.join(asked, (F.xxhash64("s") == F.col("h")) & (F.xxhash64(F.lit(1), "s") == F.col("g")), "left_semi")
+    top = said.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(limit)
+    most = premises.agg(F.lit("max_premise_repetition"), F.lit(None).cast("string"), F.coalesce(F.max("n"), F.lit(0)))
+    return plain.union(once).union(top.select(F.lit("top_premise"), "s", "n")).union(most)
+
+
+_ENTRIES = "array<struct<metric:string,key:string,h:bigint,g:bigint,n:bigint>>"

@@ -1,4 +1,4 @@
-"""Scoring of predictions: answers, rewards, accuracy, content effect. One pass over the predictions."""
+"""Scoring of predictions: answers, rewards, accuracy, content effect. Predictions are read once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritext.functions.shared import numbered, written
 from veritext.sources.readers import field
 
 
@@ -53,24 +54,31 @@ def score(gold: DataFrame, predictions: DataFrame, order: Column | None = None,
     without rows counts as accuracy 0. Values aren't rounded.
 
     ``plausibility`` keeps gold rows of that label only (null labels go).
+
+    Gold ids are numbered and written first. Predictions are then read once, joined with them, and
+    counted in one aggregate by system and block of gold numbers, which also collects the covered numbers as bitmaps.
     """
     if plausibility is not None:
         gold = gold.filter(F.col("plausibility") == plausibility)
     g = last_gold(gold, order if order is not None else F.struct("validity", "plausibility"))
+    g = written(numbered(g, F.col("id"), "nth"), "gold")
     size = g.agg(F.count("*").alias("gold_rows"))
-    systems = predictions.select("system").distinct()
-    p = predictions.select("system", "id", F.col("validity").alias("said"))
-    joined = p.join(g, "id")
+    joined = predictions.select("system", "id", F.col("validity").alias("said")).join(g, "id", "left")
     counted = F.col("said").isNotNull() & F.col("validity").isNotNull()
     right = counted & (F.col("said") == F.col("validity"))
     cell = lambda v, b: (F.col("validity") == v) & (F.col("plausibility") == b)
     cells = {"vp": cell(True, True), "vi": cell(True, False), "ip": cell(False, True), "ii": cell(False, False)}
-    counts = [F.count_if(counted).alias("total"), F.count_if(right).alias("correct")]
+    counts = {"total": counted, "correct": right}
     for k, c in cells.items():
-        counts += [F.count_if(counted & c).alias("n_" + k), F.count_if(right & c).alias("c_" + k)]
-    got = joined.groupBy("system").agg(*counts)
-    covered = joined.select("system", "id").distinct().groupBy("system").agg(F.count("*").alias("covered"))
-    s = systems.join(got, "system", "left").join(covered, "system", "left").crossJoin(F.broadcast(size))
+        counts |= {"n_" + k: counted & c, "c_" + k: right & c}
+    # which gold ids a system covers: one bit each, by blocks of 32,768 numbers, in the aggregate that counts
+    bit = F.when(F.col("nth").isNotNull(), F.bitmap_bit_position(F.col("nth") + 1))
+    joined = joined.withColumn("bit", bit)
+    blocks = joined.groupBy("system", F.bitmap_bucket_number(F.col("nth") + 1).alias("block")).agg(
+        F.bitmap_construct_agg("bit").alias("bits"), *[F.count_if(c).alias(k) for k, c in counts.items()]
+    )
+    covered = F.sum(F.when(F.col("block").isNotNull(), F.bitmap_count("bits")).otherwise(F.lit(0)))
+    s = blocks.groupBy("system").agg(covered.alias("covered"), *[F.sum(k).alias(k) for k in counts]).crossJoin(F.broadcast(size))
     complete = F.coalesce("covered", F.lit(0)) == F.col("gold_rows")
     share = lambda c, n: F.when(complete & (F.coalesce(F.col(n), F.lit(0)) > 0), F.col(c) / F.col(n) * 100).otherwise(0.0)
     s = s.select(
