@@ -352,6 +352,18 @@ def test_examples_are_audited_in_two_readings(spark, tmp_path, monkeypatch):
     assert {(r.metric, r.n) for r in audit.example_audit(x.limit(0)).collect()} == {("rows", 0), ("style_counter", 0), ("duplicate_core", 0), ("duplicate_text", 0), ("max_premise_repetition", 0)}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
+def test_places_are_a_permutation(spark, n):
+    df = spark.range(n).selectExpr("id", "concat('row ', id) AS t").repartition(3)
+    got = generate.shuffled(df, "id", "s", place="p").collect()
+    assert sorted(r.p for r in got) == list(range(n)) and sorted(r.id for r in got) == list(range(n))
+    assert [r.p for r in got] == sorted(r.p for r in got)
+    again = {r.id: r.p for r in generate.shuffled(df.repartition(1), "id", "s", place="p").collect()}
+    other = {r.id: r.p for r in generate.shuffled(df, "id", "t", place="p").collect()}
+    assert again == {r.id: r.p for r in got} and (n < 64 or other != again)
+    assert generate.shuffled(df.limit(0), "id", "s").count() == 0
+
+
 def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")

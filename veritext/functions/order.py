@@ -1,4 +1,4 @@
-"""Order statistics: the k-th key of a table by refined counts, without sorting or moving its rows."""
+"""Order statistics: the k-th key of a table by refined counts, without sorting or moving its rows; and keyed permutations."""
 
 from __future__ import annotations
 
@@ -82,3 +82,28 @@ def first_rows(df: DataFrame, k: int, *order: Column, keys: int = KEYS) -> DataF
     if cut.below + cut.equal <= k:
         return df.filter(up_to(cut, *order))
     return df.filter(_key(order) < cut.key).unionByName(df.filter(_key(order) == cut.key).limit(k - cut.below))
+
+
+def permuted(number: Column, n: int, key: str, rounds: int = 6, walk: int = 120) -> Column:
+    """The place of ``number`` (0 to n - 1) in a permutation of 0 to n - 1 that ``key`` names.
+
+    An alternating Feistel network over the bits that n takes, applied again while its result is n or more
+    (cycle walking): the domain is below 2 n, so each step ends with a chance of a half or more; all
+    but 2**-walk of the numbers end within ``walk`` steps, and one that doesn't is an error.
+    """
+    bits = max(2, (max(n, 1) - 1).bit_length())
+    low = bits // 2
+    masks = ((1 << low) - 1, (1 << (bits - low)) - 1)
+
+    def step(x: Column, k: Column) -> Column:
+        def drawn(half: Column) -> Column:
+            return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(key), k.cast("string"), half.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+        upper, lower = F.shiftright(x, low), x.bitwiseAND(F.lit(masks[0]))
+        return F.when(k % 2 == 0, x.bitwiseXOR(F.shiftleft(drawn(lower).bitwiseAND(F.lit(masks[1])), low))).otherwise(
+            x.bitwiseXOR(drawn(upper).bitwiseAND(F.lit(masks[0])))
+        )
+
+    once = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, step)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(number.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.transform(F.array(walked), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a walk didn't end")).cast("long")))[0]

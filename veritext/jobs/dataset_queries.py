@@ -422,6 +422,22 @@ def generated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.count("*").alias("rows")).crossJoin(bad.agg(F.count("*").alias("violations")))
 
 
+@query(
+    """
+WITH c AS (SELECT count(*) AS n, greatest(2, length(bin(greatest(count(*), 1) - 1))) AS bits FROM documents),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, n, bits // 2 AS low, (1 << (bits // 2)) - 1 AS lower, (1 << (bits - bits // 2)) - 1 AS upper FROM documents, c)
+SELECT doc_id, list_reduce(list_prepend(i, range(120)), lambda s, w: CASE WHEN w > 0 AND s < n THEN s ELSE
+  list_reduce(list_prepend(s, range(6)), lambda x, k: CASE WHEN k % 2 = 0
+    THEN xor(x, (('0x' || substr(md5('order-1:' || k || ':' || (x & lower)), 1, 15))::BIGINT & upper) << low)
+    ELSE xor(x, ('0x' || substr(md5('order-1:' || k || ':' || (x >> low)), 1, 15))::BIGINT & lower) END) END)::BIGINT AS place
+FROM d
+"""
+)
+def shuffled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in a keyed permutation of all documents, whose ids count from 0."""
+    return generate.shuffled(table(spark, sf_dir, "documents"), "doc_id", "order-1", F.col("doc_id"), "place").select("doc_id", "place")
+
+
 def _part_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("p_partkey")
     return _part_texts(spark, sf_dir).select(

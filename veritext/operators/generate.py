@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
-from veritext.functions.order import first_rows
+from veritext.functions.order import first_rows, permuted
 from veritext.functions.shared import numbered, shared_path, written
 from veritext.operators.forms import FIGURES, form_catalog
 
@@ -524,9 +524,17 @@ def mix_by_ratio(base: DataFrame, synthetic: DataFrame, count: int, ratio: float
     return first_rows(base, k, order_base).unionByName(first_rows(synthetic, count - k, order_synthetic), allowMissingColumns=True)
 
 
-def shuffled(df: DataFrame, id_col: str, seed: str) -> DataFrame:
-    """Rows in the order of a hash of seed and id; a full sort, so only where it is asked for."""
-    return df.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")), 256), id_col)
+def shuffled(df: DataFrame, id_col: str, seed: str, number: Column | None = None, place: str | None = None) -> DataFrame:
+    """Rows in the order of a keyed permutation: each row's place follows from its number and the seed alone.
+
+    ``number`` counts the rows from 0 without gaps; by default ids (unique) are numbered. Rows are dealt by ranges of
+    places and lie in order in each partition; ``place`` names a column that keeps the place.
+    """
+    name = place or "_place"
+    rows = numbered(df, F.col(id_col), "_number") if number is None else df.withColumn("_number", number)
+    rows = rows.withColumn(name, permuted(F.col("_number"), df.count(), seed)).drop("_number")
+    out = rows.repartitionByRange(F.col(name)).sortWithinPartitions(name)
+    return out if place else out.drop(name)
 
 
 def public(df: DataFrame, metadata: bool = False, ids: bool = True) -> DataFrame:
