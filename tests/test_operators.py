@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from veritext.functions import order
@@ -364,6 +365,65 @@ def test_places_are_a_permutation(spark, n):
     assert generate.shuffled(df.limit(0), "id", "s").count() == 0
 
 
+def _drawn(*at):
+    """Eight numbers below 2**32 from a chain of 64-bit xxHash values, as drawn for a place."""
+    out = []
+    for k in range(8):
+        h = 42
+        for x in (*at, k):
+            kind, x = x if isinstance(x, tuple) else ("int", x)
+            raw = x.encode() if isinstance(x, str) else x.to_bytes({"int": 4, "long": 8}[kind], "little")
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+        out.append(h >> 32)
+    return out
+
+
+def _plain_example(r, lex, style, seed, most, attempt):
+    """The text of one slot by plain Python, from its plan."""
+    m, good = r.metadata, r.plausibility
+    at = (seed, ("long", r.slot), attempt)
+    plain = lambda n: {"canonical": True, "varied": False, "mixed": n % 100 < 35}[style]
+
+    def prefix(n):
+        words = lex.modifiers if good else lex.absurd_modifiers
+        one, two = n[0] % len(words), n[1] % (len(words) - 1)
+        a, b = words[one], words[two + (two >= one)]
+        return (a, f"{a} {b}", f"{b} {a}")[n[2] % 3]
+
+    def body(form, subject, predicate, p, wording):
+        return generate.STATEMENTS[form][0 if plain(p) else wording % 5].replace("{S}", subject).replace("{P}", predicate)
+
+    z, y = _drawn(*at, "core"), _drawn(*at, "conclusion")
+    triples = lex.domains[lex.topic_domain[m.topic]] if good else lex.absurd
+    of = {k: f"{prefix(z)} {w}" for k, w in zip("PMS", triples[z[3] % len(triples)])}
+    roles = forms.FIGURES[m.figure]
+    cap = lambda t: t[0].upper() + t[1:] + "."
+    major = cap(body(m.mood[0], of[roles[0]], of[roles[1]], z[4], z[5]))
+    minor = cap(body(m.mood[1], of[roles[2]], of[roles[3]], z[6], z[7]))
+    end = generate.LEADS[0 if plain(y[2]) else y[3] % len(generate.LEADS)] + body(m.mood[2], of["S"], of["P"], y[0], y[1]) + "."
+    spare, every = [], [t for ts in lex.domains.values() for t in ts] if good else lex.absurd
+    for t in range(2 * most + 2):
+        n = _drawn(*at, "d", t)
+        word = dict(zip("PMS", every[n[3] % len(every)]))
+        subject, predicate = "SSPPMM"[n[4] % 6], "PMMSPS"[n[4] % 6]
+        s = cap(body("AEIO"[n[5] % 4], f"{prefix(n)} {word[subject]}", f"{prefix(n)} {word[predicate]}", n[6], n[7]))
+        if s.lower() not in (major.lower(), minor.lower()) and " of them " not in s.lower() and s not in spare:
+            spare.append(s)
+    spare = spare[: m.premise_count - 2]
+    first, second = (minor, major) if y[4] % 2 else (major, minor)
+    i, j = m.candidate_premises
+    return " ".join([*spare[:i], first, *spare[i : j - 1], second, *spare[j - 1 :], end])
+
+
+@pytest.mark.parametrize("style", ["canonical", "varied", "mixed"])
+def test_terms_and_wordings_equal_plain_python(spark, style):
+    lex = generate.default_lexicon()
+    got = generate.generate(spark.range(0, 90).withColumnRenamed("id", "slot"), 90, (3, 5), style=style, seed="7").collect()
+    for r in got:
+        assert r.syllogism in {_plain_example(r, lex, style, "7", 3, attempt) for attempt in range(3)}
+    assert sum(r.syllogism == _plain_example(r, lex, style, "7", 3, 0) for r in got) > 60
+
+
 def test_every_assistant_turn_is_rewarded(spark, tmp_path):
     rows = [(1, 0, "user", "Q"), (1, 1, "assistant", "A."), (1, 2, "user", "Q"), (1, 3, "assistant", "B."), (2, 0, "assistant", "C.")]
     spark.createDataFrame(rows, ["conv_id", "turn", "role", "text"]).write.parquet(f"{tmp_path}/conversations.parquet")
