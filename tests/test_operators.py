@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritext.functions import order
 from veritext.jobs import queries
-from veritext.operators import audit, dedup, formats, forms, generate, rules, score
+from veritext.operators import audit, dedup, formats, forms, generate, published, rules, score
 
 
 def _edit(a, b):
@@ -78,6 +78,35 @@ def test_duplicates(spark):
     assert dedup.duplicate_report(df.limit(0), F.col("id")).count() == 0
 
 
+def test_parts_are_appended_by_an_index_of_keys(spark, tmp_path, monkeypatch):
+    root, n = str(tmp_path / "set"), F.col("n")
+    monkeypatch.setattr(published, "_KEYS_EACH", 400)
+    table = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("n"), F.concat(F.lit("i"), "id").alias("id"), F.concat(F.lit("text "), "id").alias("syllogism"))
+    add = lambda df, name: published.append(df, root, F.lit(name), n)
+    assert published.parts(spark, root) == [] and add(table(0, 6_000), "a") == 0 and add(table(6_000, 6_050), "b") == 1
+    repeated = table(7_000, 7_010).withColumn("syllogism", F.when(n == 7_005, "text 6049").when(n == 7_006, "text 17").otherwise(F.col("syllogism")))
+    with pytest.raises(dedup.DuplicateError, match="syllogism isn't unique: 'text 17'"):
+        add(repeated, "c")
+    got = sorted(map(tuple, published.later_places(repeated, root, F.lit("c"), n).collect()))
+    assert got == [("syllogism", "text 17", "c", 7_006, "a", 17), ("syllogism", "text 6049", "c", 7_005, "b", 6_049)]
+    with pytest.raises(dedup.DuplicateError, match="id isn't unique: 'x'"):
+        add(table(8_000, 8_002).withColumn("id", F.lit("x")), "d")
+    assert add(table(8_000, 8_002).withColumn("id", F.lit(None).cast("string")), "d") == 2 and add(table(0, 0), "e") == 3
+    assert published.read(spark, root).count() == 6_052
+    with pytest.raises(dedup.DuplicateError):
+        add(table(6_049, 6_051), "f")
+    # a part of two new rows reads its own buckets' bitmaps, and the keys of few of them
+    [buckets] = published._named(spark, f"{root}/buckets")
+    values = published._hashed(table(9_000, 9_002), ("id", "syllogism"), F.lit("g"), n, buckets)
+    wanted, real = [], published._in_buckets
+    published._in_buckets = lambda table, buckets, seen: wanted.append(buckets.select("bucket").distinct().count()) or real(table, buckets, seen)
+    try:
+        assert published.known_before(spark, root, values).count() == 0
+    finally:
+        published._in_buckets = real
+    assert buckets == 32 and wanted[0] <= 4 and (len(wanted) == 1 or wanted[1] <= 1)
+
+
 def test_merge_gate(spark):
     a = spark.createDataFrame([("1", "x"), (None, "y")], "id string, syllogism string")
     b = spark.createDataFrame([("2", "z", True)], "id string, syllogism string, validity boolean")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritext.functions import text as T
 from veritext.functions.shared import shared_path
-from veritext.operators import audit, dedup, formats, rules, score
+from veritext.operators import audit, dedup, formats, published, rules, score
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -300,6 +300,21 @@ def merge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge_report([d, b], ("id", "text"))
 
 
+@query(
+    """
+WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0),
+f AS (SELECT text, min(doc_id) AS first_pos FROM a GROUP BY text HAVING count(*) = 1)
+SELECT b.doc_id AS pos, 'a' AS first_file, f.first_pos FROM b JOIN f USING (text)
+"""
+)
+def known_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one part whose text an indexed part, that of the texts that occur once in it, holds already, with the first place."""
+    d, root = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "published")
+    published.append(dedup.drop_all_copies(d.filter("doc_id % 3 = 0"), F.col("text")), root, F.lit("a"), F.col("doc_id"), ("text",))
+    new = d.filter("doc_id % 3 <> 0")
+    return published.later_places(new, root, F.lit("b"), F.col("doc_id"), ("text",)).select("pos", "first_file", "first_pos")
+
+
 # --- audits --------------------------------------------------------------------------------------------------------
 
 
