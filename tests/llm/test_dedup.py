@@ -237,6 +237,58 @@ def test_double_vectors_and_repeated_ids(spark, scale):
     assert sorted((y.vec_id, y.n_links, y.component_id) for y in got) == sorted((i % 60, int(near[i].sum()), want[i % 60]) for i in range(61))
 
 
+def test_an_id_of_several_vectors(spark):
+    r = np.random.default_rng(7)
+    x = np.repeat(r.standard_normal((30, 16)), 4, axis=0) + r.standard_normal((120, 16)) * 0.1
+    ids = [int(v) for v in r.permutation(120)]
+    for a, b in ((0, 40), (1, 80), (2, 3), (60, 90), (61, 91)):
+        ids[b] = ids[a]
+    ids[20] = ids[30] = ids[31] = -5
+    label = [k % 2 for k in range(120)]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    same = np.array(label)[:, None] == np.array(label)
+    near = (u @ u.T >= 0.98) & same & ~np.eye(120, dtype=bool)
+    tree = components(range(120), list(zip(*(v.tolist() for v in np.nonzero(near)))))
+    least = {t: min(ids[k] for k in tree if tree[k] == t) for t in tree.values()}
+    df = spark.createDataFrame([(i, v.tolist(), n) for i, v, n in zip(ids, x, label)], "vec_id long, embedding array<double>, label int")
+    got = sorted((y.vec_id, y.n_links, y.component_id) for y in embedding_dedup.near_duplicate_vectors(df, tile=16).collect())
+    assert got == sorted((ids[k], int(near[k].sum()), least[tree[k]]) for k in range(120))
+    assert near.any() and any(least[t] == -5 for t in least)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_parts_bring_near_rows_together_once(same):
+    r = np.random.default_rng(8)
+    cells = r.integers(-3, 4, (400, 5))
+    mine = 250
+    side = np.arange(400) >= mine
+    cells = cells[np.lexsort([*cells.T[::-1], side])] if same else np.vstack([np.array(sorted(p.tolist())) for p in (cells[:mine], cells[mine:])])
+    for few in (1, 60, 5_000, 10**6):
+        met = Counter()
+        for a, b, c, d, alone in embedding_dedup._meetings(cells, mine, same, few):
+            met.update((i, j) for i in range(a, b) for j in range(c, d) if not alone or i < j)
+        assert set(met.values()) <= {1}
+        for i in range(mine):
+            for j in range(i + 1 if same else mine, 400):
+                if (abs(cells[i] - cells[j]) <= 1).all():
+                    assert met[i, j] == 1
+        assert all((i < mine) and (j >= mine or same) for i, j in met)
+
+
+def test_few_pairs_of_a_label_are_compared():
+    """Isotropic vectors, two tiles of a cell that is one range wide on two axes: 0.2 of a label's pairs get there, 0.11 of those on."""
+    r = np.random.default_rng(9)
+    n, dim = 32_768, 64
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    width = embedding_dedup._range(0.98, 0, 8, dim)
+    x[:, :2] = r.random((n, 2)) * width
+    cells = np.floor(x[:, :8] / width).astype(np.int64)
+    cells = cells[np.lexsort([*cells.T[::-1], np.arange(n) >= n // 2])]
+    met = sum((b - a) * (d - c) for a, b, c, d, _ in embedding_dedup._meetings(cells, n // 2, False))
+    assert met < 0.11 * (n // 2) ** 2
+
+
 def test_near_duplicate_vectors_odd_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1, "x", 1), (1, [1.0, 0.0], 1, "x", 1), (2, [1.0, 0.0], None, "x", 1)], VEC)
     assert sorted((y.vec_id or 0, y.n_links, y.kept) for y in embedding_dedup.near_duplicate_vectors(df).collect()) == [(0, 0, True), (1, 0, True), (2, 0, True)]

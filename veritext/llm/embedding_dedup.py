@@ -8,8 +8,10 @@ into the cells of a grid over the block's first two axes, and a vector is shown
 those of the four cells ahead of it whose border is within the range, so that each pair that may be
 near meets once. Cells are ``span`` ranges wide: one range where a label has many vectors, more where
 a cell of that width would still fit a tile, as wide cells show fewer vectors twice. Inside a task rows
-meet in cells of one range again; block distances sieve the pairs, and survivors are checked on the
-whole vectors in double precision.
+are cut into cells of one range on all of the block's axes, one after the other, for as long as many pairs
+are left, and only parts that are one cell away at most go on together. Block distances sieve the pairs,
+and survivors are checked on the whole vectors in double precision. Whole vectors are shipped, not
+blocks of them: fetching them for the survivors would emit all pairs of a group of near copies.
 
 A pair that is near in several blocks is counted in the first of them only, so no pair has to be
 shuffled or made distinct: a cell gives each vector's number of links there and, for the
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from veritext.llm.common import connected_components, materialise, small_batches
 
+_FEW = 32_768  # pairs of vectors that are compared without another look at their cells
 _SLACK = 1e-9  # the sieve may keep a little more than the range; the last check decides
 
 
@@ -113,27 +116,44 @@ def _spread(blocks: int, threshold: float, kind: str, bare: bool = False):
 _CELL = ["rep", "label", "w", "vec", "dim", "block", "x", "y", "side"]
 
 
-def _meetings(mine: np.ndarray, other: np.ndarray, cells: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Rows of ``mine`` with the rows that they may be near to by their cells of one range: (rows, against, rows are against).
+def _meetings(cells: np.ndarray, mine: int, same: bool, few: int = _FEW) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Ranges of rows that may be near to each other: (from, to, from, to, whether both are the same range).
 
-    ``same``: pairs inside mine count too, each once.
+    ``cells``: the cells of one range on all axes of a block, the first ``mine`` rows and the others each in
+    ascending order. Both are cut on one axis after the other, and a part goes on with the other's parts that
+    are one cell away at most, until a pair of parts has ``few`` pairs of rows or no axis is left. Rows that
+    share their cells on the first axes stand together, so parts are ranges. ``same``: pairs inside mine
+    count too, each once.
     """
-
-    def by_cell(rows: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        order = rows[np.lexsort((cells[rows, 1], cells[rows, 0]))]
-        c = cells[order]
-        turn = np.flatnonzero((c[1:] != c[:-1]).any(axis=1)) + 1
-        return {tuple(cells[part[0]].tolist()): part for part in np.split(order, turn) if len(part)}
-
-    own, rest = by_cell(mine), by_cell(other)
-    around = [(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1)]
-    for (x, y), rows in own.items():
-        if same and len(rows) > 1:
-            yield rows, rows, True
-        near = [own[x + p, y + q] for p, q in ((1, -1), (1, 0), (1, 1), (0, 1)) if (x + p, y + q) in own] if same else []
-        near += [rest[x + p, y + q] for p, q in around if (x + p, y + q) in rest]
-        if near:
-            yield rows, np.concatenate(near), False
+    axes = cells.shape[1]
+    parts: dict[tuple[int, int, int], tuple[list[int], list[int]]] = {}
+
+    def cut(lo: int, hi: int, axis: int) -> tuple[list[int], list[int]]:
+        if (lo, hi, axis) not in parts:
+            c = cells[lo:hi, axis]
+            at = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
+            parts[lo, hi, axis] = c[at].tolist(), [*(at + lo).tolist(), hi]
+        return parts[lo, hi, axis]
+
+    todo = [(0, mine, 0, mine, 0)] if same else []
+    todo.append((0, mine, mine, len(cells), 0))
+    while todo:
+        a, b, c, d, axis = todo.pop()
+        alone = a == c
+        if b - a < 1 + alone or d == c:
+            continue
+        if axis == axes or (b - a) * (d - c) <= few:
+            yield a, b, c, d, alone
+            continue
+        (left, p), (right, q) = cut(a, b, axis), cut(c, d, axis)
+        j = 0
+        for i, at in enumerate(left):
+            while j < len(right) and right[j] < at - 1:
+                j += 1
+            for k in range(i if alone else j, len(right)):
+                if right[k] > at + 1:
+                    break
+                todo.append((p[i], p[i + 1], q[k], q[k + 1], axis + 1))
 
 
 def _compare(blocks: int, threshold: float, kind: str):
@@ -144,25 +164,26 @@ def _compare(blocks: int, threshold: float, kind: str):
         # side: 0 own rows, 1 rows from a cell behind; where tiles meet, 3 the first tile's rows, 2 the second's
         spans = _edges(dim, blocks)
         lo, hi = spans[block]
-        turned = x @ rotation(dim)
         same = bool((side < 2).all())
-        mine, other = np.flatnonzero(side == (0 if same else 3)), np.flatnonzero(side == (1 if same else 2))
-        places = np.floor(turned[:, lo : min(lo + 2, hi)] / _range(threshold, lo, hi, dim)).astype(np.int64)
-        places = np.pad(places, ((0, 0), (0, 2 - places.shape[1])))
+        turned = x @ rotation(dim)
+        places = np.floor(turned[:, lo:hi] / _range(threshold, lo, hi, dim)).astype(np.int64)
+        order = np.lexsort([*places.T[::-1], side != (0 if same else 3)])
+        rep, w, x, places = rep[order], w[order], x[order], places[order]
+        turned = turned[order]
         part = turned[:, lo:hi]
-        square = (part * part).sum(1)
+        square, ones = (part * part).sum(1)[:, None], np.ones((len(rep), 1))
+        to, of = np.hstack([-2 * part, square, ones]), np.hstack([part, ones, square])  # their product is the squared distance
+        most = _share(total, lo, hi, dim, 2 * _SLACK)
         tree = np.arange(len(rep))  # vectors with equal entries are connected by what was found so far
         links = np.zeros(len(rep), dtype=np.int64)
-        for rows, facing, alone in _meetings(mine, other, places, same):
-            for p in range(0, len(rows), 512):
-                row = rows[p : p + 512]
-                ahead = facing[p:] if alone else facing
-                for c in range(0, len(ahead), 2048):
-                    against = ahead[c : c + 2048]
-                    d = square[row][:, None] + square[against][None, :] - 2 * part[row] @ part[against].T
-                    near = d <= _share(total, lo, hi, dim, 2 * _SLACK)
-                    if alone:  # inside the cell each pair once
-                        near &= c + np.arange(len(against))[None, :] > np.arange(len(row))[:, None]
+        for begin, end, begin2, end2, alone in _meetings(places, int((side == (0 if same else 3)).sum()), same):
+            for p in range(begin, end, 512):
+                row = np.arange(p, min(p + 512, end))
+                for c in range(p if alone else begin2, end2, 2048):
+                    against = np.arange(c, min(c + 2048, end2))
+                    near = to[p : row[-1] + 1] @ of[c : against[-1] + 1].T <= most
+                    if alone:  # inside the part each pair once
+                        near &= against[None, :] > row[:, None]
                     i, j = np.nonzero(near)
                     for q in range(0, len(i), 200_000):
                         r, s = row[i[q : q + 200_000]], against[j[q : q + 200_000]]
@@ -248,6 +269,28 @@ def _pack_vectors(kind: str):
     return run
 
 
+def _with_numbers(classes: DataFrame) -> tuple[DataFrame, int | None]:
+    """Classes with a number ``rep`` of their own: the smallest id or, where several classes share that, one above all ids.
+
+    Also the largest id if there are such classes.
+    """
+    shared = materialise(classes.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("shared")), "op1-shared")
+    if shared.isEmpty():
+        return classes.withColumn("rep", F.col("id")), None
+    top = classes.agg(F.max("id")).first()[0]
+    fresh = F.lit(top) + 1 + F.monotonically_increasing_id()
+    marked = classes.join(shared, "id", "left").withColumn("rep", F.when(F.col("shared"), fresh).otherwise(F.col("id")))
+    return materialise(marked.drop("shared"), "op1-numbers"), top
+
+
+def _smallest_ids(comp: DataFrame, classes: DataFrame, top: int) -> DataFrame:
+    """Components (rep, component) named by their smallest id instead of their smallest number."""
+    fresh = classes.filter(F.col("rep") > top).select("rep", "id")
+    least = comp.join(fresh, "rep").groupBy("component").agg(F.min("id").alias("least"))
+    known = F.when(F.col("component") <= top, F.col("component"))
+    return comp.join(least, "component", "left").select("rep", F.least(known, "least").alias("component"))
+
+
 def near_duplicate_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -255,7 +298,7 @@ def near_duplicate_vectors(
     label_col: str | None = "label",
     threshold: float = 0.98,
     blocks: int = 8,
-    tile: int = 8192,
+    tile: int = 16_384,
 ) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id, kept.
 
@@ -267,8 +310,8 @@ def near_duplicate_vectors(
     links with nothing, nor does one with a null label; vectors of different sizes never link.
     Columns of doubles are compared as they are, of other numbers as floats. A row with a null id is
     linked with nothing and kept. Equal vectors are links of one another.
-    Rows that repeat an id with the same vector and label count as further vectors; ids are
-    otherwise expected to be unique. An empty table gives an empty result. Other columns are
+    Rows that repeat an id count as further vectors, with the same vector and label or others; each
+    row has the number of links and the component of its own vector. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
     spark = vectors.sparkSession
@@ -278,7 +321,8 @@ def near_duplicate_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("vec"))
     packed = materialise(rows.mapInArrow(_pack_vectors(kind), "id long, label string, vec binary"), "op1")
     usable = packed.filter("vec is not null and label is not null and id is not null")
-    classes = materialise(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "op1-classes")
+    classes = materialise(usable.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("w")), "op1-classes")
+    classes, top = _with_numbers(classes)
     # a cell of one range has some (0.226 * 0.226) of a label's vectors, if these are spread evenly; wider ones while they fit a tile
     wide = F.least(F.lit(1000), F.greatest(F.lit(1), F.floor(F.sqrt(tile / F.col("count")) / 0.226))).cast("int")
     spans = materialise(classes.groupBy("label").count().select("label", wide.alias("span")), "op1-labels")
@@ -315,10 +359,12 @@ def near_duplicate_vectors(
     met = placed.repartition("group").sortWithinPartitions("group").mapInArrow(_compare(blocks, threshold, kind), "kind int, a long, b long")
     met = materialise(met, "op1-met")
     counts = met.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
-    comp = connected_components(met.filter("kind = 1").select("a", "b"), "op1-cc")
+    comp = connected_components(met.filter("kind = 1").select("a", "b"), "op1-cc").withColumnRenamed("id", "rep")
+    if top is not None:
+        comp = _smallest_ids(comp, classes, top)
     of_class = (
-        classes.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.join(counts, "rep", "left").join(comp, "rep", "left")
+        .select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
     keyed = packed.select("id", F.when(usable, F.col("label")).alias("label"), "vec")
