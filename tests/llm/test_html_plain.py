@@ -127,3 +127,40 @@ def test_extracted_pages_equal_plain_python(spark, monkeypatch):
         assert all(abs(v) > 1e-4 for v in odds)
         text = "\n".join(b.text for b, v in zip(page, odds) if v > 0)
         assert got[r.page_id] == (text, len(text)), r.page_id
+
+
+def test_long_pages_teach_by_a_run_of_blocks(spark, monkeypatch):
+    taught = {}
+    monkeypatch.setattr(html_blocks, "train", lambda own, runs=(): taught.update(own=own, runs=list(runs)) or html_blocks.Labeller())
+    item = "<p>Words of item {}, some of them linked.</p>"
+    long = "<nav><a href='/'>Home</a></nav><article>" + "".join(item.format(k) for k in range(700)) + "</article><footer>End</footer>"
+    wide = "<nav><a href='/'>Home</a></nav><main><p>" + "many words " * 9_000 + "</p></main>"
+    short, bare = "<article><p>Short.</p></article>", "<p>No mark</p>" * 500
+    rows = [(1, "u", long), (2, "u", wide), (3, "u", short), (4, "u", bare), (5, "u", "<article ></article>"), (6, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_blocks.extract_text(df, most_chars=60_000, most_blocks=400).count() == 6
+    assert sorted(taught["own"]) == ["<article ></article>", short]
+    runs = sorted((html_blocks.pickle.loads(r) for r in taught["runs"]), key=lambda r: len(r[0]))
+    assert [len(r[0]) for r in runs] == [2, 400]
+    page = html_blocks.blocks(long)
+    paths, words, figures = html_blocks.describe(page)
+    begin = zlib.crc32(long.encode()) % (len(page) - 399)
+    got_paths, bits, got_figures, labels = runs[1]
+    assert list(map(tuple, got_paths)) == list(map(tuple, paths[begin : begin + 400]))
+    assert (np.unpackbits(bits, axis=1, count=html_blocks.WORDS) == (words[begin : begin + 400] > 0)).all()
+    assert np.allclose(got_figures, figures[begin : begin + 400]) and (labels == html_blocks.own_labels(page)[begin : begin + 400]).all()
+
+
+def test_training_reads_runs():
+    html = "<article>" + "<p>one two three, four.</p>" * 30 + "</article>"
+    page = html_blocks.blocks(html)
+    run = html_blocks._run_of_blocks(html, page, 20)
+    seen = []
+    fit = html_blocks.Labeller.fit
+    try:
+        html_blocks.Labeller.fit = lambda self, x, y: seen.append((x, y))
+        html_blocks.train([], drawn=0, runs=[run])
+    finally:
+        html_blocks.Labeller.fit = fit
+    (x, y), = seen
+    assert len(x) == 1 and len(x[0][0]) == 20 and y[0].tolist() == [1.0] * 20 and html_blocks._run_of_blocks("<p>a", html_blocks.blocks("<p>a"), 20) is None

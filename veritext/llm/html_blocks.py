@@ -23,9 +23,10 @@ the memory of a task is bounded by these or by its longest page.
 from __future__ import annotations
 
 import html as _html
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -474,7 +475,34 @@ def disguised(page: str, r: np.random.Generator) -> str:
     return _SAID_WORDS.sub("", _SPEAKING_TAG.sub(div, page))
 
 
-def train(own_pages: list[str], drawn: int = 500, seed: int = 3, most_blocks: int = 400) -> Labeller:
+def _run_of_blocks(html: str, page: list[Block], most: int) -> bytes | None:
+    """At most ``most`` consecutive blocks of a long page as a lesson, from a place that the page's hash gives."""
+    labels = own_labels(page)
+    if labels is None:
+        return None
+    begin = zlib.crc32(html.encode("utf-8", "surrogatepass")) % max(1, len(page) - most + 1)
+    paths, words, figures = describe(page[begin : begin + most])
+    figures[:, 4] = (begin + np.arange(len(paths))) / len(page)  # their places in the whole page
+    return pickle.dumps((paths, np.packbits(words > 0, axis=1), figures, labels[begin : begin + most]))
+
+
+def _lessons(most_chars: int, most_blocks: int):
+    """Pages to learn from: html where it is short, a run of blocks where it isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, runs = [], []
+            for h in b.column("html").to_pylist():
+                page = blocks(h)
+                short = len(h) <= most_chars and len(page) <= most_blocks
+                whole.append(h if short else None)
+                runs.append(None if short else _run_of_blocks(h, page, most_blocks))
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(whole, pa.string()), pa.array(runs, pa.binary())], names=["at", "html", "run"])
+
+    return run
+
+
+def train(own_pages: list[str], drawn: int = 500, seed: int = 3, runs: Iterable[bytes] = ()) -> Labeller:
     r = np.random.default_rng(seed)
     x, y = [], []
 
@@ -497,9 +525,14 @@ def train(own_pages: list[str], drawn: int = 500, seed: int = 3, most_blocks: in
             learn(page, labels, html)
     for h in own_pages:
         page = blocks(h)
-        labels = own_labels(page) if 0 < len(page) <= most_blocks else None
+        labels = own_labels(page)
         if labels is not None:
             learn(page, labels, h)
+    for lesson in runs:
+        paths, bits, figures, labels = pickle.loads(lesson)
+        seen = np.unpackbits(bits, axis=1, count=WORDS).astype(np.float32)
+        x.append((paths, seen / (seen.sum(axis=1, keepdims=True) + 20), figures))
+        y.append(labels)
     for k, (paths, words, figures) in enumerate(x):  # some blocks without words, figures or path: the rest and the context must do
         words[r.random(len(words)) < 0.3] = 0
         figures[r.random(len(figures)) < 0.15] = 0
@@ -529,8 +562,9 @@ def extract_text(
 ) -> DataFrame:
     """One row for each row of ``pages``: id, url, text, n_chars.
 
-    ``sample``, ``most_chars`` and ``most_blocks`` bound which own pages the labeller learns from; the
-    text is extracted from every page, whole.
+    The labeller learns from ``sample`` own pages, drawn by a hash from all that have an article or
+    main element; of a page of more than ``most_chars`` characters or ``most_blocks`` blocks it learns from
+    a run of ``most_blocks`` blocks, cut where the page lies. The text is extracted from every page, whole.
 
     Defined cases: null or empty HTML gives empty text; so does a page without main text. Broken
     markup is read as it stands (unclosed tags end with their parents). A very long page is read
@@ -546,9 +580,10 @@ def extract_text(
     )
     n = base.count()
     share = min(1.0, 4 * sample / max(n, 1))
-    marked = base.filter(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= most_chars))
     at = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
-    own = [r.html for r in marked.filter(at <= share).orderBy(at, "html").limit(sample).select("html").collect()]
-    weights = train(own, most_blocks=most_blocks).p
+    marked = base.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).select(at.alias("at"), "html").filter(F.col("at") <= share)
+    lessons = marked.mapInArrow(_lessons(most_chars, most_blocks), "at double, html string, run binary").filter("html is not null or run is not null")
+    own = lessons.orderBy("at", "html", "run").limit(sample).collect()
+    weights = train([r.html for r in own if r.html is not None], runs=[bytes(r.run) for r in own if r.run is not None]).p
     out = base.mapInArrow(_extract(weights), "id long, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
