@@ -78,6 +78,29 @@ def test_duplicates(spark):
     assert dedup.duplicate_report(df.limit(0), F.col("id")).count() == 0
 
 
+def test_rows_without_a_key_and_a_hot_key_are_spread_over_tasks(spark):
+    rows = spark.range(40_000).selectExpr("id", "CASE WHEN id % 4 = 3 THEN 'hot' WHEN id % 4 = 2 THEN 'k' || id END AS key", "repeat('x', 100) AS text")
+    rows = rows.unionByName(rows.limit(4).selectExpr("id + 40000 AS id", "'k2' AS key", "text"))
+    flagged = dedup.flag_repeats(rows.repartition(8), F.col("key"), [F.col("id")])
+    assert flagged.agg(F.count_if("is_repeat")).first()[0] == 10_000 - 1 + 4
+    assert flagged.filter("is_repeat and key = 'k2'").count() == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in flagged.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 12_000  # of 4 partitions; half of all rows have no key, a quarter one
+
+
+def test_three_keys_are_flagged_at_once(spark):
+    df = spark.createDataFrame([(0, "a", None, "x"), (1, "a", None, "y"), (2, "b", "q", "x"), (3, None, "q", "x")], "pos int, a string, b string, c string")
+    got = dedup.flag_all_repeats(df, {k + "_again": F.col(k) for k in "abc"}, [F.col("pos")]).orderBy("pos").collect()
+    assert [(r.a_again, r.b_again, r.c_again) for r in got] == [(False, False, False), (True, False, False), (False, False, True), (False, True, True)]
+    assert "Join" not in dedup.flag_repeats(df.limit(1), F.col("a"), [F.col("pos")])._jdf.queryExecution().toString()
+
+
 def test_parts_are_appended_by_an_index_of_keys(spark, tmp_path, monkeypatch):
     root, n = str(tmp_path / "set"), F.col("n")
     monkeypatch.setattr(published, "_KEYS_EACH", 400)

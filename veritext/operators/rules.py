@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veritext.functions import text as T
-from veritext.operators.dedup import flag_repeats
+from veritext.operators.dedup import flag_all_repeats, flag_repeats
 from veritext.operators.forms import figures_in, label_forms
 
 
@@ -85,9 +85,8 @@ def mark_examples(df: DataFrame, row: Column, semantics: str = "aristotelian", f
         m["core_signature"].alias("core"), m["premise_count"].alias("premises"), m["mood"].alias("mood"), m["figure"].alias("figure"),
     )
     has_text = F.col("text").isNotNull()
-    x = flag_repeats(x, T.signature(F.col("text")), [F.col("row")], "again_text")
-    x = flag_repeats(x, F.when(has_text, F.col("id")), [F.col("row")], "again_id")
-    x = flag_repeats(x, F.col("core"), [F.col("row")], "again_core")
+    keys = {"again_text": T.signature(F.col("text")), "again_id": F.when(has_text, F.col("id")), "again_core": F.col("core")}
+    x = flag_all_repeats(x, keys, [F.col("row")])
     x = x.withColumn("again_core", F.col("again_core") & (F.col("source") == "synthetic"))
     x = label_forms(x, semantics).withColumn("found", F.size(T.sentences(F.col("text"))))
     meta = has_text & ~F.col("no_meta")
