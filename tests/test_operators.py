@@ -506,6 +506,16 @@ def test_generation_job(spark):
         generate.generate_dataset(spark, 5, mode="base", base=base.filter("base_index = 9"))
 
 
+def test_distractors_are_drawn_as_far_as_needed(spark, monkeypatch):
+    real = generate.numbers
+    few = lambda *at: F.when(at[-1] > 3, F.raise_error(F.lit("drawn too far")).cast("struct<" + ",".join(f"n{k}:bigint" for k in range(8)) + ">")).otherwise(real(*at))
+    w = generate._Words(generate.default_lexicon(), "mixed")
+    made = lambda: spark.range(20).select(w.distractors(F.lit(3), 5, F.lit(True), F.array(F.lit("x")), None, "42", F.col("id")).alias("d")).collect()
+    want = made()
+    monkeypatch.setattr(generate, "numbers", few)
+    assert made() == want and {len(r.d) for r in want} == {3}
+
+
 def test_texts_that_repeat_draw_again(spark):
     base = spark.createDataFrame([(0, "x", "A b. C d. E f.", True, True)], "base_index long, id string, syllogism string, validity boolean, plausibility boolean")
     lex = generate.Lexicon(["t"], {"d": [("plants", "shrubs", "roses")]}, [("a", "b", "c")], ["old", "new"], ["odd", "even"])

@@ -208,14 +208,11 @@ class _Words:
 
         ``used`` holds lower-case sentences. Drawn sentences are built of single spaces, so lower case is their signature.
         """
-        z = F.transform(F.sequence(F.lit(0), F.lit(2 * most + 1)), lambda t: numbers(*at, "d", t))
-        terms = F.transform(
-            z,
-            lambda n: F.struct(
-                F.when(plausible, self.of_any(n["n3"])).otherwise(self.absurd(n["n3"])).alias("t"),
-                self.prefix(plausible, n["n0"], n["n1"], n["n2"]).alias("p"), (n["n4"] % 6).alias("k"), _nth("AEIO", n["n5"]).alias("f"),
-                n["n6"].alias("plain"), n["n7"].alias("wording"),
-            ),
+        number = lambda last: F.transform(F.sequence(F.lit(0), last), lambda t: numbers(*at, "d", t))
+        term = lambda n: F.struct(
+            F.when(plausible, self.of_any(n["n3"])).otherwise(self.absurd(n["n3"])).alias("t"),
+            self.prefix(plausible, n["n0"], n["n1"], n["n2"]).alias("p"), (n["n4"] % 6).alias("k"), _nth("AEIO", n["n5"]).alias("f"),
+            n["n6"].alias("plain"), n["n7"].alias("wording"),
         )
 
         def one(x: Column) -> Column:
@@ -223,12 +220,18 @@ class _Words:
             subject, predicate = role({"S": (0, 1), "P": (2, 3), "M": (4, 5)}), role({"P": (0, 4), "M": (1, 2), "S": (3, 5)})
             return self.body(x["f"], subject, predicate, x["plain"], x["wording"])
 
-        # bodies are elements of their own, so that capitalising doesn't make each of them several times
-        drawn = F.transform(F.transform(terms, one), lambda b: F.concat(T.capitalise(b), F.lit(".")))
         ok = lambda s: ~F.array_contains(used, F.lower(s)) & ~F.contains(F.lower(s), F.lit(" of them "))
-        if avoid is not None:
-            drawn = F.filter(drawn, lambda s: ~F.arrays_overlap(T.content_words(s), avoid))
-        return F.slice(F.array_distinct(F.filter(drawn, ok)), F.lit(1), need)
+
+        def kept(last: Column) -> Column:
+            # bodies are elements of their own, so that capitalising doesn't make each of them several times
+            drawn = F.transform(F.transform(F.transform(number(last), term), one), lambda b: F.concat(T.capitalise(b), F.lit(".")))
+            if avoid is not None:
+                drawn = F.filter(drawn, lambda s: ~F.arrays_overlap(T.content_words(s), avoid))
+            return F.slice(F.array_distinct(F.filter(drawn, ok)), F.lit(1), need)
+
+        # the first sentences that are left are the same however many are drawn behind them, so all are drawn only where the first few don't do
+        some = lambda s: F.when(F.size(s) == need, s).otherwise(kept(F.lit(2 * most + 1)))
+        return F.get(F.transform(F.array(kept(need)), some), F.lit(0))
 
 
 def _assemble(x: DataFrame) -> DataFrame:
