@@ -57,6 +57,17 @@ def test_hot_segments_are_dealt_in_tiles(spark, monkeypatch):
     assert got == want
 
 
+def test_pairs_of_copies_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PAIRS", 2_000)
+    monkeypatch.setattr(dedup, "TILE", 50)
+    rows = spark.range(600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'one cat' WHEN id % 3 = 1 THEN 'one cats' ELSE 'no dogs here' END AS text")
+    pairs = dedup.similar_pairs(rows)
+    assert pairs.distinct().count() == pairs.count() == 3 * 200 * 199 // 2 + 200 * 200
+    assert {(r.distance, r["count"]) for r in pairs.groupBy("distance").count().collect()} == {(0, 59_700), (1, 40_000)}
+    assert pairs.rdd.getNumPartitions() >= 80
+    assert pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 25_000
+
+
 def test_places_and_counts_of_similar_pairs(spark):
     rows = spark.createDataFrame([("f", 0, "One cat."), ("f", 1, "one  CAT."), ("g", 0, "One cats."), ("g", 1, None), ("g", 2, "Other words.")], "file string, pos int, syllogism string")
     assert sorted(map(tuple, dedup.similar_places(rows).collect())) == [("f", 0, "f", 1, 0), ("f", 0, "g", 0, 1), ("f", 1, "g", 0, 1)]
