@@ -57,6 +57,13 @@ def test_hot_segments_are_dealt_in_tiles(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_that_share_a_segment_only_are_not_emitted(spark):
+    shared, letters = "the same long beginning of a text ", "eainsrc0"  # one of each group
+    texts = [shared + letters[i % 8] * 5 + letters[i // 8 % 8] * 5 + letters[i // 64] * 5 for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, s string").withColumn("n", F.length("s")).withColumn("profile", dedup._profile(F.col("s")))
+    assert dedup._met(rows, 3).distinct().count() < 4_000  # of 124,750 pairs
+
+
 def test_pairs_of_copies_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS", 2_000)
     monkeypatch.setattr(dedup, "TILE", 50)
