@@ -555,3 +555,10 @@ def test_prediction_files(spark, tmp_path):
         "good": "ok", "broken": "unreadable", "object": "unreadable", "numbers": "unreadable", "empty": "incomplete", "void": "unreadable", "absent": "unreadable",
     }
     assert (got["good"].total, got["good"].accuracy, got["broken"].content_effect, got["broken"].combined) == (1, 100.0, 100.0, 0.0)
+
+
+def test_slots_with_few_cores_left_try_several_in_a_round(spark):
+    lex = generate.Lexicon(["t"], {"d": [("plants", "shrubs", "roses")]}, [("a", "b", "c")], ["old", "new"], ["odd", "even"])
+    slots = spark.range(0, 284).withColumnRenamed("id", "slot")
+    got = generate.generate(slots, 284, (2,), style="canonical", lexicon=lex, rounds=9).collect()
+    assert len({r.syllogism for r in got}) == len({r.metadata.core_signature for r in got}) == len({r.slot for r in got}) == len(got) == 284

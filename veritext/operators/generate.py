@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -59,6 +60,8 @@ LEADS = [
 
 #: So many keys of a round's draws may be broadcast (about 25 MB).
 BROADCAST_KEYS = 250_000
+#: From which round on a slot tries several attempts in a round, and how many.
+EARLY, TRIES = 6, 8
 
 
 @dataclass(frozen=True)
@@ -148,12 +151,15 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _nth(values: Sequence[str], n: Column) -> Column:
-    return F.get(F.expr(f"array({','.join(map(_quoted, values))})"), (n % len(values)).cast("int"))
+def _nth(values: Sequence[str] | Sequence[int], n: Column) -> Column:
+    """The n-th of ``values``; texts without the unit separator, as one text that is cut once, are cheaper to plan than literals."""
+    if isinstance(values[0], int) or any("\x1f" in v for v in values):
+        return F.get(F.expr(f"array({','.join(_quoted(v) if isinstance(v, str) else str(v) for v in values)})"), n.cast("int"))
+    return F.get(F.split(F.lit("\x1f".join(values)), "\x1f"), n.cast("int"))
 
 
 class _Words:
-    """Expressions that build terms and sentences from drawn numbers."""
+    """Expressions that build terms and sentences from drawn numbers, by places in flat lists of words and of pieces of wordings."""
 
     def __init__(self, lex: Lexicon, style: str):
         if style not in ("canonical", "varied", "mixed"):
@@ -165,77 +171,122 @@ class _Words:
             lex.topic_domain,
         )
         self.lex, self.style = lex, style
-        triple = lambda t: "named_struct({})".format(",".join(f"'{r}',{_quoted(w)}" for r, w in zip("PMS", t)))
-        pick = lambda ts: lambda n: F.get(F.expr(f"array({','.join(map(triple, ts))})"), (n % len(ts)).cast("int"))
-        self.of_domain = {d: pick(ts) for d, ts in lex.domains.items()}
-        self.of_any = pick([t for ts in lex.domains.values() for t in ts])
-        self.absurd = pick(lex.absurd)
+        self.modifiers = [*lex.modifiers, *lex.absurd_modifiers]
+        self.capitals = [m[:1].upper() + m[1:] for m in self.modifiers]
+        self.sizes = len(lex.modifiers), len(lex.absurd_modifiers)
+        likely = [t for ts in lex.domains.values() for t in ts]
+        self.likely, self.terms = len(likely), [w for t in (*likely, *lex.absurd) for w in t]
+        #: without empty words, all that is built of them has single spaces and needs no normalising
+        self.clean = all(self.modifiers) and all(self.terms)
+        starts, at = {}, 0
+        for d, ts in lex.domains.items():
+            starts[d], at = (at, len(ts)), at + len(ts)
+        home = next(iter(starts))
+        self.homes = [starts.get(lex.topic_domain.get(t, home), starts[home]) for t in lex.topics]
+        # of the wordings of A, E, I and O, one after another, what stands before, between and behind the terms
+        pieces = [re.split(r"\{S\}|\{P\}", w) for f in "AEIO" for w in STATEMENTS[f]]
+        self.before, self.between, self.behind = map(list, zip(*pieces))
+
+    def normal(self, text: Column) -> Column:
+        return text if self.clean else T.normalise(text)
+
+    def modifier_places(self, plausible: Column, m1: Column, m2: Column, shape: Column) -> tuple[Column, Column]:
+        """Places of one modifier (the second is null), or of two different ones in either order."""
+        n = F.when(plausible, self.sizes[0]).otherwise(self.sizes[1])
+        one, two = m1 % n, m2 % (n - 1)
+        two = two + F.when(two >= one, 1).otherwise(0)
+        start, shape = F.when(plausible, 0).otherwise(self.sizes[0]), shape % 3
+        return start + F.when(shape == 2, two).otherwise(one), F.when(shape != 0, start + F.when(shape == 2, one).otherwise(two))
 
     def prefix(self, plausible: Column, m1: Column, m2: Column, shape: Column) -> Column:
-        """One modifier, or two different ones in either order."""
-
-        def of(words: Sequence[str]) -> Column:
-            n = len(words)
-            one = m1 % n
-            two = m2 % (n - 1)
-            first, second = _nth(words, one), _nth(words, two + F.when(two >= one, 1).otherwise(0))
-            return F.when(shape % 3 == 0, first).when(shape % 3 == 1, F.concat_ws(" ", first, second)).otherwise(F.concat_ws(" ", second, first))
-
-        return F.when(plausible, of(self.lex.modifiers)).otherwise(of(self.lex.absurd_modifiers))
+        a, b = self.modifier_places(plausible, m1, m2, shape)
+        return F.concat_ws(" ", _nth(self.modifiers, a), _nth(self.modifiers, b))
 
     def topic_triple(self, plausible: Column, topic: Column, n: Column) -> Column:
-        cases = [(topic.isin(*[t for t, d in self.lex.topic_domain.items() if d == name]), of(n)) for name, of in self.of_domain.items()]
-        home = _chain(cases).otherwise(next(iter(self.of_domain.values()))(n))
-        return F.when(plausible, home).otherwise(self.absurd(n))
+        """Place of a triple: of the topic's domain, or an absurd one; ``topic`` is the topic's place."""
+        home = _nth([h[0] for h in self.homes], topic) + n % _nth([h[1] for h in self.homes], topic)
+        return F.when(plausible, home).otherwise(self.likely + n % len(self.lex.absurd))
+
+    def term(self, triple: Column, role: Column | str) -> Column:
+        return _nth(self.terms, triple * 3 + (F.lit("PMS".index(role)) if isinstance(role, str) else role))
 
     def _plain(self, n: Column) -> Column:
         return {"canonical": F.lit(True), "varied": F.lit(False), "mixed": n % 100 < 35}[self.style]
 
-    def body(self, form: Column, subject: Column, predicate: Column, plain: Column, wording: Column) -> Column:
-        nth = F.when(self._plain(plain), 0).otherwise(wording % 5)
-        shape = _chain([(form == f, _nth(ws, nth)) for f, ws in STATEMENTS.items()])
-        return F.replace(F.replace(shape, F.lit("{S}"), subject), F.lit("{P}"), predicate)
+    def wording(self, form: Column, plain: Column, wording: Column) -> Column:
+        """Place of a wording; ``form`` counts A, E, I and O from 0."""
+        return form * 5 + F.when(self._plain(plain), 0).otherwise(wording % 5)
 
-    def premise(self, *a: Column) -> Column:
-        return F.concat(T.capitalise(self.body(*a)), F.lit("."))
+    def body(self, at: Column, subject: Column, predicate: Column) -> Column:
+        return F.concat(_nth(self.before, at), subject, _nth(self.between, at), predicate, _nth(self.behind, at))
+
+    def premise(self, at: Column, subject: Column, predicate: Column, capital: Column) -> Column:
+        """The statement as a sentence; ``capital`` is the subject where it begins the sentence."""
+        subject = F.when(_nth(self.before, at) == "", capital).otherwise(subject)
+        before = [b[:1].upper() + b[1:] for b in self.before]
+        return F.concat(_nth(before, at), subject, _nth(self.between, at), predicate, _nth([b + "." for b in self.behind], at))
 
     def conclusion(self, form: Column, subject: Column, predicate: Column, z: Column) -> Column:
         nth = F.when(self._plain(z["n2"]), 0).otherwise(z["n3"] % len(LEADS))
-        return F.concat(_nth(LEADS, nth), self.body(form, subject, predicate, z["n0"], z["n1"]), F.lit("."))
-
-    def distractors(self, need: Column, most: int, plausible: Column, used: Column, avoid: Column | None, *at) -> Column:
+        return F.concat(_nth(LEADS, nth), self.body(self.wording(form, z["n0"], z["n1"]), subject, predicate), F.lit("."))
+
+    def sentence(self, plausible: Column, n: Column) -> Column:
+        """A sentence from eight drawn numbers."""
+        a, b = self.modifier_places(plausible, n["n0"], n["n1"], n["n2"])
+        triple = F.when(plausible, n["n3"] % self.likely).otherwise(self.likely + n["n3"] % len(self.lex.absurd))
+        role = lambda roles: self.term(triple, _nth(["PMS".index(r) for r in roles], n["n4"] % 6))
+        subject = lambda words: F.concat_ws(" ", _nth(words, a), _nth(self.modifiers, b), role("SSPPMM"))
+        predicate = F.concat_ws(" ", _nth(self.modifiers, a), _nth(self.modifiers, b), role("PMMSPS"))
+        return self.premise(self.wording(n["n5"] % 4, n["n6"], n["n7"]), subject(self.modifiers), predicate, subject(self.capitals))
+
+    def few(self, need: Column, plausible: Column, drawn: list[Column]) -> list[Column]:
+        """One sentence more than needed, the others null."""
+        return [F.when(need >= t, self.sentence(plausible, n)) for t, n in enumerate(drawn)]
+
+    def picked(self, few: list[Column], need: Column, used: Column, avoid: Column | None) -> Column:
+        """The first ``need`` of the sentences that repeat nothing."""
+        fit = F.array(*[F.when(self._fits(s, used, avoid), s) for s in few])
+        return F.slice(F.array_except(fit, F.array(F.lit(None).cast("string"))), F.lit(1), need)
+
+    def _fits(self, s: Column, used: Column, avoid: Column | None) -> Column:
+        low = F.lower(s)
+        ok = ~F.array_contains(used, low) & ~F.contains(low, F.lit(" of them "))
+        # what is avoided are content words, so the sentence's other words meet none of them
+        return ok if avoid is None else ok & ~F.arrays_overlap(F.regexp_extract_all(low, F.lit("[a-z][a-z'-]*"), F.lit(0)), avoid)
+
+    def all_drawn(self, need: Column, most: int, plausible: Column, used: Column, avoid: Column | None, *at) -> Column:
+        drawn = F.transform(F.transform(F.sequence(F.lit(0), F.lit(2 * most + 1)), lambda t: numbers(*at, "d", t)), lambda n: self.sentence(plausible, n))
+        return F.slice(F.array_distinct(F.filter(drawn, lambda s: self._fits(s, used, avoid))), F.lit(1), need)
+
+    def distractors(self, need: Column, most: int, plausible: Column, used: Column, avoid: Column | None, *at, few: Column | None = None) -> Column:
         """``need`` sentences that repeat nothing, be it in another case; fewer where the over-draw ran short.
 
-        ``used`` holds lower-case sentences. Drawn sentences are built of single spaces, so lower case is their signature.
+        ``used`` holds lower-case sentences, ``avoid`` content words. Drawn sentences are built of single spaces, so lower case is their
+        signature. The first sentences that are left are the same however many are drawn behind them, so all are drawn only where the
+        first few don't do.
         """
-        number = lambda last: F.transform(F.sequence(F.lit(0), last), lambda t: numbers(*at, "d", t))
-        term = lambda n: F.struct(
-            F.when(plausible, self.of_any(n["n3"])).otherwise(self.absurd(n["n3"])).alias("t"),
-            self.prefix(plausible, n["n0"], n["n1"], n["n2"]).alias("p"), (n["n4"] % 6).alias("k"), _nth("AEIO", n["n5"]).alias("f"),
-            n["n6"].alias("plain"), n["n7"].alias("wording"),
-        )
-
-        def one(x: Column) -> Column:
-            role = lambda ks: F.concat_ws(" ", x["p"], _chain([(x["k"].isin(*v), x["t"][r]) for r, v in ks.items()]))
-            subject, predicate = role({"S": (0, 1), "P": (2, 3), "M": (4, 5)}), role({"P": (0, 4), "M": (1, 2), "S": (3, 5)})
-            return self.body(x["f"], subject, predicate, x["plain"], x["wording"])
+        few = self.picked(self.few(need, plausible, _numbers_of(most + 1, *at)), need, used, avoid) if few is None else few
+        return F.when(F.size(few) == need, few).otherwise(self.all_drawn(need, most, plausible, used, avoid, *at))
 
-        ok = lambda s: ~F.array_contains(used, F.lower(s)) & ~F.contains(F.lower(s), F.lit(" of them "))
+    def with_distractors(self, x: DataFrame, name: str, need: Column, most: int, plausible: Column, used: Column, avoid: Column | None, *at) -> DataFrame:
+        """``x`` with ``distractors`` as a column; ``used`` in any case. Numbers and sentences are columns of their own before, so that none is
+        made several times, each in a step with a lambda: such steps aren't fused, and all in one method would be too long to be compiled."""
+        named = {"_need": need, "_used": used} | ({} if avoid is None else {"_avoid": avoid})
+        x = x.withColumns(named | {"_n": F.transform(F.sequence(F.lit(0), F.lit(most)), lambda t: numbers(*at, "d", t))})
+        need, avoid = F.col("_need"), None if avoid is None else F.col("_avoid")
+        made = {f"_s{t}": s for t, s in enumerate(self.few(need, plausible, [F.col("_n")[t] for t in range(most + 1)]))}
+        x = x.withColumns(made | {"_used": F.transform("_used", lambda s: F.lower(s))})
+        x = x.withColumn("_few", self.picked(list(map(F.col, made)), need, F.col("_used"), avoid))
+        x = x.withColumn(name, self.distractors(need, most, plausible, F.col("_used"), avoid, *at, few=F.col("_few")))
+        return x.drop("_few", "_n", *named, *made)
 
-        def kept(last: Column) -> Column:
-            # bodies are elements of their own, so that capitalising doesn't make each of them several times
-            drawn = F.transform(F.transform(F.transform(number(last), term), one), lambda b: F.concat(T.capitalise(b), F.lit(".")))
-            if avoid is not None:
-                drawn = F.filter(drawn, lambda s: ~F.arrays_overlap(T.content_words(s), avoid))
-            return F.slice(F.array_distinct(F.filter(drawn, ok)), F.lit(1), need)
 
-        # the first sentences that are left are the same however many are drawn behind them, so all are drawn only where the first few don't do
-        some = lambda s: F.when(F.size(s) == need, s).otherwise(kept(F.lit(2 * most + 1)))
-        return F.get(F.transform(F.array(kept(need)), some), F.lit(0))
+def _numbers_of(n: int, *at) -> list[Column]:
+    return [numbers(*at, "d", F.lit(t)) for t in range(n)]
 
 
-def _assemble(x: DataFrame) -> DataFrame:
-    """From first, second, conclusion, spare (list), i, j, premise_count: syllogism and relevant_premises."""
+def _assemble(x: DataFrame, w: _Words) -> DataFrame:
+    """From first, second, conclusion, spare (list), i, j, premise_count: syllogism and relevant_premises. Sentences come normalised."""
     i, j = F.col("i"), F.col("j")
     # spare is named three times, so that it is made once before and not again for each place that it fills
     parts = F.concat(
@@ -243,34 +294,44 @@ def _assemble(x: DataFrame) -> DataFrame:
         F.slice("spare", j, F.greatest(F.size("spare") - j + 1, F.lit(0))), F.array("conclusion"),
     )
     pair = F.array("i", "j")
-    x = x.withColumn("syllogism", T.normalise(F.array_join(parts, " ")))
+    x = x.withColumn("syllogism", w.normal(F.array_join(parts, " ")))
     return x.withColumn("relevant_premises", F.when(F.col("validity"), pair).otherwise(F.array().cast("array<int>")))
 
 
-def _draw_examples(slots: DataFrame, catalog: DataFrame, sizes: dict[bool, int], w: _Words, seed: str, most: int, semantics: str) -> DataFrame:
-    """One attempt for each row of ``slots`` (plan_slots and attempt)."""
+def _draw_cores(slots: DataFrame, catalog: DataFrame, sizes: dict[bool, int], w: _Words, seed: str) -> DataFrame:
+    """``slots`` (plan_slots and attempt) with form, topic, major, minor, conclusion and core_signature: one attempt for each row."""
     at = (seed, F.col("slot"), F.col("attempt"))
     plausible = F.col("plausibility")
     size = F.when(F.col("validity"), sizes[True]).otherwise(sizes[False])
     x = slots.withColumn("_nth", (F.col("serial") % size).cast("int"))
     x = x.join(F.broadcast(catalog.select(F.col("valid").alias("validity"), F.col("nth").alias("_nth"), "figure", "mood", "name", "fallacy")), ["validity", "_nth"])
-    x = x.withColumn("topic", _nth(w.lex.topics, F.col("topic_index")))
-    x = x.withColumn("_z", numbers(*at, "core"))
+    topic = F.col("topic_index") % len(w.lex.topics)
+    # steps with a lambda aren't fused with their neighbours: all steps in one method are too long to be compiled
+    x = x.withColumn("_d", F.transform(F.array(F.lit("core"), F.lit("conclusion")), lambda part: numbers(*at, part)))
+    x = x.withColumn("topic", _nth(w.lex.topics, topic)).withColumns({"_z": F.col("_d")[0], "_y": F.col("_d")[1]})
     z = F.col("_z")
-    x = x.withColumn("_t", w.topic_triple(plausible, F.col("topic"), z["n3"])).withColumn("_p", w.prefix(plausible, z["n0"], z["n1"], z["n2"]))
-    for r in "SPM":
-        x = x.withColumn("_" + r.lower() * 2, F.concat_ws(" ", "_p", F.col("_t")[r]))
+    x = x.withColumn("_t", w.topic_triple(plausible, topic, z["n3"])).withColumn("_p", w.prefix(plausible, z["n0"], z["n1"], z["n2"]))
+    x = x.withColumns({"_" + r.lower() * 2: F.concat_ws(" ", "_p", w.term(F.col("_t"), r)) for r in "SPM"})
     term = lambda k: _chain([(F.col("figure") == f, F.col("_" + roles[k].lower() * 2)) for f, roles in FIGURES.items()])
-    form = lambda k: F.substring("mood", k, 1)
-    x = x.withColumn("major", w.premise(form(1), term(0), term(1), z["n4"], z["n5"]))
-    x = x.withColumn("minor", w.premise(form(2), term(2), term(3), z["n6"], z["n7"]))
-    x = x.withColumn("_y", numbers(*at, "conclusion"))
-    x = x.withColumn("conclusion", w.conclusion(form(3), F.col("_ss"), F.col("_pp"), F.col("_y")))
-    x = x.withColumn("core_signature", T.signature(F.concat_ws(" ", "major", "minor", "conclusion")))
-    used = F.array(F.lower("major"), F.lower("minor"))
-    x = x.withColumn("spare", w.distractors(F.col("premise_count") - 2, most, plausible, used, None, *at))
+    form = lambda k: F.instr(F.lit("AEIO"), F.substring("mood", k, 1)) - 1
+    said = lambda k, *n: F.struct(w.wording(form(k), *n).alias("w"), term(2 * k - 2).alias("s"), term(2 * k - 1).alias("p"))
+    x = x.withColumn("_said", F.array(said(1, z["n4"], z["n5"]), said(2, z["n6"], z["n7"])))
+    x = x.withColumns({
+        "_premises": F.transform("_said", lambda p: w.premise(p["w"], p["s"], p["p"], T.capitalise(p["s"]))),
+        "conclusion": w.conclusion(form(3), F.col("_ss"), F.col("_pp"), F.col("_y")),
+    })
+    x = x.withColumns({"major": F.col("_premises")[0], "minor": F.col("_premises")[1]})
+    return x.withColumn("core_signature", F.lower(w.normal(F.concat_ws(" ", "major", "minor", "conclusion"))))
+
+
+def _draw_examples(slots: DataFrame, catalog: DataFrame, sizes: dict[bool, int], w: _Words, seed: str, most: int, semantics: str) -> DataFrame:
+    """One attempt for each row of ``slots`` (plan_slots and attempt), with c and t: what must differ between examples, as 64-bit
+    hashes. Two that agree by chance draw again, which changes no promise."""
+    at = (seed, F.col("slot"), F.col("attempt"))
+    x = _draw_cores(slots, catalog, sizes, w, seed)
+    x = w.with_distractors(x, "spare", F.col("premise_count") - 2, most, F.col("plausibility"), F.array("major", "minor"), None, *at)
     x = x.withColumn("_swap", F.col("_y")["n4"] % 2 == 1).withColumn("first", F.when(F.col("_swap"), F.col("minor")).otherwise(F.col("major")))
-    x = _assemble(x.withColumn("second", F.when(F.col("_swap"), F.col("major")).otherwise(F.col("minor"))))
+    x = _assemble(x.withColumn("second", F.when(F.col("_swap"), F.col("major")).otherwise(F.col("minor"))), w)
     meta = F.struct(
         F.lit("synthetic").alias("source"), F.lit(semantics).alias("semantics"), F.lit(w.style).alias("style"), F.col("name").alias("schema_name"),
         "figure", "mood", "fallacy", F.array("i", "j").alias("candidate_premises"), "core_signature", F.array("major", "minor").alias("core_premises"),
@@ -278,8 +339,8 @@ def _draw_examples(slots: DataFrame, catalog: DataFrame, sizes: dict[bool, int],
         "topic", "premise_count", F.lit(None).cast("string").alias("base_id"), F.lit(None).cast("int").alias("num_injected_distractors"),
     )
     return x.select(
-        "slot", "attempt", T.content_id(F.col("syllogism")).alias("id"), "syllogism", "validity", "plausibility", "relevant_premises",
-        meta.alias("metadata"), (F.size("spare") == F.col("premise_count") - 2).alias("whole"),
+        "slot", F.sha2(w.normal(F.col("syllogism")), 256).alias("id"), "syllogism", "validity", "plausibility", "relevant_premises", meta.alias("metadata"),
+        (F.size("spare") == F.col("premise_count") - 2).alias("whole"), F.xxhash64("core_signature").alias("c"), F.xxhash64(F.lower("syllogism")).alias("t"),
     )
 
 
@@ -299,11 +360,12 @@ def generate(
 
     ``taken`` has further texts in a column syllogism, which no example may repeat.
 
-    ``slots`` holds the numbers 0 to total - 1 in a column slot. Of slots that collide the lowest
-    keeps its draw and the others draw again with the next attempt; only they are made anew and
-    moved. The keys of examples kept so far, and of ``taken``, are a table to which each round adds
-    its own; new draws are looked for in it. More than ``rounds`` rounds means that the lexicon is too
-    small for ``total`` and is an error. A slot keeps its form and its positions in every attempt.
+    ``slots`` holds the numbers 0 to total - 1 in a column slot. Cores are drawn first, alone: in a round the lowest of the
+    slots that share one keeps it, if no earlier round has it, and the others draw again with the next attempt; from round
+    ``EARLY`` on, when most of what is left has few cores to find, each tries ``TRIES`` attempts in a round and takes its first
+    free one. Then each example is made, once, and its text looked at; slots whose texts don't do draw again. Cores and texts
+    kept so far, and texts of ``taken``, are looked for by 64-bit hashes; examples aren't moved. More than ``rounds`` rounds
+    mean that the lexicon is too small for ``total`` and are an error. A slot keeps its form and its positions in every attempt.
     """
     if any(n < 2 for n in premise_counts):
         raise ValueError("an example has two premises at least")
@@ -311,56 +373,70 @@ def generate(
     catalog = written(form_catalog(spark, semantics, figures), "forms")
     sizes = {r.valid: r["count"] for r in catalog.groupBy("valid").count().collect()}  # two rows
     w = _Words(lexicon or default_lexicon(), style)
-    pending, rows = slots.select(F.col("slot").cast("long").alias("slot"), F.lit(0).alias("attempt")), total
+    # slots are a few bytes each but cost much to fill, so they are dealt by number, not by size
+    planned = lambda x, n: plan_slots(x.repartition(1 + n // 20_000), total, premise_counts)
+    pending, rows, done = slots.select(F.col("slot").cast("long").alias("slot")), total, 0
     kept: DataFrame | None = None
-    seen = None
+    texts = None
     if taken is not None:
-        seen = written(taken.select(F.lit(None).cast("long").alias("c"), F.xxhash64(T.signature(F.col("syllogism"))).alias("t")), "taken")
-    for _ in range(rounds):
-        # slots are a few bytes each but cost much to fill, so they are dealt by number, not by size
-        pending = plan_slots(pending.repartition(1 + rows // 5_000), total, premise_counts)
-        new = written(_draw_examples(pending, catalog, sizes, w, seed, max(premise_counts) - 2, semantics), "drawn")
-        won = written(_unseen(_firsts(_keys(new)), seen, rows), "won")
-        seen = won.select("c", "t") if seen is None else seen.union(won.select("c", "t"))
-        good = new.join(won.select("slot"), "slot", "left_semi")
-        kept = good if kept is None else kept.unionByName(good)
-        lost = new.join(won.select("slot"), "slot", "left_anti").select("slot", (F.col("attempt") + 1).alias("attempt"))
-        pending = written(lost, "lost")
+        texts = written(taken.select(F.xxhash64(T.signature(F.col("syllogism"))).alias("t")), "taken")
+    attempt = 0
+    while done < rounds:
+        asked, settled = rows, None
+        cores_seen = None if kept is None else kept.select("c")
+        while rows and done < rounds:
+            tries = TRIES if done >= EARLY else 1
+            drawn = pending.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + tries - 1))))
+            cores = _draw_cores(planned(drawn, rows * tries), catalog, sizes, w, seed).select("slot", "attempt", F.xxhash64("core_signature").alias("c"))
+            if cores_seen is not None:
+                cores = written(cores, "cores")
+                cores = cores.join(_met(cores_seen, cores.select("c"), "c", rows * tries), "c", "left_anti")
+            if tries > 1:
+                cores = cores.groupBy("slot").agg(F.min(F.struct("attempt", "c")).alias("a")).select("slot", "a.attempt", "a.c")
+            won = written(cores.groupBy("c").agg(F.min(F.struct("slot", "attempt")).alias("a")).select("a.slot", "a.attempt", "c"), "won")
+            cores_seen = won.select("c") if cores_seen is None else cores_seen.union(won.select("c"))
+            settled = won.drop("c") if settled is None else settled.union(won.drop("c"))
+            pending = written(pending.join(won.select("slot"), "slot", "left_anti"), "lost")
+            rows, attempt, done = pending.count(), attempt + tries, done + 1
+        if rows:
+            break
+        if not asked:
+            settled = pending.withColumn("attempt", F.lit(0))
+        new = written(_draw_examples(planned(settled, asked), catalog, sizes, w, seed, max(premise_counts) - 2, semantics), "drawn")
+        again = new.filter("whole").groupBy("t").agg(F.count("*").alias("n"), F.min("slot").alias("_first")).filter("n > 1").select("t", "_first")
+        bad = new.filter("not whole").select("slot").union(new.filter("whole").join(again, "t").filter("slot > _first").select("slot"))
+        if texts is not None:
+            bad = bad.union(new.join(_met(texts, new.select("t"), "t", asked), "t", "left_semi").select("slot"))
+        pending = written(bad.distinct(), "unfit")
         rows = pending.count()
+        good = new.join(pending, "slot", "left_anti") if rows else new
+        kept = good if kept is None else kept.unionByName(good)
         if not rows:
-            return kept.drop("whole", "attempt")
+            return kept.drop("whole", "c", "t")
+        texts = good.select("t") if texts is None else texts.union(good.select("t"))
     raise RuntimeError(f"no {total} different examples after {rounds} rounds: the lexicon is too small")
 
 
-def _keys(x: DataFrame) -> DataFrame:
-    """What must differ between examples, as 64-bit hashes: two that agree by chance draw again, which changes no promise."""
-    return x.select("slot", "whole", F.xxhash64("metadata.core_signature").alias("c"), F.xxhash64(F.lower("syllogism")).alias("t"))
+def _met(seen: DataFrame, asked: DataFrame, key: str, most: int) -> DataFrame:
+    """Which of the keys ``asked`` (``most`` at most) are among those seen.
 
+    Up to ``BROADCAST_KEYS`` of them are sent to where the keys seen so far lie, so that those aren't moved; beyond, both
+    sides are shuffled by eight bytes.
+    """
+    return seen.join(F.broadcast(asked) if most <= BROADCAST_KEYS else asked, key, "left_semi").distinct()
 
-def _firsts(keys: DataFrame, names: str = "ct") -> DataFrame:
-    """Whole rows of one round that are the first of each key in ``names``: grouped minima, whole rows before others, low slots first."""
-    rank = F.struct((~F.col("whole")).alias("short"), "slot")
-    out = keys.filter("whole")
-    for k in names:
-        out = out.join(keys.groupBy(k).agg(F.min(rank)["slot"].alias("slot")).select("slot"), "slot", "left_semi")
-    return out
 
+def _firsts(keys: DataFrame) -> DataFrame:
+    """(slot, t): of the rows of one round the first of each text."""
+    return keys.groupBy("t").agg(F.min("slot").alias("slot")).select("slot", "t")
 
-def _unseen(keys: DataFrame, seen: DataFrame | None, most: int, names: str = "ct") -> DataFrame:
-    """``keys`` (slot and ``names``) that share no key with ``seen``, whose keys may be null.
 
-    At most ``most`` rows of a round are looked for. Up to ``BROADCAST_KEYS`` of them are sent to where the
-    keys seen so far lie, so that those aren't moved; beyond, both sides are shuffled by eight bytes.
-    """
-    keys = keys.select("slot", *names)
+def _unseen(keys: DataFrame, seen: DataFrame | None, most: int) -> DataFrame:
+    """``keys`` (slot, t) whose t isn't among those of ``seen``."""
     if seen is None:
         return keys
     keys = written(keys, "firsts")
-    for k in names:
-        asked = keys.select(k)
-        hits = seen.select(k).filter(F.col(k).isNotNull()).join(F.broadcast(asked) if most <= BROADCAST_KEYS else asked, k, "left_semi")
-        keys = keys.join(hits.distinct(), k, "left_anti")
-    return keys.select("slot", *names)
+    return keys.join(_met(seen, keys.select("t"), "t", most), "t", "left_anti").select("slot", "t")
 
 
 def generate_like(df: DataFrame, key: str, **options) -> DataFrame:
@@ -400,13 +476,18 @@ def _with_distractors(x: DataFrame, w: _Words, seed: str, most: int, rounds: int
     """``x`` with spare, premise_count - 2 distractors for each row; rows that are short draw again, wider, and only they."""
     plausible = F.coalesce("plausibility", F.lit(True))
     need = F.col("premise_count") - 2
-    used = F.transform(F.concat(F.slice("parts", 1, 2), F.col("spare")), lambda s: F.lower(s))
+    used = F.concat(F.slice("parts", 1, 2), F.col("spare"))
     kept: DataFrame | None = None
     x = x.withColumn("spare", F.array().cast("array<string>"))
     for attempt in range(rounds):
         at = (seed, F.col("slot"), f"inject:{attempt}" if attempt else "inject")
-        drawn = w.distractors(need - F.size("spare"), most + (33 if attempt else 0), plausible, used, T.content_words(F.col("syllogism")), *at)
-        x = written(x.withColumn("spare", F.concat("spare", drawn)), "injected")
+        if attempt:
+            x = x.withColumns({"_used": F.transform(used, lambda s: F.lower(s)), "_avoid": T.content_words(F.col("syllogism"))})
+            more = w.all_drawn(need - F.size("spare"), most + 33, plausible, F.col("_used"), F.col("_avoid"), *at)
+            x = x.withColumn("spare", F.concat("spare", more)).drop("_used", "_avoid")
+        else:
+            x = w.with_distractors(x, "spare", need, most, plausible, used, T.content_words(F.col("syllogism")), *at)
+        x = written(x, "injected")
         whole = x.filter(F.size("spare") == need)
         kept = whole if kept is None else kept.unionByName(whole)
         x = x.filter(F.size("spare") < need)
@@ -430,10 +511,10 @@ def _injected(x: DataFrame, w: _Words, seed: str, premise_counts: Sequence[int],
         new = _with_distractors(pending, w, again, max(premise_counts) - 2, rounds)
         new = new.withColumn("_swap", T.draw(2, again, F.col("slot"), F.lit("inject"), "swap") == 1).withColumn("base_syllogism", F.col("syllogism"))
         new = new.withColumn("first", F.when(F.col("_swap"), parts[1]).otherwise(parts[0])).withColumn("second", F.when(F.col("_swap"), parts[0]).otherwise(parts[1]))
-        new = written(_assemble(new.withColumn("conclusion", parts[2])), "joined")
+        new = written(_assemble(new.withColumn("conclusion", parts[2]), w), "joined")
         # of equal texts the one kept already, or the lowest slot, stays; the others draw again
-        keys = new.select("slot", F.lit(True).alias("whole"), F.xxhash64(F.lower("syllogism")).alias("t"))
-        won = written(_unseen(_firsts(keys, "t"), seen, new.count(), "t"), "won")
+        keys = new.select("slot", F.xxhash64(F.lower("syllogism")).alias("t"))
+        won = written(_unseen(_firsts(keys), seen, new.count()), "won")
         seen = won.select("t") if seen is None else seen.union(won.select("t"))
         good = new.join(won.select("slot"), "slot", "left_semi")
         kept = good if kept is None else kept.unionByName(good)
