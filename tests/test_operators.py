@@ -562,3 +562,24 @@ def test_slots_with_few_cores_left_try_several_in_a_round(spark):
     slots = spark.range(0, 284).withColumnRenamed("id", "slot")
     got = generate.generate(slots, 284, (2,), style="canonical", lexicon=lex, rounds=9).collect()
     assert len({r.syllogism for r in got}) == len({r.metadata.core_signature for r in got}) == len({r.slot for r in got}) == len(got) == 284
+
+
+def test_the_audit_keeps_no_group_of_single_texts(spark, monkeypatch):
+    x = spark.createDataFrame(
+        generate.generate(spark.range(0, 40).withColumnRenamed("id", "slot"), 40).collect(), generate.generate(spark.range(0).withColumnRenamed("id", "slot"), 0).schema
+    )
+    kept, real = [], audit.written
+    monkeypatch.setattr(audit, "written", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    audit.example_audit(x).collect()
+    rows = x.collect()
+    premises = {s.lower() for r in rows for s in re.findall(r"[^.]+\.", r.syllogism)[: r.metadata.premise_count] for s in [s.strip()]}
+    assert kept[0].count() <= len(rows) + len(premises)  # combinations of labels, and premises
+
+
+def test_the_plan_normalises_a_text_once(spark, monkeypatch):
+    from veritext.jobs import dataset_queries as Q
+
+    x = spark.createDataFrame([], generate.generate(spark.range(0).withColumnRenamed("id", "slot"), 0).schema)
+    monkeypatch.setattr(Q, "generated_examples", lambda spark, sf_dir: x)
+    plan = Q.generated_plan(spark, "")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(syllogism") == 1

@@ -21,8 +21,9 @@ STOP_WORDS = [
 
 
 def normalise(text: Column) -> Column:
-    """Trimmed, with every run of white space as one space."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    """Trimmed, with every run of white space as one space; a printable ASCII text that is so already is only looked through."""
+    done = text.rlike(r"\A[ -~]*\z") & ~F.contains(text, F.lit("  ")) & ~F.startswith(text, F.lit(" ")) & ~F.endswith(text, F.lit(" "))
+    return F.when(done, text).otherwise(F.trim(F.regexp_replace(text, SPACE, " ")))
 
 
 def content_id(text: Column) -> Column:
@@ -41,8 +42,18 @@ def sentences(text: Column) -> Column:
     The text is cut behind each end mark, which reads it once: a mark without text before it is no
     sentence, and what follows the last mark goes.
     """
-    flat = normalise(text)
-    ended = F.filter(F.split(flat, r"(?<=[.!?])"), lambda s: (F.length(s) > 1) & F.right(s, F.lit(1)).isin(".", "!", "?"))
+    return normal_sentences(normalise(text))
+
+
+def normal_sentences(flat: Column) -> Column:
+    """``sentences`` of a text that is normalised. Cuts are unit separators, which such a text doesn't hold."""
+    cut = flat
+    for mark in ".!?":
+        cut = F.replace(cut, F.lit(mark), F.lit(mark + "\x1f"))
+    # named once, as an element, so that it isn't cut twice
+    ended = F.get(F.transform(F.array(F.split(cut, "\x1f")), lambda c: F.slice(c, F.lit(1), F.size(c) - 1)), F.lit(0))
+    for mark in ".!?":
+        ended = F.array_remove(ended, mark)
     rough = F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+|\.\s*"), lambda s: F.trim(s)), lambda s: s != "")
     rough = F.transform(rough, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
     # the parts are named once, as an element, so that they aren't cut twice

@@ -111,67 +111,78 @@ def style_counts(
 
 #: Style counters of the report, in the order of ``style_counts``.
 STYLE = ("canonical", "other", "therefore", "other_conclusion", "loose_pronoun")
+#: What a counted group is: the labels of a row, or the hash of a core, a text or a premise.
+_LABELS, _CORE, _TEXT, _PREMISE = range(4)
 
 
 def example_audit(examples: DataFrame, limit: int = 20) -> DataFrame:
     """Long report (metric, key, n) over examples with a metadata column (the generator's layout).
 
-    The examples are read twice. The first reading counts everything in one aggregate: histograms by
-    key, style counters as sums, and texts, cores and premises as 128-bit hashes, so that no text is
-    moved. The second finds the wordings of the premises that are repeated most, whose hashes are known by
-    then; it counts only these. Ties at the ``limit``-th place are broken by the sentence.
+    The examples are read twice. The first reading counts everything in one aggregate: rows by all their labels
+    together, from whose few combinations the histograms follow, and texts, cores and premises as 128-bit hashes,
+    so that no text is moved; each premise keeps the 64-bit hash of one of its texts. The second finds the wordings
+    of the premises that are repeated most: it cuts only the texts whose hashes are known by then. Ties at the
+    ``limit``-th place are broken by the sentence.
     """
     m = F.col("metadata")
-    label = lambda c: F.initcap(F.col(c).cast("string"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_text", T.normalise(F.col("syllogism"))).withColumn("_parts", T.normal_sentences(F.col("_text")))
+        return df.withColumn("_head", F.slice("_parts", F.lit(1), m["premise_count"]))
+
+    closes = T.ends_with_conclusion(F.col("_parts"), "Therefore,")
+    labels = F.struct(
+        m["source"].alias("source"), m["style"].alias("style"), m["schema_name"].alias("schema"), m["mood"].alias("mood"), m["figure"].alias("figure"),
+        m["fallacy"].alias("fallacy"), m["premise_count"].alias("premise_count"), m["candidate_premises"].alias("candidates"),
+        F.when(F.col("validity"), F.col("relevant_premises")).alias("relevant"), m["core_premise_order_in_output"].alias("core_order"),
+        m["num_injected_distractors"].alias("injected"), "validity", "plausibility",
+        closes.alias("therefore"), (~closes & (F.size("_parts") > 0)).alias("other_conclusion"), F.contains("_low", F.lit(" of them ")).alias("loose_pronoun"),
+    )
+    # by place: nothing (the labels), the core, the text and the premises
+    said = F.concat(F.array(F.lit(None).cast("string"), m["core_signature"], "_low"), F.coalesce("_head", F.array().cast("array<string>")))
+    rows = cut(examples).withColumn("_low", F.lower("_text")).select(labels.alias("labels"), F.xxhash64("syllogism").alias("t"), F.posexplode(said).alias("at", "s"))
+    at, premise = F.col("at"), F.col("at") >= _PREMISE
+    # sentences come normalised, so their signature is their lower case
+    rows = rows.filter((at == _LABELS) | F.col("s").isNotNull()).withColumn("_key", F.when(premise, F.lower("s")).otherwise(F.col("s")))
+    rows = rows.select(
+        F.least(at, F.lit(_PREMISE)).alias("kind"), F.when(at == _LABELS, F.col("labels")).alias("labels"), *_hashes("_key"), "t",
+        F.when(premise, T.is_categorical(F.col("s"))).cast("int").alias("plain"),
+    )
+    counts = rows.groupBy("kind", "labels", "h", "g").agg(F.count("*").alias("n"), F.sum("plain").alias("plain"), F.min("t").alias("t"))
+    counts = written(counts.filter(F.col("kind").isin(_LABELS, _PREMISE) | (F.col("n") > 1)), "audit-counts")
+
+    kind, n, of = F.col("kind"), F.col("n"), lambda c: F.col("labels")[c]
+    total = lambda where, what=n: F.coalesce(F.sum(F.when(where, what)), F.lit(0))
+    style = {"canonical": total(kind == _PREMISE, F.col("plain")), "other": total(kind == _PREMISE, n - F.col("plain"))}
+    style |= {k: total(of(k)) for k in STYLE if k not in style}
+    once = [("rows", None, total(kind == _LABELS)), *[("style_counter", k, style[k]) for k in STYLE]]
+    once += [("duplicate_core", None, total(kind == _CORE, n - 1)), ("duplicate_text", None, total(kind == _TEXT, n - 1))]
+    once += [("max_premise_repetition", None, F.coalesce(F.max(F.when(kind == _PREMISE, n)), F.lit(0)))]
+    entry = lambda metric, key, n: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), n.alias("n"))
+    summed = counts.agg(*[v.alias(f"v{i}") for i, (_, _, v) in enumerate(once)])
+    summed = summed.select(F.inline(F.array(*[entry(k, F.lit(key), F.col(f"v{i}")) for i, (k, key, _) in enumerate(once)])))
+
+    label = lambda c: F.initcap(of(c).cast("string"))
     metrics = {
-        "source": m["source"], "style": m["style"], "schema": m["schema_name"],
-        "mood_figure": F.concat_ws("-", m["mood"], m["figure"].cast("string")), "figure": m["figure"], "fallacy": F.nullif(m["fallacy"], F.lit("")),
-        "premise_count": m["premise_count"], "candidate_pair": T.list_text(m["candidate_premises"]),
-        "relevant_pair_valid_only": F.when(F.col("validity"), T.list_text(F.col("relevant_premises"))),
-        "core_order": F.coalesce(m["core_premise_order_in_output"], F.lit("unknown")),
-        "injected": F.coalesce(m["num_injected_distractors"], F.greatest(F.lit(0), m["premise_count"] - 2)),
+        "source": of("source"), "style": of("style"), "schema": of("schema"), "mood_figure": F.concat_ws("-", of("mood"), of("figure").cast("string")),
+        "figure": of("figure"), "fallacy": F.nullif(of("fallacy"), F.lit("")), "premise_count": of("premise_count"),
+        "candidate_pair": T.list_text(of("candidates")), "relevant_pair_valid_only": T.list_text(of("relevant")),
+        "core_order": F.coalesce(of("core_order"), F.lit("unknown")), "injected": F.coalesce(of("injected"), F.greatest(F.lit(0), of("premise_count") - 2)),
         "validity": label("validity"), "plausibility": label("plausibility"),
         "validity_plausibility": F.concat(F.lit("validity="), label("validity"), F.lit(",plausibility="), label("plausibility")),
     }
     skip_null = ("schema", "mood_figure", "figure", "fallacy", "relevant_pair_valid_only")
-    rows = examples.withColumn("_parts", T.sentences(F.col("syllogism"))).withColumn("_head", F.slice("_parts", F.lit(1), m["premise_count"]))
-    rows = rows.withColumn("_plain", F.size(F.filter("_head", lambda s: T.is_categorical(s, T.CATEGORICAL))))
-    closes = T.ends_with_conclusion(F.col("_parts"), "Therefore,")
-    style = (F.col("_plain"), F.size("_head") - F.col("_plain"), closes.cast("int"), (~closes & (F.size("_parts") > 0)).cast("int"), T.has_loose_pronoun(F.col("syllogism"), " of them ").cast("int"))
-
-    def entry(metric: str, key: Column | None = None, hashed: Column | None = None, n: Column = F.lit(1)) -> Column:
-        none = lambda kind: F.lit(None).cast(kind)
-        two = [none("long")] * 2 if hashed is None else [F.xxhash64(hashed), F.xxhash64(F.lit(1), hashed)]
-        return F.struct(
-            F.lit(metric).alias("metric"), (none("string") if key is None else key.cast("string")).alias("key"), two[0].alias("h"), two[1].alias("g"), n.cast("long").alias("n")
-        )
-
-    entries = [entry("rows"), *[F.when(c.isNotNull(), entry(k, c)) if k in skip_null else entry(k, c) for k, c in metrics.items()]]
-    entries += [entry("style_counter", F.lit(k), n=F.coalesce(c, F.lit(0))) for k, c in zip(STYLE, style)]
-    hashes = {"duplicate_core": m["core_signature"], "duplicate_text": T.signature(F.col("syllogism"))}
-    entries += [F.when(c.isNotNull(), entry(k, hashed=c)) for k, c in hashes.items()]
-    # sentences come normalised, so their signature is their lower case
-    each = F.transform("_head", lambda s: entry("premise", hashed=F.lower(s)))
-    pairs = F.concat(F.filter(F.array(*entries), lambda x: x.isNotNull()), F.coalesce(each, F.array().cast(_ENTRIES)))
-    counts = rows.select(F.explode(pairs).alias("x")).select("x.*").groupBy("metric", "key", "h", "g").agg(F.sum("n").alias("n"))
-    counts = written(counts, "audit-counts")
-
-    spark = examples.sparkSession
-    plain = counts.filter(~F.col("metric").isin("premise", *hashes, "rows", "style_counter")).select("metric", "key", "n")
-    always = [("rows", None), *[("style_counter", k) for k in STYLE], *[(k, None) for k in hashes]]
-    surplus = F.when(F.col("metric").isin(*hashes), F.col("n") - 1).otherwise(F.col("n"))
-    some = counts.filter(F.col("metric").isin("rows", "style_counter", *hashes)).select("metric", "key", surplus.alias("n"))
-    zeros = spark.createDataFrame([(k, v, 0) for k, v in always], "metric string, key string, n long")
-    once = some.union(zeros).groupBy("metric", "key").agg(F.sum("n").alias("n"))
-
-    premises = counts.filter("metric = 'premise'").select("h", "g", "n")
+    by = counts.filter(kind == _LABELS).select(F.inline(F.array(*[entry(k, c, n) for k, c in metrics.items()])))
+    by = by.filter(~F.col("metric").isin(*skip_null) | F.col("key").isNotNull()).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+
+    premises = counts.filter(kind == _PREMISE).select("h", "g", "n", "t")
     least = premises.orderBy(F.desc("n")).limit(limit).agg(F.min("n").alias("least"))
-    asked = written(premises.join(F.broadcast(least), F.col("n") >= F.col("least")).select("h", "g"), "audit-premises")
-    said = rows.select(F.explode("_head").alias("s")).select(F.lower("s").alias("s"))
-    said = said.join(asked, (F.xxhash64("s") == F.col("h")) & (F.xxhash64(F.lit(1), "s") == F.col("g")), "left_semi")
-    top = said.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(limit)
-    most = premises.agg(F.lit("max_premise_repetition"), F.lit(None).cast("string"), F.coalesce(F.max("n"), F.lit(0)))
-    return plain.union(once).union(top.select(F.lit("top_premise"), "s", "n")).union(most)
+    asked = written(premises.join(F.broadcast(least), F.col("n") >= F.col("least")).select("h", "g", "n", "t"), "audit-premises")
+    told = cut(examples.join(asked.select("t").distinct(), F.xxhash64("syllogism") == F.col("t"), "left_semi"))
+    told = told.select(F.explode("_head").alias("s")).select(F.lower("s").alias("s")).select("s", *_hashes("s"))
+    top = told.join(asked, ["h", "g"]).select("s", "n").distinct().orderBy(F.desc("n"), "s").limit(limit)
+    return by.union(summed).union(top.select(F.lit("top_premise"), "s", "n"))
 
 
-_ENTRIES = "array<struct<metric:string,key:string,h:bigint,g:bigint,n:bigint>>"
+def _hashes(key: str) -> tuple[Column, Column]:
+    return F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")
