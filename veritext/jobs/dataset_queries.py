@@ -373,14 +373,14 @@ def generated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, p = F.col("metadata"), F.col("p")
     at = F.array(F.get(p, m["candidate_premises"][0]), F.get(p, m["candidate_premises"][1]))
     core = (F.array_sort(at) == F.array_sort(m["core_premises"])) & (F.element_at(p, -1) == m["core_conclusion"])
-    x = generated_examples(spark, sf_dir).withColumn("p", T.sentences(F.col("syllogism")))
+    x = generated_examples(spark, sf_dir).withColumn("flat", T.normalise(F.col("syllogism"))).withColumn("p", T.normal_sentences(F.col("flat")))
     return x.select(
         "slot", m["premise_count"].alias("premise_count"), "validity", "plausibility", m["figure"].alias("figure"), m["mood"].alias("mood"),
         m["schema_name"].alias("name"), m["fallacy"].alias("fallacy"), m["candidate_premises"][0].alias("i"), m["candidate_premises"][1].alias("j"),
         m["topic"].alias("topic"), T.list_text(F.col("relevant_premises")).alias("relevant"),
-        (F.col("id") == T.content_id(F.col("syllogism"))).alias("named_by_text"), core.alias("holds_core"),
+        (F.col("id") == F.sha2("flat", 256)).alias("named_by_text"), core.alias("holds_core"),
         (F.size(F.array_distinct(F.transform(p, lambda s: F.lower(s)))) == F.size(p)).alias("all_differ"),
-        T.has_loose_pronoun(F.col("syllogism")).alias("loose"), F.size(p).alias("sentences"),
+        F.contains(F.lower("flat"), F.lit(" of them ")).alias("loose"), F.size(p).alias("sentences"),
     )
 
 
