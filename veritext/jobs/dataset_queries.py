@@ -485,4 +485,4 @@ def generated_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _part_base(spark, sf_dir)
     out = generate.public(generate.generate_dataset(spark, base.count(), mode="mixed", base=base, ratio=0.3), metadata=True)
     by = out.groupBy(F.col("metadata.source").alias("source"), F.col("metadata.premise_count").alias("premises"))
-    return by.agg(F.count("*").alias("n"), F.countDistinct(T.signature(F.col("syllogism"))).alias("texts"))
+    return by.agg(F.count("*").alias("n"), F.countDistinct(F.sha2(T.signature(F.col("syllogism")), 256)).alias("texts"))
