@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritext.functions import order
 from veritext.jobs import queries
-from veritext.operators import audit, dedup, formats, forms, generate, published, rules, score
+from veritext.operators import audit, cells, dedup, formats, forms, generate, published, rules, score
 
 
 def _edit(a, b):
@@ -64,6 +64,35 @@ def test_texts_that_share_a_segment_only_are_not_emitted(spark):
     assert dedup._met(rows, 3).distinct().count() < 4_000  # of 124,750 pairs
 
 
+def test_short_texts_that_share_a_segment_only_leave_no_task(spark, monkeypatch):
+    met, found = dedup._met, []
+    monkeypatch.setattr(dedup, "_met", lambda *a: found.append(met(*a)) or found[-1])
+    r = random.Random(7)
+    texts = sorted({"".join(r.choice("eéaistno") for _ in range(r.randrange(7, 10))) + "." for _ in range(900)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(x.class_a, x.class_b): x.distance for x in dedup.similar_class_pairs(df).collect()}
+    assert got == {(i, j): d for i, j in combinations(range(len(texts)), 2) if (d := _edit(texts[i], texts[j])) <= 3}
+    assert sum(f.distinct().count() for f in found) <= 2 * len(got)  # tens of thousands share a segment and many letters
+
+
+def test_texts_about_the_border_of_short_ones_in_many_tiles_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 20)
+    monkeypatch.setattr(cells, "CHUNK", 50)
+    monkeypatch.setattr(dedup, "KEYS", 2_500)
+    r = random.Random(8)
+    texts = {" ".join(r.choice(["été", "cat", "dogs"]) for _ in range(6)) for _ in range(40)}
+    texts = sorted(texts | {t[:i] + r.choice(["", "x", t[i : i + 1] + "ß"]) + t[i + 1 :] for t in sorted(texts) for i in r.sample(range(20), 4)})
+    assert min(map(len, texts)) < dedup.SHORT < max(map(len, texts))
+    want = {(i, j): d for i, j in combinations(range(len(texts)), 2) if (d := _edit(texts[i], texts[j])) <= 3}
+    df = spark.createDataFrame([(i // 10, i % 10, t) for i, t in enumerate(texts)], "doc int, pos int, text string").selectExpr("struct(doc, pos) AS id", "text")
+    got = [(10 * x.class_a.doc + x.class_a.pos, 10 * x.class_b.doc + x.class_b.pos, x.distance) for x in dedup.similar_class_pairs(df).collect()]
+    assert sorted(got) == sorted((*p, d) for p, d in want.items())
+    counts = dedup.similar_counts(df.union(df.selectExpr("struct(id.doc + 1000, id.pos)", "text"))).collect()
+    assert {x.distance: x.pairs for x in counts} == {0: len(texts)} | {d: 4 * n for d, n in Counter(want.values()).items()}
+    named = dedup.similar_pairs(df.select("text"), "text", "text").collect()
+    assert sorted((x.id_a, x.id_b, x.distance) for x in named) == sorted((*sorted((texts[i], texts[j])), d) for (i, j), d in want.items())
+
+
 def test_pairs_of_copies_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS", 2_000)
     monkeypatch.setattr(dedup, "TILE", 50)
