@@ -93,6 +93,15 @@ def test_texts_about_the_border_of_short_ones_in_many_tiles_and_parts(spark, mon
     assert sorted((x.id_a, x.id_b, x.distance) for x in named) == sorted((*sorted((texts[i], texts[j])), d) for (i, j), d in want.items())
 
 
+def test_texts_that_are_their_own_ids_are_written_once(spark, monkeypatch):
+    tables, write = {}, dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name, **o: tables.setdefault(name, write(df, name, **o)))
+    names = spark.createDataFrame([("one cat",), ("one cats",), ("Other words",)], "text string")
+    assert [tuple(r) for r in dedup.similar_pairs(names, "text", "text").collect()] == [("one cat", "one cats", 1)]
+    assert "similar-members" not in tables  # each class is its only member
+    assert {r.s: r.v for r in tables["similar-texts"].collect()} == {"one cat": None, "one cats": None, "other words": "Other words"}
+
+
 def test_pairs_of_copies_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(dedup, "PAIRS", 2_000)
     monkeypatch.setattr(dedup, "TILE", 50)
